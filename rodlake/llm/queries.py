@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, secrets, simhash, toxicity
+from . import decontaminate, langid, pivots, secrets, sharding, simhash, toxicity, warc
 from .common import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.text_shards(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,22 +26,35 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.cosine_components(table(spark, sf_dir, "embeddings"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
     "op4_decontaminate": op4_decontaminate,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op8_embeddings": op8_embeddings,
     "op9_langid": op9_langid,
 }
 
 ORACLES: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
+    "op5_warc": warc.SQL,
+    "op8_embeddings": pivots.SQL,
 }
