@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pivots, secrets, sharding, simhash, toxicity, warc
+from . import decontaminate, langid, mixing, pivots, secrets, sharding, simhash, toxicity, urlrank, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.cosine_components(table(spark, sf_dir, "embeddings"))
 
@@ -42,6 +46,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrank.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -49,8 +57,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
     "op8_embeddings": op8_embeddings,
     "op9_langid": op9_langid,
+    "op10_urls": op10_urls,
 }
 
 ORACLES: dict[str, str] = {
