@@ -68,7 +68,7 @@ def ranked(df: DataFrame, key: str, order: list, salt, rows_hint: int, rank: str
     by itself and shifted by the count of the buckets before it. The buckets' counts
     are a table of keys x buckets, where the number of buckets follows the rows.
     """
-    buckets = max(64, rows_hint // 400)
+    buckets = max(64, rows_hint // 100)
     df = df.withColumn("_b", F.pmod(salt, F.lit(buckets)).cast("int"))
     counts = df.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
