@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,3 +83,17 @@ def ranked(df: DataFrame, key: str, order: list, salt, rows_hint: int, rank: str
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scored(df: DataFrame, name: str, score: Callable[[pa.Array], pa.Array], kind: str, text: str) -> DataFrame:
+    """``df`` with a struct column ``name`` that ``score`` makes of batches of ``text``.
+
+    Only the text goes to the Python worker and only the struct comes back; the other
+    columns stay in the JVM. It is computed once, also where several of its fields are
+    read or filtered.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        return score(texts)
+
+    return df.withColumn(name, F.arrow_udf(run, kind).asNondeterministic()(F.col(text)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, scored
 
 #: Bytes of item text whose index is broadcast at once; larger sets of items are joined block by block.
 BLOCK_BYTES = 8_000_000
@@ -85,19 +85,18 @@ def build(items: list[tuple[str, bytes]], window: int) -> Index:
     return Index(vocab, {n: np.array(list(w), np.int64).reshape(-1, n) for n, w in found.items()}, {n: [sorted(s) for s in w.values()] for n, w in found.items()})
 
 
-def _chunks(batches, text: int):
-    """(batch, first row, word counts) with the rows' words, about CHUNK_WORDS at a time."""
-    for b in batches:
-        held, sizes, first = [], [], 0
-        for i, t in enumerate(b.column(text)):
-            w = words(t.as_py())
-            held += w
-            sizes.append(len(w))
-            if len(held) >= CHUNK_WORDS:
-                yield b, first, sizes, held
-                held, sizes, first = [], [], i + 1
-        if sizes:
-            yield b, first, sizes, held
+def _chunks(texts: pa.Array):
+    """(word counts, words) of the rows, about CHUNK_WORDS at a time."""
+    held, sizes = [], []
+    for t in texts:
+        w = words(t.as_py())
+        held += w
+        sizes.append(len(w))
+        if len(held) >= CHUNK_WORDS:
+            yield sizes, held
+            held, sizes = [], []
+    if sizes:
+        yield sizes, held
 
 
 def _ids(index: Index, held: list[bytes]) -> np.ndarray:
@@ -117,7 +116,7 @@ def count_shingles(docs: DataFrame, text: str, index: Index) -> dict[int, dict[i
     def run(batches):
         ix = index
         total = {k: np.zeros(len(c), np.int64) for k, c in wanted.items()}
-        for _, _, sizes, held in _chunks(batches, 0):
+        for sizes, held in (x for b in batches for x in _chunks(b.column(0))):
             ids, ends = _ids(ix, held), np.cumsum(sizes)
             for k, codes in wanted.items():
                 if len(ids) >= k and len(codes):
@@ -164,12 +163,12 @@ def _matches(ix: Index, ids: np.ndarray, ends: np.ndarray):
             begin = stop
 
 
-def _block(docs: DataFrame, text: str, keep: list[str], index: Index) -> DataFrame:
+def _block(docs: DataFrame, text: str, keep: list[str], ix: Index) -> DataFrame:
     span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
 
-    def run(batches):
-        ix = index
-        for b, first, sizes, held in _chunks(batches, len(keep)):
+    def score(texts: pa.Array) -> pa.Array:
+        counts, spans, names = [], [], []
+        for sizes, held in _chunks(texts):
             ids, ends = _ids(ix, held), np.cumsum(sizes)
             begins = ends - sizes
             change = np.zeros(len(ids) + 1, np.int64)
@@ -180,7 +179,6 @@ def _block(docs: DataFrame, text: str, keep: list[str], index: Index) -> DataFra
                 for d, w in set(zip(np.searchsorted(ends, start, "right").tolist(), window.tolist())):
                     items.setdefault(d, set()).update(ix.items[n][w])
             hit = np.cumsum(change[:-1]) > 0
-            spans, names = [], []
             for d in range(len(sizes)):
                 found = []
                 if d in items:
@@ -188,12 +186,12 @@ def _block(docs: DataFrame, text: str, keep: list[str], index: Index) -> DataFra
                     found = [{"first": int(a), "past": int(z)} for a, z in zip(np.flatnonzero(h == 1), np.flatnonzero(h == -1))]
                 spans.append(found)
                 names.append(sorted(items.get(d, ())))
-            rows = b.slice(first, len(sizes))
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))], names=[*keep, "n_words", "hits", "items"])
+            counts += sizes
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))], names=["n_words", "hits", "items"])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("_text"))
-    schema = ", ".join([f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep] + ["n_words long, hits array<struct<first:long,past:long>>, items array<string>"])
-    return given.mapInArrow(run, schema)
+    given = docs.withColumn("_data", F.col(text).cast("binary"))
+    out = scored(given, "_scored", score, "n_words long, hits array<struct<first:long,past:long>>, items array<string>", "_data")
+    return out.select(*[F.col(f"`{c}`") for c in keep], "_scored.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -255,8 +253,8 @@ def contamination_report(docs: DataFrame, items: DataFrame, block_bytes: int = B
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows; all columns kept."""
     kept = docs.columns
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)], F.col("text"))
-    found = contamination(renamed, items, keep=[f"_{i}" for i in range(len(kept))]).where(~is_contaminated())
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)])
+    found = contamination(renamed, items, text=f"_{kept.index('text')}", keep=renamed.columns).where(~is_contaminated())
     return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)])
 
 

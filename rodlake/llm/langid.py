@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scored
+
 #: Trigram buckets.
 BUCKETS = 1 << 15
 _LETTER = re.compile(r"[^\W\d_]")
@@ -52,7 +54,7 @@ def trigrams(text: str) -> np.ndarray:
     return (h >> np.uint32(17)).astype(np.int64)
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_class: int = 500, windows: int = 4, width: int = 240) -> Model:
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_class: int = 400, windows: int = 3, width: int = 240) -> Model:
     """Fit on a bounded sample of the labelled rows: about ``per_class`` rows a language, ``windows`` pieces of ``width`` characters of each.
 
     Rows are chosen by a hash of the key, so the sample is the same at every run. Null labels and texts are left out.
@@ -108,26 +110,24 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     Columns of the input named like an output are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
-
-    def run(batches):
-        m = model
-        w = np.ascontiguousarray(m.weights)
-        for batch in batches:
-            found = []
-            for t in batch.column(batch.num_columns - 1):
-                t = t.as_py()
-                if not m.languages or not t or not _LETTER.search(t):
-                    found.append(("und", 0.0, False))
-                    continue
-                g = trigrams(t)
-                total = sum(w[g[i : i + 200_000]].sum(axis=0, dtype=np.float64) for i in range(0, len(g), 200_000))
-                found.append(decode(m, total / len(g) + m.bias))
-            cols = list(zip(*found)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=[*keep, "lang_pred", "lang_score", "lang_ambiguous"])
-
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    schema = ", ".join([f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "lang_score double", "lang_ambiguous boolean"])
-    return given.mapInArrow(run, schema)
+    kind = pa.struct([("lang_pred", pa.string()), ("lang_score", pa.float64()), ("lang_ambiguous", pa.bool_())])
+
+    def score(texts: pa.Array) -> pa.Array:
+        w = np.ascontiguousarray(model.weights)
+        found = []
+        for t in texts:
+            t = t.as_py()
+            if not model.languages or not t or not _LETTER.search(t):
+                found.append(("und", 0.0, False))
+                continue
+            g = trigrams(t)
+            total = sum(w[g[i : i + 200_000]].sum(axis=0, dtype=np.float64) for i in range(0, len(g), 200_000))
+            found.append(decode(model, total / len(g) + model.bias))
+        cols = list(zip(*found)) or [(), (), ()]
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind)], fields=list(kind))
+
+    out = scored(docs, "_scored", score, "lang_pred string, lang_score double, lang_ambiguous boolean", text)
+    return out.select(*[F.col(f"`{c}`") for c in keep], "_scored.*")
 
 
 def remainder(doc: str, n: int):

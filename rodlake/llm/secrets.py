@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scored
+
 # The base patterns of the contract, in the order of their kinds.
 BASE = {
     "assign": (re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 8),
@@ -167,20 +169,18 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     rank = {k: i for i, k in enumerate(KINDS)}
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for t in batch.column(batch.num_columns - 1):
-                t = t.as_py() or ""
-                found = base_spans(t)
-                if _BLANKS.search(t) or "-----BEGIN " in t:
-                    found += confirmed(t)
-                rows.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(set(found), key=lambda x: (x[1], rank[x[0]], x[2]))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=[*keep, "secrets"])
-
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    schema = ", ".join([f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep] + ["secrets array<struct<kind:string,start:int,end:int>>"])
-    return given.mapInArrow(run, schema)
+    def score(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts:
+            t = t.as_py() or ""
+            found = base_spans(t)
+            if _BLANKS.search(t) or "-----BEGIN " in t:
+                found += confirmed(t)
+            rows.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(set(found), key=lambda x: (x[1], rank[x[0]], x[2]))])
+        return pa.StructArray.from_arrays([pa.array(rows, kind)], names=["secrets"])
+
+    out = scored(docs, "_scored", score, "secrets array<struct<kind:string,start:int,end:int>>", text)
+    return out.select(*[F.col(f"`{c}`") for c in keep], "_scored.secrets")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

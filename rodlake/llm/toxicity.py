@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scored
 from .langid import remainder
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -119,35 +120,32 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     spans. Whole texts are read. Columns of the input named like an output are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("toxic_score", "toxic_spans")]
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-
-    def run(batches):
-        m = model
-        weight = m.scorer()
-        idle = float(np.log1p(-_sigmoid(m.bias)))
-        for batch in batches:
-            scores, spans = [], []
-            for t in batch.column(batch.num_columns - 1):
-                t = t.as_py()
-                clean, found = 0.0, []
-                if t:
-                    for s in t.lower().encode("utf-8", "replace").translate(_CUT).split(b"\n"):
-                        words = s.split()
-                        if words:
-                            v = sum(map(weight, words))
-                            clean += idle if v == 0 else -float(np.logaddexp(0, v + m.bias))
-                    if 1 - np.exp(clean) >= locate:
-                        for x in _SENTENCE.finditer(t):
-                            v = sum(weight(w) for s in sentences(x[0]) for w in s.split())
-                            if (p := float(_sigmoid(v + m.bias))) >= locate and x[0].strip():
-                                found.append({"start": x.start(), "end": x.end(), "score": p})
-                scores.append(float(-np.expm1(clean)))
-                spans.append(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(spans, kind)], names=[*keep, "toxic_score", "toxic_spans"])
-
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
-    schema = ", ".join([f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep] + ["toxic_score double", "toxic_spans array<struct<start:int,end:int,score:double>>"])
-    return given.mapInArrow(run, schema)
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+
+    def score(texts: pa.Array) -> pa.Array:
+        weight = model.scorer()
+        idle = float(np.log1p(-_sigmoid(model.bias)))
+        scores, spans = [], []
+        for t in texts:
+            t = t.as_py()
+            clean, found = 0.0, []
+            if t:
+                for s in t.lower().encode("utf-8", "replace").translate(_CUT).split(b"\n"):
+                    words = s.split()
+                    if words:
+                        v = sum(map(weight, words))
+                        clean += idle if v == 0 else -float(np.logaddexp(0, v + model.bias))
+                if 1 - np.exp(clean) >= locate:
+                    for x in _SENTENCE.finditer(t):
+                        v = sum(weight(w) for s in sentences(x[0]) for w in s.split())
+                        if (p := float(_sigmoid(v + model.bias))) >= locate and x[0].strip():
+                            found.append({"start": x.start(), "end": x.end(), "score": p})
+            scores.append(float(-np.expm1(clean)))
+            spans.append(found)
+        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(spans, span)], names=["toxic_score", "toxic_spans"])
+
+    out = scored(docs, "_scored", score, "toxic_score double, toxic_spans array<struct<start:int,end:int,score:double>>", text)
+    return out.select(*[F.col(f"`{c}`") for c in keep], "_scored.*")
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
