@@ -1,10 +1,535 @@
-"""Queries over rods, with the SQL that must give the same rows."""
+"""Queries over rods, with the SQL that must give the same rows.
+
+Rods are derived from the integer keys of the driver's tables (``operators.rods``).
+The SQL tests all pairs, without a grid.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import capsule, fields, vec
+from .functions.grid import Grid
+from .operators import density, generate, kirchhoff, network, orient, raster, rods, spatial, stats
+from .plans import oracle
+from .plans.tables import keep
+
+BOX = (1.0, 1.0, 1.0)
+#: Rods of ``part``: length, radius, and the reach of contacts beyond the surfaces.
+L, A, LIMIT = 0.1, 0.004, 0.01
+#: Rods of ``customer``, longer and fewer, for networks.
+NL, NA, NLIMIT, AXIS = 0.16, 0.006, 0.012, 2
+EXT = (4, 4, 4)
+GRID = Grid(BOX, EXT)
+PI = math.pi
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def part(spark: SparkSession, d: str, length: float = L, radius: float = A) -> DataFrame:
+    return rods.derived(spark.read.parquet(f"{d}/part.parquet"), "p_partkey", length, radius)
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    return rods.derived(spark.read.parquet(f"{d}/customer.parquet"), "c_custkey", NL, NA)
+
+
+PART, CUSTOMER = oracle.rods("part", "p_partkey", L, A), oracle.rods("customer", "c_custkey", NL, NA)
+REACH = L + 2 * A + LIMIT + 1e-5
+PAIRS = f"with recursive {PART}, {oracle.approach(oracle.near(REACH))}"
+CONTACT = f"{PAIRS}, con as (select * from ap where {oracle.hits(LIMIT)})"
+TOUCH = f"{PAIRS}, tou as (select *, sqrt(greatest(0::double, 1 - least(1::double, abs(cc)) * least(1::double, abs(cc)))) as sn, acos(least(1::double, abs(cc))) as gam from ap where unclamped and du - a1 - a2 < {LIMIT}::double)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(c, n: int = 9):
+    return F.round(c, n)
+
+
+# ---- rods and cells ---------------------------------------------------------------------------------------------
+
+
+@query(f"with {PART} select rod_id, round(x, 12) as x, round(y, 12) as y, round(z, 12) as z, round(cx, 9) as cx, round(cy, 9) as cy, round(cz, 9) as cz, l, a from rods")
+def rods_derived(spark, d):
+    return part(spark, d).select("rod_id", *[r(v, 12).alias(v) for v in "xyz"], *[r(c).alias(c) for c in ("cx", "cy", "cz")], "l", "a")
+
+
+_CELL = "cast(floor(x * 4) % 4 + 4 * (floor(y * 4) % 4) + 16 * (floor(z * 4) % 4) as bigint)"
+
+
+@query(f"with {PART} select {_CELL} as cell_id, count(*) as n from rods group by 1")
+def cell_occupancy(spark, d):
+    return stats.occupancy(part(spark, d), GRID)
+
+
+@query(f"with {PART}, c as (select {_CELL} as cell_id, count(*) as n from rods group by 1) select cell_id, n, cast(sum(n) over (order by cell_id) - n as bigint) as first, cast(sum(n) over (order by cell_id) as bigint) as past from c")
+def cell_address_scan(spark, d):
+    return stats.addresses(stats.occupancy(part(spark, d), GRID), 8)
+
+
+@query(f"with {PART}, c as (select rod_id, {_CELL} as cell_id from rods) select cell_id, rod_id from (select *, row_number() over (partition by cell_id order by rod_id) as k from c) where k <= 1 + cell_id % 5")
+def cell_quota(spark, d):
+    cells = spark.range(GRID.cells).select(F.col("id").alias("cell_id"), (1 + F.col("id") % 5).cast("int").alias("quota"))
+    return stats.quota(rods.stamped(part(spark, d), GRID), cells).select("cell_id", "rod_id")
+
+
+@query(f"with {PART} select {_CELL} as cell_id, count(*) as n, cast(0 as bigint) as wrong from rods group by 1")
+def cell_consistency(spark, d):
+    return stats.misplaced(rods.stamped(part(spark, d), GRID), GRID)
+
+
+@query(f"with {PART} select rod_id, {_CELL} as cell_id, cast((floor(x * 4) + 1) % 4 + 4 * (floor(y * 4) % 4) + 16 * ((floor(z * 4) + 3) % 4) as bigint) as neighbour, case when floor(x * 4) = 3 then 1::double else 0::double end as sx, case when floor(z * 4) = 0 then -1::double else 0::double end as sz from rods")
+def cell_neighbours(spark, d):
+    df = rods.stamped(part(spark, d), GRID)
+    sx, _, sz = GRID.shift(F.col("cell_id"), (1, 0, -1))
+    return df.select("rod_id", "cell_id", GRID.moved(F.col("cell_id"), (1, 0, -1)).alias("neighbour"), sx.alias("sx"), sz.alias("sz"))
+
+
+@query(f"with {PART} select count(*) as n, round(sum(pi() * a * a * l) * 100, 9) as percent, round(sum(2 * pi() * a * l), 9) as area from rods")
+def volume_fraction(spark, d):
+    return stats.volume(part(spark, d), BOX).select("n", r("percent").alias("percent"), r("area").alias("area"))
+
+
+# ---- orientation ------------------------------------------------------------------------------------------------
+
+
+@query(f"with {PART} select count(*) as n, round(avg((3 * cz * cz - 1) / 2), 9) as nematic from rods")
+def nematic_order(spark, d):
+    return stats.nematic_order(part(spark, d)).select("n", r("order").alias("nematic"))
+
+
+@query(f"with {PART} select {_CELL} as cell_id, count(*) as n, round(avg(cx * cx), 9) as xx, round(avg(cy * cy), 9) as yy, round(avg(cz * cz), 9) as zz, round(avg(cx * cy), 9) as xy, round(avg(cx * cz), 9) as xz, round(avg(cy * cz), 9) as yz from rods group by 1")
+def orientation_moments(spark, d):
+    return orient.moments(part(spark, d), GRID).select("cell_id", "n", *[r(m).alias(m) for m in orient.MOMENTS])
+
+
+@query()
+def principal_axes(spark, d):
+    return orient.principal(orient.moments(part(spark, d), GRID)).select("cell_id", "n", *[r(c).alias(c) for c in ("l1", "l2", "l3", "px", "py", "pz")])
+
+
+_BINS = "(select unnest(range(32)) as {0})"
+
+
+@query(f"""with {PART}, b as (select *, acos(greatest(-1::double, least(1::double, cz))) as t, sqrt(greatest(0::double, 1 - cz * cz)) as f from rods),
+g as (select least(31, floor(case when t > 1e-6 and t < pi() - 1e-6 then acos(greatest(-1::double, least(1::double, cx / f))) else 0 end / (pi() / 32))) as p, least(31, floor(t / (pi() / 32))) as q, count(*) as n from b group by 1, 2)
+select cast(phi_bin as integer) as phi_bin, cast(theta_bin as integer) as theta_bin, cast(coalesce(n, 0) as bigint) as n from {_BINS.format('phi_bin')} cross join {_BINS.format('theta_bin')} left join g on p = phi_bin and q = theta_bin""")
+def phi_theta_hist(spark, d):
+    return stats.phi_theta_histogram(part(spark, d))
+
+
+@query(f"""with {PART}, e as (select {_CELL} as cell_id, case when cz < 0 then -cx else cx end as x1, case when cz < 0 then -cy else cy end as y1, abs(cz) as z1 from rods),
+m as (select cell_id, count(*) as n, avg(x1) as ax, avg(y1) as ay, avg(z1) as az from e group by 1), s as (select *, sqrt(ax * ax + ay * ay + az * az) as st from m),
+g as (select cell_id, avg(t) as angle, stddev_pop(t) as spread from (select e.cell_id, acos(greatest(-1::double, least(1::double, x1 * ax / st + y1 * ay / st + z1 * az / st))) as t from e join s on e.cell_id = s.cell_id where st > 0.5) group by 1)
+select s.cell_id, n, round(st, 9) as strength, round(case when st > 0.5 then ax / st end, 9) as mx, round(case when st > 0.5 then ay / st end, 9) as my, round(case when st > 0.5 then az / st end, 9) as mz, round(angle, 8) as angle, round(spread, 8) as spread from s left join g on s.cell_id = g.cell_id""")
+def cell_mean_direction(spark, d):
+    return orient.mean_directions(part(spark, d), GRID).select("cell_id", "n", *[r(c).alias(c) for c in ("strength", "mx", "my", "mz")], r("angle", 8).alias("angle"), r("spread", 8).alias("spread"))
+
+
+_ANG = "asin(least(1::double, f)) as t, case when f > 0 then acos(greatest(-1::double, least(1::double, cx / f))) else 0 end as p"
+_ANGLES = f"with {PART}, e as (select {_CELL} as cell_id, {_ANG} from (select *, sqrt(cx * cx + cy * cy) as f from rods)), g as (select cell_id, count(*) as n, avg(p) as phi, stddev_pop(p) as phi_sd, avg(t) as theta, stddev_pop(t) as theta_sd from e group by 1)"
+
+
+@query(f"{_ANGLES} select cell_id, n, round(phi, 8) as phi, round(phi_sd, 8) as phi_sd, round(theta, 8) as theta, round(theta_sd, 8) as theta_sd from g")
+def cell_angle_stats(spark, d):
+    return orient.angle_stats(part(spark, d), GRID).select("cell_id", "n", *[r(c, 8).alias(c) for c in ("phi", "phi_sd", "theta", "theta_sd")])
+
+
+@query(f"{_ANGLES} select round(avg(phi), 8) as phi, round(avg(phi_sd), 8) as phi_sd, round(avg(theta), 8) as theta, round(avg(theta_sd), 8) as theta_sd from g")
+def angle_means(spark, d):
+    return orient.overall(orient.angle_stats(part(spark, d), GRID)).select(*[r(c, 8).alias(c) for c in ("phi", "phi_sd", "theta", "theta_sd")])
+
+
+@query()
+def self_alignment(spark, d):
+    return orient.realigned(part(spark, d), GRID).select("cell_id", *[r(c, 8).alias(c) for c in ("mu", "xi", "phi", "phi_sd", "theta", "theta_sd")])
+
+
+@query()
+def thin_out(spark, d):
+    df = part(spark, d)
+    return orient.thin_out(df, GRID, orient.realigned(df, GRID)).select("rod_id")
+
+
+@query(f"""with {PART}, e as (select *, cos(0.3::double) as cm, sin(0.3::double) as sm, cos(0.7::double) as cn, sin(0.7::double) as sn from rods)
+select rod_id, round(cm * cx - sm * cy, 9) as zx, round(sm * cx + cm * cy, 9) as zy, round(cn * cx + sn * cz, 9) as yx, round(-sn * cx + cn * cz, 9) as yz, round(cn * cy - sn * cz, 9) as xy, round(sn * cy + cn * cz, 9) as xz, round(cx * y - cy * x, 9) as crossed, round(x * cx + y * cy + z * cz, 9) as dotted from e""")
+def vector_rotations(spark, d):
+    c, p = vec.cols("cx", "cy", "cz"), vec.cols("x", "y", "z")
+    z, y, x = vec.rotate_z(c, F.lit(0.3)), vec.rotate_y(c, F.lit(0.7)), vec.rotate_x(c, F.lit(0.7))
+    named = {"zx": z[0], "zy": z[1], "yx": y[0], "yz": y[2], "xy": x[1], "xz": x[2], "crossed": vec.cross(c, p)[2], "dotted": vec.dot(c, p)}
+    return part(spark, d).select("rod_id", *[r(e).alias(n) for n, e in named.items()])
+
+
+# ---- pairs ------------------------------------------------------------------------------------------------------
+
+
+@query(f"{CONTACT} select least(i, j) as i, greatest(i, j) as j, round(d, 9) as d, unclamped from con")
+def contacts_pairs(spark, d):
+    return spatial.contacts(part(spark, d), BOX, LIMIT).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), r("d").alias("d"), "unclamped")
+
+
+_PER_ROD = f"{CONTACT}, e as (select i as rod_id from con union all select j from con), per as (select rods.rod_id, count(e.rod_id) as n from rods left join e on rods.rod_id = e.rod_id group by 1)"
+
+
+@query(f"{_PER_ROD} select rod_id, n from per")
+def contacts_per_rod(spark, d):
+    return stats.contacts_per_rod(part(spark, d), BOX, LIMIT)
+
+
+@query(f"{_PER_ROD} select count(*) as rods, cast(sum(n) as bigint) as total, round(avg(n), 9) as mean, max(n) as most from per")
+def contacts_summary(spark, d):
+    return stats.contacts_summary(part(spark, d), BOX, LIMIT).select("rods", "total", r("mean").alias("mean"), "most")
+
+
+@query(f"{_PER_ROD} select n as contacts, count(*) as rods from per group by 1")
+def contacts_hist(spark, d):
+    return stats.contacts_histogram(part(spark, d), BOX, LIMIT)
+
+
+@query(f"{TOUCH} select count(*) as pairs, round(2::double * count(*) / (select count(*) from rods), 9) as mean from tou")
+def body_contacts(spark, d):
+    return stats.pair_count(part(spark, d), BOX, LIMIT).select("pairs", r("mean").alias("mean"))
+
+
+@query(f"""{TOUCH}, g as (select least(31, floor(gam / ((pi() + 1e-6) / 2 / 32))) as b, count(*) as n from tou group by 1)
+select cast(bin as integer) as bin, cast(coalesce(n, 0) as bigint) as n from {_BINS.format('bin')} left join g on b = bin""")
+def mutual_angle_hist(spark, d):
+    return stats.mutual_angles(part(spark, d), BOX, LIMIT)
+
+
+@query(f"""with {PART}, g as (select {', '.join(f"{oracle.image(f'q.{v} - p.{v}')} as g{v}" for v in 'xyz')} from rods p join rods q on p.rod_id < q.rod_id),
+e as (select sqrt(gx * gx + gy * gy + gz * gz) as r from g where gx * gx + gy * gy + gz * gz <= 0.04::double * 1::double),
+h as (select least(31, floor(r / (0.2::double / 32))) as b, count(*) as n, sum(r) as t, sum(r * r) as s from e group by 1)
+select cast(bin as integer) as bin, cast(coalesce(n, 0) as bigint) as n, round(coalesce(t, 0), 7) as total, round(coalesce(s, 0), 7) as squares,
+round(coalesce(n, 0) / (4::double / 3 * pi() * (pow((bin + 1) * (0.2::double / 32), 3) - pow(bin * (0.2::double / 32), 3))), 4) as density from {_BINS.format('bin')} left join h on b = bin""")
+def radial_distribution(spark, d):
+    return stats.radial_distribution(part(spark, d), BOX, 0.2).select("bin", "n", r("total", 7).alias("total"), r("squares", 7).alias("squares"), r("density", 4).alias("density"))
+
+
+_EXCLUDED = f"""{TOUCH}, e as (select *, 2 * a1 / sn as ea, 2 * a2 / sn as eb, l1 / 2 - abs(u1) as f1, l2 / 2 - abs(u2) as f2, abs(gx * c1x + gy * c1y + gz * c1z) - l2 / 2 as n1, abs(gx * c1x + gy * c1y + gz * c1z) + l2 / 2 as n2, least(1::double, abs(cc)) as gg from tou),
+v as (select *, case when sn <= 1e-6 then greatest(0, 2 * least(a1, a2) * (least(n2, l1 / 2) - greatest(n1, -l1 / 2))) else 0 end as par,
+case when sn <= 1e-6 then 0 when (f1 < 0 and -f1 > eb / 2 * (1 + gg)) or (f2 < 0 and -f2 > ea / 2 * (1 + gg)) then 0 else ea * eb * sn * (case when f1 >= 0 and f1 < eb / 2 * (1 + gg) then 0.5 else 1 end) * (case when f2 >= 0 and f2 < ea / 2 * (1 + gg) then 0.5 else 1 end) end as skew,
+case when sn > 1e-6 then case when f1 <= -ea or f2 <= -eb then 0 when abs(f1) < ea or abs(f2) < eb then ea * eb * sn / 2 else ea * eb * sn end
+ else case when n1 > l1 / 2 - 1e-6 then 0 when n1 > -l1 / 2 + 1e-6 and n2 < l1 / 2 - 1e-6 then 4 * a1 * (least(n2, l1 / 2) - n1) when n1 <= -l1 / 2 + 1e-6 and n2 >= l1 / 2 - 1e-6 then 2 * a1 * l1 else 0 end end as naive from e)"""
+
+
+@query(f"{_EXCLUDED} select (select round(sum(2 * pi() * a * l), 9) from rods) as area, count(*) as pairs, round(coalesce(sum(par), 0), 9) as parallel, round(coalesce(sum(skew), 0), 9) as skew, round(coalesce(sum(naive), 0), 9) as naive from v")
+def excluded_areas(spark, d):
+    return stats.excluded_areas(part(spark, d), BOX, LIMIT).select(r("area").alias("area"), "pairs", *[r(c).alias(c) for c in ("parallel", "skew", "naive")])
+
+
+_Q = f"(1 - th * (du - a1 - a2) * 1e4 / {LIMIT * 1e4}::double / {LIMIT * 1e4}::double / (a1 / a2 + 1))"
+
+
+@query(f"""{_EXCLUDED}, w as (select *, atan(a1 / (d - a2 - {LIMIT}::double)) as th from v),
+k as (select naive / th / a1 * (-15.2::double * pi() * a1 * 1e4 / 2 * th * (1 / pow((du - a1 - a2) * 1e4, 4) - 1 / pow({LIMIT * 1e4}::double, 4) / {_Q}) + 24100::double * 2 * pi() * a1 * 1e4 / 5 * th * (1 / pow((du - a1 - a2) * 1e4, 10) - 1 / pow({LIMIT * 1e4}::double, 10) / pow({_Q}, 4))) as en, du - a1 - a2 as gap from w)
+select count(*) as pairs, cast(sum(case when en is null or isnan(en) then 1 else 0 end) as bigint) as undefined, round(sum(case when gap > 0.001 and not isnan(en) then en end), 12) as energy from k""")
+def vdw_energy(spark, d):
+    e = stats.touching(part(spark, d), BOX, LIMIT).select(capsule.pair_energy(LIMIT).alias("e"), (F.col("du") - F.col("a1") - F.col("a2")).alias("gap"))
+    bad = F.col("e").isNull() | F.isnan("e")
+    return e.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(bad).alias("undefined"), r(F.sum(F.when((F.col("gap") > 0.001) & ~bad, F.col("e"))), 12).alias("energy"))
+
+
+# ---- elimination ------------------------------------------------------------------------------------------------
+
+_OLD = "old as (select * from rods where rod_id % 2 = 0), young as (select * from rods where rod_id % 2 = 1)"
+
+
+def _young_old(spark, d):
+    df = part(spark, d)
+    return df.where("rod_id % 2 = 1"), df.where("rod_id % 2 = 0")
+
+
+@query(f"with {PART}, {_OLD}, {oracle.approach(oracle.near(REACH), left='young', right='old', on='true')} select rod_id from young where rod_id not in (select i from ap where {oracle.hits(0.002)})")
+def eliminate_vs_old(spark, d):
+    young, old = _young_old(spark, d)
+    return spatial.eliminate_against(young, old, BOX, 0.002).select("rod_id")
+
+
+_SAME = " and ".join(f"floor(p.{v} * 4) = floor(q.{v} * 4)" for v in "xyz")
+
+
+@query(f"with {PART}, {oracle.approach('true', on=f'p.rod_id < q.rod_id and {_SAME}')} select rod_id from rods where rod_id not in (select i from ap where {oracle.hits(0.002)})")
+def eliminate_same_cell(spark, d):
+    return spatial.eliminate_same_cell(part(spark, d), BOX, GRID, separation=0.002).select("rod_id")
+
+
+@query()
+def greedy_insert(spark, d):
+    return spatial.greedy_insert(part(spark, d), BOX, keep, 0.002).select("rod_id")
+
+
+_CLUSTER = f"""with {PART}, {_OLD}, {oracle.approach(oracle.near(0.06), left='young', right='old', on='true')},
+near as (select * from ap where sqrt(gx * gx + gy * gy + gz * gz) < greatest(l1, l2) / 2 and abs(cc) >= {math.cos(0.4)}::double and d <= 0.03::double),
+best as (select *, row_number() over (partition by i order by j desc) as k from near),
+o as (select young.*, b.gx, b.gy, b.gz, b.c2x, b.c2y, b.c2z, b.u1, b.u2, b.cc, b.a2, cx * u1 - gx - c2x * u2 as ox, cy * u1 - gy - c2y * u2 as oy, cz * u1 - gz - c2z * u2 as oz, b.i from young left join (select * from best where k = 1) b on young.rod_id = b.i),
+w as (select *, ox - c2x * (ox * c2x + oy * c2y + oz * c2z) as wx, oy - c2y * (ox * c2x + oy * c2y + oz * c2z) as wy, oz - c2z * (ox * c2x + oy * c2y + oz * c2z) as wz from o),
+s as (select *, sqrt(wx * wx + wy * wy + wz * wz) as wide from w),
+f as (select rod_id, i, cx, cy, cz, c2x, c2y, c2z, x, y, z, x + gx + c2x * u2 + wx / wide * (a + a2) - c2x * (cc * u1) as nx, y + gy + c2y * u2 + wy / wide * (a + a2) - c2y * (cc * u1) as ny, z + gz + c2z * u2 + wz / wide * (a + a2) - c2z * (cc * u1) as nz from s)
+select rod_id, round(case when i is null then x else nx - floor(nx) end, 8) as x, round(case when i is null then y else ny - floor(ny) end, 8) as y, round(case when i is null then z else nz - floor(nz) end, 8) as z, round(coalesce(c2x, cx), 8) as cx, round(coalesce(c2y, cy), 8) as cy, round(coalesce(c2z, cz), 8) as cz from f"""
+
+
+@query(_CLUSTER)
+def clusterise_snap(spark, d):
+    young, old = _young_old(spark, d)
+    return spatial.clusterise(young, old, BOX, 0.03, 0.4).select("rod_id", *[r(c, 8).alias(c) for c in ("x", "y", "z", "cx", "cy", "cz")])
+
+
+# ---- network ----------------------------------------------------------------------------------------------------
+
+_NREACH = NL + 2 * NA + NLIMIT + 2 * capsule.EPS
+_WIDE = 1.0 / math.floor(1.0 / _NREACH)
+_EXPANDED = f"""{CUSTOMER}, ext as (select rod_id * 3 as rod_id, x, y, z, cx, cy, cz, l, a, 'internal' as role, rod_id as origin from rods
+ union all select rod_id * 3 + 1, x, y, z - 1::double, cx, cy, cz, l, a, 'source', rod_id from rods where z >= 1::double - {_WIDE}::double
+ union all select rod_id * 3 + 2, x, y, z + 1::double, cx, cy, cz, l, a, 'sink', rod_id from rods where z < {_WIDE}::double)"""
+
+
+@query(f"with {_EXPANDED} select rod_id, origin, role, round(z, 12) as z from ext")
+def expand_axis(spark, d):
+    return network.with_electrodes(customers(spark, d), BOX, AXIS, NLIMIT).select("rod_id", "origin", "role", r("z", 12).alias("z"))
+
+
+_AREA = f"""{oracle.approach(oracle.near(_NREACH + 1e-5), periodic=(True, True, False), left='ext', right='ext', extra=", p.role as role1, q.role as role2, p.x as x1, p.y as y1, p.z as z1")},
+c0 as (select * from ap where {oracle.hits(NLIMIT)} and (role1 = 'internal' or role2 = 'internal')),
+c1 as (select *, greatest(d - a2 - {NLIMIT}::double, 0) as k1, greatest(d - a1 - {NLIMIT}::double, 0) as k2, abs(cc) as g, case when cc < 0 then -1::double else 1::double end as sg from c0),
+c2 as (select *, case when k2 <= a2 then a2 * sqrt(greatest(0, 1 - (k2 / a2) * (k2 / a2))) else 0 end as r2, least(case when k1 <= a1 then a1 * sqrt(greatest(0, 1 - (k1 / a1) * (k1 / a1))) else 0 end, case when k2 <= a2 then a2 * sqrt(greatest(0, 1 - (k2 / a2) * (k2 / a2))) else 0 end) as rr,
+ sqrt(greatest(0, 1 - g * g)) as sine, sqrt(greatest(0, (1 - g) / 2)) as half, sqrt((1 + g) / 2) as along from c1),
+c3 as (select *, case when half > 1e-6 then r2 / half else l1 / 2 end as span, c1x * gx + c1y * gy + c1z * gz as pb from c2),
+c4 as (select *, case when abs(t1) < l1 / 2 - a1 and abs(t2) < l2 / 2 - a2 then 0.5 * pi() * rr * (greatest(rr, least(span, least((l1 / 2 - t1) * along, (l2 / 2 - sg * t2) * along))) + greatest(rr, least(span, least(abs((l1 / 2 + t1) * along), abs((l2 / 2 + sg * t2) * along))))) else 0 end as ell,
+ case when sine <= greatest(a1, a2) / least(l1, l2) and (abs(t1) <= l1 / 2 + a1 or abs(t2) <= l2 / 2 + a2) then abs(least(l1 / 2, pb + g * l2 / 2) - greatest(-l1 / 2, pb - g * l2 / 2)) * 2 * rr else 0 end as strip from c3),
+c5 as (select *, greatest(pi() * rr * rr, ell, strip) as s, role2 <> 'internal' as swap from c4),
+net as (select case when swap then j else i end as i, case when swap then i else j end as j, case when swap then t2 else t1 end as ti, case when swap then t1 else t2 end as tj, d, s, case when role1 <> 'internal' then role1 else role2 end as role,
+ case when swap then x1 + gx else x1 end as x, case when swap then y1 + gy else y1 end as y, case when swap then z1 + gz else z1 end as z, case when swap then -gx else gx end as hx, case when swap then -gy else gy end as hy, case when swap then -gz else gz end as hz,
+ {', '.join(f"case when swap then c2{v} else c1{v} end as d1{v}, case when swap then c1{v} else c2{v} end as d2{v}" for v in 'xyz')}, a1, a2, l1, l2 from c5)"""
+_NET = f"with {_EXPANDED}, {_AREA}"
+_VIRTUAL = f"""virt as (select i as vi, j as vj, {', '.join(f"{v} + ti * d1{v} + 0.5 * w{v} as {v}, w{v} / d as c{v}" for v in 'xyz')}, d as l, least(a1, a2) as a, row_number() over () as rod_id
+ from (select *, {', '.join(f"h{v} + tj * d2{v} - ti * d1{v} as w{v}" for v in 'xyz')} from net where d > 0)),
+{oracle.approach('true', periodic=(True, True, False), left='ext', right='virt', on=' and '.join(["p.rod_id <> q.vi and p.rod_id <> q.vj", "abs(p.z - q.z) < 0.2", "1 - abs(abs(p.x - q.x) - 0.5) * 2 < 0.4", "1 - abs(abs(p.y - q.y) - 0.5) * 2 < 0.4"]), extra=', q.vi, q.vj', name='vp')},
+hidden as (select distinct vi as i, vj as j from vp where d < a1 + a2 + 1e-6 and l2 / 2 - abs(u2) > a2 + 1e-6)"""
+_OPEN = f"{_NET}, {_VIRTUAL}, op as (select net.* from net anti join hidden on net.i = hidden.i and net.j = hidden.j)"
+
+
+def _network_contacts(spark, d):
+    wide = keep(network.with_electrodes(customers(spark, d), BOX, AXIS, NLIMIT), "net-rods")
+    return keep(network.contacts(wide, BOX, AXIS, NLIMIT), "net-contacts"), wide
+
+
+@query(f"{_NET} select i, j, role, round(d, 9) as d, round(s, 9) as s from net")
+def contact_distance_surface(spark, d):
+    return _network_contacts(spark, d)[0].select("i", "j", "role", r("d").alias("d"), r("s").alias("s"))
+
+
+@query(f"{_NET} select role, count(*) as n from net group by 1")
+def contacts_by_role(spark, d):
+    return _network_contacts(spark, d)[0].groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_NET}, {_VIRTUAL} select i, j from hidden")
+def screened_contacts(spark, d):
+    found, wide = _network_contacts(spark, d)
+    return network.screened(found, wide, BOX, AXIS)
+
+
+_NODES = f"""{_OPEN}, ends as (select i as rod, ti as t, a1 as a, i as ci, j as cj, 'i' as side from op where role = 'internal' union all select j, tj, a2, i, j, 'j' from op),
+nod as (select row_number() over (order by rod, t, ci, cj, side) - 1 as node_id, * from ends),
+lagged as (select *, (t - lag(t) over (partition by rod order by node_id)) / a as gap from nod),
+renum as (select *, sum(case when gap is null or gap > 1 then 1 else 0 end) over (order by node_id) - 1 as new_id from lagged),
+mer as (select new_id as node_id, min(rod) as rod, avg(t) as t, min(a) as a, count(*) as merged from renum group by 1)"""
+
+
+@query(f"{_NODES} select node_id, rod, round(t, 9) as t, ci, cj, side from nod")
+def network_nodes(spark, d):
+    found, wide = _network_contacts(spark, d)
+    return network.nodes(network.unscreened(found, wide, BOX, AXIS)).select("node_id", "rod", r("t").alias("t"), "ci", "cj", "side")
+
+
+@query(f"{_NODES} select ni, node_id as nj, rod, round(greatest(gap, 1), 7) as len_over_a from (select *, lag(node_id) over (partition by rod order by node_id) as ni from lagged) where ni is not null")
+def network_segments(spark, d):
+    found, wide = _network_contacts(spark, d)
+    table = network.nodes(network.unscreened(found, wide, BOX, AXIS))
+    return network.segments(table).select("ni", "nj", "rod", r("len_over_a", 7).alias("len_over_a"))
+
+
+@query(f"{_NODES} select node_id from lagged where gap <= 1")
+def redundant_nodes(spark, d):
+    found, wide = _network_contacts(spark, d)
+    return network.redundant(network.nodes(network.unscreened(found, wide, BOX, AXIS)))
+
+
+@query(f"{_NODES} select cast(node_id as bigint) as node_id, rod, round(t, 9) as t, merged from mer")
+def nodes_merged(spark, d):
+    return network.network(customers(spark, d), BOX, AXIS, NLIMIT)["merged"].select("node_id", "rod", r("t").alias("t"), "merged")
+
+
+_SEGMENTS = "seg as (select * from (select lag(node_id) over w as ni, node_id as nj, rod, (t - lag(t) over w) / a as len_over_a, a from mer window w as (partition by rod order by node_id)) where ni is not null)"
+
+
+@query(f"{_NODES}, {_SEGMENTS} select cast(ni as bigint) as ni, cast(nj as bigint) as nj, rod, round(len_over_a, 7) as len_over_a from seg")
+def segments_final(spark, d):
+    return network.network(customers(spark, d), BOX, AXIS, NLIMIT)["segments"].select("ni", "nj", "rod", r("len_over_a", 7).alias("len_over_a"))
+
+
+_CONTACT_NODES = "cn as (select op.role, e.new_id as ni, f.new_id as nj, op.d, op.s from op join renum f on f.ci = op.i and f.cj = op.j and f.side = 'j' left join renum e on e.ci = op.i and e.cj = op.j and e.side = 'i')"
+_ADMIT = f"""{_NODES}, {_SEGMENTS}, {_CONTACT_NODES},
+us as (select *, greatest(d * 1e-6 - {2 * fields.TUBE_RADIUS}::double, {fields.GAP_MIN}::double) as gap, least(greatest(s * 1e-6 * 1e-6, {fields.S_MIN}::double), {fields.S_MAX}::double) as area from cn),
+adm as (select 'segment' as kind, ni, nj, {fields.CONDUCTIVITY * PI}::double * (a * 1e-6) / len_over_a * {fields.R0}::double as g, 0::double as c from seg
+ union all select role, ni, nj, case when gap <= {fields.GAP_TUNNEL}::double then 1 / (exp({fields.DECAY}::double * (gap - {fields.GAP_MIN}::double)) * (gap / {fields.GAP_MIN}::double) / (area / {fields.S_MIN}::double)) else 0 end,
+ case when (area / {fields.S_MIN}::double) / (gap / {fields.GAP_MIN}::double) < 0.005 then 0 else (area / {fields.S_MIN}::double) / (gap / {fields.GAP_MIN}::double) end from us where gap < 50e-9::double)"""
+
+
+def _admittances(spark, d):
+    net = network.network(customers(spark, d), BOX, AXIS, NLIMIT)
+    return keep(kirchhoff.admittances(net["segments"], net["node_contacts"]), "admittances")
+
+
+@query(f"{_ADMIT} select kind, cast(ni as bigint) as ni, cast(nj as bigint) as nj, round(g, 6) as g, round(c, 6) as c from adm")
+def admittance_edges(spark, d):
+    return _admittances(spark, d).select("kind", "ni", "nj", r("g", 6).alias("g"), r("c", 6).alias("c"))
+
+
+_W = f"{2 * PI * 1e9 / fields.W0}::double"
+
+
+@query(f"""{_ADMIT}, y as (select ni, nj, g as re, c * {_W} as im from adm), inn as (select * from y where ni is not null and ni <> nj),
+al as (select ni as rw, nj as cl, -re as re, -im as im from inn union all select nj, ni, -re, -im from inn union all select ni, ni, re, im from inn union all select nj, nj, re, im from inn union all select nj, nj, re, im from y where ni is null),
+su as (select rw, cl, sum(re) as re, sum(im) as im from al group by 1, 2)
+select cast(rw as bigint) as row, cast(cl as bigint) as col, round(case when rw = cl and abs(re) + abs(im) <= 1e-12 then 1 else re end, 5) as re, round(im, 5) as im from su""")
+def laplacian_rows(spark, d):
+    return kirchhoff.laplacian(_admittances(spark, d), 1e9).select("row", "col", r("re", 5).alias("re"), r("im", 5).alias("im"))
+
+
+@query()
+def impedance_sweep(spark, d):
+    return kirchhoff.impedance_sweep(_admittances(spark, d), kirchhoff.frequencies(2.0), 1e-6)
+
+
+_DEGREE = f"""with recursive {_EXPANDED}, {oracle.approach(oracle.near(_NREACH + 1e-5), periodic=(True, True, False), left='ext', right='ext')}, con as (select i, j from ap where {oracle.hits(NLIMIT)})"""
+
+
+@query()
+def prune_dangling(spark, d):
+    return network.pruned(customers(spark, d), BOX, AXIS, NLIMIT).select("rod_id", "role")
+
+
+@query(f"{_DEGREE}, e as (select i as rod_id from con union all select j from con), g as (select rod_id, count(*) as n from e group by 1) select ext.rod_id, role, coalesce(n, 0) as n from ext left join g on ext.rod_id = g.rod_id")
+def contact_degrees(spark, d):
+    wide = network.with_electrodes(customers(spark, d), BOX, AXIS, NLIMIT)
+    pairs = spatial.contacts(wide, BOX, NLIMIT, periodic=(True, True, False)).select(F.explode(F.array("i", "j")).alias("rod_id")).groupBy("rod_id").agg(F.count(F.lit(1)).alias("n"))
+    return wide.join(pairs, "rod_id", "left").select("rod_id", "role", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+# ---- density ----------------------------------------------------------------------------------------------------
+
+MESH = (5, 4, 3)
+_MESH = "mesh as (select i, j, k, cast((i * 7 + j * 11 + k * 13 + 3) % 17 as double) / 17::double as rho from (select unnest(range(5)) as i), (select unnest(range(4)) as j), (select unnest(range(3)) as k))"
+_CORNERS = f"""co as (select *, floor(x * 5 - 0.5) as nx, floor(y * 4 - 0.5) as ny, floor(z * 3 - 0.5) as nz, x * 5 - 0.5 - floor(x * 5 - 0.5) as fx, y * 4 - 0.5 - floor(y * 4 - 0.5) as fy, z * 3 - 0.5 - floor(z * 3 - 0.5) as fz from pts),
+cw as (select co.*, (cast(nx as bigint) + p + 5) % 5 as i, (cast(ny as bigint) + q + 4) % 4 as j, (cast(nz as bigint) + s + 3) % 3 as k, (case when p = 1 then fx else 1 - fx end) * (case when q = 1 then fy else 1 - fy end) * (case when s = 1 then fz else 1 - fz end) as w from co, (select unnest(range(2)) as p), (select unnest(range(2)) as q), (select unnest(range(2)) as s))"""
+
+
+def _mesh(spark) -> DataFrame:
+    i, j, k = (F.col(c).cast("long") for c in "ijk")
+    return density.constant(spark, MESH).withColumn("rho", ((i * 7 + j * 11 + k * 13 + 3) % 17).cast("double") / 17.0)
+
+
+@query(f"with {PART}, {_MESH}, pts as (select * from rods), {_CORNERS} select rod_id, round(sum(w * rho), 9) as rho from cw join mesh using (i, j, k) group by 1")
+def density_trilinear_sample(spark, d):
+    return density.sample(part(spark, d), _mesh(spark), MESH, BOX, "rod_id").select("rod_id", r("rho").alias("rho"))
+
+
+@query(f"with {PART}, pts as (select * from rods), {_CORNERS} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(sum(w), 7) as rho from cw group by 1, 2, 3")
+def density_deposit(spark, d):
+    return density.deposit(part(spark, d), MESH, BOX).select("i", "j", "k", r("rho", 7).alias("rho"))
+
+
+@query(f"""with {_MESH}, pts as (select c as cell_id, ((c % 4) + (s % 10 + 0.5::double) / 10) / 4 as x, ((c // 4) % 4 + ((s // 10) % 10 + 0.5::double) / 10) / 4 as y, ((c // 16) + ((s // 100) % 10 + 0.5::double) / 10) / 4 as z from (select unnest(range(64)) as c), (select unnest(range(1000)) as s)), {_CORNERS}
+select cell_id, round(sum(w * rho) / 1000, 9) as rho from cw join mesh using (i, j, k) group by 1""")
+def density_cell_integral(spark, d):
+    return density.cell_integrals(_mesh(spark), MESH, BOX, GRID).select("cell_id", r("rho").alias("rho"))
+
+
+@query(f"with {_MESH} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(case when rho < 0.2 then 1e-6::double else 1e-6::double + 10::double * pow((rho - 0.2::double) / (1 - 0.2::double), 1.8::double) end, 9) as sigma from mesh")
+def percolation_conductivity(spark, d):
+    return density.conductivity_map(_mesh(spark), 1e-6, 10.0, 0.2, 1.8).select("i", "j", "k", r("sigma").alias("sigma"))
+
+
+_BALLS = "balls as (select rod_id as id, x, y, z, 0.05::double + cast(rod_id % 7 as double) / 50::double as w, 1::double as norm from rods where rod_id % 97 = 3)"
+_SIG = "1 / (1 + exp(-40::double * (dist - ({0}))))"
+
+
+@query(f"""with {PART}, {_BALLS}, n as (select i, j, k, (i + 1) / 8::double as px, (j + 1) / 8::double as py, (k + 1) / 8::double as pz from (select unnest(range(8)) as i), (select unnest(range(8)) as j), (select unnest(range(8)) as k)),
+e as (select i, j, k, w, norm, sqrt((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz)) as dist from n, balls)
+select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(greatest(0, max(norm * ({_SIG.format('-w')} - {_SIG.format('w')}))), 9) as rho from e group by 1, 2, 3""")
+def agglomerate_mesh(spark, d):
+    balls = part(spark, d).where("rod_id % 97 = 3").select(F.col("rod_id").alias("id"), "x", "y", "z", (0.05 + (F.col("rod_id") % 7).cast("double") / 50.0).alias("w"), F.lit(1.0).alias("norm"))
+    return density.agglomerate_mesh(spark, balls, (8, 8, 8), 40.0).select("i", "j", "k", r("rho").alias("rho"))
+
+
+@query()
+def agglomerates(spark, d):
+    return density.agglomerates(spark, 0.02, 0.05, 0.3)
+
+
+# ---- generation -------------------------------------------------------------------------------------------------
+
+
+
+def _lcg_sql(stream: int) -> str:
+    s = f"((id * 2654435761 + {stream} * 40503) % 4294967296)"
+    for _ in range(3):
+        s = f"((1664525::bigint * {s} + 1013904223) % 4294967296)"
+    return f"{s} / 4294967296::double"
+
+
+@query(f"""with u as (select cast(id as bigint) as id, {', '.join(f'{_lcg_sql(64 + k)} as u{k}' for k in range(5))} from (select unnest(range(3000)) as id))
+select id as rod_id, round(u0, 9) as x, round(u1, 9) as y, round(u2, 9) as z, round(sqrt(greatest(0, 1 - (2 * u3 - 1) * (2 * u3 - 1))) * cos(2 * pi() * u4), 9) as cx, round(sqrt(greatest(0, 1 - (2 * u3 - 1) * (2 * u3 - 1))) * sin(2 * pi() * u4), 9) as cy, round(2 * u3 - 1, 9) as cz from u""")
+def generate_candidates(spark, d):
+    return generate.candidates(spark, 0, 3000, BOX, L, A).select("rod_id", *[r(c).alias(c) for c in ("x", "y", "z", "cx", "cy", "cz")])
+
+
+@query()
+def generate_step(spark, d):
+    return generate.step(generate.candidates(spark, 1_000_000, 1000, BOX, L, A, mesh=_mesh(spark), ext=MESH), part(spark, d), BOX, 0.001).select("rod_id")
+
+
+@query()
+def generate_full(spark, d):
+    return generate.populate(spark, BOX, 0.2, 0.005, 300).select("rod_id", *[r(c).alias(c) for c in ("x", "y", "z", "cx", "cy", "cz")])
+
+
+@query()
+def kd_partition(spark, d):
+    return generate.kd_partition(part(spark, d), Grid(BOX, (16, 16, 16)), 64)
+
+
+# ---- raster -----------------------------------------------------------------------------------------------------
+
+
+@query()
+def raster_counts(spark, d):
+    return raster.counts(part(spark, d), BOX, (64, 64))
+
+
+@query()
+def raster_blur(spark, d):
+    grey = raster.shaded(raster.counts(part(spark, d), BOX, (32, 32)), (32, 32))
+    return raster.blurred(grey, (32, 32), 1 / 32, 0.04).select("px", "py", r("v", 6).alias("v"))
+
+
+@query()
+def raster_picture(spark, d):
+    return raster.picture(part(spark, d), BOX, (32, 32), 0.04).select("px", "py", r("v", 6).alias("v"))
