@@ -94,9 +94,16 @@ def lcg(s: Column) -> Column:
 
 
 def uniform(seed: Column, stream: int) -> Column:
-    """A number in [0, 1) from an integer seed and a stream number; the same in every engine with 64-bit integers."""
-    s = F.pmod(seed * 2654435761 + stream * 40503, F.lit(4294967296))
-    return lcg(lcg(lcg(s))) / 4294967296.0
+    """A number in [0, 1) from an integer of at most 62 bits and a stream number.
+
+    Multiply, xor and shift on 32 bits, so any engine with 64-bit integers gives the
+    same; streams of one seed are independent, which those of ``lcg`` are not.
+    """
+    s = F.pmod(F.pmod(seed, F.lit(1 << 31)) * 2654435761 + F.floor(seed / float(1 << 31)).cast("long") * 40503 + stream * 69069, F.lit(4294967296))
+    fold = lambda x: x.bitwiseXOR(F.shiftright(x, 16))
+    for _ in range(2):
+        s = F.pmod(fold(s) * 73244475, F.lit(4294967296))
+    return fold(s) / 4294967296.0
 
 
 def chatterjee(u: Column, b: float, m: float) -> Column:

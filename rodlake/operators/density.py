@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fields
 from ..functions.grid import Grid
+from ..plans.tables import keep
+from . import spatial
 
 Ext = tuple[int, int, int]
 Box = tuple[float, float, float]
@@ -115,8 +118,6 @@ def agglomerates(spark: SparkSession, volume: float, mean_radius: float, spread:
     Candidates are drawn in order; a radius is accepted by its density, a ball if it
     overlaps none accepted before. The set is small by nature: its volume bounds it.
     """
-    from . import spatial
-
     s = F.col("id")
     u = lambda k: fields.uniform(s, seed * 16 + k)
     w = u(3) * mean_radius * 4.0
@@ -124,11 +125,8 @@ def agglomerates(spark: SparkSession, volume: float, mean_radius: float, spread:
     drawn = spark.range(candidates).select(s.alias("rod_id"), u(0).alias("x"), u(1).alias("y"), u(2).alias("z"), w.alias("w"), u(4).alias("u")).where((F.col("u") * most < fields.log_normal(F.col("w"), mean_radius, spread)) & (F.col("w") > 0))
     # a ball is a rod without length
     rods = drawn.select("rod_id", "x", "y", "z", F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(1.0).alias("cz"), F.lit(0.0).alias("l"), F.col("w").alias("a"))
-    from ..plans.tables import keep
-
-    stay = spatial.greedy_insert(keep(rods, "balls"), (1.0, 1.0, 1.0), keep)
-    from pyspark.sql.window import Window
-
+    centres = F.sqrt(F.col("bx") * F.col("bx") + F.col("by") * F.col("by") + F.col("bz") * F.col("bz"))
+    stay = spatial.greedy_insert(keep(rods, "balls"), (1.0, 1.0, 1.0), keep, then=lambda p: p.withColumn("d", centres))
     run = F.sum(4.0 / 3.0 * F.pi() * F.pow(F.col("a"), F.lit(3.0))).over(Window.orderBy("rod_id").rowsBetween(Window.unboundedPreceding, -1))
     return stay.withColumn("_v", F.coalesce(run, F.lit(0.0))).where(F.col("_v") < volume * 1.05).select(F.col("rod_id").alias("id"), "x", "y", "z", F.col("a").alias("w"), F.lit(1.0).alias("norm"))
 

@@ -30,7 +30,7 @@ def covered(rods: DataFrame, box: tuple[float, float, float], size: tuple[int, i
     y1 = F.coalesce(at(F.greatest(left, F.col("px") * w)), F.col("ya"))
     y2 = F.coalesce(at(F.least(right, (F.col("px") + 1) * w)), F.col("yb"))
     low_y, high_y = F.greatest(F.floor(F.least(y1, y2) / h), F.lit(0)), F.least(F.floor(F.greatest(y1, y2) / h), F.lit(size[1] - 1))
-    return df.withColumn("_l", low_y).withColumn("_h", high_y).where("_l <= _h").select("rod_id", F.col("px").cast("int").alias("px"), F.explode(F.sequence("_l", "_h")).cast("int").alias("py"))
+    return df.withColumn("_l", low_y).withColumn("_h", high_y).where("_l <= _h").select("rod_id", F.col("px").cast("int").alias("px"), F.explode(F.sequence(F.col("_l").cast("int"), F.col("_h").cast("int"))).alias("py"))
 
 
 def counts(rods: DataFrame, box: tuple[float, float, float], size: tuple[int, int], low: float = -math.inf, high: float = math.inf) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import capsule
 from ..functions.grid import Grid
 from ..functions.vec import let, min_image
+from ..plans.tables import keep as table
 
 FIELDS = ["x", "y", "z", "cx", "cy", "cz", "l", "a"]
 
@@ -80,6 +81,10 @@ def centre_pairs(rods: DataFrame, box: tuple[float, float, float], radius: float
 # ---- elimination ------------------------------------------------------------------------------------------------
 
 
+# Ids of rods that go are written before the rods meet them: joined to its own inputs, the plan
+# of the geometry takes the optimizer minutes.
+
+
 def eliminate_same_cell(rods: DataFrame, box: tuple[float, float, float], grid: Grid, seq: str = "rod_id", separation: float = 0.0, soft: float = 1.0) -> DataFrame:
     """Rods that intersect no later rod (by ``seq``) of their own cell, all tested against the same snapshot."""
     cell = grid.join_id(F.col("x"), F.col("y"), F.col("z"))
@@ -88,24 +93,24 @@ def eliminate_same_cell(rods: DataFrame, box: tuple[float, float, float], grid:
     right = a.select(F.col("rod_id").alias("j"), *[F.col(f).alias(f + "2") for f in FIELDS], F.col("seq").alias("s2"), F.col("cell").alias("k2"))
     p = left.hint("merge").join(right, (F.col("k1") == F.col("k2")) & (F.col("s2") > F.col("s1")))
     p = p.select("i", "j", *[min_image(F.col(v + "2") - F.col(v + "1"), F.lit(float(n))).alias("b" + v) for v, n in zip("xyz", box)], *[F.col(f"c{v}{k}").alias(f"c{k}{v}") for k in (1, 2) for v in "xyz"], "l1", "a1", "l2", "a2")
-    dead = capsule.closest_approach(p).where(capsule.intersects(separation, soft)).select(F.col("i").alias("rod_id")).distinct()
+    dead = table(capsule.closest_approach(p).where(capsule.intersects(separation, soft)).select(F.col("i").alias("rod_id")).distinct(), "dead")
     return rods.join(dead, "rod_id", "left_anti")
 
 
 def eliminate_against(rods: DataFrame, old: DataFrame, box: tuple[float, float, float], separation: float = 0.0, soft: float = 1.0) -> DataFrame:
     """Rods that intersect no rod of ``old``."""
     hit = spatial_join(rods, box, separation, other=old, where=capsule.intersects(separation, soft))
-    return rods.join(hit.select(F.col("i").alias("rod_id")).distinct(), "rod_id", "left_anti")
+    return rods.join(table(hit.select(F.col("i").alias("rod_id")).distinct(), "dead"), "rod_id", "left_anti")
 
 
-def greedy_insert(rods: DataFrame, box: tuple[float, float, float], keep: Callable[[DataFrame], DataFrame], separation: float = 0.0, soft: float = 1.0, seq: str = "rod_id", rounds: int = 200) -> DataFrame:
+def greedy_insert(rods: DataFrame, box: tuple[float, float, float], keep: Callable[[DataFrame], DataFrame], separation: float = 0.0, soft: float = 1.0, seq: str = "rod_id", rounds: int = 200, then: Callable[[DataFrame], DataFrame] = capsule.closest_approach) -> DataFrame:
     """The rods that stay if they are inserted in the order of ``seq`` and each is refused if it intersects one that stayed.
 
     Found without an order of execution: in each round a rod stays if none of its
     undecided partners comes before it, and goes if a partner stayed. ``keep`` writes a
     table and reads it back, which keeps the lineage short.
     """
-    hit = spatial_join(rods, box, separation, where=capsule.intersects(separation, soft), keep=(seq,))
+    hit = spatial_join(rods, box, separation, then=then, where=capsule.intersects(separation, soft), keep=(seq,))
     edges = keep(hit.select(F.when(F.col(seq + "1") < F.col(seq + "2"), F.col("i")).otherwise(F.col("j")).alias("first"), F.when(F.col(seq + "1") < F.col(seq + "2"), F.col("j")).otherwise(F.col("i")).alias("later")))
     gone, open_ = None, edges
     for _ in range(rounds):
@@ -132,7 +137,7 @@ def clusterise(rods: DataFrame, old: DataFrame, box: tuple[float, float, float],
     r = F.sqrt(F.col("bx") * F.col("bx") + F.col("by") * F.col("by") + F.col("bz") * F.col("bz"))
     near = (r < F.greatest("l1", "l2") / 2.0) & (F.abs(F.col("cc")) >= math.cos(angle)) & (F.col("d") <= distance)
     p = spatial_join(rods, box, distance, other=old, where=near)
-    best = p.groupBy("i").agg(F.max_by(F.struct("bx", "by", "bz", "c2x", "c2y", "c2z", "a2", "u1", "u2", "cc"), "j").alias("m")).select("i", "m.*")
+    best = table(p.groupBy("i").agg(F.max_by(F.struct("bx", "by", "bz", "c2x", "c2y", "c2z", "a2", "u1", "u2", "cc"), "j").alias("m")).select("i", "m.*"), "snap")
     df = rods.join(best.withColumnRenamed("i", "rod_id"), "rod_id", "left")
     # from the old rod's foot of the common perpendicular to the new one's, without the part along the old axis
     off = {v: F.col(f"c{v}") * F.col("u1") - F.col(f"b{v}") - F.col(f"c2{v}") * F.col("u2") for v in "xyz"}

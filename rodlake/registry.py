@@ -488,19 +488,27 @@ def agglomerates(spark, d):
 
 
 
-def _lcg_sql(stream: int) -> str:
-    s = f"((id * 2654435761 + {stream} * 40503) % 4294967296)"
-    for _ in range(3):
-        s = f"((1664525::bigint * {s} + 1013904223) % 4294967296)"
-    return f"{s} / 4294967296::double"
+def _uniform_sql(stream: int) -> str:
+    """``fields.uniform`` of the column id."""
+    s = f"((id % 2147483648) * 2654435761::bigint + (id // 2147483648) * 40503 + {stream * 69069}) % 4294967296"
+    for _ in range(2):
+        s = f"(xor({s}, ({s}) >> 16) * 73244475::bigint) % 4294967296"
+    return f"xor({s}, ({s}) >> 16) / 4294967296::double"
 
 
-@query(f"""with u as (select cast(id as bigint) as id, {', '.join(f'{_lcg_sql(64 + k)} as u{k}' for k in range(5))} from (select unnest(range(3000)) as id))
+@query(f"""with u as (select cast(id as bigint) as id, {', '.join(f'{_uniform_sql(64 + k)} as u{k}' for k in range(5))} from (select unnest(range(3000)) as id))
 select id as rod_id, round(u0, 9) as x, round(u1, 9) as y, round(u2, 9) as z, round(sqrt(greatest(0, 1 - (2 * u3 - 1) * (2 * u3 - 1))) * cos(2 * pi() * u4), 9) as cx, round(sqrt(greatest(0, 1 - (2 * u3 - 1) * (2 * u3 - 1))) * sin(2 * pi() * u4), 9) as cy, round(2 * u3 - 1, 9) as cz from u""")
 def generate_candidates(spark, d):
     return generate.candidates(spark, 0, 3000, BOX, L, A).select("rod_id", *[r(c).alias(c) for c in ("x", "y", "z", "cx", "cy", "cz")])
 
 
+@query("with recursive g(n, s) as (select 0, 1::bigint union all select n + 1, (1664525::bigint * s + 1013904223) % 4294967296 from g where n < 63) select n, s from g")
+def lcg_sequence(spark, d):
+    # the state after n steps as a function of n: s_n = a^n + c (a^n - 1) / (a - 1) modulo 2^32, by folding over the steps
+    steps = F.aggregate(F.sequence(F.lit(0), F.col("id")), F.lit(None).cast("long"), lambda s, _: F.when(s.isNull(), F.lit(1).cast("long")).otherwise(fields.lcg(s)))
+    return spark.range(64).select(F.col("id").cast("int").alias("n"), steps.alias("s"))
+
+
 @query()
 def generate_step(spark, d):
     return generate.step(generate.candidates(spark, 1_000_000, 1000, BOX, L, A, mesh=_mesh(spark), ext=MESH), part(spark, d), BOX, 0.001).select("rod_id")
