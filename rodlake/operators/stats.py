@@ -126,8 +126,8 @@ def contacts_histogram(rods: DataFrame, box: Box, limit: float) -> DataFrame:
 
 def pair_count(rods: DataFrame, box: Box, limit: float) -> DataFrame:
     """pairs of touching bodies, and twice that over the rods."""
-    n = rods.agg(F.count(F.lit(1)).alias("rods"))
-    return touching(rods, box, limit).agg(F.count(F.lit(1)).alias("pairs")).crossJoin(F.broadcast(n)).select("pairs", (2.0 * F.col("pairs") / F.col("rods")).alias("mean"))  # one row each
+    n = rods.count()
+    return touching(rods, box, limit).agg(F.count(F.lit(1)).alias("pairs")).select("pairs", (2.0 * F.col("pairs") / F.lit(n or None)).alias("mean"))
 
 
 def mutual_angles(rods: DataFrame, box: Box, limit: float, bins: int = 32) -> DataFrame:
@@ -149,13 +149,12 @@ def radial_distribution(rods: DataFrame, box: Box, radius: float, bins: int = 32
 
 def excluded_areas(rods: DataFrame, box: Box, limit: float) -> DataFrame:
     """total side area, and excluded area of touching bodies: parallel, skew and naive."""
-    whole = rods.agg(F.sum(fields.side_area(F.col("l"), F.col("a"))).alias("area"))
-    some = touching(rods, box, limit).agg(F.count(F.lit(1)).alias("pairs"), *[F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in (("parallel", capsule.excluded_parallel()), ("skew", capsule.excluded_skew()), ("naive", capsule.excluded_naive(limit)))])
-    return whole.crossJoin(F.broadcast(some))  # one row each
+    whole = rods.agg(F.sum(fields.side_area(F.col("l"), F.col("a")))).first()[0] or 0.0
+    return touching(rods, box, limit).agg(F.lit(whole).alias("area"), F.count(F.lit(1)).alias("pairs"), *[F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in (("parallel", capsule.excluded_parallel()), ("skew", capsule.excluded_skew()), ("naive", capsule.excluded_naive(limit)))])
 
 
 def vdw_energy(rods: DataFrame, box: Box, limit: float) -> DataFrame:
     """Van der Waals energy of touching bodies: pairs, total, and total over the rods."""
-    n = rods.agg(F.count(F.lit(1)).alias("rods"))
+    n = rods.count()
     e = touching(rods, box, limit).agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum(capsule.pair_energy(limit)), F.lit(0.0)).alias("energy"))
-    return e.crossJoin(F.broadcast(n)).select("pairs", "energy", (F.col("energy") / F.col("rods")).alias("per_rod"))  # one row each
+    return e.select("pairs", "energy", (F.col("energy") / F.lit(n or None)).alias("per_rod"))
