@@ -12,6 +12,7 @@ of all shards are joined by ``connected_components``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -216,22 +217,38 @@ def _class(text: str):
     return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0))
 
 
+#: Bits of a fingerprint, and bits of a table.
+BITS, WIDTH = 128, 16
+
+
+def _search_plan(similarity: float, recall: float) -> tuple[int, int]:
+    """Radius and number of tables that find a pair of this Jaccard similarity with probability ``recall``.
+
+    Sets of equal size have the cosine 2J / (1 + J), and fingerprints differ in each bit
+    with probability angle / pi, so the distance is binomial; the mean over it counts.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    radius = int(np.ceil(BITS * share + 3.3 * np.sqrt(BITS * share * (1 - share))))
+    d = np.arange(radius + 1)
+    chance = np.array([math.comb(BITS, int(x)) for x in d], float) * share**d * (1 - share) ** (BITS - d)
+    hit = (1 - d / BITS) ** WIDTH
+    count = next(t for t in range(1, 10_000) if (chance * (1 - (1 - hit) ** t)).sum() >= recall or t == 9_999)
+    return radius, count
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """Documents that a smaller document of their group makes redundant: (doc, _class), one row for each row to drop.
 
     A group is a component of links between equal texts and between texts whose
     ``k``-word shingle sets have Jaccard similarity of at least ``similarity``. The
     smallest id of a group stays. Candidates come from BK-trees over 128-bit SimHash
-    fingerprints; the number of tables follows from ``recall``, the chance to compare
-    a pair just at the threshold (closer pairs: more likely). Every link is verified
+    fingerprints; the number of tables follows from ``recall``, the chance to find a
+    pair just at the threshold (closer pairs: more likely). Every link is verified
     on the shingle sets. Null and wordless texts form one group. A null id counts as
     larger than any other.
     """
-    cos = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(cos) / np.pi)
-    width = 16
-    tables = sampled_tables(128, width, int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - share) ** width))))
-    radius = int(128 * share + 2.4 * np.sqrt(128 * share * (1 - share)))
+    radius, count = _search_plan(similarity, recall)
+    tables = sampled_tables(BITS, WIDTH, count)
     label = _class(text)
     narrow = docs.select(F.col(doc).alias("_doc"), label.alias("_class"), F.col(text).alias("_in"))
     each = save(fingerprints(narrow, "_in", ["_doc", "_class"], k, (42, 43)), "nd-fp")
