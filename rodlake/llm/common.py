@@ -85,8 +85,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scored(df: DataFrame, name: str, score: Callable[[pa.Array], pa.Array], kind: str, text: str) -> DataFrame:
-    """``df`` with a struct column ``name`` that ``score`` makes of batches of ``text``.
+def scored(df: DataFrame, keep: list[str], text, score: Callable[[pa.Array], pa.Array], kind: str) -> DataFrame:
+    """The columns ``keep`` of ``df`` and the fields of the struct that ``score`` makes of batches of ``text``.
 
     Only the text goes to the Python worker and only the struct comes back; the other
     columns stay in the JVM. It is computed once, also where several of its fields are
@@ -96,4 +96,12 @@ def scored(df: DataFrame, name: str, score: Callable[[pa.Array], pa.Array], kind
     def run(texts: pa.Array) -> pa.Array:
         return score(texts)
 
-    return df.withColumn(name, F.arrow_udf(run, kind).asNondeterministic()(F.col(text)))
+    given = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], text.alias("t"))
+    out = given.withColumn("s", F.arrow_udf(run, kind).asNondeterministic()(F.col("t")))
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "s.*")
+
+
+def aside(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns c0, c1, ..., so that no name clashes with one of ours, and what gives them their names back."""
+    names = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), lambda out: out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

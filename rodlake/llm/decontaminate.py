@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, scored
+from .common import aside, save, scored
 
 #: Bytes of item text whose index is broadcast at once; larger sets of items are joined block by block.
 BLOCK_BYTES = 8_000_000
@@ -189,9 +189,7 @@ def _block(docs: DataFrame, text: str, keep: list[str], ix: Index) -> DataFrame:
             counts += sizes
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))], names=["n_words", "hits", "items"])
 
-    given = docs.withColumn("_data", F.col(text).cast("binary"))
-    out = scored(given, "_scored", score, "n_words long, hits array<struct<first:long,past:long>>, items array<string>", "_data")
-    return out.select(*[F.col(f"`{c}`") for c in keep], "_scored.*")
+    return scored(docs, keep, F.col(text).cast("binary"), score, "n_words long, hits array<struct<first:long,past:long>>, items array<string>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -252,10 +250,9 @@ def contamination_report(docs: DataFrame, items: DataFrame, block_bytes: int = B
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows; all columns kept."""
-    kept = docs.columns
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)])
-    found = contamination(renamed, items, text=f"_{kept.index('text')}", keep=renamed.columns).where(~is_contaminated())
-    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)])
+    plain, named = aside(docs)
+    found = contamination(plain, items, text=f"c{docs.columns.index('text')}", keep=plain.columns)
+    return named(found.where(~is_contaminated()))
 
 
 SQL = r"""

@@ -126,8 +126,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         cols = list(zip(*found)) or [(), (), ()]
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind)], fields=list(kind))
 
-    out = scored(docs, "_scored", score, "lang_pred string, lang_score double, lang_ambiguous boolean", text)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "_scored.*")
+    return scored(docs, keep, F.col(text), score, "lang_pred string, lang_score double, lang_ambiguous boolean")
 
 
 def remainder(doc: str, n: int):

@@ -14,7 +14,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, save
+from .common import aside, lookup, save
 
 _UPPER, _DIGITS, _MARKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!#$%&*+;<=>@^_~"
 #: Upper ends of the bins of each feature.
@@ -148,7 +148,8 @@ def mix_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that have a copy in the mix; all columns kept. Texts are not shuffled unless the dropped rows outgrow a broadcast."""
-    key = F.xxhash64("doc_id", "text")
-    plan = soft_mix(docs.select("doc_id", "text", key.alias("_key")), quality_domains(labels), WEIGHTS)
-    gone = save(plan.where("copies = 0").select("_key").distinct(), "mix-gone")
-    return docs.withColumn("_key", key).join(lookup(gone, 1_000_000), "_key", "left_anti").drop("_key")
+    plan = soft_mix(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("gone")), quality_domains(labels), WEIGHTS)
+    gone = lookup(save(plan.where("copies = 0").select("gone").distinct(), "mix-gone"), 1_000_000)
+    plain, named = aside(docs)
+    key = F.xxhash64(*[f"c{docs.columns.index(c)}" for c in ("doc_id", "text")])
+    return named(plain.join(gone, key == F.col("gone"), "left_anti"))

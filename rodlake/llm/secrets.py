@@ -179,8 +179,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
             rows.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(set(found), key=lambda x: (x[1], rank[x[0]], x[2]))])
         return pa.StructArray.from_arrays([pa.array(rows, kind)], names=["secrets"])
 
-    out = scored(docs, "_scored", score, "secrets array<struct<kind:string,start:int,end:int>>", text)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "_scored.secrets")
+    return scored(docs, keep, F.col(text), score, "secrets array<struct<kind:string,start:int,end:int>>")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

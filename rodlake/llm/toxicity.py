@@ -23,6 +23,10 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 #: Sentence ends become line feeds; other ASCII that is neither letter nor digit a blank.
 _CUT = bytes(10 if c in b".!?\n" else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 PREFIXES = (4, 5, 6)
+#: Standard errors by which a feature's share in label-1 documents must exceed its share in the others.
+SIGNIFICANT = 6.0
+#: The largest bias: a sentence without a telling feature has a score of 0.0003 at most, so that long texts stay clean.
+BIAS = -8.0
 #: Distinct words whose weight a worker keeps.
 CACHE = 500_000
 
@@ -56,7 +60,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1500, width: int = 20_000, rounds: int = 80) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1500, width: int = 20_000, rounds: int = 120) -> Model:
     """Fit on a bounded sample: about ``per_class`` labelled rows of each class, up to ``width`` characters of each.
 
     Rows of ``labels`` are chosen by a hash of the key, so only the chosen few meet
@@ -81,12 +85,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     for t, bag in zip(y, bags):
         for f in {f for s in bag for f in s}:
             df.setdefault(f, [0, 0])[int(t)] += 1
-    vocab = {f: i for i, (f, n) in enumerate(sorted((f, n) for f, n in df.items() if sum(n) >= 3))}
-    odds = np.zeros(len(vocab))
     n1, n0 = y.sum(), (1 - y).sum()
-    for f, i in vocab.items():
-        a, b = df[f][1], df[f][0]
-        odds[i] = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+    # features that label-1 documents hold more often than chance explains; only they can raise a sentence's score
+    vocab, odds = {}, []
+    for f, (b, a) in sorted(df.items()):
+        p = (a + b) / (n1 + n0)
+        if a + b >= 3 and a / n1 - b / n0 > SIGNIFICANT * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)):
+            vocab[f] = len(odds)
+            odds.append(np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5)))
+    odds = np.array(odds)
     ids, owner, bag_of = [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
@@ -95,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             owner.extend([len(bag_of)] * len(k))
             bag_of.append(d)
     ids, owner, bag_of = np.array(ids, np.int64), np.array(owner, np.int64), np.array(bag_of, np.int64)
-    w, b = np.where(odds > 2, odds, 0.0), -6.0
+    w, b = np.maximum(odds, 0.0), BIAS
     sw, sb = np.full_like(w, 1e-6), 1e-6
     cost = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     for _ in range(rounds):  # AdaGrad on the noisy-or likelihood
@@ -105,11 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         g = pull[bag_of] * p
         gw = np.bincount(ids, g[owner], len(w)) + 1e-6 * w
         sw += gw * gw
-        w -= 0.3 * gw / np.sqrt(sw)
+        w = np.maximum(w - 0.3 * gw / np.sqrt(sw), 0)
         gb = g.sum()
         sb += gb * gb
-        b -= 0.2 * gb / np.sqrt(sb)
-    return Model({f: float(w[i]) for f, i in vocab.items() if abs(w[i]) > 0.05}, float(min(b, -3.0)))
+        b = min(b - 0.2 * gb / np.sqrt(sb), BIAS)
+    return Model({f: float(w[i]) for f, i in vocab.items() if abs(w[i]) > 0.05}, float(b))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, locate: float = 0.5) -> DataFrame:
@@ -144,8 +151,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
             spans.append(found)
         return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(spans, span)], names=["toxic_score", "toxic_spans"])
 
-    out = scored(docs, "_scored", score, "toxic_score double, toxic_spans array<struct<start:int,end:int,score:double>>", text)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "_scored.*")
+    return scored(docs, keep, F.col(text), score, "toxic_score double, toxic_spans array<struct<start:int,end:int,score:double>>")
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
