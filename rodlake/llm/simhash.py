@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest, merge
-from .common import discard, lookup, save
-from .components import connected_components
+from .common import aside, discard, lookup, save
+from .components import connected_components, thinned
 
 #: Members of a shard that one tree takes; larger shards are dealt over pairs of blocks.
 SHARD = 4096
@@ -120,8 +120,12 @@ def near(nodes: DataFrame, words: int, radius: int, tables: list[np.ndarray], tr
         label = np.arange(len(node))
         for a, b in forest.neighbours(radius):
             merge(label, a, b)
-        linked = np.flatnonzero(label != np.arange(len(node)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["src", "dst"])
+        # the hub is the smallest node, so that the stars of one group in many tables mostly share their hubs
+        hub = node.copy()
+        np.minimum.at(hub, label, node)
+        hub = hub[label]
+        linked = np.flatnonzero(hub != node)
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(hub[linked])], names=["src", "dst"])
 
     banded = nodes.mapInArrow(keys, "key long, node long, " + ", ".join(f"{c} long" for c in fps))
     # Shards that need dealing out are told from an eighth of the nodes; which shards these are changes the cost alone, never the result.
@@ -170,12 +174,16 @@ BLOCK = 1024
 
 
 def _verify(similarity: float, k: int) -> Callable:
-    """Exact Jaccard of shingle sets within each unit of (unit, node, text), as stars (src, dst)."""
+    """Exact Jaccard of shingle sets within each unit of (unit, node, given, text), as stars (src, dst).
 
-    def stars(node: np.ndarray, sets: list[np.ndarray]):
+    Documents with one ``given`` are known to be linked already; only pairs that are not are compared.
+    """
+
+    def stars(node: np.ndarray, given: np.ndarray, sets: list[np.ndarray]):
         m = len(sets)
         size = np.array([len(s) for s in sets])
-        label = np.arange(m)
+        _, first, group = np.unique(given, return_index=True, return_inverse=True)
+        label = first[group]
         flat = np.concatenate(sets)
         _, token = np.unique(flat, return_inverse=True)
         owner = np.repeat(np.arange(m), size)
@@ -198,15 +206,16 @@ def _verify(similarity: float, k: int) -> Callable:
         return node[bound], node[label[bound]]
 
     def run(batches):
-        units: dict[int, tuple[list, list]] = {}
+        units: dict[int, tuple[list, list, list]] = {}
         for b in batches:
-            for u, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids, sets = units.setdefault(u, ([], []))
+            for u, n, g, t in zip(*(c.to_pylist() for c in b.columns)):
+                ids, given, sets = units.setdefault(u, ([], [], []))
                 ids.append(n)
+                given.append(g)
                 parts = shingles(t or b"", k)
                 sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in parts), np.uint64, len(parts))))
-        for ids, sets in units.values():
-            a, b = stars(np.array(ids, np.int64), sets)
+        for ids, given, sets in units.values():
+            a, b = stars(np.array(ids, np.int64), np.array(given, np.int64), sets)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
     return run
@@ -217,6 +226,52 @@ def _class(text: str):
     return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.lit(0))
 
 
+def _verified(docs: DataFrame, doc: str, text: str, member: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Stars (src, dst) that span the linked documents of each candidate cluster; member: (node, component, _doc).
+
+    A cluster of up to BLOCK documents is compared in one task. A larger one is first
+    compared within blocks, each document once; then the smallest documents of what the
+    blocks found, of all blocks. Only clusters that are still in several parts are
+    compared over all pairs of blocks, without the pairs that are joined already.
+    """
+    member = save(member.select("node", "component", "_doc"), "nd-member")
+    asked = lookup(member.withColumnRenamed("node", "_class"), 500_000)
+    one = docs.select(F.col(doc).alias("_doc"), _class(text).alias("_class"), F.col(text).cast("binary").alias("_text"))
+    one = one.join(asked, one["_doc"].eqNullSafe(asked["_doc"]) & (one["_class"] == asked["_class"])).select(one["_class"].alias("node"), "component", "_text")
+    one = save(one, "nd-texts")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        """Stars of (unit, node, given, _text)."""
+        return save(rows.repartition(max(12, rows.count() // 1000), "unit").mapInArrow(_verify(similarity, k), "src long, dst long"), "nd-link")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        size = rows.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+        return rows.join(lookup(save(size.where(F.col(name) > 1), "nd-size"), 200_000), "component", "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+    dealt = save(blocks(member.select("node", "component"), "blocks"), "nd-dealt")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    given = one.join(dealt.select("node", "blocks"), "node")
+    found = compared(given.select(F.xxhash64("component", mine).alias("unit"), "node", F.col("node").alias("given"), "_text"))
+    large = dealt.where("blocks > 1")
+    if not large.limit(1).count():
+        return found
+
+    def parts(links: DataFrame) -> DataFrame:
+        """(node, component, blocks, given) of large clusters that ``links`` leave in several parts."""
+        label = connected_components(links).withColumnRenamed("component", "given")
+        now = save(large.join(label, "node", "left").withColumn("given", F.coalesce("given", "node")), "nd-parts")
+        several = now.groupBy("component").agg(F.min("given").alias("a"), F.max("given").alias("b")).where("a <> b").select("component")
+        return save(now.join(lookup(save(several, "nd-several"), 200_000), "component", "left_semi"), "nd-parts")
+
+    heads = blocks(parts(found).where("node = given").select("node", "component"), "heads")
+    unit = F.xxhash64("component", F.lit("heads"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("heads")))
+    found = found.union(compared(one.join(heads.select("node", "heads"), "node").select(unit.alias("unit"), "node", F.col("node").alias("given"), "_text")))
+    rest = parts(found)
+    pairs = F.expr("transform(filter(sequence(0, blocks - 1), x -> x <> mine), x -> array(least(x, mine), greatest(x, mine)))")
+    rest = rest.withColumn("mine", mine).withColumn("pair", F.explode(pairs)).select("node", "component", "given", "pair")
+    return found.union(compared(one.join(rest.drop("component"), "node").select(F.xxhash64("component", "pair").alias("unit"), "node", "given", "_text")))
+
+
 #: Bits of a fingerprint, and bits of a table.
 BITS, WIDTH = 128, 16
 
@@ -249,39 +304,32 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     """
     radius, count = _search_plan(similarity, recall)
     tables = sampled_tables(BITS, WIDTH, count)
-    label = _class(text)
-    narrow = docs.select(F.col(doc).alias("_doc"), label.alias("_class"), F.col(text).alias("_in"))
+    narrow = docs.select(F.col(doc).alias("_doc"), _class(text).alias("_class"), F.col(text).alias("_in"))
     each = save(fingerprints(narrow, "_in", ["_doc", "_class"], k, (42, 43)), "nd-fp")
     unique = save(each.groupBy("_class").agg(F.min("_doc").alias("least"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), "nd-unique")
     nodes = unique.where("fp0 <> 0 or fp1 <> 0").select(F.col("_class").alias("node"), "fp0", "fp1")
-    cluster = save(connected_components(near(nodes, 2, radius, tables)), "nd-cluster")
-    size = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = cluster.join(size, "component").join(unique.select(F.col("_class").alias("node"), "least"), "node")
-    member = save(member.select("node", "component", "blocks", F.col("least").alias("_doc")), "nd-member")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.expr("if(blocks = 1, array(array(0, 0)), transform(filter(sequence(0, blocks - 1), x -> x <> mine), x -> array(least(x, mine), greatest(x, mine))))")
-    asked = lookup(member.select("_doc", F.col("node").alias("_class"), "component", "blocks"), 500_000)
-    one = docs.select(F.col(doc).alias("_doc"), label.alias("_class"), F.col(text).cast("binary").alias("_text"))
-    one = one.join(asked, one["_doc"].eqNullSafe(asked["_doc"]) & (one["_class"] == asked["_class"])).select(one["_class"].alias("node"), "component", "blocks", "_text")
-    units = one.withColumn("mine", mine).withColumn("pair", F.explode(pairs)).select(F.xxhash64("component", "pair").alias("unit"), "node", "_text")
-    link = units.repartition(max(12, member.count() // 2000), "unit").mapInArrow(_verify(similarity, k), "src long, dst long")
+    links = save(near(nodes, 2, radius, tables), "nd-near")
+    cluster = save(connected_components(thinned(links)), "nd-cluster")
+    discard(links)
+    link = _verified(docs, doc, text, cluster.join(unique.select(F.col("_class").alias("node"), F.col("least").alias("_doc")), "node"), similarity, k)
     joined = save(connected_components(link), "nd-linked")
     held = save(joined.join(unique.select(F.col("_class").alias("node"), "least"), "node"), "nd-held")
     least = save(held.groupBy("component").agg(F.min("least").alias("smallest")), "nd-least")
     named = save(held.join(least, "component").select(F.col("node").alias("_class"), "smallest"), "nd-named")
     stays = save(unique.join(named, "_class", "left").select("_class", F.coalesce("smallest", "least").alias("_stays")), "nd-stays")
     out = save(each.join(stays, "_class").where("not (_doc <=> _stays)").select(F.col("_doc").alias(doc), "_class"), "nd-drop")
-    discard(unique, cluster, member, joined, held, least, named, stays, each)
+    discard(unique, cluster, link, joined, held, least, named, stays, each)
     return out
 
 
 def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row for each group of ``near_duplicates``, all columns kept. Rows that repeat an id with the same text count once."""
     drop = near_duplicates(docs, doc, text, k, similarity)
-    label = _class(text)
-    gone = lookup(drop.distinct(), 1_000_000)
-    marked = docs.withColumn("_label", label)
-    left = marked.join(gone, marked[doc].eqNullSafe(gone[doc]) & (marked["_label"] == gone["_class"]), "left_anti")
+    gone = lookup(drop.distinct().toDF("gone_doc", "gone_class"), 1_000_000)
+    plain, named = aside(docs)
+    mine, body = f"c{docs.columns.index(doc)}", f"c{docs.columns.index(text)}"
+    marked = plain.withColumn("label", _class(body))
+    left = marked.join(gone, marked[mine].eqNullSafe(gone["gone_doc"]) & (marked["label"] == gone["gone_class"]), "left_anti")
     if docs.groupBy(doc).count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates([doc, "_label"])
-    return left.drop("_label")
+        left = left.dropDuplicates([mine, "label"])
+    return named(left)
