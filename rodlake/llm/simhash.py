@@ -53,8 +53,11 @@ def fingerprint(parts: list[bytes], seeds: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str, keep: list[str], k: int, seeds: tuple[int, ...]) -> DataFrame:
-    """``keep`` plus fp0, fp1, ... (long, the bits of the unsigned word) for each row; null text has no words."""
+def fingerprints(docs: DataFrame, text: str, keep: list[str], k: int, seeds: tuple[int, ...], distinct: bool = False) -> DataFrame:
+    """``keep`` plus fp0, fp1, ... (long, the bits of the unsigned word) for each row; null text has no words.
+
+    distinct: a shingle counts once, however often the text repeats it.
+    """
     names = [f"fp{i}" for i in range(len(seeds))]
 
     def run(batches):
@@ -63,7 +66,8 @@ def fingerprints(docs: DataFrame, text: str, keep: list[str], k: int, seeds: tup
             for i, t in enumerate(b.column(b.num_columns - 1)):
                 data = t.as_py()
                 if data:
-                    made[i] = fingerprint(shingles(data, k), seeds)
+                    parts = shingles(data, k)
+                    made[i] = fingerprint(list(set(parts)) if distinct else parts, seeds)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(made[:, w].view(np.int64)) for w in range(len(seeds)))], names=[*keep, *names])
 
     given = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
@@ -297,7 +301,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     A group is a component of links between equal texts and between texts whose
     ``k``-word shingle sets have Jaccard similarity of at least ``similarity``. The
     smallest id of a group stays. Candidates come from BK-trees over 128-bit SimHash
-    fingerprints; the number of tables follows from ``recall``, the chance to find a
+    fingerprints of these sets; the number of tables follows from ``recall``, the chance to find a
     pair just at the threshold (closer pairs: more likely). Every link is verified
     on the shingle sets. Null and wordless texts form one group. A null id counts as
     larger than any other.
@@ -305,7 +309,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     radius, count = _search_plan(similarity, recall)
     tables = sampled_tables(BITS, WIDTH, count)
     narrow = docs.select(F.col(doc).alias("_doc"), _class(text).alias("_class"), F.col(text).alias("_in"))
-    each = save(fingerprints(narrow, "_in", ["_doc", "_class"], k, (42, 43)), "nd-fp")
+    each = save(fingerprints(narrow, "_in", ["_doc", "_class"], k, (42, 43), distinct=True), "nd-fp")
     unique = save(each.groupBy("_class").agg(F.min("_doc").alias("least"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), "nd-unique")
     nodes = unique.where("fp0 <> 0 or fp1 <> 0").select(F.col("_class").alias("node"), "fp0", "fp1")
     links = save(near(nodes, 2, radius, tables), "nd-near")

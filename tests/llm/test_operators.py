@@ -359,6 +359,16 @@ def test_near_duplicates_by_exact_similarity(spark, monkeypatch, block):
     assert got == want and len(want) < len(rows)
 
 
+def test_near_duplicates_that_repeat_a_line(spark):
+    rng, rows = random.Random(18), []
+    for words, line, times in ((200, 12, 20), (300, 10, 40), (150, 20, 10)):
+        for _ in range(20):
+            body, more = (" ".join(f"{w}{rng.randrange(10**9)}" for w in rng.choices(WORDS, k=n)) for n in (words, line))
+            rows += [(len(rows), f"{body} {more}", "en", "a", 0), (len(rows) + 1, f"{body} {' '.join([more] * times)}", "en", "a", 0)]
+    gone = {r.doc_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(gone) >= 59 and all(d % 2 for d in gone)
+
+
 def test_dedup_of_odd_tables(odd, none):
     got = simhash.deduplicated(odd)
     assert got.columns == odd.columns and got.count() == 7
