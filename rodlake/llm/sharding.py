@@ -2,7 +2,8 @@
 
 Documents are linked by hubs (an equal text, a shared line). Shards are labels: in each
 round every linked document votes, through its hubs, for the shard where most of its
-neighbours are, and moves there if the shard has room for it. Documents with the same
+neighbours are, and moves there if the shard has room for it. What leaves a shard makes
+room in the same round, so full shards exchange documents. Documents with the same
 hubs and the same label are one vertex with a weight, so a hub that holds a third of
 all rows is a few vertices. Documents without links cost no edge wherever they are, so
 they fill what room is left, which makes the sizes exact.
@@ -10,53 +11,106 @@ they fill what room is left, which makes the sizes exact.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ranked, save
+from .common import discard, lookup, ranked, save
 
 #: Ranks of moves: gain in powers of two, then a hash, so that a full shard takes the best moves first.
 LEVELS, DEALS = 40, 64
+#: Propagation has settled when no document wishes to move, or when this many rounds add less than a thousandth to the links kept.
+PATIENCE, LEAST = 6, 1e-3
+#: Vertices are split into pieces of about a PIECES-th of a shard, as a full shard exchanges whole vertices only.
+PIECES = 64
+#: Between rounds a shard may hold a SLACK-th more than its quota, if rows without links leave no places; the end takes it back.
+SLACK = 64
 
 
 def _literal(values: list[int]) -> Column:
     return F.array(*[F.lit(int(v)).cast("long") for v in values])
 
 
-def _round(vertices: DataFrame, quota: list[int], turn: int) -> tuple[DataFrame, int]:
-    """One step of propagation over (v, n, hubs, shard); returns the moved table and the weight that moved."""
+def _cuts(sums: list[tuple[int, int, int, int]], room: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of (own, to, order, n): for each own and to the order below which moves are taken, and their weight.
+
+    What leaves a shard makes room in it. First all moves are taken; while a shard is
+    overfull, the fullest takes back its last step from the shard that can best keep it.
+    """
+    shards, space = len(room), np.array(room, float)
+    order: dict[tuple[int, int], list[int]] = {}
+    total: dict[tuple[int, int], list[int]] = {}
+    for own, to, at, n in sorted(sums):
+        order.setdefault((own, to), []).append(at)
+        held = total.setdefault((own, to), [0])
+        held.append(held[-1] + n)
+    taken = np.zeros((shards, shards))
+    for pair, held in total.items():
+        taken[pair] = held[-1]
+    count = {pair: len(o) for pair, o in order.items()}
+    left, least = space + taken.sum(1) - taken.sum(0), np.minimum(space, 0)
+    while ((over := left < least) & (taken > 0).any(0)).any():
+        to = int(np.argmin(np.where(over & (taken > 0).any(0), left, np.inf)))
+        own = int(np.argmax(np.where(taken[:, to] > 0, left, -np.inf)))
+        count[own, to] -= 1
+        step = taken[own, to] - total[own, to][count[own, to]]
+        taken[own, to] -= step
+        left[own] -= step
+        left[to] += step
+    # what is left of the room goes to whole steps of single pairs, the best first
+    more = True
+    while more:
+        more = False
+        for pair in sorted((p for p in order if count[p] < len(order[p])), key=lambda p: (order[p][count[p]], p)):
+            own, to = pair
+            while count[pair] < len(order[pair]) and taken[:, to].sum() + total[pair][count[pair] + 1] - taken[pair] <= space[to] + taken[to].sum():
+                count[pair] += 1
+                taken[pair] = total[pair][count[pair]]
+                more = True
+    cut = np.zeros((shards, shards), int)
+    for pair, c in count.items():
+        cut[pair] = order[pair][c - 1] + 1 if c else 0
+    return cut, taken
+
+
+def _round(vertices: DataFrame, quota: list[int], turn: int, closed: set[int]) -> tuple[DataFrame, set[int], float, int]:
+    """One step of propagation over (v, n, hubs, shard).
+
+    closed: shards that no vertex may wish for now. Returns the moved table, the shards that
+    took in under an eighth of what wished for them, the links kept before this step
+    (ordered pairs of rows in one hub and one shard) and the weight that moved.
+    """
     shards = len(quota)
     load = [0] * shards
     for s, n in vertices.groupBy("shard").agg(F.sum("n")).collect():
         load[s] = n
-    room = [q - x for q, x in zip(quota, load)]
-    ends = vertices.select("v", "n", "shard", F.explode("hubs").alias("hub"))
+    idle = (sum(quota) - sum(load)) // shards
+    room = [q + max(0, q // SLACK - idle) - x for q, x in zip(quota, load)]
+    ends = vertices.select("v", "n", "shard", F.element_at("hubs", 1).alias("h"), F.explode("hubs").alias("hub"))
     held = save(ends.groupBy("hub", "shard").agg(F.sum("n").alias("c")).groupBy("hub").agg(F.collect_list(F.struct("shard", "c")).alias("held")), "lp-hubs")
-    votes = ends.join(held, "hub").select("v", "n", F.col("shard").alias("own"), F.explode("held").alias("x"))
-    votes = votes.groupBy("v", "n", "own", F.col("x.shard").alias("to")).agg(F.sum("x.c").alias("c"))
+    kept = held.agg(F.sum(F.aggregate("held", F.lit(0.0), lambda a, x: a + x["c"].cast("double") * x["c"]))).first()[0] or 0.0
+    votes = ends.join(held, "hub").select("v", "n", "h", F.col("shard").alias("own"), F.explode("held").alias("x"))
+    votes = votes.groupBy("v", "n", "h", "own", F.col("x.shard").alias("to")).agg(F.sum("x.c").alias("c"))
     here = F.max(F.when(F.col("to") == F.col("own"), F.col("c")).otherwise(0))
-    # a vertex may stay, or go where there is room for all of it; most votes, then the lowest shard
-    open_ = F.when((F.col("to") == F.col("own")) | (F.col("n") <= F.element_at(_literal(room), F.col("to") + 1)), F.struct("c", -F.col("to")))
+    # a vertex may stay, or go where the shard is not closed; most votes, then a shard that all documents of a hub agree on and that differs from hub to hub
+    open_ = F.when((F.col("to") == F.col("own")) | ~F.element_at(_literal([s in closed for s in range(shards)]), F.col("to") + 1).cast("boolean"), F.struct("c", F.xxhash64("h", "to").alias("tie"), "to"))
     wish = votes.groupBy("v", "n", "own").agg(F.max(open_).alias("best"), here.alias("here"))
     gain = F.col("best.c") - F.col("here")
     order = (LEVELS - F.floor(F.log2(F.greatest(gain, F.lit(0)) + 1))) * DEALS + F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(DEALS))
-    wish = save(wish.select("v", "n", "own", (-F.col("best.col2")).alias("to"), order.cast("int").alias("order")).where("own <> to"), "lp-wish")
-    # at most shards * LEVELS * DEALS sums reach the driver, whatever the input
-    cut = [0] * shards
-    full = [False] * shards
-    for to, at, n in sorted(map(tuple, wish.groupBy("to", "order").agg(F.sum("n")).collect())):
-        full[to] |= n > room[to]
-        if not full[to]:
-            room[to] -= n
-            cut[to] = at + 1
-    taken = wish.where(F.col("order") < F.element_at(_literal(cut), F.col("to") + 1)).select("v", "to")
+    wish = save(wish.select("v", "n", "own", F.col("best.to").alias("to"), order.cast("int").alias("order")).where("own <> to"), "lp-wish")
+    # at most shards * shards * LEVELS * DEALS sums reach the driver, whatever the input
+    sums = [tuple(r) for r in wish.groupBy("own", "to", "order").agg(F.sum("n")).collect()]
+    cut, gone = _cuts(sums, room)
+    asked = [0] * shards
+    for _, to, _, n in sums:
+        asked[to] += n
+    taken = wish.where(F.col("order") < F.element_at(_literal(cut.ravel()), F.col("own") * shards + F.col("to") + 1)).select("v", "to")
     now = save(vertices.join(taken, "v", "left").select("v", "n", "hubs", F.coalesce("to", "shard").cast("int").alias("shard")), "lp-vertices")
-    moved = wish.where(F.col("order") < F.element_at(_literal(cut), F.col("to") + 1)).agg(F.sum("n")).first()[0] or 0
     discard(held, wish, vertices)
-    return now, moved
+    return now, {s for s in range(shards) if 8 * gone[:, s].sum() < asked[s]}, kept, int(gone.sum())
 
 
-def balanced_shards(docs: DataFrame, hubs: Column, key: list[Column], shards: int = 16, rounds: int = 12) -> DataFrame:
+def balanced_shards(docs: DataFrame, hubs: Column, key: list[Column], shards: int = 16) -> DataFrame:
     """``docs`` plus shard (int, from 0) and slot (long, gapless from 0 in each shard).
 
     hubs: array<long>; rows with a hub in common are linked, nulls and hubs of one row
@@ -73,14 +127,24 @@ def balanced_shards(docs: DataFrame, hubs: Column, key: list[Column], shards: in
     mine = save(link.distinct().join(live, "hub").groupBy("_node").agg(F.sort_array(F.collect_list("hub")).alias("hubs")), "lp-links")
     start = F.pmod(F.xxhash64("_node", F.lit("shard")), F.lit(shards)).cast("int")
     placed = base.drop("_hubs").join(mine, "_node", "left").withColumn("v", F.when(F.col("hubs").isNotNull(), F.xxhash64("hubs", start)))
-    placed = save(placed, "lp-placed")
+    whole = save(placed, "lp-whole")
+    most = max(16, total // shards // PIECES)
+    heavy = save(whole.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > most), "lp-heavy")
+    piece = F.pmod(F.xxhash64("_node", F.lit("piece")), F.ceil(F.col("rows") / most))
+    placed = whole.join(lookup(heavy, 200_000), "v", "left").withColumn("v", F.when(F.col("rows").isNull(), F.col("v")).otherwise(F.xxhash64("v", piece)))
+    placed = save(placed.drop("rows"), "lp-placed")
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     vertices = save(placed.where("v is not null").groupBy("v", "hubs", start.alias("shard")).agg(F.count(F.lit(1)).alias("n")).select("v", "n", "hubs", "shard"), "lp-vertices")
-    discard(base, live, mine)
-    for turn in range(rounds):
-        vertices, moved = _round(vertices, quota, turn)
-        if not moved:
-            break
+    discard(base, live, mine, whole, heavy)
+    turn, best, idle, closed = 0, 0.0, 0, set()
+    while idle < PATIENCE:
+        vertices, crowded, links, moved = _round(vertices, quota, turn, closed)
+        if not closed and not crowded and not moved:
+            break  # no vertex wishes to move
+        # who wished for a crowded shard may try the next best, until nothing moves and all are open again
+        closed = closed | crowded if moved or crowded else set()
+        idle, best = (0, links) if links > best * (1 + LEAST) else (idle + 1, best)
+        turn += 1
     load = [0] * shards
     for s, n in vertices.groupBy("shard").agg(F.sum("n")).collect():
         load[s] = n

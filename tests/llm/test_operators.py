@@ -81,6 +81,17 @@ def test_shards_are_even_and_keep_groups(spark):
     assert cut.cut < 0.95 * cut.edges
 
 
+def test_full_shards_exchange(spark):
+    """Every row is linked, so no place is free: groups come together by exchange alone."""
+    df = spark.range(6400).selectExpr("id as doc_id", "id div 10 as g")
+    out = sharding.balanced_shards(df, F.array(F.xxhash64("g")), [F.col("doc_id")])
+    got = out.collect()
+    check_shards(got)
+    assert len(got) == 6400
+    cut = sharding.cut_edges(out, "g").first()
+    assert cut.cut < 0.3 * cut.edges
+
+
 def test_shards_of_odd_tables(odd, none):
     rows = sharding.text_shards(odd.withColumn("shard", F.lit("mine")).withColumn("_node", F.lit(0))).collect()
     check_shards(rows)
