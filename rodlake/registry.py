@@ -479,6 +479,12 @@ def agglomerate_mesh(spark, d):
     return density.agglomerate_mesh(spark, balls, (8, 8, 8), 40.0).select("i", "j", "k", r("rho").alias("rho"))
 
 
+@query()
+def agglomerate_mesh_whole(spark, d):
+    balls = part(spark, d).select(F.col("rod_id").alias("id"), "x", "y", "z", (0.05 + (F.col("rod_id") % 7).cast("double") / 50.0).alias("w"), F.lit(1.0).alias("norm"))
+    return density.agglomerate_mesh(spark, balls, (8, 8, 8), 40.0).select("i", "j", "k", r("rho").alias("rho"))
+
+
 @query()
 def agglomerates(spark, d):
     return density.agglomerates(spark, 0.02, 0.05, 0.3)

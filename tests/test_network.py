@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rodlake import registry
 from rodlake.functions import fields, vec
 from rodlake.functions.grid import Grid
 from rodlake.operators import density, generate, kirchhoff, network, orient, raster, rods, spatial
@@ -118,6 +119,19 @@ def test_mesh_files(spark, some, tmp_path):
     assert balls.count() > 3
 
 
+def test_agglomerate_mesh_takes_every_rod(spark, tables):
+    balls = registry.part(spark, tables).select("rod_id", "x", "y", "z").collect()
+    assert len(balls) > 100
+    w = np.array([0.05 + b.rod_id % 7 / 50 for b in balls])
+    at = np.array([(b.x, b.y, b.z) for b in balls])
+    got = registry.QUERIES["agglomerate_mesh_whole"](spark, tables).collect()
+    assert len(got) == 512
+    for g in got:
+        d = np.sqrt(((at - (np.array([g.i, g.j, g.k]) + 1) / 8) ** 2).sum(1))
+        want = max(0.0, (1 / (1 + np.exp(-40 * (d + w))) - 1 / (1 + np.exp(-40 * (d - w)))).max())
+        assert abs(g.rho - want) < 1e-8
+
+
 def test_rod_files(spark, some, tmp_path):
     grid = Grid(BOX, (3, 3, 3))
     (tmp_path / "state.bin").write_bytes(state.encode(some, grid, 0.2, 0.01))
