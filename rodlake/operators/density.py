@@ -112,21 +112,34 @@ def appended(mesh: DataFrame, ext: Ext) -> DataFrame:
     return out
 
 
+MOST_DRAWS = 1 << 24
+
+
 def agglomerates(spark: SparkSession, volume: float, mean_radius: float, spread: float, seed: int = 1, candidates: int = 4096) -> DataFrame:
     """(id, x, y, z, w, norm) in the unit box: balls with log-normal radii that do not overlap, up to 1.05 times ``volume``.
 
     Candidates are drawn in order; a radius is accepted by its density, a ball if it
-    overlaps none accepted before. The set is small by nature: its volume bounds it.
+    overlaps none accepted before. From ``candidates`` on, draws double until the volume is
+    reached or a doubling adds no ball; earlier balls stay as they are, as later draws
+    never displace them. Raises if the volume is not reached by MOST_DRAWS.
     """
     s = F.col("id")
     u = lambda k: fields.uniform(s, seed * 16 + k)
     w = u(3) * mean_radius * 4.0
     most = fields.log_normal(F.lit(mean_radius), mean_radius, spread) * 1.5
-    drawn = spark.range(candidates).select(s.alias("rod_id"), u(0).alias("x"), u(1).alias("y"), u(2).alias("z"), w.alias("w"), u(4).alias("u")).where((F.col("u") * most < fields.log_normal(F.col("w"), mean_radius, spread)) & (F.col("w") > 0))
+    drawn = lambda n: spark.range(n).select(s.alias("rod_id"), u(0).alias("x"), u(1).alias("y"), u(2).alias("z"), w.alias("w"), u(4).alias("u")).where((F.col("u") * most < fields.log_normal(F.col("w"), mean_radius, spread)) & (F.col("w") > 0))
     # a ball is a rod without length
-    rods = drawn.select("rod_id", "x", "y", "z", F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(1.0).alias("cz"), F.lit(0.0).alias("l"), F.col("w").alias("a"))
+    rods = lambda n: drawn(n).select("rod_id", "x", "y", "z", F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(1.0).alias("cz"), F.lit(0.0).alias("l"), F.col("w").alias("a"))
     centres = F.sqrt(F.col("bx") * F.col("bx") + F.col("by") * F.col("by") + F.col("bz") * F.col("bz"))
-    stay = spatial.greedy_insert(keep(rods, "balls"), (1.0, 1.0, 1.0), keep, then=lambda p: p.withColumn("d", centres))
+    before = -1
+    while True:
+        stay = keep(spatial.greedy_insert(keep(rods(candidates), "balls"), (1.0, 1.0, 1.0), keep, then=lambda p: p.withColumn("d", centres)), "balls")
+        count, filled = stay.agg(F.count(F.lit(1)), F.sum(4.0 / 3.0 * F.pi() * F.pow(F.col("a"), F.lit(3.0)))).first()
+        if (filled or 0.0) >= volume * 1.05 or count == before:
+            break
+        before, candidates = count, candidates * 2
+        if candidates > MOST_DRAWS:
+            raise RuntimeError("the volume of the balls is not reached")
     run = F.sum(4.0 / 3.0 * F.pi() * F.pow(F.col("a"), F.lit(3.0))).over(Window.orderBy("rod_id").rowsBetween(Window.unboundedPreceding, -1))
     return stay.withColumn("_v", F.coalesce(run, F.lit(0.0))).where(F.col("_v") < volume * 1.05).select(F.col("rod_id").alias("id"), "x", "y", "z", F.col("a").alias("w"), F.lit(1.0).alias("norm"))
 

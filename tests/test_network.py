@@ -119,6 +119,14 @@ def test_mesh_files(spark, some, tmp_path):
     assert balls.count() > 3
 
 
+def test_agglomerates_reach_the_volume(spark):
+    """64 draws hold about 0.005 of the volume asked for here."""
+    few = density.agglomerates(spark, 0.02, 0.03, 0.3, candidates=64).orderBy("id").collect()
+    many = density.agglomerates(spark, 0.02, 0.03, 0.3, candidates=4096).orderBy("id").collect()
+    volume = sum(4 / 3 * math.pi * b.w**3 for b in few)
+    assert volume >= 0.02 * 1.05 and [b.id for b in few] == [b.id for b in many]
+
+
 def test_agglomerate_mesh_takes_every_rod(spark, tables):
     balls = registry.part(spark, tables).select("rod_id", "x", "y", "z").collect()
     assert len(balls) > 100
