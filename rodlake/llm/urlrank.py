@@ -55,12 +55,17 @@ def host_links(pages: DataFrame, host: Column, html: str = "html") -> DataFrame:
     return ends.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+#: Rounds beyond which propagation cannot settle: the change shrinks by the damping in each, so about 90 do at 0.85.
+MOST = 1000
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust) from (src, dst, links) and seeds (host, trust, distrust).
 
     trust(h) = (1 - damping) seed + damping * what the linking hosts pass on, each in
     proportion to its links; distrust likewise along reversed edges. Stops when no
-    total changes by more than ``tolerance``. Each round is a table in the shared folder.
+    total changes by more than ``tolerance``; raises if that never comes. ``rounds``: a
+    caller's own limit, at which the state so far is returned. Each round is a table in the shared folder.
     """
     if not edges.limit(1).count():
         return seeds
@@ -69,7 +74,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     rated = edges.join(out, "src").join(into, "dst")
     rated = save(rated.select("src", "dst", (F.col("links") / F.col("out")).alias("down"), (F.col("links") / F.col("into")).alias("up")), "hosts-edges")
     now = save(seeds.select("host", "trust", "distrust"), "hosts")
-    for _ in range(rounds):
+    for _ in range(MOST if rounds is None else rounds):
         down = rated.join(now.where("trust > 0"), rated["src"] == now["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("down")).alias("t"), F.lit(0.0).alias("d"))
         up = rated.join(now.where("distrust > 0"), rated["dst"] == now["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("up")).alias("d"))
         start = seeds.select("host", F.col("trust") * (1 - damping), F.col("distrust") * (1 - damping))
@@ -83,6 +88,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         now = new
         if change <= tolerance:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError("standing of hosts did not settle")
     discard(rated)
     return now
 

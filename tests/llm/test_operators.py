@@ -577,3 +577,10 @@ def test_queries_match_sql(spark, tables, name):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_standing_reaches_far_hosts(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(34)], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {r.host: r.trust for r in urlrank.propagate(edges, seeds).collect()}
+    assert all(abs(got[f"h{i}"] - 0.15 * 0.85**i) < 1e-9 for i in range(35))
