@@ -9,20 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it has none (unit tests in one process) a local one is set."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a session in one process gets a folder of its own; a cluster raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
+    if path:
+        return path
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rodlake-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rodlake-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get()
-    return path
+    return held.get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/rodlake/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` and read it back: computed once, short lineage, safe against lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/rodlake/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._rodlake_path = path
