@@ -1,56 +1,18 @@
-"""Shared plumbing: scratch tables, exact distributed ranks, Arrow helpers."""
+"""Shared plumbing: broadcast checks, salted joins, exact distributed ranks, Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.tables import discard, scratch
+from ..plans.tables import keep as save
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session has none (unit tests in one process) a local one is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        path = "file://" + tempfile.mkdtemp(prefix="rodlake-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/rodlake/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors, computes once."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._rodlake_path = path
-    return out
-
-
-def discard(*frames: DataFrame | None) -> None:
-    """Delete tables that ``save`` wrote and nothing will read again."""
-    for df in frames:
-        path = getattr(df, "_rodlake_path", None)
-        if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["aside", "crowded", "discard", "lookup", "ranked", "salted", "save", "scored", "scratch", "table", "within"]
 
 
 def within(df: DataFrame, bound: int) -> bool:
@@ -63,19 +25,40 @@ def lookup(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if within(df, bound) else df
 
 
+def crowded(df: DataFrame, key: str, per: int) -> DataFrame | None:
+    """(key, _parts) of the keys with more than ``per`` rows, dealt over so many parts of about ``per`` rows; None if there is no such key."""
+    found = save(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per).select(key, F.ceil(F.col("n") / per).cast("int").alias("_parts")), "crowded")
+    return found if found.limit(1).count() else None
+
+
+def salted(many: DataFrame, few: DataFrame, key: str, crowd: DataFrame | None, by: Column) -> DataFrame:
+    """``many`` joined to ``few`` on ``key``: rows of crowded keys are dealt over parts by a hash of ``by``, the other side is repeated in each."""
+    if crowd is None:
+        return many.join(few, key)
+    crowd, one = lookup(crowd, 200_000), F.coalesce("_parts", F.lit(1))
+    left = many.join(crowd, key, "left").withColumn("_part", F.pmod(F.xxhash64(by, F.lit("part")), one).cast("int")).drop("_parts")
+    right = few.join(crowd, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def ranked(df: DataFrame, key: str, order: list, salt, rows_hint: int, rank: str = "rank") -> DataFrame:
     """Exact gapless 0-based rank within ``key`` without gathering a key in one task.
 
-    Rows of a key are dealt over buckets by ``salt`` (a hash); each bucket is ranked
-    by itself and shifted by the count of the buckets before it. The buckets' counts
-    are a table of keys x buckets, where the number of buckets follows the rows.
+    Rows of a key are dealt over buckets by ``salt`` (a hash), about 100 to a bucket;
+    each bucket is ranked by itself and shifted by the counts of the buckets before it.
+    Buckets lie in runs of about the square root of their number: counts add up
+    within a run and over the runs, so no window holds more rows than that.
     """
     buckets = max(64, rows_hint // 100)
+    run = max(1, int(buckets**0.5))
     df = df.withColumn("_b", F.pmod(salt, F.lit(buckets)).cast("int"))
-    counts = df.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    shift = lookup(save(shift, "rank"), 500_000)
+    counts = save(df.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_run", F.floor(F.col("_b") / run)), "rank-counts")
+    within_run = Window.partitionBy(key, "_run").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy(key, "_run").agg(F.sum("_n").alias("_n"))
+    over_runs = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = lookup(save(runs.select(key, "_run", F.coalesce(F.sum("_n").over(over_runs), F.lit(0)).alias("_start")), "rank-runs"), 500_000)
+    shift = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within_run), F.lit(0))).join(runs, [key, "_run"])
+    shift = lookup(save(shift.select(key, "_b", (F.col("_start") + F.col("_before")).alias("_shift")), "rank"), 500_000)
     out = df.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1)
     out = out.join(shift, [key, "_b"])
     return out.withColumn(rank, (F.col("_r") + F.col("_shift")).cast("long")).drop("_b", "_r", "_shift")

@@ -19,7 +19,9 @@ from .common import scored
 
 #: Trigram buckets.
 BUCKETS = 1 << 15
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that a model learns at most; more raise.
+MOST_LANGUAGES = 1000
+_WORDY = re.compile(r"[^\W\d_]+")
 #: ASCII other than letters becomes a blank before trigrams are taken.
 _BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -54,36 +56,48 @@ def trigrams(text: str) -> np.ndarray:
     return (h >> np.uint32(17)).astype(np.int64)
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_class: int = 400, windows: int = 3, width: int = 240) -> Model:
-    """Fit on a bounded sample of the labelled rows: about ``per_class`` rows a language, ``windows`` pieces of ``width`` characters of each.
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is of the Unicode category L; fractions, circled and roman numbers are none."""
+    return any(c.isalpha() for m in _WORDY.finditer(text) for c in m[0])
 
-    Rows are chosen by a hash of the key, so the sample is the same at every run. Null labels and texts are left out.
-    """
-    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    languages = sorted(counts)
+
+def profiles(rows: DataFrame, label: str, text: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(label, buckets, shares) of the whole text of each row: its distinct trigrams and how often each occurs, as shares. Made in the tasks."""
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for t in b.column(1):
+                g, n = np.unique(trigrams(t.as_py()), return_counts=True)
+                made.append((g.astype(np.int32).tobytes(), (n / n.sum()).astype(np.float32).tobytes()))
+            cols = list(zip(*made)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["label", "buckets", "shares"])
+
+    got = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).mapInArrow(run, "label string, buckets binary, shares binary").collect()
+    return [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in sorted(got)]
+
+
+def train(known: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 40) -> Model:
+    """One logistic classifier a bit of the codewords, on (label, buckets, shares); each label weighs alike. Nothing known: a model without languages."""
+    languages = sorted({k[0] for k in known})
     if not languages:
         return Model([], codewords(0), np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
-    mark = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000))
-    chance = F.create_map(*[F.lit(v) for k in languages for v in (k, int(1_000_000 * min(1.0, per_class / counts[k])))])[F.col(label)]
-    pieces = [F.substring(text, 1, width)] + [F.substring(F.col(text), (F.length(text) * i / windows).cast("int") + 1, F.lit(width)) for i in range(1, windows)]
-    rows = known.where(mark < chance).select(label, *pieces).limit(2 * per_class * len(languages)).collect()
-    made = [(languages.index(r[0]), p) for r in rows for p in r[1:] if p and _LETTER.search(p)]
     code = codewords(len(languages))
-    grams = [trigrams(p) for _, p in made]
-    y = code[[i for i, _ in made]].astype(np.float32)
-    share = np.bincount([i for i, _ in made], minlength=len(languages))
-    weight = (len(made) / np.maximum(1, share) / len(languages))[[i for i, _ in made]].astype(np.float32)[:, None] / len(made)
-    flat, size = np.concatenate(grams), np.array([len(g) for g in grams])
-    owner, at = np.repeat(np.arange(len(grams)), size), np.concatenate([[0], np.cumsum(size)[:-1]])
+    each = np.array([languages.index(k[0]) for k in known])
+    y = code[each].astype(np.float32)
+    weight = (1.0 / np.bincount(each) / len(languages))[each].astype(np.float32)[:, None]
+    flat, share = np.concatenate([k[1] for k in known]), np.concatenate([k[2] for k in known])
+    size = np.array([len(k[1]) for k in known])
+    owner, at = np.repeat(np.arange(len(known)), size), np.concatenate([[0], np.cumsum(size)[:-1]])
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     sw, sb = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
-    for _ in range(25):  # AdaGrad on the logistic loss, all pieces at once
-        f = np.add.reduceat(w[flat], at, axis=0) / size[:, None] + b
-        g = -y * weight / (1 + np.exp(np.clip(y * f, -30, 30)))
-        each = (g / size[:, None])[owner]
-        gw = np.stack([np.bincount(flat, each[:, j], BUCKETS) for j in range(code.shape[1])], axis=1).astype(np.float32)
-        gb = g.sum(axis=0)
+    for _ in range(rounds):  # AdaGrad on the logistic loss, all texts at once; a bit at a time, so that memory stays near that of the sample
+        gw, gb = np.empty_like(w), np.empty_like(b)
+        for j in range(code.shape[1]):
+            f = np.add.reduceat(w[flat, j] * share, at) + b[j]
+            g = -y[:, j] * weight[:, 0] / (1 + np.exp(np.clip(y[:, j] * f, -30, 30)))
+            gw[:, j] = np.bincount(flat, g[owner] * share, BUCKETS)
+            gb[j] = g.sum()
         sw += gw * gw
         sb += gb * gb
         w -= 2.0 * gw / np.sqrt(sw)
@@ -91,6 +105,27 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return Model(languages, code, w, b)
 
 
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_class: int = 400) -> Model:
+    """Fit on a bounded sample of the labelled rows: about ``per_class`` rows a language, each with its whole text.
+
+    Rows are chosen by a hash of key and text, so the sample is the same at every run;
+    equal rows count once. Null labels, and texts that are null or have no letter, are left
+    out. What reaches the driver of a row is its trigram profile, BUCKETS pairs at most.
+    More than MOST_LANGUAGES labels raise ValueError. No labelled text: a model that
+    calls every text ``und``.
+    """
+    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    counts = {r[0]: r[1] for r in known.groupBy(label).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return train([])
+    drawn = F.xxhash64(F.col(key), F.col(text))
+    chance = F.create_map(*[F.lit(v) for k in sorted(counts) for v in (k, int(1_000_000 * min(1.0, per_class / counts[k])))])[F.col(label)]
+    rows = known.select(F.col(label).alias("_label"), F.col(text).alias("_text"), drawn.alias("_drawn"), chance.alias("_chance")).where("pmod(_drawn, 1000000) < _chance")
+    return train(profiles(rows.dropDuplicates(["_label", "_drawn"]), "_label", "_text"))
+
+
 def decode(model: Model, margin: np.ndarray) -> tuple[str, float, bool]:
     """The language whose codeword has the least logistic loss, its share among all, and whether the runner-up is near."""
     if len(model.languages) == 1:
@@ -117,7 +152,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         found = []
         for t in texts:
             t = t.as_py()
-            if not model.languages or not t or not _LETTER.search(t):
+            if not model.languages or not t or not has_letter(t):
                 found.append(("und", 0.0, False))
                 continue
             g = trigrams(t)
@@ -135,7 +170,13 @@ def remainder(doc: str, n: int):
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each document; learned from documents that are not held out (a null id is neither)."""
+    """doc_id, held_out, lang_pred, score of each document; learned from documents that are not held out.
+
+    A document with a null id is neither held out nor learned from. Null texts and texts
+    without a letter: ``und``, score 0. Repeated ids keep their rows; ties between
+    codewords go to the first language in order; further columns are ignored. Empty
+    table: no rows.
+    """
     mod = remainder("doc_id", 4)
     model = fit(docs.where(mod != 2))
     held = docs.select("doc_id", F.coalesce(mod == 2, F.lit(False)).alias("held_out"), "text")
