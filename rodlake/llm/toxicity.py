@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scored
+from .common import lookup, save, scored
 from .langid import remainder
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -60,31 +60,69 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1500, width: int = 20_000, rounds: int = 120) -> Model:
-    """Fit on a bounded sample: about ``per_class`` labelled rows of each class, up to ``width`` characters of each.
+@dataclass
+class Bags:
+    """Sentences as sums of features: entry e is feature ids[e] of sentence owner[e], sentence s belongs to document bag[s]."""
+
+    ids: np.ndarray
+    owner: np.ndarray
+    bag: np.ndarray
+    y: np.ndarray
+    cost: np.ndarray  # weight of each document
+
+
+def loss(bags: Bags, w: np.ndarray, b: float) -> float:
+    """Negative log-likelihood of the noisy-or over documents."""
+    clean = _clean(bags, w, b)[1]
+    return float((bags.cost * np.where(bags.y == 1, -np.log(np.maximum(-np.expm1(clean), 1e-300)), -clean)).sum())
+
+
+def _clean(bags: Bags, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each sentence's probability, and the logarithm of each document's probability to hold no offence."""
+    p = np.minimum(_sigmoid(np.bincount(bags.owner, w[bags.ids], len(bags.bag)) + b), 1 - 1e-9)
+    return p, np.bincount(bags.bag, np.log1p(-p), len(bags.y))
+
+
+def gradient(bags: Bags, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """Of ``loss``, by the features' weights and the bias."""
+    p, log_clean = _clean(bags, w, b)
+    clean = np.exp(log_clean)
+    pull = bags.cost * np.where(bags.y == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0)
+    g = pull[bags.bag] * p
+    return np.bincount(bags.ids, g[bags.owner], len(w)), float(g.sum())
+
+
+def _sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, per_class: int) -> list[tuple[int, str]]:
+    """About ``per_class`` rows (label, text) of each class with whole texts; equal rows count once.
+
+    Labels are chosen first, by a hash of the key, so only the chosen few meet the
+    texts; if ids repeat and more rows meet them, these are thinned by a hash of id and text.
+    """
+    million, mark = 1_000_000, lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000))
+    share = lambda n: F.when(F.col("_label") == 1, int(million * min(1, per_class / max(1, n.get(1, 0))))).otherwise(int(million * min(1, per_class / max(1, n.get(0, 0)))))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).distinct()
+    chosen = save(known.where(mark("_key") < share({r[0]: r[1] for r in known.groupBy("_label").count().collect()})), "toxic-labels")
+    met = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull()).join(lookup(chosen, 20 * per_class), "_key")
+    n = {r[0]: r[1] for r in met.groupBy("_label").count().collect()}
+    rows = met.withColumn("_drawn", F.xxhash64("_key", "_text")).where(F.pmod(F.xxhash64("_drawn"), F.lit(million)) < share(n))
+    return sorted(tuple(r) for r in rows.dropDuplicates(["_label", "_drawn"]).select("_label", "_text").collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1500, rounds: int = 120) -> Model:
+    """Fit on a bounded sample: about ``per_class`` labelled rows of each class, whole texts.
 
-    Rows of ``labels`` are chosen by a hash of the key, so only the chosen few meet
-    the texts. Null keys, labels and texts are left out. Without rows of both classes
-    the model scores every text alike.
+    Null keys, labels and texts are left out; a document with both labels counts once
+    for each. Without rows of both classes the model scores every text alike.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label)
-    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    if len(counts) < 2:
-        return Model({}, -20.0 if not counts.get(1) else 20.0)
-    mark = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000))
-    chance = F.when(F.col(label) == 1, int(1e6 * min(1, per_class / counts[1]))).otherwise(int(1e6 * min(1, per_class / counts[0])))
-    chosen = F.broadcast(known.where(mark < chance).limit(4 * per_class))
-    rows = docs.select(key, text).where(F.col(text).isNotNull()).join(chosen, key).select(label, F.substring(text, 1, width)).limit(4 * per_class).collect()
-    if not rows:
-        return Model({}, -20.0)
+    rows = _sample(docs, labels, text, label, key, per_class)
     y = np.array([r[0] for r in rows], np.float64)
     if len(set(y)) < 2:
-        return Model({}, -20.0 if not y.any() else 20.0)
-    bags = [[[f for w in s.split() for f in features(w)] for s in sentences(r[1])] or [[]] for r in rows]
+        return Model({}, 20.0 if len(y) and y.all() else -20.0)
+    # the features of one document at a time are held, besides their counts
     df: dict[bytes, list[int]] = {}
-    for t, bag in zip(y, bags):
-        for f in {f for s in bag for f in s}:
-            df.setdefault(f, [0, 0])[int(t)] += 1
+    for t, text_ in rows:
+        for f in {f for w in {w for s in sentences(text_) for w in s.split()} for f in features(w)}:
+            df.setdefault(f, [0, 0])[t] += 1
     n1, n0 = y.sum(), (1 - y).sum()
     # features that label-1 documents hold more often than chance explains; only they can raise a sentence's score
     vocab, odds = {}, []
@@ -93,27 +131,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         if a + b >= 3 and a / n1 - b / n0 > SIGNIFICANT * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)):
             vocab[f] = len(odds)
             odds.append(np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5)))
-    odds = np.array(odds)
+    del df
     ids, owner, bag_of = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            k = [vocab[f] for f in s if f in vocab]
+    for d, (_, text_) in enumerate(rows):
+        for s in sentences(text_) or [b""]:
+            k = [vocab[f] for w in s.split() for f in features(w) if f in vocab]
             ids.extend(k)
             owner.extend([len(bag_of)] * len(k))
             bag_of.append(d)
-    ids, owner, bag_of = np.array(ids, np.int64), np.array(owner, np.int64), np.array(bag_of, np.int64)
-    w, b = np.maximum(odds, 0.0), BIAS
+    bags = Bags(np.array(ids, np.int64), np.array(owner, np.int64), np.array(bag_of, np.int64), y, np.where(y == 1, 0.5 / n1, 0.5 / n0))
+    w, b = np.maximum(np.array(odds), 0.0), BIAS
     sw, sb = np.full_like(w, 1e-6), 1e-6
-    cost = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     for _ in range(rounds):  # AdaGrad on the noisy-or likelihood
-        p = np.minimum(_sigmoid(np.bincount(owner, w[ids], len(bag_of)) + b), 1 - 1e-9)
-        clean = np.exp(np.bincount(bag_of, np.log1p(-p), len(y)))
-        pull = cost * np.where(y == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0)
-        g = pull[bag_of] * p
-        gw = np.bincount(ids, g[owner], len(w)) + 1e-6 * w
+        gw, gb = gradient(bags, w, b)
+        gw = gw + 1e-6 * w
         sw += gw * gw
         w = np.maximum(w - 0.3 * gw / np.sqrt(sw), 0)
-        gb = g.sum()
         sb += gb * gb
         b = min(b - 0.2 * gb / np.sqrt(sb), BIAS)
     return Model({f: float(w[i]) for f, i in vocab.items() if abs(w[i]) > 0.05}, float(b))
@@ -158,7 +191,9 @@ def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each document, plus the offending sentences.
 
     Learned from the labelled documents that are not held out; a document with
-    several labels counts once for each, one with a null id never.
+    several labels counts once for each, one with a null id never. Null, empty and blank
+    texts: score 0, predicted 0. Repeated ids keep their rows; further columns are
+    ignored. Empty documents: no rows; no labels: one score for all texts with words.
     """
     mod = remainder("doc_id", 3)
     model = fit(docs, labels.where(mod != 1))
