@@ -14,7 +14,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, lookup, save
+from .common import aside, discard, lookup, save
 
 _UPPER, _DIGITS, _MARKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!#$%&*+;<=>@^_~"
 #: Upper ends of the bins of each feature.
@@ -67,36 +67,47 @@ def normalised(p: Column) -> Column:
     return F.transform(p, lambda x: F.round(x / F.aggregate(p, F.lit(0.0), lambda s, y: s + y), 9))
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """The rate after the steps: from 1, each step subtracts p . step and cuts at 0."""
+def rate(p: Column, steps: list[list[float]], start: Column | None = None) -> Column:
+    """The rate after the steps: from ``start`` (default 1), each step subtracts p . step and cuts at 0."""
+    start = F.lit(1.0) if start is None else start
     if not steps:
-        return F.lit(1.0)
+        return start
     table = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
     dot = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-    return F.aggregate(table, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
+    return F.aggregate(table, start, lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
-def fit_rates(mass: DataFrame, target: list[float], rounds: int = 60, tolerance: float = 1e-4) -> list[list[float]]:
-    """Steps for ``rate``: projected gradient on sum over (p, tokens) of rate * tokens * p = target, in shares of all tokens.
+#: Rounds beyond which the fit cannot settle.
+MOST = 1000
 
-    ``target``: tokens that each domain shall have. Each round is one aggregation of
-    as many sums as there are domains; nothing else reaches the driver. The step is
-    1 / (largest sum of p . p weighted by tokens), a bound of the curvature.
+
+def fit_rates(mass: DataFrame, target: list[float], tolerance: float = 1e-4) -> list[list[float]]:
+    """Steps for ``rate``: projected gradient on sum over (p, tokens) of rate * tokens * p = target.
+
+    ``target``: tokens that each domain shall have. Squares are weighted by the largest
+    row sum bound of each domain, which makes 1 a safe step and lets rare domains move as fast
+    as large ones. Stops when every sum is within ``tolerance`` of its target (as a share
+    of the target), or when no rate moves any more: the targets can't be met then, and
+    the rates are the nearest. Raises if neither comes. A round carries the rates along
+    in a table of distinct posteriors; only as many sums as domains reach the driver.
     """
     k = len(target)
     total = mass.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return []
     gram = mass.agg(*[F.sum(F.col("tokens") * F.element_at("p", i + 1) * F.element_at("p", j + 1)) for i in range(k) for j in range(k)]).first()
-    curve = max(sum(abs(gram[i * k + j]) for j in range(k)) for i in range(k)) / total  # the largest row sum bounds the largest eigenvalue
-    steps: list[list[float]] = []
-    for _ in range(rounds):
-        sums = mass.select("tokens", "p", rate(F.col("p"), steps).alias("r")).agg(*[F.sum(F.col("r") * F.col("tokens") * F.element_at("p", i + 1)) for i in range(k)]).first()
-        rest = [(s - t) / total for s, t in zip(sums, target)]
-        if max(map(abs, rest)) <= tolerance:
-            break
-        steps.append([x / curve for x in rest])
-    return steps
+    curve = [sum(abs(gram[i * k + j]) for j in range(k)) for i in range(k)]  # scaled by these row sums the largest eigenvalue is at most 1
+    now, steps, moved = mass.select("p", "tokens", F.lit(1.0).alias("r")), [], None
+    for _ in range(MOST):
+        out = now.agg(*[F.sum(F.col("r") * F.col("tokens") * F.element_at("p", i + 1)) for i in range(k)], *([F.max(F.abs(F.col("r") - F.col("was")))] if steps else [])).first()
+        rest, moved = [(s or 0.0) - t for s, t in zip(out, target)], out[k] if steps else None
+        if all(abs(x) <= tolerance * max(t, tolerance * total) for x, t in zip(rest, target)) or moved is not None and moved <= 1e-9:
+            return steps
+        steps.append([x / c if c else 0.0 for x, c in zip(rest, curve)])
+        new = save(now.select("p", "tokens", F.col("r").alias("was"), rate(F.col("p"), steps[-1:], F.col("r")).alias("r")), "mix-rates")
+        discard(now)
+        now = new
+    raise RuntimeError("rates did not settle")
 
 
 def soft_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,12 +153,19 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, domain, posterior, rate, copies of each document, mixed to WEIGHTS by the quality labels."""
+    """doc_id, n_tokens, domain, posterior, rate, copies of each document, mixed to WEIGHTS by the quality labels.
+
+    Nulls, empty texts, ties, repeated ids and empty tables as in ``soft_mix``; further columns are ignored.
+    """
     return soft_mix(docs.select("doc_id", "text"), quality_domains(labels), WEIGHTS)
 
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have a copy in the mix; all columns kept. Texts are not shuffled unless the dropped rows outgrow a broadcast."""
+    """The rows of ``docs`` that have a copy in the mix; all columns kept, whatever their names.
+
+    Texts are not shuffled unless the dropped rows outgrow a broadcast. Null ids and
+    texts are rows like any other; equal rows stay or go together. Empty table: no rows.
+    """
     plan = soft_mix(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("gone")), quality_domains(labels), WEIGHTS)
     gone = lookup(save(plan.where("copies = 0").select("gone").distinct(), "mix-gone"), 1_000_000)
     plain, named = aside(docs)
