@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, save
+from .common import crowded, discard, lookup, salted, save
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,6 +55,8 @@ def host_links(pages: DataFrame, host: Column, html: str = "html") -> DataFrame:
     return ends.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
+#: Links of one host that one task joins; hubs with more are dealt over several.
+HUB = 200_000
 #: Rounds beyond which propagation cannot settle: the change shrinks by the damping in each, so about 90 do at 0.85.
 MOST = 1000
 
@@ -74,9 +76,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     rated = edges.join(out, "src").join(into, "dst")
     rated = save(rated.select("src", "dst", (F.col("links") / F.col("out")).alias("down"), (F.col("links") / F.col("into")).alias("up")), "hosts-edges")
     now = save(seeds.select("host", "trust", "distrust"), "hosts")
+    hubs, aims = (crowded(rated, c, HUB) for c in ("src", "dst"))
     for _ in range(MOST if rounds is None else rounds):
-        down = rated.join(now.where("trust > 0"), rated["src"] == now["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("down")).alias("t"), F.lit(0.0).alias("d"))
-        up = rated.join(now.where("distrust > 0"), rated["dst"] == now["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("up")).alias("d"))
+        from_ = salted(rated, now.where("trust > 0").select(F.col("host").alias("src"), "trust"), "src", hubs, F.col("dst"))
+        down = from_.select(F.col("dst").alias("host"), (F.col("trust") * F.col("down")).alias("t"), F.lit(0.0).alias("d"))
+        back = salted(rated, now.where("distrust > 0").select(F.col("host").alias("dst"), "distrust"), "dst", aims, F.col("src"))
+        up = back.select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("up")).alias("d"))
         start = seeds.select("host", F.col("trust") * (1 - damping), F.col("distrust") * (1 - damping))
         moved = down.select("host", F.col("t") * damping, F.col("d") * damping).union(up.select("host", F.col("t") * damping, F.col("d") * damping))
         summed = start.union(moved).toDF("host", "t", "d").groupBy("host").agg(F.sum("t").alias("trust"), F.sum("d").alias("distrust"))
@@ -102,8 +107,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page: str
     and all subdomains if the path starts with the rule's; the longest wins and gives
     the verdict. Without a rule the host's standing does: block if distrust is more
     than ``share`` of trust plus distrust, else allow (so also for hosts that neither
-    reaches, and for empty hosts). Null html has no links. Null and repeated ids keep
-    their rows; further columns are ignored.
+    reaches, and for empty hosts); distrust of exactly ``share`` is allowed. Null and
+    empty html has no links; whole pages are read, however long. Null and repeated ids
+    keep their rows; further columns are ignored. Empty table: no rows.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     each = pages.select(F.col(page).alias("page"), host.alias("host"), path.alias("path"))
