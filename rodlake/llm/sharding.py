@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, ranked, save
+from .common import aside, crowded, discard, lookup, ranked, salted, save
 
 #: Ranks of moves: gain in powers of two, then a hash, so that a full shard takes the best moves first.
 LEVELS, DEALS = 40, 64
@@ -23,6 +23,8 @@ LEVELS, DEALS = 40, 64
 PATIENCE, LEAST = 6, 1e-3
 #: Vertices are split into pieces of about a PIECES-th of a shard, as a full shard exchanges whole vertices only.
 PIECES = 64
+#: Rows or vertices of one hub that one task joins; hubs with more are dealt over several.
+HUB = 200_000
 #: Between rounds a shard may hold a SLACK-th more than its quota, if rows without links leave no places; the end takes it back.
 SLACK = 64
 
@@ -73,10 +75,10 @@ def _cuts(sums: list[tuple[int, int, int, int]], room: list[int]) -> tuple[np.nd
     return cut, taken
 
 
-def _round(vertices: DataFrame, quota: list[int], turn: int, closed: set[int]) -> tuple[DataFrame, set[int], float, int]:
+def _round(vertices: DataFrame, quota: list[int], turn: int, closed: set[int], crowd: DataFrame | None = None) -> tuple[DataFrame, set[int], float, int]:
     """One step of propagation over (v, n, hubs, shard).
 
-    closed: shards that no vertex may wish for now. Returns the moved table, the shards that
+    crowd: hubs of many vertices, from ``crowded``. closed: shards that no vertex may wish for now. Returns the moved table, the shards that
     took in under an eighth of what wished for them, the links kept before this step
     (ordered pairs of rows in one hub and one shard) and the weight that moved.
     """
@@ -89,7 +91,7 @@ def _round(vertices: DataFrame, quota: list[int], turn: int, closed: set[int]) -
     ends = vertices.select("v", "n", "shard", F.element_at("hubs", 1).alias("h"), F.explode("hubs").alias("hub"))
     held = save(ends.groupBy("hub", "shard").agg(F.sum("n").alias("c")).groupBy("hub").agg(F.collect_list(F.struct("shard", "c")).alias("held")), "lp-hubs")
     kept = held.agg(F.sum(F.aggregate("held", F.lit(0.0), lambda a, x: a + x["c"].cast("double") * x["c"]))).first()[0] or 0.0
-    votes = ends.join(held, "hub").select("v", "n", "h", F.col("shard").alias("own"), F.explode("held").alias("x"))
+    votes = salted(ends, held, "hub", crowd, F.col("v")).select("v", "n", "h", F.col("shard").alias("own"), F.explode("held").alias("x"))
     votes = votes.groupBy("v", "n", "h", "own", F.col("x.shard").alias("to")).agg(F.sum("x.c").alias("c"))
     here = F.max(F.when(F.col("to") == F.col("own"), F.col("c")).otherwise(0))
     # a vertex may stay, or go where the shard is not closed; most votes, then a shard that all documents of a hub agree on and that differs from hub to hub
@@ -120,11 +122,14 @@ def balanced_shards(docs: DataFrame, hubs: Column, key: list[Column], shards: in
     Empty table: no rows. ``docs`` should be narrow: its rows are shuffled.
     """
     kept = docs.columns
-    base = save(docs.select(*kept, F.xxhash64(*key).alias("_node"), hubs.alias("_hubs")), "lp-base")
+    # _row tells equal rows apart; it is drawn once, as the table is written
+    base = save(docs.select(*kept, F.xxhash64(*key).alias("_node"), hubs.alias("_hubs"), F.monotonically_increasing_id().alias("_row")), "lp-base")
     total = base.count()
+    equal = crowded(base, "_node", 1000)
     link = base.select("_node", F.explode(F.array_distinct("_hubs")).alias("hub")).where("hub is not null")
-    live = save(link.groupBy("hub").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("hub"), "lp-live")
-    mine = save(link.distinct().join(live, "hub").groupBy("_node").agg(F.sort_array(F.collect_list("hub")).alias("hubs")), "lp-links")
+    live = save(link.groupBy("hub").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "lp-live")
+    busy = live.where(F.col("rows") > HUB).select("hub", F.ceil(F.col("rows") / HUB).cast("int").alias("_parts"))
+    mine = save(salted(link.distinct(), live.select("hub"), "hub", busy if busy.limit(1).count() else None, F.col("_node")).groupBy("_node").agg(F.sort_array(F.collect_list("hub")).alias("hubs")), "lp-links")
     start = F.pmod(F.xxhash64("_node", F.lit("shard")), F.lit(shards)).cast("int")
     placed = base.drop("_hubs").join(mine, "_node", "left").withColumn("v", F.when(F.col("hubs").isNotNull(), F.xxhash64("hubs", start)))
     whole = save(placed, "lp-whole")
@@ -135,14 +140,15 @@ def balanced_shards(docs: DataFrame, hubs: Column, key: list[Column], shards: in
     placed = save(placed.drop("rows"), "lp-placed")
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     vertices = save(placed.where("v is not null").groupBy("v", "hubs", start.alias("shard")).agg(F.count(F.lit(1)).alias("n")).select("v", "n", "hubs", "shard"), "lp-vertices")
+    crowd = crowded(vertices.select(F.explode("hubs").alias("hub")), "hub", HUB)
     discard(base, live, mine, whole, heavy)
     turn, best, idle, closed = 0, 0.0, 0, set()
     while idle < PATIENCE:
-        vertices, crowded, links, moved = _round(vertices, quota, turn, closed)
-        if not closed and not crowded and not moved:
+        vertices, full, links, moved = _round(vertices, quota, turn, closed, crowd)
+        if not closed and not full and not moved:
             break  # no vertex wishes to move
         # who wished for a crowded shard may try the next best, until nothing moves and all are open again
-        closed = closed | crowded if moved or crowded else set()
+        closed = closed | full if moved or full else set()
         idle, best = (0, links) if links > best * (1 + LEAST) else (idle + 1, best)
         turn += 1
     load = [0] * shards
@@ -160,8 +166,11 @@ def balanced_shards(docs: DataFrame, hubs: Column, key: list[Column], shards: in
     named = placed.drop("hubs").join(vertices.select("v", "n", F.col("shard").alias("_s")), "v", "left")
     # documents of one vertex lie together, so that an overfull shard gives up whole groups first
     salt = F.when(F.col("n") <= 64, F.xxhash64("v")).otherwise(F.xxhash64("_node", F.lit(1)))
+    if equal is not None:  # rows that are repeated many times are dealt one by one
+        named = named.join(lookup(equal, 200_000), "_node", "left")
+        salt = F.when(F.col("_parts").isNotNull(), F.xxhash64("_node", "_row")).otherwise(salt)
     named = named.withColumn("_key", F.coalesce("_s", F.lit(-1)))
-    rank = ranked(named, "_key", [F.col("v"), F.col("_node"), *[F.col(f"`{c}`") for c in kept]], salt, total, "_rank")
+    rank = ranked(named, "_key", [F.col("v"), F.col("_node"), F.col("_row")], salt, total, "_rank")
     at = F.col("_s") + 1
     fits = F.col("_s").isNotNull() & (F.col("_rank") < F.element_at(_literal(stays), at))
     fill = F.when(F.col("_s").isNull(), F.col("_rank")).otherwise(F.col("_rank") - F.element_at(_literal(stays), at) + F.element_at(_literal(over), at))
@@ -182,31 +191,44 @@ def cut_edges(assigned: DataFrame, group: str) -> DataFrame:
     return sums.agg(F.sum((F.col("n") * F.col("n") - F.col("n")) / 2).alias("edges"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("cut"))
 
 
-def narrow(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1; null: 1), text_crc32 (null for null) of each document."""
-    data = F.col("text").cast("binary")
-    return docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64("text").alias("_text"), F.col("text").isNull().alias("_none"))
+def _size(text: str) -> Column:
+    """UTF-8 bytes plus 1; null: 1."""
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
 def text_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """All documents in shards under the law ``rows``; documents with equal texts are linked (null and empty texts are not)."""
-    given = narrow(docs)
-    hub = F.when((F.col("size") > 1) & ~F.col("_none"), F.array("_text")).otherwise(F.expr("cast(array() as array<bigint>)"))
-    out = balanced_shards(given.select("doc_id", "size", "text_crc32", "_text", "_none"), hub, [F.col("doc_id"), F.col("_text"), F.col("size")], shards)
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of all documents, under the law ``rows``.
+
+    Documents with equal texts are linked, empty ones too; a null text is equal to no
+    other, its size is 1 and its text_crc32 null. Null and repeated ids keep their rows;
+    equal rows are interchangeable, so which of them gets which place is open. Whole
+    texts count, however long. Further columns are ignored, whatever their names.
+    Empty table: no rows.
+    """
+    given = docs.select("doc_id", _size("text").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("_text"), F.col("text").isNull().alias("_none"))
+    hub = F.when(~F.col("_none"), F.array("_text")).otherwise(F.expr("cast(array() as array<bigint>)"))
+    out = balanced_shards(given, hub, [F.col("doc_id"), F.col("_text"), F.col("size")], shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 #: Characters that a line needs to link the documents that share it.
 LINE = 60
+#: Columns that ``line_shards`` adds.
+ADDED = ["size", "text_crc32", "shard", "slot"]
 
 
 def line_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, lang, source, n_chars, size, text_crc32, shard, slot; documents that share a line of LINE characters or more are linked."""
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= LINE), lambda x: F.xxhash64(x))
-    data = F.col("text").cast("binary")
-    given = docs.select(
-        "doc_id", "lang", "source", "n_chars", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"),
-        F.coalesce(F.array_distinct(lines), F.expr("cast(array() as array<bigint>)")).alias("_lines"),
-    )
-    out = balanced_shards(given, F.col("_lines"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards)
-    return out.drop("_lines")
+    """``docs`` plus size, text_crc32, shard and slot; documents that share a line of LINE characters or more are linked.
+
+    All columns stay; one named like a column added is replaced. Null texts have no lines,
+    size 1 and a null text_crc32. Null and repeated ids keep their rows; equal rows are
+    interchangeable. Texts are shuffled once, to meet their places. Empty table: no rows.
+    """
+    plain, _ = aside(docs)
+    plain = save(plain.withColumn("row", F.monotonically_increasing_id()), "ls-docs")
+    doc, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) >= LINE), lambda x: F.xxhash64(x))
+    given = plain.select("row", F.col(doc).alias("doc"), _size(text).alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"), F.coalesce(F.array_distinct(lines), F.expr("cast(array() as array<bigint>)")).alias("lines"))
+    out = balanced_shards(given, F.col("lines"), [F.col("doc"), F.col("text_crc32"), F.col("size")], shards).select("row", *ADDED)
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ADDED]
+    return plain.join(out, "row").select(*kept, *ADDED)
