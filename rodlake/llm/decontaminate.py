@@ -7,6 +7,10 @@ prefix: only texts with that shingle are candidates. Its offset in the window gi
 the one place where the window can start; places that start before the text or end
 after it are cut by the positional and length bounds, and the words of the rest are
 compared one by one.
+
+A small set of items is looked up in an index that every task holds. A larger one is
+joined in Spark: texts ship a row for each shingle that a sketch of the items' shingles
+lets through, with the words around it, and meet the windows on the shingle.
 """
 
 from __future__ import annotations
@@ -16,13 +20,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, save, scored
+from .common import aside, crowded, discard, lookup, salted, save, scored
 
-#: Bytes of item text whose index is broadcast at once; larger sets of items are joined block by block.
-BLOCK_BYTES = 8_000_000
+#: Bytes of item text whose index every task may hold (about 20 times that in memory); larger sets of items are joined.
+INDEX_BYTES = 1_000_000
+#: Bits of the sketch of the items' shingles, a multiple of 32768: its size is fixed, however many items there are.
+SKETCH = 1 << 26
+#: Rows of one shingle or window that one task joins.
+HOT = 200_000
 #: Words of documents that a worker compares at once.
 CHUNK_WORDS = 1 << 20
 SHINGLE = 3
@@ -36,7 +45,7 @@ def words(data: bytes | None) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Windows of one block of items. Widths k are 1 to SHINGLE; a window of fewer words than SHINGLE is one shingle."""
+    """Windows of the items. Widths k are 1 to SHINGLE; a window of fewer words than SHINGLE is one shingle."""
 
     vocab: dict[bytes, int]
     windows: dict[int, np.ndarray]  # length -> (windows, length) word ids, no two rows equal
@@ -110,7 +119,7 @@ def _within(n: int, k: int, ends: np.ndarray) -> np.ndarray:
 
 
 def count_shingles(docs: DataFrame, text: str, index: Index) -> dict[int, dict[int, int]]:
-    """Occurrences in all documents of every shingle of the block: k -> code -> count."""
+    """Occurrences in all documents of every shingle of the items: k -> code -> count."""
     wanted = index.shingle_codes()
 
     def run(batches):
@@ -130,7 +139,7 @@ def count_shingles(docs: DataFrame, text: str, index: Index) -> dict[int, dict[i
 
     got = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(run, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).collect()
     out: dict[int, dict[int, int]] = {}
-    for k, code, n in got:  # at most as many rows as the block has shingles
+    for k, code, n in got:  # at most as many rows as the items have shingles
         out.setdefault(k, {})[code] = n
     return out
 
@@ -192,43 +201,151 @@ def _block(docs: DataFrame, text: str, keep: list[str], ix: Index) -> DataFrame:
     return scored(docs, keep, F.col(text).cast("binary"), score, "n_words long, hits array<struct<first:long,past:long>>, items array<string>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """(win, n, w, item): the windows of items (i, t), as words between blanks; win is a hash of w."""
+
+    def run(batches):
+        for b in batches:
+            for item, t in zip(b.column(0).to_pylist(), b.column(1)):
+                w = words(t.as_py())
+                n = min(window, len(w))
+                made = [b" ".join(w[i : i + n]).decode("utf-8", "replace") for i in range(len(w) - n + 1)] if n else []
+                for i in range(0, len(made), 4096):
+                    part = made[i : i + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.int32()), pa.array(part), pa.array([item] * len(part))], names=["n", "w", "item"])
+
+    return items.mapInArrow(run, "n int, w string, item string").select(F.xxhash64("w").alias("win"), "n", "w", "item").distinct()
+
+
+def _code(shingle: bytes) -> int:
+    h = xxhash.xxh64_intdigest(shingle)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _sketch(codes: DataFrame) -> np.ndarray:
+    """A bit for each slot, set where a code of (code) falls; SKETCH bits reach the driver, whatever the input."""
+    slot = F.pmod(F.col("code"), F.lit(SKETCH)) + 1
+    got = codes.select(F.bitmap_bucket_number(slot).alias("at"), F.bitmap_bit_position(slot).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros(SKETCH // 8, np.uint8)
+    for at, bits in got:
+        part = np.frombuffer(bytes(bits), np.uint8)
+        out[(at - 1) * 4096 : (at - 1) * 4096 + len(part)] = part
+    return out
+
+
+def _joined(docs: DataFrame, text: str, items: DataFrame, window: int) -> DataFrame:
+    """(t1, t2, hits, items) of the texts that hold a window of items (i, t); t1 and t2 are two hashes of the text."""
+    spark = docs.sparkSession
+    found = save(_windows(items, window), "dc-windows")
+    wins = save(found.groupBy("win", "w").agg(F.first("n").alias("n")), "dc-wins")
+    lengths = sorted({min(SHINGLE, r[0]) for r in wins.select("n").distinct().collect()})  # at most as many as words of a window
+
+    def cut(batches):
+        for b in batches:
+            got = []
+            for win, n, w in zip(*(b.column(c).to_pylist() for c in range(3))):
+                parts, k = w.encode().split(b" "), min(SHINGLE, n)
+                got += [(win, _code(b" ".join(parts[i : i + k])), i) for i in range(n - k + 1)]
+            cols = list(zip(*got)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["win", "code", "off"])
+
+    parts = save(wins.select("win", "n", "w").mapInArrow(cut, "win long, code long, off int"), "dc-shingles")
+    given = docs.select(F.col(text).cast("binary").alias("t"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).where("t is not null")
+
+    def passing(sketch, data: bytes):
+        """(words, codes, places) of the shingles that the sketch lets through, for each length."""
+        w = words(data)
+        for k in lengths:
+            if len(w) >= k:
+                shingles = w if k == 1 else list(map(b" ".join, zip(*(w[i:] for i in range(k)))))
+                code = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+                slot = (code % np.uint64(SKETCH)).astype(np.int64)
+                at = np.flatnonzero(sketch.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                yield w, k, code.view(np.int64)[at], at
+
+    wide = spark.sparkContext.broadcast(_sketch(parts.select("code")))
+
+    def count(batches):
+        for b in batches:
+            got = [c for t in b.column(0) for _, _, c, _ in passing(wide, t.as_py())]
+            code, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+    often = save(given.select("t").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("seen")), "dc-often")
+    # a shingle that no text holds rules its window out; of the others the rarest, leftmost one is the prefix
+    rated = parts.join(often, "code", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "off", "code")).alias("p"))
+    prefix = save(rated.where("p.seen > 0").select("win", "p.code", "p.off").join(wins, "win"), "dc-prefix")
+    narrow = spark.sparkContext.broadcast(_sketch(prefix.select("code")))
+    schema = "t1 long, t2 long, code long, at int, left int, around array<string>"
+
+    def meet(batches):
+        for b in batches:
+            for t, t1, t2 in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                for w, k, code, at in passing(narrow, t.as_py()):
+                    for i in range(0, len(at), 4096):
+                        here = at[i : i + 4096].tolist()
+                        around = [[x.decode("utf-8", "replace") for x in w[max(0, p - window + k) : p + window]] for p in here]
+                        yield pa.RecordBatch.from_arrays([pa.array([t1] * len(here), pa.int64()), pa.array([t2] * len(here), pa.int64()), pa.array(code[i : i + 4096]), pa.array(here, pa.int32()), pa.array([min(p, window - k) for p in here], pa.int32()), pa.array(around, pa.list_(pa.string()))], names=["t1", "t2", "code", "at", "left", "around"])
+
+    # equal texts ship their shingles once a task
+    places = save(given.mapInArrow(meet, schema).distinct(), "dc-places")
+    both = salted(places, prefix, "code", crowded(places, "code", HOT), F.struct("t1", "at")).where((F.col("off") <= F.col("left")) & (F.size("around") - F.col("left") + F.col("off") >= F.col("n")))
+    same = F.array_join(F.slice("around", F.col("left") - F.col("off") + 1, F.col("n")), " ") == F.col("w")
+    first = F.col("at") - F.col("off")
+    hits = save(both.where(same).select("t1", "t2", "win", "w", first.cast("long").alias("first"), (first + F.col("n")).cast("long").alias("past")).distinct(), "dc-hits")
+
+    def runs(batches):
+        for b in batches:
+            out = []
+            for spans in b.column(2).to_pylist():  # by first word; the windows of a text are at most as many as its words and lengths
+                merged: list[dict] = []
+                for x in spans:
+                    if merged and x["first"] <= merged[-1]["past"]:
+                        merged[-1]["past"] = max(merged[-1]["past"], x["past"])
+                    else:
+                        merged.append(dict(x))
+                out.append(merged)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, b.schema.field(2).type)], names=["t1", "t2", "hits"])
+
+    spans = hits.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("first", "past"))).alias("hits")).mapInArrow(runs, "t1 long, t2 long, hits array<struct<first:long,past:long>>")
+    held = hits.select("t1", "t2", "win", "w").distinct()
+    named = salted(held, found.select("win", F.col("w").alias("same"), "item"), "win", crowded(held, "win", HOT), F.col("t1")).where("w = same").select("t1", "t2", "item").distinct()
+    named = named.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    united = save(spans.join(named, ["t1", "t2"]), "contamination")
+    discard(found, wins, parts, often, prefix, places, hits)
+    wide.unpersist()
+    narrow.unpersist()
+    return united
+
+
+def _n_words(text: str):
+    return F.size(F.filter(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda x: x != "")).cast("long")
+
+
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None, item: str = "item_id", item_text: str = "text", window: int = 13, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``keep`` (default: all columns) plus n_words, hits and items for each document.
 
     hits: the runs (first, past) of words inside any occurrence of a window, in word
     numbers; items: the ids, as sorted strings, of the items with such windows. A
     window is ``window`` consecutive words of an item; an item of fewer words, but not
     none, is one window. Null and wordless texts have no words. Items with a null id
-    or no words match nothing; items that repeat an id count as one. Columns of the
-    input named like an output are replaced.
+    or no words match nothing; items that repeat an id count as one. Whole texts are
+    read, however long; repeated rows have equal results. Columns of the input named
+    like an output are replaced. Empty documents: no rows; no items: no hits.
 
-    The items' index is broadcast if their text is within ``block_bytes``; beyond it
-    the items are joined in blocks of that size and the blocks' hits are united.
+    The items are looked up in an index if their text is within ``index_bytes``; beyond
+    that they are joined, and texts are read twice in narrow form.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "hits", "items")]
     known = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t"))
     total = known.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    parts = []
-    for k in range(blocks):
-        index = build(sorted((r[0], bytes(r[1])) for r in known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toLocalIterator()), window)
+    if total <= index_bytes:
+        index = build(sorted((r[0], bytes(r[1])) for r in known.collect()), window)
         index.choose(count_shingles(docs, text, index))
-        if blocks == 1:
-            return _block(docs, text, keep, index)
-        parts.append(save(_block(docs.withColumn("_key", F.xxhash64(text)), text, [*keep, "_key"], index), "contamination"))
-    base, key = parts[0], [*keep, "_key"]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    found = found.where("size(items) > 0").select(F.xxhash64(*key).alias("_k"), F.explode("hits").alias("h"), "items")
-    words_hit = found.select("_k", F.explode(F.expr("sequence(h.first, h.past - 1)")).alias("w")).distinct().groupBy("_k").agg(F.sort_array(F.collect_list("w")).alias("w"))
-    names = found.select("_k", F.explode("items").alias("i")).distinct().groupBy("_k").agg(F.sort_array(F.collect_list("i")).alias("i"))
-    # words in order to runs: word minus place is constant along a run
-    runs = F.expr("filter(transform(w, (x, n) -> struct(x as first, if(n + 1 = size(w) or w[n + 1] > x + 1, x + 1, null) as past, n = 0 or w[n - 1] < x - 1 as opens)), x -> x.opens or x.past is not null)")
-    spans = F.expr("transform(filter(r, x -> x.opens), x -> struct(x.first as first, array_min(transform(filter(r, y -> y.past > x.first), y -> y.past)) as past))")
-    united = save(words_hit.withColumn("r", runs).select("_k", spans.alias("hits")).join(names, "_k").withColumnRenamed("i", "items"), "contamination")
-    out = base.drop("hits", "items").withColumn("_k", F.xxhash64(*key)).join(united, "_k", "left")
-    return out.select(*keep, "n_words", F.coalesce("hits", F.expr("cast(array() as array<struct<first:long,past:long>>)")).alias("hits"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+        return _block(docs, text, keep, index)
+    united = lookup(_joined(docs, text, known, window), 200_000)
+    out = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(_n_words(text), F.lit(0)).alias("n_words"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).join(united, ["t1", "t2"], "left")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", F.coalesce("hits", F.expr("cast(array() as array<struct<first:long,past:long>>)")).alias("hits"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
 def n_hit():
@@ -240,8 +357,12 @@ def is_contaminated():
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
-def contamination_report(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    found = contamination(docs.select("doc_id", "text"), items, keep=["doc_id"], block_bytes=block_bytes)
+def contamination_report(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each document.
+
+    Nulls, empty texts, repeated rows, ties and empty tables as in ``contamination``; further columns are ignored.
+    """
+    found = contamination(docs.select("doc_id", "text"), items, keep=["doc_id"], index_bytes=index_bytes)
     return found.select(
         "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
@@ -249,7 +370,7 @@ def contamination_report(docs: DataFrame, items: DataFrame, block_bytes: int = B
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated rows; all columns kept."""
+    """``docs`` without the contaminated rows; all columns kept, whatever their names. Null and wordless texts stay; empty table: no rows."""
     plain, named = aside(docs)
     found = contamination(plain, items, text=f"c{docs.columns.index('text')}", keep=plain.columns)
     return named(found.where(~is_contaminated()))

@@ -212,7 +212,7 @@ def test_contamination_matches_sql(spark):
     want = key(want)
     assert sum(r[2] > 0 for r in want) > 20
     assert key(decontaminate.contamination_report(df.withColumn("hits", F.lit(0)), bench).toPandas()) == want
-    assert key(decontaminate.contamination_report(df, bench, block_bytes=200).toPandas()) == want
+    assert key(decontaminate.contamination_report(df.withColumn("t1", F.lit(0)), bench, index_bytes=200).toPandas()) == want
     left = decontaminate.decontaminated(df, bench)
     assert left.columns == df.columns and left.count() == sum(not r[5] for r in want)
 
