@@ -30,7 +30,8 @@ BASE = {
 KINDS = [*BASE, "pem", "jwt", "openssh", "der"]
 
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\r?\n[A-Za-z0-9-]+:[^\r\n]*)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_CIPHER = re.compile(r"^DEK-Info:\s*(DES|AES|CAMELLIA|BF|IDEA|RC2|SEED)[A-Z0-9-]*,\s*((?:[0-9A-Fa-f]{16}){1,2})\s*$", re.M)
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEXES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{2}){24,}(?![0-9A-Fa-f])|(?<![0-9A-Fa-f])(?:[0-9A-F]{2}){24,}(?![0-9A-Fa-f])")
@@ -73,42 +74,88 @@ def children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """A private key: PKCS#8 (plain or encrypted), PKCS#1, DSA or SEC1, each nested length fitting exactly."""
+# Algorithms of PKCS#8 keys, as encoded object identifiers.
+RSA, EC, DSA = b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01", b"\x2a\x86\x48\xce\x3d\x02\x01", b"\x2a\x86\x48\xce\x38\x04\x01"
+
+
+def _sequence(data: bytes) -> list[tuple[int, int, int]] | None:
+    """The values of a SEQUENCE that is all of ``data``; None if it isn't one."""
     top = tlv(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
-        return False
-    parts = children(data, top[1], top[2])
+    return children(data, top[1], top[2]) if top and top[0] == 0x30 and top[2] == len(data) else None
+
+
+def _is_pkcs1(data: bytes) -> bool:
+    """RSA (version 0 or 1 and eight numbers) or DSA (version and five numbers): nothing but integers, and for RSA with several primes a last list."""
+    parts = _sequence(data) or []
+    tags = [p[0] for p in parts]
+    return len(tags) >= 6 and set(tags) <= {2, 0x30} and tags[:6] == [2] * 6 and data[parts[0][1] : parts[0][2]] in (b"\0", b"\1")
+
+
+def _is_sec1(data: bytes) -> bool:
+    parts = _sequence(data) or []
+    return [p[0] for p in parts[:2]] == [2, 4] and data[parts[0][1] : parts[0][2]] == b"\1" and 16 <= parts[1][2] - parts[1][1] <= 80
+
+
+def is_der_key(data: bytes) -> bool:
+    """A private key: PKCS#8 (plain or encrypted), PKCS#1, DSA or SEC1, each nested length fitting exactly.
+
+    The key that PKCS#8 holds in its octets must parse too, as its algorithm has it.
+    """
+    parts = _sequence(data)
     if not parts:
         return False
     tags = [p[0] for p in parts]
+    inside = [data[p[1] : p[2]] for p in parts]
     if tags[:3] == [2, 0x30, 4]:
-        inner = children(data, parts[1][1], parts[1][2])
-        return bool(inner) and inner[0][0] == 6
+        named = children(data, parts[1][1], parts[1][2])
+        if not named or named[0][0] != 6 or inside[0] not in (b"\0", b"\1") or not set(tags[3:]) <= {0xA0, 0x81, 0xA1}:
+            return False
+        kind, key = data[named[0][1] : named[0][2]], inside[2]
+        if kind == RSA:
+            return _is_pkcs1(key)
+        if kind == EC:
+            return _is_sec1(key)
+        held = tlv(key, 0, len(key))
+        return held is not None and held[2] == len(key) and (kind != DSA or held[0] == 2)
     if tags == [0x30, 4]:
-        inner = children(data, parts[0][1], parts[0][2])
-        return bool(inner) and inner[0][0] == 6 and parts[1][2] - parts[1][1] >= 16
-    if len(tags) >= 6 and set(tags) <= {2, 0x30} and tags[:6] == [2] * 6:
-        return data[parts[0][1] : parts[0][2]] in (b"\0", b"\1")
-    return tags[:2] == [2, 4] and data[parts[0][1] : parts[0][2]] == b"\1" and 16 <= parts[1][2] - parts[1][1] <= 80
+        named = children(data, parts[0][1], parts[0][2])
+        return bool(named) and named[0][0] == 6 and len(inside[1]) >= 16
+    return _is_pkcs1(data) or _is_sec1(data)
 
 
 def is_openssh(data: bytes) -> bool:
-    """The OpenSSH private key format: magic, then cipher, kdf, options, key count and length-prefixed blobs."""
+    """The OpenSSH private key format: magic, then cipher, kdf and options, the count of keys, their public blobs and the private blob, which ends the data.
+
+    Ciphers that authenticate leave a tag of 16 bytes behind the last blob.
+    """
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
         return False
-    at = len(magic)
-    for field in range(6):
-        if field == 3:  # number of keys
-            at += 4
-            continue
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        if at > len(data):
+    at, cipher = len(magic), b""
+
+    def field() -> bytes | None:
+        nonlocal at
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
+        at += 4 + n
+        return data[at - n : at]
+
+    for i in range(3):
+        got = field()
+        if got is None:
             return False
-    return True
+        cipher = cipher or got
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 64 or any(not field() for _ in range(keys + 1)):
+        return False
+    return len(data) - at == (16 if b"gcm" in cipher or b"poly1305" in cipher else 0)
+
+
+def is_encrypted_pem(headers: str, data: bytes) -> bool:
+    """The old encrypted form: its headers name the cipher and a start value as long as a block, of which the data holds whole ones."""
+    m = _CIPHER.search(headers)
+    return bool(m) and "ENCRYPTED" in headers and len(data) > 0 and len(data) % (len(m[2]) // 2) == 0
 
 
 def is_token_header(segment: str) -> bool:
@@ -125,8 +172,8 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = decode64(m[2])
-            if data and (is_der_key(data) or is_openssh(data)):
+            data = decode64(m[3])
+            if data and (is_der_key(data) or is_openssh(data) or is_encrypted_pem(m[2], data)):
                 out.append(("pem", *m.span()))
     if "." in text:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token_header(m[1])]
@@ -183,7 +230,12 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of each base kind, the digest of the base spans and all spans as text, for each document."""
+    """doc_id, counts of each base kind, the digest of the base spans and all spans as text, for each document.
+
+    Null and empty texts hold none; null and repeated ids keep their rows; spans that
+    start alike come in the order of their kinds. Whole texts are read; further columns
+    are ignored. Empty table: no rows.
+    """
     found = scan(docs.select("doc_id", "text"), keep=["doc_id"])
     said = "concat_ws(':', x.kind, cast(x.start as string), cast(x.end as string))"
     base = "x -> x.kind in ('assign', 'access', 'hex')"
