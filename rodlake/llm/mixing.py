@@ -77,36 +77,66 @@ def rate(p: Column, steps: list[list[float]], start: Column | None = None) -> Co
     return F.aggregate(table, start, lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
-#: Rounds beyond which the fit cannot settle.
-MOST = 1000
+#: Rounds beyond which the fit cannot settle, and the lengths of step that are tried in each.
+MOST, LENGTHS = 200, (1.0, 0.5, 0.25, 0.1, 0.03)
+
+
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """x of matrix x = right, by elimination; the matrix is symmetric and positive, as large as there are domains."""
+    k, rows = len(right), [[*m, r] for m, r in zip(matrix, right)]
+    for i in range(k):
+        top = max(range(i, k), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[top] = rows[top], rows[i]
+        for j in range(k):
+            if j != i:
+                f = rows[j][i] / rows[i][i]
+                rows[j] = [x - f * y for x, y in zip(rows[j], rows[i])]
+    return [rows[i][k] / rows[i][i] for i in range(k)]
 
 
 def fit_rates(mass: DataFrame, target: list[float], tolerance: float = 1e-4) -> list[list[float]]:
-    """Steps for ``rate``: projected gradient on sum over (p, tokens) of rate * tokens * p = target.
-
-    ``target``: tokens that each domain shall have. Squares are weighted by the largest
-    row sum bound of each domain, which makes 1 a safe step and lets rare domains move as fast
-    as large ones. Stops when every sum is within ``tolerance`` of its target (as a share
-    of the target), or when no rate moves any more: the targets can't be met then, and
-    the rates are the nearest. Raises if neither comes. A round carries the rates along
-    in a table of distinct posteriors; only as many sums as domains reach the driver.
+    """Steps for ``rate``: projected gradient on sum over (p, tokens) of rate * tokens * p = target, weighted least squares.
+
+    ``target``: tokens that each domain shall have. Squares are divided by each
+    domain's row sum of the Gram matrix, which makes the plain gradient a safe step. Of
+    it and of gradients scaled by the inverse Gram matrix of the rates above 0, at some
+    lengths, a round takes the one that leaves the least squares. Stops when every sum is
+    within ``tolerance`` of its target (as a share of the target), or when no step
+    lowers the squares by a millionth: the targets can't be met then, and the rates are the
+    nearest. Raises if neither comes. The rates stay in a table of distinct posteriors;
+    what reaches the driver are sums, as many as pairs of domains.
     """
     k = len(target)
     total = mass.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return []
-    gram = mass.agg(*[F.sum(F.col("tokens") * F.element_at("p", i + 1) * F.element_at("p", j + 1)) for i in range(k) for j in range(k)]).first()
-    curve = [sum(abs(gram[i * k + j]) for j in range(k)) for i in range(k)]  # scaled by these row sums the largest eigenvalue is at most 1
-    now, steps, moved = mass.select("p", "tokens", F.lit(1.0).alias("r")), [], None
+    p = [F.element_at("p", i + 1) for i in range(k)]
+    sums = lambda r: [F.sum(r * F.col("tokens") * x) for x in p]
+    gram = lambda held: [F.sum(F.when(held, F.col("tokens") * x * y).otherwise(0.0)) for x in p for y in p]
+    off = lambda got: [(s or 0.0) - t for s, t in zip(got, target)]
+    now, steps = mass.select("p", "tokens", F.lit(1.0).alias("r")), []
+    first = now.agg(*sums(F.col("r")), *gram(F.lit(True))).first()
+    curve = [sum(abs(first[k + i * k + j]) for j in range(k)) or 1.0 for i in range(k)]  # scaled by these row sums the largest eigenvalue is at most 1
+    squares = lambda rest: sum(x * x / c for x, c in zip(rest, curve))
+    rest, held = off(first[:k]), first[k:]
     for _ in range(MOST):
-        out = now.agg(*[F.sum(F.col("r") * F.col("tokens") * F.element_at("p", i + 1)) for i in range(k)], *([F.max(F.abs(F.col("r") - F.col("was")))] if steps else [])).first()
-        rest, moved = [(s or 0.0) - t for s, t in zip(out, target)], out[k] if steps else None
-        if all(abs(x) <= tolerance * max(t, tolerance * total) for x, t in zip(rest, target)) or moved is not None and moved <= 1e-9:
+        if all(abs(x) <= tolerance * max(t, tolerance * total) for x, t in zip(rest, target)):
+            return steps
+        tried = [[x / c for x, c in zip(rest, curve)]]
+        ridge = 1e-9 * max(curve)
+        newton = _solved([[held[i * k + j] + (ridge if i == j else 0.0) for j in range(k)] for i in range(k)], rest)
+        tried += [[a * x for x in newton] for a in LENGTHS]
+        found = now.agg(*[s for t in tried for s in sums(rate(F.col("p"), [t], F.col("r")))]).first()
+        left = [squares(off(found[i * k : i * k + k])) for i in range(len(tried))]
+        best = min(range(len(tried)), key=lambda i: left[i])
+        if not left[best] < squares(rest) * (1 - 1e-6):
             return steps
-        steps.append([x / c if c else 0.0 for x, c in zip(rest, curve)])
-        new = save(now.select("p", "tokens", F.col("r").alias("was"), rate(F.col("p"), steps[-1:], F.col("r")).alias("r")), "mix-rates")
+        steps.append(tried[best])
+        new = save(now.select("p", "tokens", rate(F.col("p"), steps[-1:], F.col("r")).alias("r")), "mix-rates")
         discard(now)
         now = new
+        got = now.agg(*sums(F.col("r")), *gram(F.col("r") > 0)).first()
+        rest, held = off(got[:k]), got[k:]
     raise RuntimeError("rates did not settle")
 
 
