@@ -45,4 +45,7 @@ def test_clashing_columns_survive(spark, tables):
     for _, stage in corpus_pipeline.STAGES[:4]:
         after = stage(spark, docs, tables)
         assert after.columns == docs.columns and after.count() > 100 and after.exceptAll(docs).count() == 0
-    assert corpus_pipeline.STAGES[4][1](spark, docs, tables).count() == 200
+    docs = docs.selectExpr("*", "'mine' as slot", "'row' as row")
+    out = corpus_pipeline.STAGES[4][1](spark, docs, tables)
+    kept = [c for c in docs.columns if c != "slot"]
+    assert out.columns == [*kept, "size", "text_crc32", "shard", "slot"] and out.select(*kept).exceptAll(docs.select(*kept)).count() == 0 and out.count() == 200
