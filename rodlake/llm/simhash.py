@@ -2,9 +2,11 @@
 
 Fingerprints are indexed in shards (a shard holds the fingerprints that agree in
 one table of bit positions), every shard gets a BK-tree, and a search follows only
-child edges within the radius. With ``radius + 1`` disjoint tables the search loses
-nothing: two fingerprints within the radius differ in at most ``radius`` tables. A
-shard that outgrows one task is dealt over block pairs, so every pair still meets.
+child edges within the radius. Exact tables keep all but ``radius`` of some disjoint
+runs of bits, in every combination: two fingerprints within the radius differ in at
+most ``radius`` runs, so they agree in one table. The more rows, the more runs and the
+longer keys, so that shards stay small. A shard that outgrows one task is dealt over
+block pairs, so every pair still meets.
 
 A tree task returns a spanning star for each group it finds, not its pairs; stars
 of all shards are joined by ``connected_components``.
@@ -12,6 +14,7 @@ of all shards are joined by ``connected_components``.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
@@ -56,28 +59,44 @@ def fingerprint(parts: list[bytes], seeds: tuple[int, ...]) -> np.ndarray:
 def fingerprints(docs: DataFrame, text: str, keep: list[str], k: int, seeds: tuple[int, ...], distinct: bool = False) -> DataFrame:
     """``keep`` plus fp0, fp1, ... (long, the bits of the unsigned word) for each row; null text has no words.
 
-    distinct: a shingle counts once, however often the text repeats it.
+    distinct: a shingle counts once, however often the text repeats it; adds their number, n_shingles.
     """
-    names = [f"fp{i}" for i in range(len(seeds))]
+    names = [f"fp{i}" for i in range(len(seeds))] + ["n_shingles"] * distinct
 
     def run(batches):
         for b in batches:
-            made = np.zeros((b.num_rows, len(seeds)), np.uint64)
+            made = np.zeros((b.num_rows, len(names)), np.uint64)
             for i, t in enumerate(b.column(b.num_columns - 1)):
                 data = t.as_py()
                 if data:
                     parts = shingles(data, k)
-                    made[i] = fingerprint(list(set(parts)) if distinct else parts, seeds)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(made[:, w].view(np.int64)) for w in range(len(seeds)))], names=[*keep, *names])
+                    parts = list(set(parts)) if distinct else parts
+                    made[i, : len(seeds)] = fingerprint(parts, seeds)
+                    if distinct:
+                        made[i, -1] = len(parts)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(made[:, w].view(np.int64)) for w in range(len(names)))], names=[*keep, *names])
 
     given = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
     schema = ", ".join([f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} long" for n in names])
     return given.mapInArrow(run, schema)
 
 
-def exact_tables(bits: int, radius: int) -> list[np.ndarray]:
-    """radius + 1 disjoint runs of bit positions: no pair within the radius differs in all."""
-    return np.array_split(np.arange(bits), radius + 1)
+def exact_tables(bits: int, radius: int, rows: int = 0) -> list[np.ndarray]:
+    """Sets of bit positions of which any two fingerprints within the radius agree in at least one.
+
+    All combinations of runs but ``radius`` of them, for the number of runs that ships
+    the fewest copies of ``rows`` rows: a table ships each row once, and once more for
+    every SHARD members that its key gathers.
+    """
+
+    def made(runs: int) -> list[np.ndarray]:
+        parts = np.array_split(np.arange(bits), runs)
+        return [np.concatenate(c) for c in itertools.combinations(parts, runs - radius)]
+
+    def copies(runs: int) -> float:
+        return math.comb(runs, radius) * max(1.0, rows / 2.0 ** (bits * (runs - radius) / runs) / SHARD)
+
+    return made(min(range(radius + 1, radius + 5), key=copies))
 
 
 def sampled_tables(bits: int, width: int, count: int, seed: int = 7) -> list[np.ndarray]:
@@ -161,7 +180,7 @@ def simhash_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     """
     each = save(fingerprints(docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_in")), "_in", ["_doc"], k, (42,)), "fp")
     unique = save(each.groupBy("fp0").agg(F.min("_doc").alias("least")), "fp-unique")
-    linked = save(connected_components(near(unique.select(F.col("fp0").alias("node"), "fp0"), 1, radius, exact_tables(64, radius))), "fp-linked")
+    linked = save(connected_components(near(unique.select(F.col("fp0").alias("node"), "fp0"), 1, radius, exact_tables(64, radius, unique.count()))), "fp-linked")
     held = save(linked.join(unique.withColumnRenamed("fp0", "node"), "node").select("node", "component", "least"), "fp-held")
     least = save(held.groupBy("component").agg(F.min("least").alias("smallest")), "fp-least")
     named = save(held.join(least, "component").select(F.col("node").alias("fp0"), "smallest"), "fp-named")
@@ -173,12 +192,30 @@ def simhash_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
 
 # ---- near duplicates by exact similarity, on SimHash candidates -------------------------------------------------
 
-#: Documents of a candidate cluster that one verification takes.
-BLOCK = 1024
+#: Documents, and bytes of shingle hashes, of a candidate cluster that one verification takes.
+BLOCK, BLOCK_BYTES = 128, 16 << 20
+#: The same where blocks are compared pair by pair.
+PAIRED = 512
+#: Rounds in which the heads of blocks that are still apart are dealt anew.
+DEALS = 8
+
+
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """(node, component, set): the distinct shingle hashes of (node, component, _text), sorted, as packed 64-bit words."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):  # a set at a time: texts may be long
+                parts = shingles(b.column(2)[i].as_py() or b"", k)
+                made = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in parts), np.uint64, len(parts)))
+                one = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([made.tobytes()], pa.binary())], names=["node", "component", "set"])
 
+    return rows.select("node", "component", "_text").mapInArrow(run, "node long, component long, set binary")
 
-def _verify(similarity: float, k: int) -> Callable:
-    """Exact Jaccard of shingle sets within each unit of (unit, node, given, text), as stars (src, dst).
+
+def _verify(similarity: float) -> Callable:
+    """Exact Jaccard of shingle sets within each unit of (unit, node, given, set), as stars (src, dst).
 
     Documents with one ``given`` are known to be linked already; only pairs that are not are compared.
     """
@@ -210,17 +247,19 @@ def _verify(similarity: float, k: int) -> Callable:
         return node[bound], node[label[bound]]
 
     def run(batches):
-        units: dict[int, tuple[list, list, list]] = {}
+        # rows come sorted by unit, so one unit is held at a time
+        now, ids, given, sets = None, [], [], []
         for b in batches:
             for u, n, g, t in zip(*(c.to_pylist() for c in b.columns)):
-                ids, given, sets = units.setdefault(u, ([], [], []))
+                if u != now and len(ids) > 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(np.array(ids, np.int64), np.array(given, np.int64), sets)], names=["src", "dst"])
+                if u != now:
+                    now, ids, given, sets = u, [], [], []
                 ids.append(n)
                 given.append(g)
-                parts = shingles(t or b"", k)
-                sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in parts), np.uint64, len(parts))))
-        for ids, given, sets in units.values():
-            a, b = stars(np.array(ids, np.int64), np.array(given, np.int64), sets)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
+                sets.append(np.frombuffer(t, np.uint64))
+        if len(ids) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(np.array(ids, np.int64), np.array(given, np.int64), sets)], names=["src", "dst"])
 
     return run
 
@@ -233,66 +272,126 @@ def _class(text: str):
 def _verified(docs: DataFrame, doc: str, text: str, member: DataFrame, similarity: float, k: int) -> DataFrame:
     """Stars (src, dst) that span the linked documents of each candidate cluster; member: (node, component, _doc).
 
-    A cluster of up to BLOCK documents is compared in one task. A larger one is first
-    compared within blocks, each document once; then the smallest documents of what the
-    blocks found, of all blocks. Only clusters that are still in several parts are
-    compared over all pairs of blocks, without the pairs that are joined already.
+    Shingle sets are made once. A cluster is compared in blocks of up to BLOCK documents
+    and BLOCK_BYTES of sets; then the smallest documents of what was found, of all blocks,
+    are dealt into blocks anew, as long as that brings them down. Only clusters that are
+    still in several parts are compared over all pairs of blocks, without the pairs that
+    are joined already.
     """
     member = save(member.select("node", "component", "_doc"), "nd-member")
     asked = lookup(member.withColumnRenamed("node", "_class"), 500_000)
     one = docs.select(F.col(doc).alias("_doc"), _class(text).alias("_class"), F.col(text).cast("binary").alias("_text"))
     one = one.join(asked, one["_doc"].eqNullSafe(asked["_doc"]) & (one["_class"] == asked["_class"])).select(one["_class"].alias("node"), "component", "_text")
-    one = save(one, "nd-texts")
+    one = save(_sets(one, k), "nd-sets")
+    sizes = save(one.select("node", "component", F.length("set").alias("bytes")), "nd-sizes")
 
     def compared(rows: DataFrame) -> DataFrame:
-        """Stars of (unit, node, given, _text)."""
-        return save(rows.repartition(max(12, rows.count() // 1000), "unit").mapInArrow(_verify(similarity, k), "src long, dst long"), "nd-link")
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        size = rows.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-        return rows.join(lookup(save(size.where(F.col(name) > 1), "nd-size"), 200_000), "component", "left").withColumn(name, F.coalesce(name, F.lit(1)))
-
-    dealt = save(blocks(member.select("node", "component"), "blocks"), "nd-dealt")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    given = one.join(dealt.select("node", "blocks"), "node")
-    found = compared(given.select(F.xxhash64("component", mine).alias("unit"), "node", F.col("node").alias("given"), "_text"))
-    large = dealt.where("blocks > 1")
+        """Stars of (unit, node, given, set)."""
+        parts = max(12, rows.count() // 1000)
+        return save(rows.select("unit", "node", "given", "set").repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_verify(similarity), "src long, dst long"), "nd-link")
+
+    def blocks(rows: DataFrame, many: int) -> DataFrame:
+        """(node, component, blocks) of rows: blocks of ``many`` documents or BLOCK_BYTES of sets."""
+        held = rows.join(sizes, ["node", "component"])
+        need = F.greatest(F.ceil(F.count(F.lit(1)) / many), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+        large = save(held.groupBy("component").agg(need.alias("blocks")).where("blocks > 1"), "nd-size")
+        return rows.join(lookup(large, 200_000), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+    def part_of(turn: int):
+        return F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
+
+    everyone = member.select("node", "component")
+    dealt = save(blocks(everyone, BLOCK), "nd-dealt")
+    found = compared(one.join(dealt.select("node", F.xxhash64("component", part_of(0)).alias("unit")), "node").withColumn("given", F.col("node")))
+    large = dealt.where("blocks > 1").select("node", "component")
     if not large.limit(1).count():
         return found
 
     def parts(links: DataFrame) -> DataFrame:
-        """(node, component, blocks, given) of large clusters that ``links`` leave in several parts."""
+        """(node, component, given) of large clusters that ``links`` leave in several parts."""
         label = connected_components(links).withColumnRenamed("component", "given")
         now = save(large.join(label, "node", "left").withColumn("given", F.coalesce("given", "node")), "nd-parts")
         several = now.groupBy("component").agg(F.min("given").alias("a"), F.max("given").alias("b")).where("a <> b").select("component")
         return save(now.join(lookup(save(several, "nd-several"), 200_000), "component", "left_semi"), "nd-parts")
 
-    heads = blocks(parts(found).where("node = given").select("node", "component"), "heads")
-    unit = F.xxhash64("component", F.lit("heads"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("heads")))
-    found = found.union(compared(one.join(heads.select("node", "heads"), "node").select(unit.alias("unit"), "node", F.col("node").alias("given"), "_text")))
+    before = None
+    for turn in range(1, DEALS + 1):
+        heads = save(blocks(parts(found).where("node = given").select("node", "component"), BLOCK), "nd-heads")
+        left = heads.count()
+        if not left or before is not None and left > 0.9 * before:
+            break
+        before = left
+        found = found.union(compared(one.join(heads.select("node", F.xxhash64("component", F.lit("heads"), part_of(turn)).alias("unit")), "node").withColumn("given", F.col("node"))))
+        if not heads.where("blocks > 1").limit(1).count():
+            break  # every cluster's heads met in one block
     rest = parts(found)
-    pairs = F.expr("transform(filter(sequence(0, blocks - 1), x -> x <> mine), x -> array(least(x, mine), greatest(x, mine)))")
-    rest = rest.withColumn("mine", mine).withColumn("pair", F.explode(pairs)).select("node", "component", "given", "pair")
-    return found.union(compared(one.join(rest.drop("component"), "node").select(F.xxhash64("component", "pair").alias("unit"), "node", "given", "_text")))
+    rest = blocks(rest, PAIRED).withColumn("mine", part_of(0))
+    pairs = F.expr("if(blocks = 1, array(array(0, 0)), transform(filter(sequence(0, blocks - 1), x -> x <> mine), x -> array(least(x, mine), greatest(x, mine))))")
+    rest = save(rest.withColumn("pair", F.explode(pairs)).select("node", "given", F.xxhash64("component", "pair").alias("unit")), "nd-rest")
+    return found.union(compared(one.join(rest, "node"))) if rest.limit(1).count() else found
+
+
+#: Bits of a fingerprint.
+BITS = 128
+#: Cost of shipping a row to a shard, in distances computed there.
+SHIP = 150.0
+
+
+def _differing(a: int, b: int, both: int) -> float:
+    """Chance that a bit differs between fingerprints of sets of ``a`` and ``b`` shingles that share ``both``."""
+    chance = lambda n: [math.comb(n, i) / 2.0**n for i in range(n + 1)]
+    above = lambda n, least: sum(p for i, p in enumerate(chance(n)) if i >= least)
+    out = 0.0
+    for ones, p in enumerate(chance(both)):
+        x, y = above(a - both, a // 2 + 1 - ones), above(b - both, b // 2 + 1 - ones)
+        out += p * (x * (1 - y) + y * (1 - x))
+    return out
 
 
-#: Bits of a fingerprint, and bits of a table.
-BITS, WIDTH = 128, 16
+#: Up to so many distinct shingles texts are searched once more among themselves, as their fingerprints tie most.
+FEW, SMALL = 5, 24
 
 
-def _search_plan(similarity: float, recall: float) -> tuple[int, int]:
-    """Radius and number of tables that find a pair of this Jaccard similarity with probability ``recall``.
+def farthest(similarity: float, few: bool = False) -> float:
+    """The largest share of differing bits that a pair of this Jaccard similarity or more expects, over the sizes of its sets.
 
-    Sets of equal size have the cosine 2J / (1 + J), and fingerprints differ in each bit
-    with probability angle / pi, so the distance is binomial; the mean over it counts.
+    few: both sets have FEW shingles at most; else one has more. Large sets of equal size
+    have the cosine 2J / (1 + J) and differ with probability angle / pi; sets of up to
+    SMALL shingles are counted out.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    out = 0.0 if few else float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    for b in range(2, FEW + 1) if few else range(FEW + 1, SMALL + 1):
+        for a in range(1, b + 1):
+            both = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            out = max([out, *(_differing(a, b, c) for c in range(both, min(a, b - (a == b)) + 1))])
+    return out
+
+
+def _search_plan(similarity: float, recall: float, rows: int, few: bool = False) -> tuple[int, int, int]:
+    """Radius, bits of a table and number of tables that find a pair of this similarity with probability ``recall``, whatever the size of its sets.
+
+    The distance of a pair is binomial; the mean over it counts. Of all widths the one
+    that costs least: short keys gather large shards, long keys need many tables.
+    """
+    share = max(farthest(similarity, few), 1 / BITS)
     radius = int(np.ceil(BITS * share + 3.3 * np.sqrt(BITS * share * (1 - share))))
     d = np.arange(radius + 1)
     chance = np.array([math.comb(BITS, int(x)) for x in d], float) * share**d * (1 - share) ** (BITS - d)
-    hit = (1 - d / BITS) ** WIDTH
-    count = next(t for t in range(1, 10_000) if (chance * (1 - (1 - hit) ** t)).sum() >= recall or t == 9_999)
-    return radius, count
+    best = None
+    for width in range(6, 41):
+        hit = (1 - d / BITS) ** width
+        found = lambda t: (chance * (1 - (1 - hit) ** t)).sum()  # noqa: E731, B023
+        if found(1 << 14) < recall:
+            break
+        low, high = 1, 1 << 14
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if found(mid) >= recall else (mid + 1, high)
+        members = rows / 2.0**width
+        cost = low * (SHIP * max(1.0, members / SHARD) + members / 2)
+        if best is None or cost < best[0]:
+            best = (cost, width, low)
+    return radius, best[1], best[2]
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
@@ -301,18 +400,22 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     A group is a component of links between equal texts and between texts whose
     ``k``-word shingle sets have Jaccard similarity of at least ``similarity``. The
     smallest id of a group stays. Candidates come from BK-trees over 128-bit SimHash
-    fingerprints of these sets; the number of tables follows from ``recall``, the chance to find a
-    pair just at the threshold (closer pairs: more likely). Every link is verified
-    on the shingle sets. Null and wordless texts form one group. A null id counts as
-    larger than any other.
+    fingerprints of these sets; the tables follow from ``recall``, the chance to find a
+    pair just at the threshold (closer pairs: more likely), and from the number of
+    rows. Every link is verified on the shingle sets. Null and wordless texts form one
+    group. A null id counts as larger than any other. Repeated ids keep their rows
+    apart by their texts; further columns are ignored. Empty table: no rows.
     """
-    radius, count = _search_plan(similarity, recall)
-    tables = sampled_tables(BITS, WIDTH, count)
     narrow = docs.select(F.col(doc).alias("_doc"), _class(text).alias("_class"), F.col(text).alias("_in"))
     each = save(fingerprints(narrow, "_in", ["_doc", "_class"], k, (42, 43), distinct=True), "nd-fp")
-    unique = save(each.groupBy("_class").agg(F.min("_doc").alias("least"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), "nd-unique")
-    nodes = unique.where("fp0 <> 0 or fp1 <> 0").select(F.col("_class").alias("node"), "fp0", "fp1")
-    links = save(near(nodes, 2, radius, tables), "nd-near")
+    unique = save(each.groupBy("_class").agg(F.min("_doc").alias("least"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"), F.min("n_shingles").alias("n_shingles")), "nd-unique")
+    nodes = unique.where("n_shingles > 0").select(F.col("_class").alias("node"), "fp0", "fp1", "n_shingles")
+    links = None
+    for few, some in ((False, nodes), (True, nodes.where(F.col("n_shingles") <= FEW))):
+        radius, width, count = _search_plan(similarity, recall, some.count(), few)
+        found = near(some, 2, radius, sampled_tables(BITS, width, count))
+        links = found if links is None else links.union(found)
+    links = save(links, "nd-near")
     cluster = save(connected_components(thinned(links)), "nd-cluster")
     discard(links)
     link = _verified(docs, doc, text, cluster.join(unique.select(F.col("_class").alias("node"), F.col("least").alias("_doc")), "node"), similarity, k)
@@ -327,7 +430,11 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
 
 
 def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row for each group of ``near_duplicates``, all columns kept. Rows that repeat an id with the same text count once."""
+    """``docs`` with one row for each group of ``near_duplicates``, all columns kept, whatever their names.
+
+    Rows that repeat an id with the same text count once. Null and wordless texts are
+    one group. Whole texts are read, however long. Empty table: no rows.
+    """
     drop = near_duplicates(docs, doc, text, k, similarity)
     gone = lookup(drop.distinct().toDF("gone_doc", "gone_class"), 1_000_000)
     plain, named = aside(docs)
