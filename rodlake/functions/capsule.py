@@ -234,9 +234,12 @@ def ellipse_through(p: list[tuple[Column, Column]]) -> tuple[Column, Column, Col
     return put(0), put(1), put(2)
 
 
-def exclusion_ellipse(limit: float) -> Column:
-    """Excluded area of a skew pair from the ellipse through the three extreme points of one tube's shadow on the other, laid flat; none past the ends, cut at them."""
-    r1, r2, y, s = F.col("a1") + limit, F.col("a2") + limit, F.col("du"), F.sin(vec.acos_abs(F.col("cc")))
+def exclusion_ellipse(limit: float, widened: bool = True) -> Column:
+    """Excluded area of a skew pair from the ellipse through the three extreme points of one tube's shadow on the other, laid flat; none past the ends, cut at them.
+
+    widened: the limit widens both tubes; else the second alone.
+    """
+    r1, r2, y, s = F.col("a1") + (limit if widened else 0.0), F.col("a2") + limit, F.col("du"), F.sin(vec.acos_abs(F.col("cc")))
     g = F.sqrt(F.greatest(F.lit(0.0), 1.0 - s * s))
     pos = lambda x: F.sqrt(F.greatest(F.lit(0.0), x))
     top = (F.lit(0.0), r1, pos(r2 * r2 - (r1 - y) * (r1 - y)) / s)

@@ -56,6 +56,11 @@ def norm(a: Vec) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def angle_between(a: Vec, b: Vec) -> Column:
+    """The angle between two directions; exact also where it is near 0, where acos loses half the digits."""
+    return F.atan2(norm(cross(a, b)), dot(a, b))
+
+
 def unit(a: Vec) -> Vec:
     n = norm(a)
     return a[0] / n, a[1] / n, a[2] / n
@@ -105,9 +110,9 @@ def to_frame(a: Vec, mu, xi) -> Vec:
 
 
 def angles(a: Vec) -> tuple[Column, Column]:
-    """(theta, phi) of a unit vector: theta folds to [0, pi/2], phi to [0, pi]; phi is 0 on the axis."""
+    """(theta, phi) of a unit vector: theta folds to [0, pi/2], phi to [0, pi]; phi is 0 on the axis, that is within 1e-9 of it."""
     flat = F.sqrt(a[0] * a[0] + a[1] * a[1])
-    return F.asin(F.least(flat, F.lit(1.0))), F.when(flat > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a[0] / flat)))).otherwise(F.lit(0.0))
+    return F.asin(F.least(flat, F.lit(1.0))), F.when(flat > 1e-9, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a[0] / flat)))).otherwise(F.lit(0.0))
 
 
 def unwrap(a: Vec) -> Vec:
@@ -154,3 +159,28 @@ def rank3(m, eps: float = 1e-9) -> Column:
     """Rank of a 3x3 matrix, by its minors."""
     minors = [m[i][k] * m[j][n] - m[i][n] * m[j][k] for i in range(3) for j in range(i + 1, 3) for k in range(3) for n in range(k + 1, 3)]
     return F.when(F.abs(det3(m)) > eps, 3).when(F.greatest(*[F.abs(x) for x in minors]) > eps, 2).when(F.greatest(*[F.abs(x) for r in m for x in r]) > eps, 1).otherwise(0)
+
+
+def eliminated(m: tuple[Vec, Vec, Vec]) -> tuple[Vec, Vec, Vec]:
+    """Upper triangle of a 3x3 matrix by forward elimination; the row with the largest entry leads. A column of zeros is passed over."""
+    rows = F.array(*[F.array(*r) for r in m])
+    at = lambda r, k: F.element_at(r, k + 1)
+    zero = F.lit(0.0)
+
+    def led(rs: Column, k: int) -> Column:
+        """Rows from k on, the one with the largest entry in column k first."""
+        best = F.array_max(F.transform(rs, lambda r: F.abs(at(r, k))))
+        first = F.element_at(F.filter(rs, lambda r: F.abs(at(r, k)) == best), 1)
+        spot = F.array_position(F.transform(rs, lambda r: F.abs(at(r, k)) == best), True).cast("int")
+        return F.concat(F.array(first), F.slice(rs, 1, spot - 1), F.slice(rs, spot + 1, F.size(rs) - spot))
+
+    def cleared(rs: Column, k: int) -> Column:
+        """What is left of the rows behind the first without column k."""
+        top = F.element_at(rs, 1)
+        f = lambda r: F.when(at(top, k) == 0, zero).otherwise(at(r, k) / at(top, k))
+        return F.transform(F.slice(rs, 2, F.size(rs) - 1), lambda r: F.array(*[zero if j == k else at(r, j) - f(r) * at(top, j) for j in range(3)]))
+
+    one = led(rows, 0)
+    two = led(cleared(one, 0), 1)
+    last = F.element_at(cleared(two, 1), 1)
+    return tuple(tuple(at(r, j) for j in range(3)) for r in (F.element_at(one, 1), F.element_at(two, 1), last))

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import fields
 from ..functions.grid import Grid
 from ..plans.tables import keep
 from . import spatial
+from .stats import addresses
 
 Ext = tuple[int, int, int]
 Box = tuple[float, float, float]
@@ -140,6 +140,5 @@ def agglomerates(spark: SparkSession, volume: float, mean_radius: float, spread:
         before, candidates = count, candidates * 2
         if candidates > MOST_DRAWS:
             raise RuntimeError("the volume of the balls is not reached")
-    run = F.sum(4.0 / 3.0 * F.pi() * F.pow(F.col("a"), F.lit(3.0))).over(Window.orderBy("rod_id").rowsBetween(Window.unboundedPreceding, -1))
-    return stay.withColumn("_v", F.coalesce(run, F.lit(0.0))).where(F.col("_v") < volume * 1.05).select(F.col("rod_id").alias("id"), "x", "y", "z", F.col("a").alias("w"), F.lit(1.0).alias("norm"))
-
+    filled = addresses(stay.select(F.col("rod_id").alias("cell_id"), (4.0 / 3.0 * F.pi() * F.pow(F.col("a"), F.lit(3.0))).alias("n")))
+    return stay.join(filled.where(F.col("first") < volume * 1.05).select(F.col("cell_id").alias("rod_id")), "rod_id").select(F.col("rod_id").alias("id"), "x", "y", "z", F.col("a").alias("w"), F.lit(1.0).alias("norm"))

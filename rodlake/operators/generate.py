@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fields, vec
 from ..functions.grid import Grid
-from ..plans.tables import keep
+from ..plans.tables import discard, keep
 from . import density, orient, spatial
 
 Box = tuple[float, float, float]
@@ -92,24 +92,27 @@ def populate(spark: SparkSession, box: Box, length: float, radius: float, rods:
     after so many rounds the rods are thinned out to the spread of their cells' axes.
     Each round is a candidate batch, two spatial joins and one table.
     """
-    total, first, state, todo = 0, 0, None, sorted(at)
+    total, first, state, todo, shown = 0, 0, None, sorted(at), False
     for turn in range(rounds):
         want = max(64, math.ceil((rods - total) * surplus))
         batch = keep(candidates(spark, first, want, box, length, radius, seed, model, mesh, ext), "gen-batch")
         first += want
         new = step(batch, state, box, separation, soft, cluster)
-        state = keep(new if state is None else state.unionByName(new), "gen-state")
-        was, total = total, state.count()
+        old, state = state, keep(new if state is None else state.unionByName(new), "gen-state")
+        discard(batch, None if shown else old)
+        was, total, shown = total, state.count(), False
         while todo and todo[0] <= total * math.pi * radius**2 * length / math.prod(box) * 100:
             if on_state:
                 on_state(todo[0], state)
+                shown = True  # whoever got the table may still read it
             todo.pop(0)
         if total >= rods * (1 - precision) or total == was:
             break
         if align_every and (turn + 1) % align_every == 0:
             grid = Grid.for_reach(box, length + 2 * radius)
-            state = keep(orient.thin_out(state, grid, orient.realigned(state, grid), seed + turn), "gen-thin")
-            total = state.count()
+            old, state = state, keep(orient.thin_out(state, grid, orient.realigned(state, grid), seed + turn), "gen-thin")
+            discard(None if shown else old)
+            total, shown = state.count(), False
     return state
 
 
@@ -123,7 +126,7 @@ def kd_partition(rods: DataFrame, grid: Grid, most: int = 1024) -> DataFrame:
     cells = keep(rods.groupBy(grid.join_id(F.col("x"), F.col("y"), F.col("z")).alias("cell_id")).agg(F.count(F.lit(1)).alias("n")).select(ix.alias("c0"), iy.alias("c1"), iz.alias("c2"), "n", F.lit(1).cast("long").alias("leaf")), "kd")
     ends = [F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")) for n in grid.ext]
     boxes = cells.sparkSession.range(1, 2).select(F.col("id").alias("leaf"), *[e.alias(f"b{i}") for i, e in enumerate(ends)])
-    for _ in range(64):
+    while True:  # ends, as every round makes the open boxes smaller
         load = cells.groupBy("leaf").agg(F.sum("n").alias("n"))
         wide = F.greatest(*[F.col(f"b{i}.hi") - F.col(f"b{i}.lo") for i in range(3)])
         open_ = keep(boxes.join(load, "leaf").where((F.col("n") > most) & (wide > 1)), "kd-open")
@@ -139,9 +142,11 @@ def kd_partition(rods: DataFrame, grid: Grid, most: int = 1024) -> DataFrame:
         best = keep(cuts.groupBy("leaf").agg(F.min(F.struct("off", "axis", "cut")).alias("p")).select("leaf", "p.axis", "p.cut"), "kd-cut")
         value = F.when(F.col("axis") == 0, F.col("c0")).when(F.col("axis") == 1, F.col("c1")).otherwise(F.col("c2"))
         child = F.when(F.col("axis").isNull(), F.col("leaf")).otherwise(F.col("leaf") * 2 + F.when(value >= F.col("cut"), 1).otherwise(0))
+        before = cells, boxes, open_, best
         cells = keep(cells.join(best, "leaf", "left").select("c0", "c1", "c2", "n", child.alias("leaf")), "kd")
         split = boxes.join(best, "leaf", "left").withColumn("side", F.explode(F.when(F.col("axis").isNull(), F.array(F.lit(-1))).otherwise(F.array(F.lit(0), F.lit(1)))))
         halves = [F.struct(F.when((F.col("axis") == i) & (F.col("side") == 1), F.col("cut")).otherwise(F.col(f"b{i}.lo")).cast("int").alias("lo"), F.when((F.col("axis") == i) & (F.col("side") == 0), F.col("cut")).otherwise(F.col(f"b{i}.hi")).cast("int").alias("hi")).alias(f"b{i}") for i in range(3)]
         boxes = keep(split.select(F.when(F.col("side") < 0, F.col("leaf")).otherwise(F.col("leaf") * 2 + F.col("side")).alias("leaf"), *halves), "kd-boxes")
+        discard(*before)
     load = cells.groupBy("leaf").agg(F.sum("n").alias("n"))
     return boxes.join(load, "leaf", "left").select("leaf", *[F.col(f"b{i}.{e}").alias(f"{v}{k}") for i, v in enumerate("xyz") for k, e in enumerate(("lo", "hi"))], F.coalesce("n", F.lit(0)).cast("long").alias("n"))

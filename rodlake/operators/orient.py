@@ -50,7 +50,7 @@ def mean_directions(rods: DataFrame, grid: Grid, least: float = 0.5) -> DataFram
     mean = mean.withColumn("strength", F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay") + F.col("az") * F.col("az")))
     unit = [F.when(F.col("strength") > least, F.col("a" + v) / F.col("strength")).alias("m" + v) for v in "xyz"]
     mean = mean.select("cell_id", "n", "strength", *unit)
-    angle = F.acos(vec.clamp(F.col("cx") * F.col("mx") + F.col("cy") * F.col("my") + F.col("cz") * F.col("mz"), F.lit(-1.0), F.lit(1.0)))
+    angle = vec.angle_between(vec.cols("cx", "cy", "cz"), vec.cols("mx", "my", "mz"))
     far = each.join(mean.where("mx is not null").select("cell_id", "mx", "my", "mz"), "cell_id").groupBy("cell_id").agg(F.avg(angle).alias("angle"), F.stddev_pop(angle).alias("spread"))
     return mean.join(far, "cell_id", "left")
 
@@ -71,7 +71,7 @@ def overall(cells: DataFrame) -> DataFrame:
 def realigned(rods: DataFrame, grid: Grid) -> DataFrame:
     """(cell_id, mu, xi, phi, phi_sd, theta, theta_sd) for the next batch: each cell's principal axis as two angles, and the spread of directions about it."""
     axis = principal(moments(rods, grid))
-    xi = F.acos(vec.clamp(F.col("pz"), F.lit(-1.0), F.lit(1.0)))
+    xi = F.atan2(F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py")), F.col("pz"))
     mu = F.atan2(F.col("py"), F.col("px"))
     turn = axis.select("cell_id", mu.alias("mu"), xi.alias("xi"))
     each = stamped(rods, grid).join(turn, "cell_id")
@@ -84,12 +84,12 @@ def realigned(rods: DataFrame, grid: Grid) -> DataFrame:
 def thin_out(rods: DataFrame, grid: Grid, model: DataFrame, seed: int = 1, factor: float = 2.0) -> DataFrame:
     """Rods that survive: a rod goes if factor * p < u, p the product of its angles' likelihoods in its cell's ``model`` (``realigned``).
 
-    u comes from the rod's id, so the result is the same at every run. A spread of 0
-    or null has likelihood 1.
+    u comes from the rod's id, so the result is the same at every run. A null spread, or one
+    below 1e-9, which is rounding, has likelihood 1.
     """
     each = stamped(rods, grid).join(model, "cell_id", "left")
     c = vec.rotate_y(vec.rotate_z(vec.cols("cx", "cy", "cz"), -F.coalesce("mu", F.lit(0.0))), -F.coalesce("xi", F.lit(0.0)))
     theta, phi = vec.angles(c)
-    like = lambda v, m, s: F.when(F.col(s) > 0, F.exp(-F.pow((v - F.col(m)) / F.col(s), F.lit(2.0)) / 2.0)).otherwise(1.0)
+    like = lambda v, m, s: F.when(F.col(s) > 1e-9, F.exp(-F.pow((v - F.col(m)) / F.col(s), F.lit(2.0)) / 2.0)).otherwise(1.0)
     p = like(theta, "theta", "theta_sd") * like(phi, "phi", "phi_sd")
     return each.where(factor * p >= fields.uniform(F.col("rod_id"), seed)).select(*rods.columns)

@@ -9,6 +9,7 @@ for, since a broadcast would grow with the rods.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,16 +18,41 @@ from pyspark.sql import functions as F
 from ..functions import capsule
 from ..functions.grid import Grid
 from ..functions.vec import let, min_image
+from ..plans.tables import discard
 from ..plans.tables import keep as table
 
 FIELDS = ["x", "y", "z", "cx", "cy", "cz", "l", "a"]
 
 
 def reach_of(rods: DataFrame, limit: float, other: DataFrame | None = None) -> float:
-    """How far centres of rods within ``limit`` of each other can be apart: the longest length plus both radii plus the limit."""
-    one = [d.agg(F.max("l"), F.max("a")).first() for d in (rods, other) if d is not None]
-    length, radius = max((r[0] or 0.0 for r in one), default=0.0), max((r[1] or 0.0 for r in one), default=0.0)
-    return length + 2 * radius + limit + 2 * capsule.EPS
+    """How far centres of rods within ``limit`` of each other can be apart.
+
+    Half of both lengths, both radii and the limit; or, as a place may lie a radius
+    behind an end, the diagonal over the drawn-out halves and the distance of the axes.
+    """
+    one, two = (tuple(v or 0.0 for v in d.agg(F.max("l"), F.max("a")).first()) for d in (rods, rods if other is None else other))
+    return _reach(one, two, limit)
+
+
+def _reach(one: tuple[float, float], two: tuple[float, float], limit: float) -> float:
+    half, radii = (one[0] + two[0]) / 2, one[1] + two[1]
+    return max(half + radii + limit, math.hypot(half + radii, radii + limit)) + 2 * capsule.EPS
+
+
+#: Classes of lengths: halves of the longest, down to this many.
+CLASSES = 6
+
+
+def _classes(rods: DataFrame) -> list[tuple[DataFrame, tuple[float, float]]]:
+    """Rods by powers of two of their length, with the longest and thickest of each class. One class (the rods as they are) if lengths hardly differ."""
+    top = rods.agg(F.max("l")).first()[0] or 0.0
+    if not top:
+        return [(rods, (top, rods.agg(F.max("a")).first()[0] or 0.0))]
+    kind = F.when(F.col("l") > 0, F.least(F.floor(F.log2(F.lit(top) / F.col("l")) + 1e-9), F.lit(CLASSES - 1))).otherwise(CLASSES - 1).cast("int")
+    found = rods.groupBy(kind.alias("k")).agg(F.max("l"), F.max("a")).orderBy("k").collect()
+    if len(found) == 1:
+        return [(rods, (found[0][1], found[0][2]))]
+    return [(rods.where(kind == k), (length, radius)) for k, length, radius in found]
 
 
 def pairs(rods: DataFrame, grid: Grid, reach: float, other: DataFrame | None = None, ordered: bool = False, keep: tuple[str, ...] = (), keep_other: tuple[str, ...] = ()) -> DataFrame:
@@ -61,9 +87,27 @@ def pairs(rods: DataFrame, grid: Grid, reach: float, other: DataFrame | None = N
 
 
 def spatial_join(rods: DataFrame, box: tuple[float, float, float], limit: float, other: DataFrame | None = None, ordered: bool = False, periodic: tuple[bool, bool, bool] = (True, True, True), then: Callable[[DataFrame], DataFrame] = capsule.closest_approach, where: Column | None = None, keep: tuple[str, ...] = (), keep_other: tuple[str, ...] = (), reach: float | None = None, grid: Grid | None = None) -> DataFrame:
-    """The cell-interaction join: candidate pairs, ``then`` (a pair expression), ``where`` (the theta condition)."""
-    reach = reach if reach is not None else reach_of(rods, limit, other)
-    out = then(pairs(rods, grid or Grid.for_reach(box, reach, periodic), reach, other, ordered, keep, keep_other))
+    """The cell-interaction join: candidate pairs, ``then`` (a pair expression), ``where`` (the theta condition).
+
+    Rods of very different lengths are joined class by class, each pair of classes on a
+    grid of its own, so that a few long rods don't widen the cells of all. With ``reach``
+    or ``grid`` given, all meet on that one.
+    """
+    if reach is not None or grid is not None:
+        reach = reach if reach is not None else reach_of(rods, limit, other)
+        found = pairs(rods, grid or Grid.for_reach(box, reach, periodic), reach, other, ordered, keep, keep_other)
+    else:
+        found, mine = None, _classes(rods)
+        theirs = mine if other is None else _classes(other)
+        for i, (left, one) in enumerate(mine):
+            for j, (right, two) in enumerate(theirs):
+                if other is None and not ordered and j < i:
+                    continue
+                far = _reach(one, two, limit)
+                same = other is None and i == j
+                part = pairs(left, Grid.for_reach(box, far, periodic), far, None if same else right, ordered and same, keep, keep if other is None else keep_other)
+                found = part if found is None else found.unionByName(part)
+    out = then(found)
     return out if where is None else out.where(where)
 
 
@@ -91,7 +135,9 @@ def eliminate_same_cell(rods: DataFrame, box: tuple[float, float, float], grid:
     a = rods.select("rod_id", *FIELDS, F.col(seq).alias("seq"), cell.alias("cell"))
     left = a.select(F.col("rod_id").alias("i"), *[F.col(f).alias(f + "1") for f in FIELDS], F.col("seq").alias("s1"), F.col("cell").alias("k1"))
     right = a.select(F.col("rod_id").alias("j"), *[F.col(f).alias(f + "2") for f in FIELDS], F.col("seq").alias("s2"), F.col("cell").alias("k2"))
-    p = left.hint("merge").join(right, (F.col("k1") == F.col("k2")) & (F.col("s2") > F.col("s1")))
+    gap = [min_image(F.col(v + "2") - F.col(v + "1"), F.lit(float(n))) for v, n in zip("xyz", box)]
+    reach = reach_of(rods, separation) + max(0.0, soft - 1) * 2 * (rods.agg(F.max("a")).first()[0] or 0.0)
+    p = left.hint("merge").join(right, (F.col("k1") == F.col("k2")) & (F.col("s2") > F.col("s1")) & (gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= reach * reach))
     p = p.select("i", "j", *[min_image(F.col(v + "2") - F.col(v + "1"), F.lit(float(n))).alias("b" + v) for v, n in zip("xyz", box)], *[F.col(f"c{v}{k}").alias(f"c{k}{v}") for k in (1, 2) for v in "xyz"], "l1", "a1", "l2", "a2")
     dead = table(capsule.closest_approach(p).where(capsule.intersects(separation, soft)).select(F.col("i").alias("rod_id")).distinct(), "dead")
     return rods.join(dead, "rod_id", "left_anti")
@@ -119,9 +165,14 @@ def greedy_insert(rods: DataFrame, box: tuple[float, float, float], keep: Callab
         waits = open_.select("later").distinct()
         stays = open_.select(F.col("first").alias("later")).distinct().join(waits, "later", "left_anti").withColumnRenamed("later", "first")
         out = keep(open_.join(stays, "first").select("later").distinct())
-        gone = out if gone is None else keep(gone.union(out))
         left = open_.join(stays, "first", "left_anti").join(out, "later", "left_anti")
-        open_ = keep(left.join(out.withColumnRenamed("later", "first"), "first", "left_anti"))
+        before, open_ = open_, keep(left.join(out.withColumnRenamed("later", "first"), "first", "left_anti"))
+        if gone is None:
+            gone = out
+        else:
+            was, gone = gone, keep(gone.union(out))
+            discard(was, out)
+        discard(before)
     else:
         raise RuntimeError("insertion did not settle")
     return rods if gone is None else rods.join(gone.withColumnRenamed("later", "rod_id"), "rod_id", "left_anti")
@@ -132,8 +183,6 @@ def clusterise(rods: DataFrame, old: DataFrame, box: tuple[float, float, float],
 
     Of several old rods the one with the largest id counts. Others stay as they are.
     """
-    import math
-
     r = F.sqrt(F.col("bx") * F.col("bx") + F.col("by") * F.col("by") + F.col("bz") * F.col("bz"))
     near = (r < F.greatest("l1", "l2") / 2.0) & (F.abs(F.col("cc")) >= math.cos(angle)) & (F.col("d") <= distance)
     p = spatial_join(rods, box, distance, other=old, where=near)

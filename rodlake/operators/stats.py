@@ -39,7 +39,7 @@ def occupancy(rods: DataFrame, grid: Grid) -> DataFrame:
 
 
 def addresses(counts: DataFrame, cells_per_block: int = 1024) -> DataFrame:
-    """(cell_id, n, first, past): prefix sums of counts in the order of cells.
+    """(cell_id, n, first, past): prefix sums of counts, or of any number, in the order of cells.
 
     Two levels: within blocks of cells, then over the blocks' sums; the second has
     as many rows as blocks, so no window holds all cells.
@@ -153,8 +153,30 @@ def excluded_areas(rods: DataFrame, box: Box, limit: float) -> DataFrame:
     return touching(rods, box, limit).agg(F.lit(whole).alias("area"), F.count(F.lit(1)).alias("pairs"), *[F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in (("parallel", capsule.excluded_parallel()), ("skew", capsule.excluded_skew()), ("naive", capsule.excluded_naive(limit)))])
 
 
-def vdw_energy(rods: DataFrame, box: Box, limit: float) -> DataFrame:
-    """Van der Waals energy of touching bodies: pairs, total, and total over the rods."""
+#: Surfaces nearer than the spacing of graphite (in micrometres) touch; the law, which grows without bound there, doesn't hold for them.
+LEAST_GAP = 3.4e-4
+
+
+def vdw_energy(rods: DataFrame, box: Box, limit: float, least: float = LEAST_GAP) -> DataFrame:
+    """Van der Waals energy of touching bodies: pairs, close, undefined, energy and energy over the rods.
+
+    close: pairs whose surfaces are at most ``least`` apart, which the energy leaves
+    out. undefined: pairs beyond it for which the law has no value (the opening angle is 0 or the cut-off lies
+    inside the other tube), left out as well. No pair: energy 0.
+    """
     n = rods.count()
-    e = touching(rods, box, limit).agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum(capsule.pair_energy(limit)), F.lit(0.0)).alias("energy"))
-    return e.select("pairs", "energy", (F.col("energy") / F.lit(n or None)).alias("per_rod"))
+    each = touching(rods, box, limit).select(capsule.pair_energy(limit).alias("e"), (F.col("du") - F.col("a1") - F.col("a2") <= least).alias("close"))
+    bad = F.col("e").isNull() | F.isnan("e")
+    out = each.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("close").alias("close"), F.count_if(~F.col("close") & bad).alias("undefined"), F.coalesce(F.sum(F.when(~F.col("close") & ~bad, F.col("e"))), F.lit(0.0)).alias("energy"))
+    return out.select("*", (F.col("energy") / F.lit(n or None)).alias("per_rod"))
+
+
+def least_contacts(rods: DataFrame, box: Box, limit: float) -> DataFrame:
+    """fewest, most: the least and largest number of contacts of a rod."""
+    return contacts_per_rod(rods, box, limit).agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
+
+
+def mean_of_ratios(df: DataFrame, value: str, count: str) -> DataFrame:
+    """(n, mean): the mean of value / count over rows with a count that is not 0 nor null."""
+    ratio = F.when(F.col(count) != 0, F.col(value) / F.col(count))
+    return df.agg(F.count(ratio).alias("n"), F.avg(ratio).alias("mean"))

@@ -1,4 +1,4 @@
-"""SQL that gives the rows of the rod queries gy brute force over all pairs, for comparison."""
+"""SQL that gives the rows of the rod queries by brute force over all pairs, for comparison."""
 
 from __future__ import annotations
 
@@ -42,3 +42,35 @@ def near(reach: float) -> str:
 
 def hits(separation: float, soft: float = 1.0) -> str:
     return f"d < (a1 + a2) * {soft}::double + {separation}::double + {EPS}"
+
+
+def greedy(rods: str, hits: str, name: str = "stay") -> str:
+    """CTEs to insert ``rods`` (rod_id) in the order of ids; ``hits`` (later, first): rods that intersect. ``name`` (rod_id): those that stay. Needs ``with recursive``."""
+    return f"""{name}0 as (select later as rod_id, list(first) as before from {hits} group by 1), {name}1 as (select *, row_number() over (order by rod_id) as k from {name}0),
+{name}2(k, gone) as (select 0::bigint, []::bigint[] union all select p.k, case when len(list_filter(p.before, lambda x: not list_contains(s.gone, x))) > 0 then list_append(s.gone, p.rod_id) else s.gone end from {name}2 s join {name}1 p on p.k = s.k + 1),
+{name} as (select rod_id from {rods} where rod_id not in (select unnest(gone) from (select gone from {name}2 order by k desc limit 1)))"""
+
+
+def principal(source: str, sweeps: int = 6, name: str = "axes") -> str:
+    """CTE ``name`` (cell_id, n, l1, l2, l3, px, py, pz): eigenvalues by size and first axis of the moments (xx ... yz) in ``source``, by Jacobi rotations."""
+    entries = {(0, 0): "m00", (0, 1): "m01", (0, 2): "m02", (1, 1): "m11", (1, 2): "m12", (2, 2): "m22"}
+    m = lambda i, j: entries[min(i, j), max(i, j)]
+    unit = ", ".join(f"{float(i == j)}::double as v{i}{j}" for i in range(3) for j in range(3))
+    out = [f"{name}0 as (select cell_id, n, xx as m00, yy as m11, zz as m22, xy as m01, xz as m02, yz as m12, {unit} from {source})"]
+    at = 0
+    for _ in range(sweeps):
+        for p, q in ((0, 1), (0, 2), (1, 2)):
+            r = 3 - p - q
+            half = f"(({m(q, q)} - {m(p, p)}) / (2 * {m(p, q)}))"
+            turn = f"case when abs({m(p, q)}) < 1e-300 then 0 else (case when {half} < 0 then -1 else 1 end) / (abs({half}) + sqrt({half} * {half} + 1)) end"
+            out.append(f"{name}{at}t as (select *, {turn} as t from {name}{at})")
+            out.append(f"{name}{at}c as (select *, 1 / sqrt(t * t + 1) as c, t / sqrt(t * t + 1) as s from {name}{at}t)")
+            new = {m(p, p): f"{m(p, p)} - t * {m(p, q)}", m(q, q): f"{m(q, q)} + t * {m(p, q)}", m(p, q): "0::double", m(r, r): m(r, r), m(p, r): f"c * {m(p, r)} - s * {m(q, r)}", m(q, r): f"s * {m(p, r)} + c * {m(q, r)}"}
+            new |= {f"v{i}{p}": f"c * v{i}{p} - s * v{i}{q}" for i in range(3)} | {f"v{i}{q}": f"s * v{i}{p} + c * v{i}{q}" for i in range(3)} | {f"v{i}{r}": f"v{i}{r}" for i in range(3)}
+            out.append(f"{name}{at + 1} as (select cell_id, n, {', '.join(f'{e} as {c}' for c, e in new.items())} from {name}{at}c)")
+            at += 1
+    each = ", ".join(f"{{'k': abs(m{i}{i}), 'w': m{i}{i}, 'x': v0{i}, 'y': v1{i}, 'z': v2{i}}}" for i in range(3))
+    out.append(f"{name}s as (select cell_id, n, list_reverse_sort([{each}]) as e from {name}{at})")
+    sign = "(case when (case when abs(e[1].z) > 1e-12 then e[1].z when abs(e[1].y) > 1e-12 then e[1].y else e[1].x end) < 0 then -1 else 1 end)"
+    out.append(f"{name} as (select cell_id, n, e[1].w as l1, e[2].w as l2, e[3].w as l3, e[1].x * {sign} as px, e[1].y * {sign} as py, e[1].z * {sign} as pz from {name}s)")
+    return ",\n".join(out)

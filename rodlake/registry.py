@@ -16,7 +16,10 @@ from .functions import capsule, fields, vec
 from .functions.grid import Grid
 from .operators import density, generate, kirchhoff, network, orient, raster, rods, spatial, stats
 from .plans import oracle
-from .plans.tables import keep
+from .plans.tables import keep, scratch
+from .sinks import text
+from .sources import edges as edge_files
+from .sources import meshes, params, state, vtk
 
 BOX = (1.0, 1.0, 1.0)
 #: Rods of ``part``: length, radius, and the reach of contacts beyond the surfaces.
@@ -61,6 +64,14 @@ def r(c, n: int = 9):
     return F.round(c, n)
 
 
+def _uniform_sql(stream: int, key: str = "id") -> str:
+    """``fields.uniform`` of an integer column."""
+    s = f"(({key} % 2147483648) * 2654435761::bigint + ({key} // 2147483648) * 40503 + {stream * 69069}) % 4294967296"
+    for _ in range(2):
+        s = f"(xor({s}, ({s}) >> 16) * 73244475::bigint) % 4294967296"
+    return f"xor({s}, ({s}) >> 16) / 4294967296::double"
+
+
 # ---- rods and cells ---------------------------------------------------------------------------------------------
 
 
@@ -118,7 +129,10 @@ def orientation_moments(spark, d):
     return orient.moments(part(spark, d), GRID).select("cell_id", "n", *[r(m).alias(m) for m in orient.MOMENTS])
 
 
-@query()
+_AXES = f"with {PART}, cel as (select *, {_CELL} as cell_id from rods), mom as (select cell_id, count(*) as n, avg(cx * cx) as xx, avg(cy * cy) as yy, avg(cz * cz) as zz, avg(cx * cy) as xy, avg(cx * cz) as xz, avg(cy * cz) as yz from cel group by 1), {oracle.principal('mom')}"
+
+
+@query(f"{_AXES} select cell_id, n, {', '.join(f'round({c}, 9) + 0.0 as {c}' for c in ('l1', 'l2', 'l3', 'px', 'py', 'pz'))} from axes")
 def principal_axes(spark, d):
     return orient.principal(orient.moments(part(spark, d), GRID)).select("cell_id", "n", *[r(c).alias(c) for c in ("l1", "l2", "l3", "px", "py", "pz")])
 
@@ -135,7 +149,7 @@ def phi_theta_hist(spark, d):
 
 @query(f"""with {PART}, e as (select {_CELL} as cell_id, case when cz < 0 then -cx else cx end as x1, case when cz < 0 then -cy else cy end as y1, abs(cz) as z1 from rods),
 m as (select cell_id, count(*) as n, avg(x1) as ax, avg(y1) as ay, avg(z1) as az from e group by 1), s as (select *, sqrt(ax * ax + ay * ay + az * az) as st from m),
-g as (select cell_id, avg(t) as angle, stddev_pop(t) as spread from (select e.cell_id, acos(greatest(-1::double, least(1::double, x1 * ax / st + y1 * ay / st + z1 * az / st))) as t from e join s on e.cell_id = s.cell_id where st > 0.5) group by 1)
+g as (select cell_id, avg(t) as angle, stddev_pop(t) as spread from (select cell_id, atan2(sqrt((y1 * mz - z1 * my) * (y1 * mz - z1 * my) + (z1 * mx - x1 * mz) * (z1 * mx - x1 * mz) + (x1 * my - y1 * mx) * (x1 * my - y1 * mx)), x1 * mx + y1 * my + z1 * mz) as t from (select e.*, ax / st as mx, ay / st as my, az / st as mz from e join s on e.cell_id = s.cell_id where st > 0.5)) group by 1)
 select s.cell_id, n, round(st, 9) as strength, round(case when st > 0.5 then ax / st end, 9) as mx, round(case when st > 0.5 then ay / st end, 9) as my, round(case when st > 0.5 then az / st end, 9) as mz, round(angle, 8) as angle, round(spread, 8) as spread from s left join g on s.cell_id = g.cell_id""")
 def cell_mean_direction(spark, d):
     return orient.mean_directions(part(spark, d), GRID).select("cell_id", "n", *[r(c).alias(c) for c in ("strength", "mx", "my", "mz")], r("angle", 8).alias("angle"), r("spread", 8).alias("spread"))
@@ -155,12 +169,22 @@ def angle_means(spark, d):
     return orient.overall(orient.angle_stats(part(spark, d), GRID)).select(*[r(c, 8).alias(c) for c in ("phi", "phi_sd", "theta", "theta_sd")])
 
 
-@query()
+_TURNED = f"""{_AXES}, tur as (select cell_id, atan2(py, px) as mu, atan2(sqrt(px * px + py * py), pz) as xi from axes),
+rot1 as (select cel.*, mu, xi, cos(mu) * cx + sin(mu) * cy as dx, cos(mu) * cy - sin(mu) * cx as dy from cel join tur using (cell_id)),
+rot2 as (select *, cos(xi) * dx - sin(xi) * cz as ex, sqrt((cos(xi) * dx - sin(xi) * cz) * (cos(xi) * dx - sin(xi) * cz) + dy * dy) as f from rot1),
+ang as (select *, asin(least(1::double, f)) as t, case when f > 1e-9 then acos(greatest(-1::double, least(1::double, ex / f))) else 0 end as p from rot2),
+ali as (select cell_id, mu, xi, avg(p) as phi, stddev_pop(p) as phi_sd, avg(t) as theta, stddev_pop(t) as theta_sd from ang group by 1, 2, 3)"""
+
+
+@query(f"{_TURNED} select cell_id, {', '.join(f'round({c}, 8) + 0.0 as {c}' for c in ('mu', 'xi', 'phi', 'phi_sd', 'theta', 'theta_sd'))} from ali")
 def self_alignment(spark, d):
     return orient.realigned(part(spark, d), GRID).select("cell_id", *[r(c, 8).alias(c) for c in ("mu", "xi", "phi", "phi_sd", "theta", "theta_sd")])
 
 
-@query()
+_LIKE = "case when {0}_sd > 1e-9 then exp(-pow(({1} - {0}) / {0}_sd, 2) / 2) else 1 end"
+
+
+@query(f"{_TURNED} select rod_id from ang join ali using (cell_id) where 2::double * ({_LIKE.format('theta', 't')}) * ({_LIKE.format('phi', 'p')}) >= {_uniform_sql(1, 'rod_id')}")
 def thin_out(spark, d):
     df = part(spark, d)
     return orient.thin_out(df, GRID, orient.realigned(df, GRID)).select("rod_id")
@@ -236,13 +260,27 @@ def excluded_areas(spark, d):
 _Q = f"(1 - th * (du - a1 - a2) * 1e4 / {LIMIT * 1e4}::double / {LIMIT * 1e4}::double / (a1 / a2 + 1))"
 
 
+#: Surfaces nearer than this touch, for the energy query.
+NEAR = 0.001
+
+
 @query(f"""{_EXCLUDED}, w as (select *, atan(a1 / (d - a2 - {LIMIT}::double)) as th from v),
-k as (select naive / th / a1 * (-15.2::double * pi() * a1 * 1e4 / 2 * th * (1 / pow((du - a1 - a2) * 1e4, 4) - 1 / pow({LIMIT * 1e4}::double, 4) / {_Q}) + 24100::double * 2 * pi() * a1 * 1e4 / 5 * th * (1 / pow((du - a1 - a2) * 1e4, 10) - 1 / pow({LIMIT * 1e4}::double, 10) / pow({_Q}, 4))) as en, du - a1 - a2 as gap from w)
-select count(*) as pairs, cast(sum(case when en is null or isnan(en) then 1 else 0 end) as bigint) as undefined, round(sum(case when gap > 0.001 and not isnan(en) then en end), 12) as energy from k""")
+k as (select naive / th / a1 * (-15.2::double * pi() * a1 * 1e4 / 2 * th * (1 / pow((du - a1 - a2) * 1e4, 4) - 1 / pow({LIMIT * 1e4}::double, 4) / {_Q}) + 24100::double * 2 * pi() * a1 * 1e4 / 5 * th * (1 / pow((du - a1 - a2) * 1e4, 10) - 1 / pow({LIMIT * 1e4}::double, 10) / pow({_Q}, 4))) as en, du - a1 - a2 <= {NEAR}::double as near from w),
+g as (select near, en, en is null or isnan(en) as bad from k)
+select count(*) as pairs, count(*) filter (near) as close, count(*) filter (not near and bad) as undefined, round(coalesce(sum(en) filter (not near and not bad), 0), 12) as energy, round(coalesce(sum(en) filter (not near and not bad), 0) / (select count(*) from rods), 15) as per_rod from g""")
 def vdw_energy(spark, d):
-    e = stats.touching(part(spark, d), BOX, LIMIT).select(capsule.pair_energy(LIMIT).alias("e"), (F.col("du") - F.col("a1") - F.col("a2")).alias("gap"))
-    bad = F.col("e").isNull() | F.isnan("e")
-    return e.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(bad).alias("undefined"), r(F.sum(F.when((F.col("gap") > 0.001) & ~bad, F.col("e"))), 12).alias("energy"))
+    return stats.vdw_energy(part(spark, d), BOX, LIMIT, NEAR).select("pairs", "close", "undefined", r("energy", 12).alias("energy"), r("per_rod", 15).alias("per_rod"))
+
+
+@query(f"{_PER_ROD} select min(n) as fewest, max(n) as most from per")
+def least_contacts(spark, d):
+    return stats.least_contacts(part(spark, d), BOX, LIMIT)
+
+
+@query(f"with {PART}, e as (select z, cast(rod_id % 5 as bigint) as k from rods) select count(*) as n, round(avg(z / k), 9) as mean from e where k <> 0")
+def mean_of_ratios(spark, d):
+    out = stats.mean_of_ratios(part(spark, d).withColumn("k", F.col("rod_id") % 5), "z", "k")
+    return out.select("n", r("mean").alias("mean"))
 
 
 # ---- elimination ------------------------------------------------------------------------------------------------
@@ -269,7 +307,10 @@ def eliminate_same_cell(spark, d):
     return spatial.eliminate_same_cell(part(spark, d), BOX, GRID, separation=0.002).select("rod_id")
 
 
-@query()
+_HIT = f"hit as (select greatest(i, j) as later, least(i, j) as first from ap where {oracle.hits(0.002)})"
+
+
+@query(f"{PAIRS}, {_HIT}, {oracle.greedy('rods', 'hit')} select rod_id from stay")
 def greedy_insert(spark, d):
     return spatial.greedy_insert(part(spark, d), BOX, keep, 0.002).select("rod_id")
 
@@ -467,7 +508,7 @@ def percolation_conductivity(spark, d):
     return density.conductivity_map(_mesh(spark), 1e-6, 10.0, 0.2, 1.8).select("i", "j", "k", r("sigma").alias("sigma"))
 
 
-_BALLS = "balls as (select rod_id as id, x, y, z, 0.05::double + cast(rod_id % 7 as double) / 50::double as w, 1::double as norm from rods where rod_id % 97 = 3)"
+_BALLS = "balls as (select rod_id as id, x, y, z, 0.05::double + cast(rod_id % 7 as double) / 50::double as w, 1::double as norm from rods)"
 _SIG = "1 / (1 + exp(-40::double * (dist - ({0}))))"
 
 
@@ -475,17 +516,18 @@ _SIG = "1 / (1 + exp(-40::double * (dist - ({0}))))"
 e as (select i, j, k, w, norm, sqrt((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz)) as dist from n, balls)
 select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(greatest(0, max(norm * ({_SIG.format('-w')} - {_SIG.format('w')}))), 9) as rho from e group by 1, 2, 3""")
 def agglomerate_mesh(spark, d):
-    balls = part(spark, d).where("rod_id % 97 = 3").select(F.col("rod_id").alias("id"), "x", "y", "z", (0.05 + (F.col("rod_id") % 7).cast("double") / 50.0).alias("w"), F.lit(1.0).alias("norm"))
+    balls = part(spark, d).select(F.col("rod_id").alias("id"), "x", "y", "z", (0.05 + (F.col("rod_id") % 7).cast("double") / 50.0).alias("w"), F.lit(1.0).alias("norm"))
     return density.agglomerate_mesh(spark, balls, (8, 8, 8), 40.0).select("i", "j", "k", r("rho").alias("rho"))
 
 
-@query()
-def agglomerate_mesh_whole(spark, d):
-    balls = part(spark, d).select(F.col("rod_id").alias("id"), "x", "y", "z", (0.05 + (F.col("rod_id") % 7).cast("double") / 50.0).alias("w"), F.lit(1.0).alias("norm"))
-    return density.agglomerate_mesh(spark, balls, (8, 8, 8), 40.0).select("i", "j", "k", r("rho").alias("rho"))
+_LOGN = "case when {0} >= 0.001 then 1 / ({0}) / sqrt(2 * pi()) / 0.3::double * exp(-pow(ln(({0}) / 0.05::double), 2) / 2 / 0.3::double / 0.3::double) else 0 end"
+_GAPS = " + ".join(f"{oracle.image(f'q.{v} - p.{v}')} * {oracle.image(f'q.{v} - p.{v}')}" for v in "xyz")
 
 
-@query()
+@query(f"""with recursive ids as (select cast(id as bigint) as id from (select unnest(range(4096)) as id)), dra as (select id as rod_id, {_uniform_sql(16)} as x, {_uniform_sql(17)} as y, {_uniform_sql(18)} as z, {_uniform_sql(19)} * 0.05::double * 4 as w, {_uniform_sql(20)} as u from ids),
+bal as (select * from dra where w > 0 and u * ({_LOGN.format('0.05::double')}) * 1.5 < {_LOGN.format('w')}), hit as (select q.rod_id as later, p.rod_id as first from bal p join bal q on p.rod_id < q.rod_id where sqrt({_GAPS}) < p.w + q.w + 1e-6),
+{oracle.greedy('bal', 'hit')}, run as (select bal.*, coalesce(sum(4::double / 3 * pi() * w * w * w) over (order by rod_id rows between unbounded preceding and 1 preceding), 0) as before from bal join stay using (rod_id))
+select rod_id as id, x, y, z, w, 1::double as norm from run where before < 0.02::double * 1.05""")
 def agglomerates(spark, d):
     return density.agglomerates(spark, 0.02, 0.05, 0.3)
 
@@ -493,15 +535,6 @@ def agglomerates(spark, d):
 # ---- generation -------------------------------------------------------------------------------------------------
 
 
-
-def _uniform_sql(stream: int) -> str:
-    """``fields.uniform`` of the column id."""
-    s = f"((id % 2147483648) * 2654435761::bigint + (id // 2147483648) * 40503 + {stream * 69069}) % 4294967296"
-    for _ in range(2):
-        s = f"(xor({s}, ({s}) >> 16) * 73244475::bigint) % 4294967296"
-    return f"xor({s}, ({s}) >> 16) / 4294967296::double"
-
-
 @query(f"""with u as (select cast(id as bigint) as id, {', '.join(f'{_uniform_sql(64 + k)} as u{k}' for k in range(5))} from (select unnest(range(3000)) as id))
 select id as rod_id, round(u0, 9) as x, round(u1, 9) as y, round(u2, 9) as z, round(sqrt(greatest(0, 1 - (2 * u3 - 1) * (2 * u3 - 1))) * cos(2 * pi() * u4), 9) as cx, round(sqrt(greatest(0, 1 - (2 * u3 - 1) * (2 * u3 - 1))) * sin(2 * pi() * u4), 9) as cy, round(2 * u3 - 1, 9) as cz from u""")
 def generate_candidates(spark, d):
@@ -515,12 +548,32 @@ def lcg_sequence(spark, d):
     return spark.range(64).select(F.col("id").cast("int").alias("n"), steps.alias("s"))
 
 
-@query()
+def _candidates_sql(first: int, count: int, length: float, radius: float, name: str = "cand") -> str:
+    """CTEs up to ``name``: the rods of ``generate.candidates`` with seed 1, and u5."""
+    return f"""{name}0 as (select cast(id as bigint) as id from (select unnest(range({first}, {first + count})) as id)), {name}1 as (select id, {', '.join(f'{_uniform_sql(64 + k)} as u{k}' for k in range(6))} from {name}0),
+{name} as (select id as rod_id, u0 as x, u1 as y, u2 as z, sqrt(greatest(0, 1 - (2 * u3 - 1) * (2 * u3 - 1))) * cos(2 * pi() * u4) as cx, sqrt(greatest(0, 1 - (2 * u3 - 1) * (2 * u3 - 1))) * sin(2 * pi() * u4) as cy, 2 * u3 - 1 as cz, {length}::double as l, {radius}::double as a, u5 from {name}1)"""
+
+
+_STEP = f"""with recursive {PART}, {_MESH}, {_candidates_sql(1_000_000, 1000, L, A)}, pts as (select * from cand), {_CORNERS},
+rho as (select rod_id, sum(w * rho) as rho from cw join mesh using (i, j, k) group by 1), batch as (select cand.* from cand join rho using (rod_id) where u5 < rho),
+{oracle.approach(oracle.near(REACH), left='batch', right='rods', on='true', name='old')}, fresh as (select * from batch where rod_id not in (select i from old where {oracle.hits(0.001)})),
+{oracle.approach(oracle.near(REACH), left='fresh', right='fresh', name='own')}, hit as (select greatest(i, j) as later, least(i, j) as first from own where {oracle.hits(0.001)}), {oracle.greedy('fresh', 'hit')}"""
+
+
+@query(f"{_STEP} select rod_id from stay")
 def generate_step(spark, d):
     return generate.step(generate.candidates(spark, 1_000_000, 1000, BOX, L, A, mesh=_mesh(spark), ext=MESH), part(spark, d), BOX, 0.001).select("rod_id")
 
 
-@query()
+_FULL = f"""with recursive {_candidates_sql(0, 1500, 0.2, 0.005)}, {oracle.approach(oracle.near(0.22), left='cand', right='cand', name='own')}, hit as (select greatest(i, j) as later, least(i, j) as first from own where {oracle.hits(0.0)}),
+pre as (select rod_id + 1 as k, rod_id, coalesce((select list(first) from hit h where h.later = cand.rod_id), []::bigint[]) as before from cand),
+ins(k, held, till, was) as (select 0::bigint, []::bigint[], 360::bigint, 0::bigint union all
+ select k, held, case when k < till or len(held) >= 297 or len(held) = was then till else till + greatest(64, cast(ceil((300 - len(held)) * 1.2::double) as bigint)) end, case when k < till then was else len(held) end
+ from (select p.k, case when list_has_any(s.held, p.before) then s.held else list_append(s.held, p.rod_id) end as held, s.till, s.was from ins s join pre p on p.k = s.k + 1 where s.k < s.till)),
+stay as (select unnest(held) as rod_id from (select held from ins order by k desc limit 1))"""
+
+
+@query(f"{_FULL} select rod_id, {', '.join(f'round({c}, 9) as {c}' for c in ('x', 'y', 'z', 'cx', 'cy', 'cz'))} from cand join stay using (rod_id)")
 def generate_full(spark, d):
     return generate.populate(spark, BOX, 0.2, 0.005, 300).select("rod_id", *[r(c).alias(c) for c in ("x", "y", "z", "cx", "cy", "cz")])
 
@@ -533,17 +586,134 @@ def kd_partition(spark, d):
 # ---- raster -----------------------------------------------------------------------------------------------------
 
 
-@query()
+def _raster_sql(n: int) -> str:
+    """CTEs up to ``cov`` (px, py, n): pixels that rods pass in a picture of n by n."""
+    at = lambda x: f"case when abs(xb - xa) < 1e-12 then null else ya + (yb - ya) * (({x} - xa) / (xb - xa)) end"
+    return f"""{PART}, lin as (select rod_id, {', '.join(f"{v} {s} (l / 2 + a) * c{v} as {v}{e}" for v in 'xy' for s, e in (('-', 'a'), ('+', 'b')))} from rods),
+col as (select *, unnest(range(cast(greatest(floor(least(xa, xb) / {1 / n}::double), 0) as bigint), cast(least(floor(greatest(xa, xb) / {1 / n}::double), {n - 1}) as bigint) + 1)) as px from lin),
+yy as (select *, coalesce({at(f'greatest(least(xa, xb), px * {1 / n}::double)')}, ya) as y1, coalesce({at(f'least(greatest(xa, xb), (px + 1) * {1 / n}::double)')}, yb) as y2 from col),
+pix as (select px, unnest(range(cast(greatest(floor(least(y1, y2) / {1 / n}::double), 0) as bigint), cast(least(floor(greatest(y1, y2) / {1 / n}::double), {n - 1}) as bigint) + 1)) as py from yy),
+cov as (select cast(px as integer) as px, cast(py as integer) as py, count(*) as n from pix group by 1, 2)"""
+
+
+def _shade_sql(source: str, value: str, n: int) -> str:
+    return f"(select p as px, q as py, case when coalesce({value}, 0) < (select max({value}) from {source}) then 33 + 222 * coalesce({value}, 0)::double / (select max({value}) from {source}) else 255 end as v from (select cast(unnest(range({n})) as integer) as p), (select cast(unnest(range({n})) as integer) as q) left join {source} on px = p and py = q)"
+
+
+def _blur_sql(source: str, n: int, sigma: float, name: str) -> str:
+    """CTEs up to ``name``: the Gaussian blur of (px, py, v), along px, then py."""
+    reach = min(32, math.ceil(3 * sigma * n))
+    taps = f"{name}t as (select k, exp(-pow(k / {float(n)}::double, 2) / 2 / {sigma}::double / {sigma}::double) as g from (select unnest(range({-reach}, {reach + 1})) as k)), {name}w as (select k, g / (select sum(g) from {name}t) as g from {name}t)"
+    return f"{taps}, {name}x as (select (px + k + {n}) % {n} as px, py, sum(v * g) as v from {source}, {name}w group by 1, 2), {name} as (select px, (py + k + {n}) % {n} as py, sum(v * g) as v from {name}x, {name}w group by 1, 2)"
+
+
+@query(f"with {_raster_sql(64)} select px, py, n from cov")
 def raster_counts(spark, d):
     return raster.counts(part(spark, d), BOX, (64, 64))
 
 
-@query()
+_BLUR = f"with {_raster_sql(32)}, grey as {_shade_sql('cov', 'n', 32)}, {_blur_sql('grey', 32, 0.04, 'blur')}"
+
+
+@query(f"{_BLUR} select cast(px as integer) as px, cast(py as integer) as py, round(v, 6) as v from blur")
 def raster_blur(spark, d):
     grey = raster.shaded(raster.counts(part(spark, d), BOX, (32, 32)), (32, 32))
     return raster.blurred(grey, (32, 32), 1 / 32, 0.04).select("px", "py", r("v", 6).alias("v"))
 
 
-@query()
+@query(f"{_BLUR}, pic as {_shade_sql('blur', 'v', 32)} select px, py, round(v, 6) as v from pic")
 def raster_picture(spark, d):
     return raster.picture(part(spark, d), BOX, (32, 32), 0.04).select("px", "py", r("v", 6).alias("v"))
+
+
+# ---- sources and sinks: written to the shared folder and read back ------------------------------------------------
+
+_SINGLE = ", ".join(f"cast(cast({c} as float) as double) as {c}" for c in ("x", "y", "z", "cx", "cy", "cz", "l", "a"))
+_ROD = ("x", "y", "z", "cx", "cy", "cz", "l", "a")
+
+
+@query(f"with {PART}, cel as (select *, {_CELL} as cell_id from rods) select row_number() over (order by cell_id, rod_id) - 1 as rod_id, {_SINGLE}, cell_id from cel")
+def io_state_binary(spark, d):
+    path = scratch(spark, "state") + ".bin"
+    text.save_bytes(path, state.encode(part(spark, d), GRID, L, A))
+    return state.read(spark, path).drop("path")
+
+
+@query(f"with {PART} select {', '.join(_ROD)} from rods")
+def io_state_text(spark, d):
+    path = scratch(spark, "state-text")
+    text.state_text(part(spark, d), path)
+    return edge_files.read(spark, path, list(_ROD), header=0)
+
+
+@query(f"with {_MESH} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, rho from mesh")
+def io_mesh_text(spark, d):
+    path = scratch(spark, "mesh") + ".dat"
+    text.mesh_text(_mesh(spark), path, MESH, BOX)
+    return meshes.read(spark, path, "F")[0]
+
+
+@query(f"with {_MESH} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, rho from mesh")
+def io_vtk_mesh(spark, d):
+    path = scratch(spark, "mesh") + ".vtk"
+    text.vtk_mesh(_mesh(spark), path, MESH, BOX)
+    return vtk.read_mesh(spark, path)
+
+
+@query(f"with {PART} select cast(row_number() over (order by rod_id) - 1 as integer) as pos, {', '.join(_ROD)}, {_CELL} as cell_id from rods")
+def io_vtk_rods(spark, d):
+    path = scratch(spark, "rods") + ".vtk"
+    text.vtk_rods(rods.stamped(part(spark, d), GRID), path)
+    return vtk.read_rods(spark, path)
+
+
+@query(f"""with {PART} select rod_id + 1 as id, x, y, z, l + 2 * a as length, 2 * a as width, round(sqrt((1 + cx) / 2), 12) as qw, round(-cz * sqrt(greatest(0, (1 - cx) / 2)), 12) + 0.0 as qy, round(cy * sqrt(greatest(0, (1 - cx) / 2)), 12) + 0.0 as qz from rods""")
+def io_lammps(spark, d):
+    path = scratch(spark, "rods") + ".lmp"
+    text.lammps(part(spark, d), path, BOX)
+    return vtk.read_lammps(spark, path).select("id", "x", "y", "z", "length", "width", *[r(c, 12).alias(c) for c in ("qw", "qy", "qz")])
+
+
+@query(f"with {PART}, c as (select {_CELL} as cell_id, count(*) as n from rods group by 1) select cell::double as cell, coalesce(n, 0)::double as n, (select count(*) from rods) as total from (select unnest(range(64)) as cell) left join c on cell = cell_id")
+def io_occupancy(spark, d):
+    path = scratch(spark, "occupancy") + ".dat"
+    total = text.occupancy(stats.occupancy(part(spark, d), GRID), GRID.cells, path)
+    return edge_files.read(spark, path, ["cell", "n"], header=0).withColumn("total", F.lit(total).cast("long"))
+
+
+@query(f"{_NET} select role, i, j, round(d, 9) as d, round(s, 9) as s from net")
+def io_contacts(spark, d):
+    path = scratch(spark, "coo")
+    text.coo(_network_contacts(spark, d)[0], path)
+    parts = F.split("value", " ")
+    typed = [F.element_at(parts, i + 1).cast(t).alias(c) for i, (c, t) in enumerate((("i", "long"), ("j", "long"), ("d", "double"), ("s", "double")))]
+    return spark.read.text(path).select("role", *typed).select("role", "i", "j", r("d").alias("d"), r("s").alias("s"))
+
+
+@query(ORACLES["phi_theta_hist"])
+def io_function(spark, d):
+    path = scratch(spark, "function")
+    text.gnuplot_function(stats.phi_theta_histogram(part(spark, d)), path, "phi_bin", "theta_bin", "n")
+    return spark.read.csv(path, sep="\t", schema="phi_bin int, theta_bin int, n long")
+
+
+@query(f"with h as ({ORACLES['mutual_angle_hist']}), g as ({ORACLES['phi_theta_hist']}), line as (select phi_bin, '{{' || string_agg(n, ', ' order by theta_bin) || '}}' as v from g group by 1) select (select 'gamma={{' || string_agg(n, ', ' order by bin) || '}}' from h) as list, (select 'rho = {{' || string_agg(v, ',' || chr(10) order by phi_bin) || '}}' from line) as matrix")
+def io_mathematica(spark, d):
+    df = part(spark, d)
+    rows = [(text.mathematica_list(stats.mutual_angles(df, BOX, LIMIT), "bin", "n"), text.mathematica_matrix(stats.phi_theta_histogram(df), "phi_bin", "theta_bin", "n"))]
+    return spark.createDataFrame(rows, "list string, matrix string")
+
+
+@query(f"with {_raster_sql(32)}, grey as {_shade_sql('cov', 'n', 32)} select px, py, cast(floor(v) as integer) as v from grey")
+def io_tiff(spark, d):
+    path = scratch(spark, "grey") + ".tif"
+    text.tiff(raster.shaded(raster.counts(part(spark, d), BOX, (32, 32)), (32, 32)), path, (32, 32))
+    return vtk.read_tiff(spark, path)
+
+
+@query("select 0.005::double as fraction, 7::double as length, 0.02::double as radius, round(pi() / 4, 9) as theta, true as reduce, 4 as nx, 1 as unknown")
+def io_parameters(spark, d):
+    path = scratch(spark, "parameters") + ".txt"
+    text.save_lines(path, "VOLUME_PERCENT 0.5", "INC_LEN_MED 7", "INC_RAD_MED 0.02", "DEF_THETA_MED 45", "REDUCE_FLAG 1", "SPAT_DISTR_FILE NONE 10 10 10 4 4 4", "NOT_A_KEYWORD 1")
+    p = params.read(spark, path)
+    return spark.createDataFrame([(p.fraction, p.length, p.radius, round(p.theta, 9), p.reduce, p.mesh[0], len(p.unknown))], "fraction double, length double, radius double, theta double, reduce boolean, nx int, unknown int")

@@ -1,16 +1,18 @@
 """Writers of text and picture formats.
 
-``lines`` hands rows over in order, a partition at a time; formats that are one file
-are written through one handle on the driver, columns of any size by Spark.
+``ordered`` hands rows over in order, a partition at a time; formats that are one file
+are written through one handle on the driver, columns of any size by Spark. A path with a
+scheme is written through the file system that Spark has for it; another is a local file.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,11 +26,42 @@ def ordered(df: DataFrame, key: str, *parts, sep: str = " ") -> Iterator[str]:
         yield r[0]
 
 
-def save_lines(path: str, *groups) -> None:
-    with open(path, "w") as f:
+class _File:
+    """A file to write bytes to, locally or by Spark's file systems."""
+
+    def __init__(self, path: str):
+        if "://" not in path:
+            os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+            self.out = open(path, "wb")
+            return
+        spark = SparkSession.getActiveSession()
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+
+    def __enter__(self):
+        return self.out
+
+    def __exit__(self, *_):
+        self.out.close()
+
+
+def save_bytes(path: str, data: bytes) -> None:
+    with _File(path) as f:
+        f.write(data)
+
+
+def save_lines(path: str, *groups, chunk: int = 1 << 20) -> None:
+    """Lines of texts and of iterators of texts, handed to the file a ``chunk`` of characters at a time."""
+    with _File(path) as f:
+        held, size = [], 0
         for g in groups:
             for line in [g] if isinstance(g, str) else g:
-                f.write(line + "\n")
+                held.append(line + "\n")
+                size += len(line) + 1
+                if size >= chunk:
+                    f.write("".join(held).encode())
+                    held, size = [], 0
+        f.write("".join(held).encode())
 
 
 # ---- rods -------------------------------------------------------------------------------------------------------
@@ -68,6 +101,13 @@ def state_text(rods: DataFrame, path: str) -> None:
     lines(rods, "x", "y", "z", "cx", "cy", "cz", "l", "a").write.text(path)
 
 
+def occupancy(counts: DataFrame, cells: int, path: str) -> int:
+    """Lines ``cell count`` of all cells, in order, those without rods too; returns the number of rods. counts: (cell_id, n)."""
+    every = counts.sparkSession.range(cells).select(F.col("id").alias("cell_id")).join(counts, "cell_id", "left").select("cell_id", F.coalesce("n", F.lit(0)).alias("n"))
+    save_lines(path, ordered(every, "cell_id", "cell_id", "n"))
+    return total_of(counts, "n") or 0
+
+
 # ---- meshes -----------------------------------------------------------------------------------------------------
 
 
@@ -165,6 +205,5 @@ def tiff(image: DataFrame, path: str, size: tuple[int, int], value: str = "v") -
     # Tags of the format (width, length, bits, compression, photometric, strip offset, samples, rows, bytes)
     tags = [(256, w), (257, h), (258, 8), (259, 1), (262, 0), (273, 8 + 2 + 9 * 12 + 4), (277, 1), (278, h), (279, w * h)]
     body = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHIHH" if v < 65536 and t not in (273, 279) else "<HHII", *((t, 3, 1, v, 0) if v < 65536 and t not in (273, 279) else (t, 4, 1, v))) for t, v in tags) + struct.pack("<I", 0)
-    with open(path, "wb") as f:
-        f.write(struct.pack("<2sHI", b"II", 42, 8) + body + grid.tobytes())
+    save_bytes(path, struct.pack("<2sHI", b"II", 42, 8) + body + grid.tobytes())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 import warnings
 from dataclasses import dataclass, field, replace
 
@@ -80,6 +81,11 @@ def read(spark: SparkSession, path: str) -> Params:
     return parse(spark.read.text(path, wholetext=True).first()[0].splitlines())
 
 
+def read_input(stream=None) -> Params:
+    """Params from standard input, or another stream of lines, up to its end."""
+    return parse([line.rstrip("\r\n") for line in stream or sys.stdin])
+
+
 def read_setup(spark: SparkSession, path: str) -> dict:
     """Set-up of the mesh tool: values by position, separated by blanks, commas or line ends; two header lines.
 

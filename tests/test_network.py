@@ -132,7 +132,7 @@ def test_agglomerate_mesh_takes_every_rod(spark, tables):
     assert len(balls) > 100
     w = np.array([0.05 + b.rod_id % 7 / 50 for b in balls])
     at = np.array([(b.x, b.y, b.z) for b in balls])
-    got = registry.QUERIES["agglomerate_mesh_whole"](spark, tables).collect()
+    got = registry.QUERIES["agglomerate_mesh"](spark, tables).collect()
     assert len(got) == 512
     for g in got:
         d = np.sqrt(((at - (np.array([g.i, g.j, g.k]) + 1) / 8) ** 2).sum(1))
