@@ -43,15 +43,19 @@ def _reach(one: tuple[float, float], two: tuple[float, float], limit: float) ->
 CLASSES = 6
 
 
-def _classes(rods: DataFrame) -> list[tuple[DataFrame, tuple[float, float]]]:
-    """Rods by powers of two of their length, with the longest and thickest of each class. One class (the rods as they are) if lengths hardly differ."""
-    top = rods.agg(F.max("l")).first()[0] or 0.0
-    if not top:
-        return [(rods, (top, rods.agg(F.max("a")).first()[0] or 0.0))]
+def _classes(rods: DataFrame, beside: float = 0.0) -> list[tuple[DataFrame, tuple[float, float]]]:
+    """Rods by powers of two of their length, with the longest and thickest of each class.
+
+    One class, the rods as they are, if lengths hardly differ, or if all are under half of
+    ``beside``, the longest of the rods they meet, as the reach is theirs then.
+    """
+    top, radius = (v or 0.0 for v in rods.agg(F.max("l"), F.max("a")).first())
+    if not top or 2 * top < beside:
+        return [(rods, (top, radius))]
     kind = F.when(F.col("l") > 0, F.least(F.floor(F.log2(F.lit(top) / F.col("l")) + 1e-9), F.lit(CLASSES - 1))).otherwise(CLASSES - 1).cast("int")
     found = rods.groupBy(kind.alias("k")).agg(F.max("l"), F.max("a")).orderBy("k").collect()
     if len(found) == 1:
-        return [(rods, (found[0][1], found[0][2]))]
+        return [(rods, (top, radius))]
     return [(rods.where(kind == k), (length, radius)) for k, length, radius in found]
 
 
@@ -97,8 +101,9 @@ def spatial_join(rods: DataFrame, box: tuple[float, float, float], limit: float,
         reach = reach if reach is not None else reach_of(rods, limit, other)
         found = pairs(rods, grid or Grid.for_reach(box, reach, periodic), reach, other, ordered, keep, keep_other)
     else:
-        found, mine = None, _classes(rods)
-        theirs = mine if other is None else _classes(other)
+        tops = [] if other is None else [d.agg(F.max("l")).first()[0] or 0.0 for d in (rods, other)]
+        found, mine = None, _classes(rods, tops[1] if tops else 0.0)
+        theirs = mine if other is None else _classes(other, tops[0])
         for i, (left, one) in enumerate(mine):
             for j, (right, two) in enumerate(theirs):
                 if other is None and not ordered and j < i:

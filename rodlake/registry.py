@@ -462,7 +462,12 @@ def impedance_sweep(spark, d):
 _DEGREE = f"""with recursive {_EXPANDED}, {oracle.approach(oracle.near(_NREACH + 1e-5), periodic=(True, True, False), left='ext', right='ext')}, con as (select i, j from ap where {oracle.hits(NLIMIT)})"""
 
 
-@query()
+_LOOSE = "len(list_filter(nb.near, lambda x: not list_contains(s.gone, x))) < 2"
+
+
+@query(f"""{_DEGREE}, e as (select i as rod_id, j as other from con union all select j, i from con), nb as (select rod_id, coalesce((select list(other) from e where e.rod_id = ext.rod_id), []::bigint[]) as near from ext where role = 'internal'),
+st(step, gone) as (select 0, []::bigint[] union all select s.step + 1, list_concat(s.gone, list(nb.rod_id)) from st s join nb on not list_contains(s.gone, nb.rod_id) and {_LOOSE} group by s.step, s.gone)
+select rod_id, role from ext where rod_id not in (select unnest(gone) from (select gone from st order by step desc limit 1))""")
 def prune_dangling(spark, d):
     return network.pruned(customers(spark, d), BOX, AXIS, NLIMIT).select("rod_id", "role")
 

@@ -103,6 +103,105 @@ def test_kd_leaves(spark, some):
     assert all(r.n <= 20 or (r.x1 - r.x0) * (r.y1 - r.y0) * (r.z1 - r.z0) == 1 for r in leaves)
 
 
+def test_kd_partition_matches_brute_force(spark, tables):
+    grid, most = Grid(BOX, (16, 16, 16)), 64
+    df = registry.part(spark, tables).union(registry.part(spark, tables).withColumn("x", F.col("x") * F.col("x")))
+    at = [tuple(int(math.floor(r[v] * 16)) % 16 for v in "xyz") for r in df.select("x", "y", "z").collect()]
+
+    def leaves(box, rods):
+        if len(rods) <= most or max(b - a for a, b in box) <= 1:
+            return [(*box, len(rods))]
+        cuts = []
+        for axis, (a, b) in enumerate(box):
+            cuts += [(abs(len(rods) - 2 * sum(r[axis] <= c for r in rods)), axis, c + 1) for c in {r[axis] for r in rods} if c + 1 < b]
+            cuts += [(len(rods), axis, (a + b) // 2)] if b - a > 1 else []
+        _, axis, cut = min(cuts)
+        low, high = list(box), list(box)
+        low[axis], high[axis] = (box[axis][0], cut), (cut, box[axis][1])
+        return leaves(tuple(low), [r for r in rods if r[axis] < cut]) + leaves(tuple(high), [r for r in rods if r[axis] >= cut])
+
+    got = [((r.x0, r.x1), (r.y0, r.y1), (r.z0, r.z1), r.n) for r in generate.kd_partition(df, grid, most).collect()]
+    assert sorted(got) == sorted(leaves(((0, 16),) * 3, at))
+
+
+def test_sweep_matches_dense_solver(spark, tables):
+    """Every frequency of the sweep of the registered network, against a dense solve of the whole system."""
+    edges = registry._admittances(spark, tables)
+    rows = edges.collect()
+    ids = {n: k for k, n in enumerate(sorted({n for r in rows for n in (r.ni, r.nj) if n is not None}))}
+    got = registry.QUERIES["impedance_sweep"](spark, tables).collect()
+    assert len(got) == 9
+    for g in got:
+        w = 2 * math.pi * g.frequency / fields.W0
+        m, b = np.zeros((len(ids), len(ids)), complex), np.zeros(len(ids), complex)
+        for r in rows:
+            y, j = r.g + 1j * w * r.c, ids[r.nj]
+            m[j, j] += y
+            if r.ni is None:
+                b[j] += y * (r.kind == "source")
+            else:
+                i = ids[r.ni]
+                m[i, i] += y
+                m[i, j] -= y
+                m[j, i] -= y
+        x = np.linalg.lstsq(m, b, rcond=None)[0]  # parts without an electrode leave the system singular
+        current = ((1 - x) * b).sum()
+        if abs(current) < 1e-9:
+            assert not math.isfinite(g.re) or abs(complex(g.re, g.im)) > 1e9
+        else:
+            z = fields.R0 * 1e-6 / current
+            assert abs(complex(g.re, g.im) - z) < 1e-6 * abs(z)
+
+
+def test_solvers_raise_unsettled(spark):
+    rows = [("internal", i, i + 1, 1.0 + i % 7, 0.0) for i in range(40)] + [("source", None, 0, 1.0, 0.0), ("sink", None, 40, 1.0, 0.0)]
+    with pytest.raises(RuntimeError):
+        kirchhoff.conjugate_gradients(circuit(spark, rows), 1.0, 1.0, rounds=3)
+
+
+def test_patches_cover_the_sweep(spark):
+    df = circuit(spark, [("source", None, 0, 1.0, 0.0), ("internal", 0, 1, 1.0, 0.0), ("sink", None, 1, 1.0, 0.0)])
+    seen = []
+    for k in range(3):
+        kirchhoff.solve_patch(df, 4.0, k, 3, 1.0, lambda z: seen.extend(r.frequency for r in z.collect()))
+    assert np.allclose(sorted(seen), kirchhoff.frequencies(4.0))
+
+
+def test_classes_of_lengths_do_not_matter(spark, tables):
+    df = registry.part(spark, tables).withColumn("l", F.when(F.col("rod_id") % 50 == 0, 0.6).when(F.col("rod_id") % 3 == 0, 0.02).otherwise(0.1)).withColumn("a", F.lit(0.01))
+    assert len(spatial._classes(df)) == 3
+    key = lambda t: sorted((min(r.i, r.j), max(r.i, r.j), round(r.d, 9)) for r in t.collect())
+    one = key(spatial.contacts(df, BOX, 0.02, reach=spatial.reach_of(df, 0.02)))
+    assert key(spatial.contacts(df, BOX, 0.02)) == one and one
+    assert key(spatial.contacts(df, BOX, 0.02, ordered=True)) == sorted(one * 2)
+    old, young = df.where("rod_id % 2 = 0"), df.where("rod_id % 2 = 1")
+    apart = lambda **k: sorted((r.i, r.j) for r in spatial.contacts(young, BOX, 0.02, other=old, **k).collect())
+    assert apart() == apart(reach=0.8)
+
+
+def test_vectors(spark):
+    v = lambda *x: tuple(F.lit(float(c)) for c in x)
+    m = (v(0, 2, 1), v(4, 1, 1), v(2, 3, 5))
+    up = vec.eliminated(m)
+    row = spark.range(1).select(*[c.alias(f"u{i}{j}") for i, r in enumerate(up) for j, c in enumerate(r)], vec.angle_between(v(1, 0, 0), v(1, 1e-9, 0)).alias("tiny"), vec.angle_between(v(1, 0, 0), v(-1, 0, 0)).alias("half")).first()
+    u = np.array([[row[f"u{i}{j}"] for j in range(3)] for i in range(3)])
+    a = np.array([[0, 2, 1], [4, 1, 1], [2, 3, 5.0]])
+    assert np.allclose(u, np.triu(u)) and math.isclose(abs(np.prod(np.diag(u))), abs(np.linalg.det(a)))
+    assert math.isclose(row.tiny, 1e-9, rel_tol=1e-6) and math.isclose(row.half, math.pi)
+
+
+def test_more_writers(spark, some, tmp_path):
+    df = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 4)], "a int, b int, n int")
+    text.gnuplot_matrix(df, "a", "b", "n", f"{tmp_path}/m")
+    assert open(f"{tmp_path}/m").read() == "1\t2\n3\t4\n"
+    mesh = density.constant(spark, (2, 2, 2)).select("i", "j", "k", F.lit(1.0).alias("vx"), F.lit(2.0).alias("vy"), F.lit(3.0).alias("vz"))
+    text.vtk_field(mesh, f"{tmp_path}/f.vtk", (2, 2, 2), BOX)
+    assert open(f"{tmp_path}/f.vtk").read().count("1.0 2.0 3.0") == 8
+    counts = spark.createDataFrame([(1, 5)], "cell_id long, n long")
+    assert text.occupancy(counts, 3, f"{tmp_path}/o") == 5 and open(f"{tmp_path}/o").read() == "0 0\n1 5\n2 0\n"
+    assert params.read_input(["INC_LEN_MED 2", "REDUCE_FLAG 1"]).length == 2.0
+
+
 def test_mesh_files(spark, some, tmp_path):
     mesh = density.deposit(some, (3, 4, 5), BOX)
     assert math.isclose(mesh.agg(F.sum("rho")).first()[0], 200)
