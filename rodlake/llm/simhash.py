@@ -193,7 +193,7 @@ def simhash_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
 # ---- near duplicates by exact similarity, on SimHash candidates -------------------------------------------------
 
 #: Documents, and bytes of shingle hashes, of a candidate cluster that one verification takes.
-BLOCK, BLOCK_BYTES = 128, 16 << 20
+BLOCK, BLOCK_BYTES = 64, 16 << 20
 #: The same where blocks are compared pair by pair.
 PAIRED = 512
 #: Rounds in which the heads of blocks that are still apart are dealt anew.
@@ -334,7 +334,7 @@ def _verified(docs: DataFrame, doc: str, text: str, member: DataFrame, similarit
 #: Bits of a fingerprint.
 BITS = 128
 #: Cost of shipping a row to a shard, in distances computed there.
-SHIP = 150.0
+SHIP = 30.0
 
 
 def _differing(a: int, b: int, both: int) -> float:
