@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 from ..plans.tables import discard, scratch
 from ..plans.tables import keep as save
 
-__all__ = ["aside", "crowded", "discard", "lookup", "ranked", "salted", "save", "scored", "scratch", "table", "within"]
+__all__ = ["aside", "crowded", "discard", "floored", "lookup", "matrix", "ranked", "salted", "same_length", "save", "scored", "scratch", "table", "within"]
 
 
 def within(df: DataFrame, bound: int) -> bool:
@@ -88,3 +89,21 @@ def aside(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``df`` with columns c0, c1, ..., so that no name clashes with one of ours, and what gives them their names back."""
     names = df.columns
     return df.toDF(*[f"c{i}" for i in range(len(names))]), lambda out: out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def floored(embedding: Column, scale: int, bound: int) -> Column:
+    """The components times ``scale``, rounded down, as longs; null for vectors that are null or empty, or hold a component that is null, not finite or beyond ``bound`` after scaling."""
+    x = embedding.cast("array<double>")
+    sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & (F.abs(v) <= F.lit(bound / scale)))
+    return F.when(F.coalesce(sound, F.lit(False)), F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")))
+
+
+def same_length(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The rows whose list has the most frequent length (of equally frequent ones the longest), and that length; 0 if there is no row."""
+    top = df.groupBy(F.size(column).alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    return (df.where(F.size(column) == top.dims), top.dims) if top else (df, 0)
+
+
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """(rows, dims) of a list column whose lists all have that length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pivots, secrets, sharding, simhash, toxicity, urlrank, warc
+from . import decontaminate, langid, lloyd, mixing, pivots, secrets, sharding, simhash, tokens, toxicity, urlrank, warc, whitening
 from .common import table
 
 
@@ -50,6 +50,25 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrank.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of ``embeddings``, whitened; odd rows as in ``whitening.whitened_rows``."""
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Tokens of all ``documents``, counted into a new cache; odd rows as in ``tokens.token_counts``. ``tokenizer``: the path of its file."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.limit_report(table(spark, sf_dir, "documents"), tokens.Tokenizer.read(tokenizer))
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors of ``embeddings``; odd rows as in ``lloyd.compressed``."""
+    return lloyd.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -61,10 +80,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_langid": op9_langid,
     "op10_urls": op10_urls,
+    "op11_whitening": op11_whitening,
+    "op12_tokens": op12_tokens,
+    "op13_lloyd": op13_lloyd,
 }
 
 ORACLES: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
     "op5_warc": warc.SQL,
     "op8_embeddings": pivots.SQL,
+    "op13_lloyd": lloyd.SQL,
 }
