@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, salted, save, scored, scratch
+from .common import discard, salted, save, scored, scratch
 
 #: Characters encoded at once; longer texts are cut there where that changes no token.
 CHARACTERS = 1 << 18
@@ -195,8 +195,7 @@ def token_counts(docs: DataFrame, tokenizer: Tokenizer, cache: str, key: str = "
     if misses.limit(1).count():
         # the row of the least key stands for its content: rows meet by both, so a content of many rows is no hot key
         whole = digested(given.withColumn("text", F.coalesce("text", F.lit(""))), "text", tokenizer, ["key", "text"])
-        few = lookup(misses, 100_000)
-        chosen = whole.join(few, (whole["digest"] == few["digest"]) & whole["key"].eqNullSafe(few["_key"]), "left_semi")
+        chosen = whole.join(misses, (whole["digest"] == misses["digest"]) & whole["key"].eqNullSafe(misses["_key"]), "left_semi")
         fresh = save(encoded(chosen.select("digest", "text"), tokenizer), "tok-fresh")
         fresh.write.mode("append").parquet(f"{cache}/tokenizer={tokenizer.version}")
     known = kinds.where("n_tokens is not null").select("digest", "n_tokens")
