@@ -18,9 +18,9 @@ class Grid:
     periodic: tuple[bool, bool, bool] = (True, True, True)
 
     @staticmethod
-    def for_reach(box: tuple[float, float, float], reach: float, periodic: tuple[bool, bool, bool] = (True, True, True)) -> "Grid":
-        """The finest grid whose cells are at least ``reach`` wide, so that the 27 nearest cells hold every neighbour."""
-        return Grid(box, tuple(max(1, min(2_000_000, math.floor(n / reach))) for n in box), periodic)
+    def for_reach(box: tuple[float, float, float], reach: float, periodic: tuple[bool, bool, bool] = (True, True, True), order: int = 1) -> "Grid":
+        """The finest grid whose cells are at least ``reach / order`` wide, so that the ``strides`` of that order hold every neighbour."""
+        return Grid(box, tuple(max(1, min(2_000_000, math.floor(n * order / reach))) for n in box), periodic)
 
     @property
     def cells(self) -> int:
@@ -65,18 +65,32 @@ class Grid:
             ok = ok & (v >= c * e - margin) & (v <= (c + 1) * e + margin)
         return ok
 
-    def strides(self) -> list[tuple[int, int, int]]:
-        """Distinct strides to the 27 nearest cells; fewer where an axis has under 3 cells."""
+    def strides(self, order: int = 1, reach: float | None = None) -> list[tuple[int, int, int]]:
+        """Distinct strides to cells within ``order`` along each axis; fewer where an axis that wraps has under 2 * order + 1 cells.
+
+        Cells whose nearest corners are farther apart than ``reach`` (order cells of the
+        widest axis, if not given) hold no neighbour and are left out.
+        """
+        edge = [length / n for length, n in zip(self.box, self.ext)]
+        reach = order * min(edge) if reach is None else reach
+
         def one(n: int, p: bool) -> list[int]:
-            return [0] if n == 1 else [0, 1] if n == 2 and p else [-1, 0, 1]
+            if p and n < 2 * order + 1:
+                return list(range(n))
+            return [s for s in range(-order, order + 1) if p or abs(s) < n]
+
+        def near(s: int, i: int) -> float:
+            least = min(abs(s), self.ext[i] - abs(s)) if self.periodic[i] else abs(s)
+            return max(0, least - 1) * edge[i]
 
-        return [(i, j, k) for k in one(self.ext[2], self.periodic[2]) for j in one(self.ext[1], self.periodic[1]) for i in one(self.ext[0], self.periodic[0])]
+        every = [(i, j, k) for k in one(self.ext[2], self.periodic[2]) for j in one(self.ext[1], self.periodic[1]) for i in one(self.ext[0], self.periodic[0])]
+        return [s for s in every if math.sqrt(sum(near(v, i) ** 2 for i, v in enumerate(s))) <= reach * (1 + 1e-9)]
 
-    def halves(self) -> list[tuple[int, int, int]] | None:
-        """14 of the 27 strides such that each unordered pair of cells is met once; None if an axis that wraps has under 3 cells."""
-        if any(n < 3 and p for n, p in zip(self.ext, self.periodic)):
+    def halves(self, order: int = 1, reach: float | None = None) -> list[tuple[int, int, int]] | None:
+        """About half of the strides such that each unordered pair of cells is met once; None if an axis that wraps has under 2 * order + 1 cells."""
+        if any(n < 2 * order + 1 and p for n, p in zip(self.ext, self.periodic)):
             return None
-        return [s for s in self.strides() if (s[2], s[1], s[0]) >= (0, 0, 0)]
+        return [s for s in self.strides(order, reach) if (s[2], s[1], s[0]) >= (0, 0, 0)]
 
     def padded(self, axis: int, layers: int) -> "Grid":
         """The grid with ``layers`` more cells at both ends of an axis, which no longer wraps."""

@@ -184,3 +184,47 @@ def eliminated(m: tuple[Vec, Vec, Vec]) -> tuple[Vec, Vec, Vec]:
     two = led(cleared(one, 0), 1)
     last = F.element_at(cleared(two, 1), 1)
     return tuple(tuple(at(r, j) for j in range(3)) for r in (F.element_at(one, 1), F.element_at(two, 1), last))
+
+
+def symmetric_axes(df: DataFrame, entries: tuple[str, str, str, str, str, str], name: str = "axes") -> DataFrame:
+    """Add ``name``: three structs (k, w, x, y, z) of a symmetric 3x3 matrix with columns (xx, yy, zz, xy, xz, yz), largest k first.
+
+    w is the eigenvalue, k its size, (x, y, z) the unit eigenvector, of either sign. The root that is
+    farthest from the others has a closed form that is exact to rounding; the other two, which may be
+    nearly equal, come from the 2x2 problem across its axis. Of equal roots any axes are given
+    that are orthogonal; a null entry gives nulls.
+    """
+    xx, yy, zz, xy, xz, yz = (F.col(c) for c in entries)
+    kept = df.columns
+    zero = F.lit(0.0)
+    df = let(df, _q=(xx + yy + zz) / 3.0)
+    q = F.col("_q")
+    df = let(df, _p=F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2.0 * (xy * xy + xz * xz + yz * yz)) / 6.0))
+    p = F.col("_p")
+    per = lambda v: F.when(p > 0, v / p).otherwise(zero)
+    df = let(df, **{f"_b{k}": per(v) for k, v in (("xx", xx - q), ("yy", yy - q), ("zz", zz - q), ("xy", xy), ("xz", xz), ("yz", yz))})
+    b = {k: F.col(f"_b{k}") for k in ("xx", "yy", "zz", "xy", "xz", "yz")}
+    det = b["xx"] * (b["yy"] * b["zz"] - b["yz"] * b["yz"]) - b["xy"] * (b["xy"] * b["zz"] - b["yz"] * b["xz"]) + b["xz"] * (b["xy"] * b["yz"] - b["yy"] * b["xz"])
+    df = let(df, _r=clamp(det / 2.0, F.lit(-1.0), F.lit(1.0)))
+    turn = F.acos(F.abs(F.col("_r"))) / 3.0
+    df = let(df, _e=F.when(F.col("_r") < 0, -2.0).otherwise(2.0) * F.cos(turn))
+    e = F.col("_e")
+    rows = [(b["xx"] - e, b["xy"], b["xz"]), (b["xy"], b["yy"] - e, b["yz"]), (b["xz"], b["yz"], b["zz"] - e)]
+    df = let(df, _c=F.sort_array(F.array(*[F.struct(dot(c, c).alias("s"), *[v.alias(n) for v, n in zip(c, "xyz")]) for c in (cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2]))]), asc=False)[0])
+    size = F.sqrt(F.col("_c.s"))
+    df = let(df, **{f"_w{v}": F.when(size > 0, F.col(f"_c.{v}") / size).otherwise(F.lit(1.0 if v == "x" else 0.0)) for v in "xyz"})
+    w = tuple(F.col(f"_w{v}") for v in "xyz")
+    wide = F.abs(w[0]) > F.abs(w[1])
+    df = let(df, _l=F.when(wide, F.sqrt(w[0] * w[0] + w[2] * w[2])).otherwise(F.sqrt(w[1] * w[1] + w[2] * w[2])))
+    df = let(df, _ux=F.when(wide, -w[2]).otherwise(zero) / F.col("_l"), _uy=F.when(wide, zero).otherwise(w[2]) / F.col("_l"), _uz=F.when(wide, w[0]).otherwise(-w[1]) / F.col("_l"))
+    u = tuple(F.col(f"_u{v}") for v in "xyz")
+    df = let(df, **{f"_v{n}": c for n, c in zip("xyz", cross(w, u))})
+    v = tuple(F.col(f"_v{n}") for n in "xyz")
+    times = lambda a: (xx * a[0] + xy * a[1] + xz * a[2], xy * a[0] + yy * a[1] + yz * a[2], xz * a[0] + yz * a[1] + zz * a[2])
+    df = let(df, _ww=dot(w, times(w)), _uu=dot(u, times(u)), _uv=dot(u, times(v)), _vv=dot(v, times(v)))
+    df = let(df, _h=F.hypot((F.col("_uu") - F.col("_vv")) / 2.0, F.col("_uv")), _t=F.atan2(F.col("_uv"), (F.col("_uu") - F.col("_vv")) / 2.0) / 2.0)
+    df = let(df, _cos=F.cos("_t"), _sin=F.sin("_t"), _mid=(F.col("_uu") + F.col("_vv")) / 2.0)
+    c, s = F.col("_cos"), F.col("_sin")
+    three = ((F.col("_ww"), w), (F.col("_mid") + F.col("_h"), add(scale(u, c), scale(v, s))), (F.col("_mid") - F.col("_h"), sub(scale(v, c), scale(u, s))))
+    axes = F.sort_array(F.array(*[F.struct(F.abs(value).alias("k"), value.alias("w"), *[x.alias(n) for x, n in zip(axis, "xyz")]) for value, axis in three]), asc=False)
+    return let(df, **{name: axes}).select(*[f"`{k}`" for k in kept], name)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +19,11 @@ def moments(rods: DataFrame, grid: Grid) -> DataFrame:
 
 def principal(cells: DataFrame) -> DataFrame:
     """(cell_id, n, l1, l2, l3, px, py, pz): eigenvalues by size, and the first axis with its last non-zero component positive."""
-
-    def run(batches):
-        for pdf in batches:
-            m = np.zeros((len(pdf), 3, 3))
-            for k, (i, j) in zip(MOMENTS, ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))):
-                m[:, i, j] = m[:, j, i] = pdf[k]
-            w, v = np.linalg.eigh(m)
-            order = np.argsort(-np.abs(w), axis=1, kind="stable")
-            w = np.take_along_axis(w, order, axis=1)
-            p = np.take_along_axis(v, order[:, None, :1], axis=2)[:, :, 0]
-            turn = np.where(np.abs(p[:, 2]) > 1e-12, p[:, 2], np.where(np.abs(p[:, 1]) > 1e-12, p[:, 1], p[:, 0]))
-            p *= np.where(turn < 0, -1.0, 1.0)[:, None]
-            yield pdf[["cell_id", "n"]].assign(l1=w[:, 0], l2=w[:, 1], l3=w[:, 2], px=p[:, 0], py=p[:, 1], pz=p[:, 2])
-
-    return cells.mapInPandas(run, "cell_id long, n long, l1 double, l2 double, l3 double, px double, py double, pz double")
+    df = vec.symmetric_axes(cells.select("cell_id", "n", *MOMENTS), tuple(MOMENTS))
+    first = F.col("axes")[0]
+    last = F.when(F.abs(first["z"]) > 1e-12, first["z"]).when(F.abs(first["y"]) > 1e-12, first["y"]).otherwise(first["x"])
+    sign = F.when(last < 0, -1.0).otherwise(1.0)
+    return df.select("cell_id", "n", *[F.col("axes")[i]["w"].alias(f"l{i + 1}") for i in range(3)], *[(first[v] * sign).alias("p" + v) for v in "xyz"])
 
 
 def mean_directions(rods: DataFrame, grid: Grid, least: float = 0.5) -> DataFrame:

@@ -1,23 +1,25 @@
 """Spatial joins of rods over the cell grid.
 
-Candidates come from an equi-join on one LONG cell key: the cells are at least as wide
-as the reach, so a rod's partners are in its own cell and the 26 around it. With the
-half stencil each pair of cells meets once. The centre distance is tested in the join
-condition, so that few pairs reach the geometry. Rows are narrow; sort-merge is asked
-for, since a broadcast would grow with the rods.
+Candidates come from an equi-join on one LONG cell key. Either rods are entered by their
+centres, and the cells within reach meet by strides, each pair of cells once; or rods are
+entered in every cell along their axes and meet in the cell of their closest approach.
+The distances of centres and of the axes as lines are tested in the join condition, so
+that few pairs reach the geometry. Rows are narrow; sort-merge is asked for, since a
+broadcast would grow with the rods.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import capsule
 from ..functions.grid import Grid
-from ..functions.vec import let, min_image
+from ..functions.vec import cross, dot, let, min_image
 from ..plans.tables import discard
 from ..plans.tables import keep as table
 
@@ -39,38 +41,166 @@ def _reach(one: tuple[float, float], two: tuple[float, float], limit: float) ->
     return max(half + radii + limit, math.hypot(half + radii, radii + limit)) + 2 * capsule.EPS
 
 
-#: Classes of lengths: halves of the longest, down to this many.
-CLASSES = 6
+@dataclass(frozen=True)
+class Extent:
+    """Of a table of rods: rods, longest, mean length, thickest, rods per volume where the rods are, lowest and highest centre of each axis."""
+
+    rods: int
+    length: float
+    mean: float
+    radius: float
+    density: float
+    low: tuple[float, ...]
+    high: tuple[float, ...]
+
+
+#: Cells a side in which loads are counted.
+LOADS = 16
+
+
+def extent(rods: DataFrame, box: tuple[float, float, float], periodic: tuple[bool, bool, bool] = (True, True, True)) -> Extent:
+    """One aggregate over the loads of coarse cells: a rod sees n - 1 others in its cell, on the mean over rods, which tells crowded tables from even ones."""
+    cell = Grid(box, (LOADS,) * 3, periodic).join_id(F.col("x"), F.col("y"), F.col("z"))
+    ends = [f(v).alias(f"{n}{v}") for v in "xyz" for n, f in (("low", F.min), ("high", F.max))]
+    each = rods.groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("s"), F.max("l").alias("l"), F.max("a").alias("a"), *ends)
+    top = [f(f"{n}{v}") for v in "xyz" for n, f in (("low", F.min), ("high", F.max))]
+    n, met, s, length, radius, *ends = (v or 0 for v in each.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1.0)), F.sum("s"), F.max("l"), F.max("a"), *top).first())
+    return Extent(n, float(length), s / max(1, n), float(radius), met / max(1, n) / math.prod(box) * LOADS**3, tuple(ends[::2]), tuple(ends[1::2]))
+
+
+#: What writing, sorting and reading an entry of a rod in a cell costs, in tests of a pair.
+ENTRY = 4.0
+#: Largest order of a grid: cells of a quarter of the reach.
+ORDERS = 4
+
+
+def centre_cost(one: Extent, two: Extent, reach: float, order: int, halved: bool) -> float:
+    """Work of a join of centres on cells of ``reach / order``: entries of all strides, and pairs that meet."""
+    met = len(Grid((1e9, 1e9, 1e9), (10**9,) * 3).strides(order)) / (2 if halved else 1)
+    return ENTRY * (one.rods * met + two.rods) + one.rods * met * two.density * (reach / order) ** 3
+
+
+def axis_cost(one: Extent, two: Extent, most: float, width: float, halved: bool) -> float:
+    """Work of a join of axes on cells of ``width``; a rod's entries are its widened axis, swept by a cell, over the cell."""
+    wide = width + most
+    first, second = ((wide**3 + 1.5 * (e.mean + 2 * e.radius) * wide**2) / width**3 for e in (one, two))
+    return ENTRY * (one.rods * first + two.rods * second) + one.rods * first * second * two.density * width**3 / (2 if halved else 1)
+
+
+@dataclass(frozen=True)
+class AxisGrid:
+    """Cells in which rods are entered along their axes. An axis that wraps has n cells of width box / n; else cells are numbered from ``first`` on, beyond the box too."""
+
+    box: tuple[float, float, float]
+    ext: tuple[int, int, int]
+    first: tuple[int, int, int]
+    periodic: tuple[bool, bool, bool]
+    half: float
+
+    @staticmethod
+    def of(box: tuple[float, float, float], width: float, periodic: tuple[bool, bool, bool], half: float, one: Extent, two: Extent) -> "AxisGrid":
+        """Cells of about ``width``. An axis that wraps has a single cell if a rod and its margins might reach around it."""
+        ext, first = [], []
+        span = max(e.length + 2 * e.radius for e in (one, two)) + 2 * half + 4 * capsule.EPS
+        for i, (n, wraps) in enumerate(zip(box, periodic)):
+            low, high = min(one.low[i], two.low[i]) - span, max(one.high[i], two.high[i]) + span
+            count = max(1, min(1_000_000, math.floor(n / width)))
+            if wraps and span + n / count >= n:
+                count = 1
+            ext.append(count if wraps else math.ceil((high - low) / (n / count)) + 2)
+            first.append(0 if wraps else math.floor(low / (n / count)) - 1)
+            if not wraps:
+                # the width stays that of the box
+                box = (*box[:i], n / count * ext[i], *box[i + 1 :])
+        return AxisGrid(tuple(box), tuple(ext), tuple(first), periodic, half)
+
+    def width(self, i: int) -> float:
+        return self.box[i] / self.ext[i]
+
+    def number(self, x: Column, i: int) -> Column:
+        g = F.floor(x / self.width(i))
+        return F.pmod(g, F.lit(self.ext[i])) if self.periodic[i] else g - self.first[i]
+
+    def cell(self, x: Column, y: Column, z: Column) -> Column:
+        return self._id([self.number(v, i) for i, v in enumerate((x, y, z))])
+
+    def _id(self, g: list[Column]) -> Column:
+        return (g[0] + g[1] * self.ext[0] + g[2] * (self.ext[0] * self.ext[1])).cast("long")
+
+    def entered(self, rods: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """rod_id, FIELDS, ``keep`` and cell: a row for each cell within ``half`` of the axis, drawn out by the radius.
+
+        Slab by slab: the cells along x, of each the piece of the axis that may touch it, that
+        piece's cells along y, and so on.
+        """
+        df = let(rods.select("rod_id", *FIELDS, *keep), _o=F.col("l") / 2.0 + F.col("a") + 2 * capsule.EPS, _s=F.lit(0.0), _e=F.lit(1.0))
+        for i, v in enumerate("xyz"):
+            start, along, h, w = F.col(v) - F.col("c" + v) * F.col("_o"), 2.0 * F.col("c" + v) * F.col("_o"), self.half + 2 * capsule.EPS, self.width(i)
+            if self.periodic[i] and self.ext[i] == 1:
+                df = df.withColumn(f"_g{v}", F.lit(0).cast("long"))
+                continue
+            df = let(df, _p=start, _v=along)
+            p, q = F.col("_p") + F.col("_v") * F.col("_s"), F.col("_p") + F.col("_v") * F.col("_e")
+            df = df.withColumn(f"_g{v}", F.explode(F.sequence(F.floor((F.least(p, q) - h) / w), F.floor((F.greatest(p, q) + h) / w))))
+            s, e = ((F.col(f"_g{v}") * w - h - F.col("_p")) / F.col("_v"), ((F.col(f"_g{v}") + 1) * w + h - F.col("_p")) / F.col("_v"))
+            flat = F.abs(F.col("_v")) < 1e-12
+            if i < 2:
+                df = let(df, _s=F.when(flat, F.col("_s")).otherwise(F.greatest(F.col("_s"), F.least(s, e))), _e=F.when(flat, F.col("_e")).otherwise(F.least(F.col("_e"), F.greatest(s, e))))
+        g = [F.pmod(F.col(f"_g{v}"), F.lit(n)) if wraps else F.col(f"_g{v}") - at for v, n, wraps, at in zip("xyz", self.ext, self.periodic, self.first)]
+        return df.select("rod_id", *FIELDS, *keep, self._id(g).alias("cell"))
+
+
+def _named(df: DataFrame, end: int, keep: tuple[str, ...], *more: Column) -> DataFrame:
+    return df.select(F.col("rod_id").alias("ij"[end - 1]), *[F.col(f).alias(f"{f}{end}") for f in FIELDS], *[F.col(k).alias(f"{k}{end}") for k in keep], *more)
+
+
+def _met(a: DataFrame, b: DataFrame, on: Column, box: tuple[float, float, float], periodic: tuple[bool, bool, bool], reach: float, most: float | None, tail: list[str]) -> DataFrame:
+    """a and b joined; centres within ``reach``, and with ``most`` the lines of the axes within that, which a few products tell."""
+    gap = {v: F.col(v + "2") - F.col(v + "1") for v in "xyz"}
+    gap = {v: min_image(g, F.lit(float(n))) if p else g for (v, g), n, p in zip(gap.items(), box, periodic)}
+    on = on & (gap["x"] * gap["x"] + gap["y"] * gap["y"] + gap["z"] * gap["z"] <= reach * reach)
+    if most is not None:
+        n = cross(tuple(F.col(f"c{v}1") for v in "xyz"), tuple(F.col(f"c{v}2") for v in "xyz"))
+        apart = dot(tuple(gap.values()), n)
+        on = on & (apart * apart <= dot(n, n) * (most * most) + 1e-12)
+    joined = a.hint("merge").join(b, on)
+    return joined.select("i", "j", "x1", "y1", "z1", *[gap[v].alias("b" + v) for v in "xyz"], *[F.col(f"c{v}1").alias(f"c1{v}") for v in "xyz"], "l1", "a1", *[F.col(f"c{v}2").alias(f"c2{v}") for v in "xyz"], "l2", "a2", *tail)
 
 
-def _classes(rods: DataFrame, beside: float = 0.0) -> list[tuple[DataFrame, tuple[float, float]]]:
-    """Rods by powers of two of their length, with the longest and thickest of each class.
+def axis_pairs(rods: DataFrame, grid: AxisGrid, box: tuple[float, float, float], reach: float, most: float, other: DataFrame | None = None, ordered: bool = False, keep: tuple[str, ...] = (), keep_other: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of ``pairs`` and cell: pairs of rods that are entered in one cell, once for each such cell.
 
-    One class, the rods as they are, if lengths hardly differ, or if all are under half of
-    ``beside``, the longest of the rods they meet, as the reach is theirs then.
+    The middle of a pair's closest approach lies within half the distance of both axes, so in a
+    cell of both: ``reference`` keeps the row of that cell.
     """
-    top, radius = (v or 0.0 for v in rods.agg(F.max("l"), F.max("a")).first())
-    if not top or 2 * top < beside:
-        return [(rods, (top, radius))]
-    kind = F.when(F.col("l") > 0, F.least(F.floor(F.log2(F.lit(top) / F.col("l")) + 1e-9), F.lit(CLASSES - 1))).otherwise(CLASSES - 1).cast("int")
-    found = rods.groupBy(kind.alias("k")).agg(F.max("l"), F.max("a")).orderBy("k").collect()
-    if len(found) == 1:
-        return [(rods, (top, radius))]
-    return [(rods.where(kind == k), (length, radius)) for k, length, radius in found]
+    a = _named(grid.entered(rods, keep), 1, keep, F.col("cell").alias("cell1"))
+    theirs = keep if other is None else keep_other
+    b = _named(grid.entered(rods if other is None else other, theirs), 2, theirs, F.col("cell").alias("cell2"))
+    on = F.col("cell1") == F.col("cell2")
+    if other is None:
+        on = on & (F.col("i") != F.col("j") if ordered else F.col("i") < F.col("j"))
+    return _met(a, b, on, box, grid.periodic, reach, most, [*(k + "1" for k in keep), *(k + "2" for k in theirs), "cell1"])
+
 
+def reference(found: DataFrame, grid: AxisGrid) -> DataFrame:
+    """Of the rows of a pair with its closest approach, the one in the cell of the middle."""
+    middle = [F.col(v + "1") + (F.col("t1") * F.col("c1" + v) + F.col("b" + v) + F.col("t2") * F.col("c2" + v)) / 2.0 for v in "xyz"]
+    return found.where(grid.cell(*middle) == F.col("cell1")).drop("cell1")
 
-def pairs(rods: DataFrame, grid: Grid, reach: float, other: DataFrame | None = None, ordered: bool = False, keep: tuple[str, ...] = (), keep_other: tuple[str, ...] = ()) -> DataFrame:
+
+def pairs(rods: DataFrame, grid: Grid, reach: float, other: DataFrame | None = None, ordered: bool = False, keep: tuple[str, ...] = (), keep_other: tuple[str, ...] = (), order: int = 1, most: float | None = None) -> DataFrame:
     """Pairs of rods whose centres are within ``reach`` under the nearest image.
 
     Columns: i, j, x1.., b (bx..), c1x.., l1, a1, c2x.., l2, a2, and ``keep`` with endings 1
     and 2. Of one table: each pair once (i and j in the order of their cells), or twice
-    if ``ordered``. With ``other``: rods as i, other as j, all pairs.
+    if ``ordered``. With ``other``: rods as i, other as j, all pairs. Cells must be at least
+    ``reach / order`` wide. ``most``: pairs whose axes, as lines, are farther apart may be left out.
     """
-    halves = grid.halves() if other is None and not ordered else None
-    strides = halves or grid.strides()
+    halves = grid.halves(order, reach) if other is None and not ordered else None
+    strides = halves or grid.strides(order, reach)
     left = F.array(*[F.struct(*[F.lit(v).cast("int").alias(n) for v, n in zip(s, ("sx", "sy", "sz"))]) for s in strides])
     a = rods.select("rod_id", *FIELDS, *keep, *[grid.axis(F.col(v), i).alias(f"g{v}") for i, v in enumerate("xyz")])
-    a = a.select(F.col("rod_id").alias("i"), *[F.col(f).alias(f + "1") for f in FIELDS], *[F.col(k).alias(k + "1") for k in keep], "gx", "gy", "gz", F.explode(left).alias("s"))
+    a = a.select("rod_id", *FIELDS, *keep, "gx", "gy", "gz", F.explode(left).alias("s"))
     at, ok = [], F.lit(True)
     for v, n, p in zip("xyz", grid.ext, grid.periodic):
         c = F.col(f"g{v}") + F.col(f"s.s{v}")
@@ -78,41 +208,44 @@ def pairs(rods: DataFrame, grid: Grid, reach: float, other: DataFrame | None = N
         if not p:
             ok = ok & (c >= 0) & (c < n)
     own = (F.col("s.sx") == 0) & (F.col("s.sy") == 0) & (F.col("s.sz") == 0)
-    a = a.where(ok).select("i", *[f + "1" for f in FIELDS], *[k + "1" for k in keep], own.alias("own"), grid.compose(*at).alias("cell1"))
-    b = (rods if other is None else other).select(F.col("rod_id").alias("j"), *[F.col(f).alias(f + "2") for f in FIELDS], *[F.col(k).alias(k + "2") for k in (keep if other is None else keep_other)], grid.join_id(F.col("x"), F.col("y"), F.col("z")).alias("cell2"))
-    gap = {v: F.col(v + "2") - F.col(v + "1") for v in "xyz"}
-    gap = {v: min_image(g, F.lit(float(n))) if p else g for (v, g), n, p in zip(gap.items(), grid.box, grid.periodic)}
-    near = gap["x"] * gap["x"] + gap["y"] * gap["y"] + gap["z"] * gap["z"] <= reach * reach
-    on = (F.col("cell1") == F.col("cell2")) & near
+    a = _named(a.where(ok), 1, keep, own.alias("own"), grid.compose(*at).alias("cell1"))
+    theirs = keep if other is None else keep_other
+    b = _named(rods if other is None else other, 2, theirs, grid.join_id(F.col("x"), F.col("y"), F.col("z")).alias("cell2"))
+    on = F.col("cell1") == F.col("cell2")
     if other is None:
         on = on & (F.col("i") != F.col("j") if ordered else ~F.col("own") | (F.col("i") < F.col("j")) if halves else F.col("i") < F.col("j"))
-    tail = [k + "1" for k in keep] + [k + "2" for k in (keep if other is None else keep_other)]
-    return a.hint("merge").join(b, on).select("i", "j", "x1", "y1", "z1", *[gap[v].alias("b" + v) for v in "xyz"], *[F.col(f"c{v}1").alias(f"c1{v}") for v in "xyz"], "l1", "a1", *[F.col(f"c{v}2").alias(f"c2{v}") for v in "xyz"], "l2", "a2", *tail)
+    return _met(a, b, on, grid.box, grid.periodic, reach, most, [*(k + "1" for k in keep), *(k + "2" for k in theirs)])
 
 
-def spatial_join(rods: DataFrame, box: tuple[float, float, float], limit: float, other: DataFrame | None = None, ordered: bool = False, periodic: tuple[bool, bool, bool] = (True, True, True), then: Callable[[DataFrame], DataFrame] = capsule.closest_approach, where: Column | None = None, keep: tuple[str, ...] = (), keep_other: tuple[str, ...] = (), reach: float | None = None, grid: Grid | None = None) -> DataFrame:
+def spatial_join(rods: DataFrame, box: tuple[float, float, float], limit: float, other: DataFrame | None = None, ordered: bool = False, periodic: tuple[bool, bool, bool] = (True, True, True), then: Callable[[DataFrame], DataFrame] = capsule.closest_approach, where: Column | None = None, keep: tuple[str, ...] = (), keep_other: tuple[str, ...] = (), reach: float | None = None, grid: Grid | None = None, way: str | None = None) -> DataFrame:
     """The cell-interaction join: candidate pairs, ``then`` (a pair expression), ``where`` (the theta condition).
 
-    Rods of very different lengths are joined class by class, each pair of classes on a
-    grid of its own, so that a few long rods don't widen the cells of all. With ``reach``
-    or ``grid`` given, all meet on that one.
+    Two indexes give the same rows: cells of centres, on a grid of order 1 to ORDERS, and cells along
+    axes, whose width follows radii and limit, not lengths. The cheaper one is taken by the
+    loads of coarse cells; ``way`` ("axis", or the order as a digit) sets it. The axes need a ``where`` that
+    holds only for closest approaches (d) of at most both radii and ``limit``; without one, or
+    with ``reach``, ``grid`` or another ``then``, the centres meet.
     """
     if reach is not None or grid is not None:
         reach = reach if reach is not None else reach_of(rods, limit, other)
-        found = pairs(rods, grid or Grid.for_reach(box, reach, periodic), reach, other, ordered, keep, keep_other)
+        out = then(pairs(rods, grid or Grid.for_reach(box, reach, periodic), reach, other, ordered, keep, keep_other))
+        return out if where is None else out.where(where)
+    one = extent(rods, box, periodic)
+    two = one if other is None else extent(other, box, periodic)
+    most = one.radius + two.radius + limit + 2 * capsule.EPS
+    reach, halved, exact = _reach((one.length, one.radius), (two.length, two.radius), limit), other is None and not ordered, then is capsule.closest_approach and where is not None
+    costs = {str(k): centre_cost(one, two, reach, k, halved) for k in range(1, ORDERS + 1)}
+    widths = [most * 2 ** (k / 2) for k in range(-2, 24)] if exact else []
+    if widths:
+        width = min(widths, key=lambda w: axis_cost(one, two, most, w, halved))
+        costs["axis"] = axis_cost(one, two, most, width, halved)
+    way = way or min(costs, key=costs.get)
+    if way == "axis":
+        cells = AxisGrid.of(box, width, periodic, most / 2, one, two)
+        out = reference(then(axis_pairs(rods, cells, box, reach, most, other, ordered, keep, keep_other)), cells)
     else:
-        tops = [] if other is None else [d.agg(F.max("l")).first()[0] or 0.0 for d in (rods, other)]
-        found, mine = None, _classes(rods, tops[1] if tops else 0.0)
-        theirs = mine if other is None else _classes(other, tops[0])
-        for i, (left, one) in enumerate(mine):
-            for j, (right, two) in enumerate(theirs):
-                if other is None and not ordered and j < i:
-                    continue
-                far = _reach(one, two, limit)
-                same = other is None and i == j
-                part = pairs(left, Grid.for_reach(box, far, periodic), far, None if same else right, ordered and same, keep, keep if other is None else keep_other)
-                found = part if found is None else found.unionByName(part)
-    out = then(found)
+        cells = Grid.for_reach(box, reach, periodic, int(way))
+        out = then(pairs(rods, cells, reach, other, ordered, keep, keep_other, int(way), most if exact else None))
     return out if where is None else out.where(where)
 
 

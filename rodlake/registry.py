@@ -260,16 +260,12 @@ def excluded_areas(spark, d):
 _Q = f"(1 - th * (du - a1 - a2) * 1e4 / {LIMIT * 1e4}::double / {LIMIT * 1e4}::double / (a1 / a2 + 1))"
 
 
-#: Surfaces nearer than this touch, for the energy query.
-NEAR = 0.001
-
-
 @query(f"""{_EXCLUDED}, w as (select *, atan(a1 / (d - a2 - {LIMIT}::double)) as th from v),
-k as (select naive / th / a1 * (-15.2::double * pi() * a1 * 1e4 / 2 * th * (1 / pow((du - a1 - a2) * 1e4, 4) - 1 / pow({LIMIT * 1e4}::double, 4) / {_Q}) + 24100::double * 2 * pi() * a1 * 1e4 / 5 * th * (1 / pow((du - a1 - a2) * 1e4, 10) - 1 / pow({LIMIT * 1e4}::double, 10) / pow({_Q}, 4))) as en, du - a1 - a2 <= {NEAR}::double as near from w),
+k as (select naive / th / a1 * (-15.2::double * pi() * a1 * 1e4 / 2 * th * (1 / pow((du - a1 - a2) * 1e4, 4) - 1 / pow({LIMIT * 1e4}::double, 4) / {_Q}) + 24100::double * 2 * pi() * a1 * 1e4 / 5 * th * (1 / pow((du - a1 - a2) * 1e4, 10) - 1 / pow({LIMIT * 1e4}::double, 10) / pow({_Q}, 4))) as en, du - a1 - a2 <= {stats.LEAST_GAP}::double as near from w),
 g as (select near, en, en is null or isnan(en) as bad from k)
 select count(*) as pairs, count(*) filter (near) as close, count(*) filter (not near and bad) as undefined, round(coalesce(sum(en) filter (not near and not bad), 0), 12) as energy, round(coalesce(sum(en) filter (not near and not bad), 0) / (select count(*) from rods), 15) as per_rod from g""")
 def vdw_energy(spark, d):
-    return stats.vdw_energy(part(spark, d), BOX, LIMIT, NEAR).select("pairs", "close", "undefined", r("energy", 12).alias("energy"), r("per_rod", 15).alias("per_rod"))
+    return stats.vdw_energy(part(spark, d), BOX, LIMIT).select("pairs", "close", "undefined", r("energy", 12).alias("energy"), r("per_rod", 15).alias("per_rod"))
 
 
 @query(f"{_PER_ROD} select min(n) as fewest, max(n) as most from per")

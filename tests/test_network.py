@@ -167,16 +167,128 @@ def test_patches_cover_the_sweep(spark):
     assert np.allclose(sorted(seen), kirchhoff.frequencies(4.0))
 
 
-def test_classes_of_lengths_do_not_matter(spark, tables):
-    df = registry.part(spark, tables).withColumn("l", F.when(F.col("rod_id") % 50 == 0, 0.6).when(F.col("rod_id") % 3 == 0, 0.02).otherwise(0.1)).withColumn("a", F.lit(0.01))
-    assert len(spatial._classes(df)) == 3
-    key = lambda t: sorted((min(r.i, r.j), max(r.i, r.j), round(r.d, 9)) for r in t.collect())
-    one = key(spatial.contacts(df, BOX, 0.02, reach=spatial.reach_of(df, 0.02)))
-    assert key(spatial.contacts(df, BOX, 0.02)) == one and one
-    assert key(spatial.contacts(df, BOX, 0.02, ordered=True)) == sorted(one * 2)
+def plain_hanging(n, fixed, edges):
+    near = {k: set() for k in range(n)}
+    for i, j in edges:
+        near[i].add(j)
+        near[j].add(i)
+    gone, queue = set(), [k for k in range(n) if len(near[k]) < 2 and k not in fixed]
+    while queue:
+        k = queue.pop()
+        if k in gone:
+            continue
+        gone.add(k)
+        for m in near.pop(k):
+            near[m].discard(k)
+            if len(near[m]) < 2 and m not in fixed and m not in gone:
+                queue.append(m)
+    return sorted(gone)
+
+
+def hang(spark, n, fixed, edges):
+    nodes = spark.createDataFrame([(k, k in fixed) for k in range(n)], "rod_id long, fixed boolean")
+    out, rounds = network.hanging(nodes, spark.createDataFrame(sorted({(min(e), max(e)) for e in edges}), "i long, j long"))
+    return sorted(r.rod_id for r in out.collect()), rounds
+
+
+def test_a_long_chain_goes_in_one_round(spark, monkeypatch):
+    doublings = []
+    monkeypatch.setattr(network, "_ends", lambda arcs, rounds, f=network._ends: doublings.append(1) or f(arcs, rounds))
+    edges = [(k, k + 1) for k in range(5000)] + [(0, 5001), (5001, 5002), (5002, 0)]  # a chain that hangs from a ring
+    got, rounds = hang(spark, 5003, set(), edges)
+    assert got == list(range(1, 5001)) and rounds == 1 and len(doublings) == 1
+    assert hang(spark, 300, {0, 299}, [(k, k + 1) for k in range(299)]) == ([], 0)  # held at both ends
+
+
+def test_hanging_trees_rings_and_fixed_ends(spark):
+    rng = np.random.default_rng(11)
+    for n, m, f in ((120, 110, 6), (150, 170, 4), (60, 40, 60), (90, 88, 0)):
+        edges = {tuple(sorted(rng.choice(n, 2, replace=False).tolist())) for _ in range(m)}
+        fixed = set(rng.choice(n, f, replace=False).tolist())
+        assert hang(spark, n, fixed, edges)[0] == plain_hanging(n, fixed, edges)
+    tree = [(k, (k - 1) // 2) for k in range(1, 127)]
+    assert hang(spark, 127, set(), tree)[0] == list(range(127))
+    assert hang(spark, 3, set(), [])[0] == [0, 1, 2]
+
+
+def test_axes_of_symmetric_matrices(spark):
+    """Against LAPACK: distinct, equal and nearly equal roots, singular and zero matrices, any scale."""
+    rng, some = np.random.default_rng(1), [np.zeros((3, 3)), np.diag([1.0, 2, 3]), np.diag([0, 0, 5.0])]
+    kinds = [rng.normal(size=3), (1, 0, 0), (1, 1, 0.3), (1, 1 - 1e-9, 0.3), (1, 0.3, 0.3 + 1e-12), (1, 1, 1), (-2, 0.1, 0.1 + 1e-7), (1e-9, 1e-12, 0)]
+    for k in range(80):
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        some.append((q * kinds[k % len(kinds)]) @ q.T)
+    some = [(m + m.T) / 2 for m in some]
+    rows = [(k, *(float(m[at]) for at in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)))) for k, m in enumerate(some)]
+    df = spark.createDataFrame(rows + [(-1, None, 1.0, 1.0, 0.0, 0.0, 0.0)], "id long, xx double, yy double, zz double, xy double, xz double, yz double")
+    got = {r.id: r.axes for r in vec.symmetric_axes(df, ("xx", "yy", "zz", "xy", "xz", "yz")).collect()}
+    assert got.pop(-1)[0].w is None or math.isnan(got.get(-1, [None])[0] or math.nan)
+    for k, m in enumerate(some):
+        w, v = np.array([a.w for a in got[k]]), np.array([[a.x, a.y, a.z] for a in got[k]]).T
+        size = np.abs(m).max() or 1.0
+        assert np.abs(np.sort(w) - np.linalg.eigvalsh(m)).max() < 1e-14 * size and np.all(np.diff(np.abs(w)) <= 1e-15)
+        assert np.abs(m @ v - v * w).max() < 1e-14 * size and np.abs(v.T @ v - np.eye(3)).max() < 1e-14
+
+
+WAYS = ["1", "2", "3", "4", "axis"]
+
+
+def ends(t):
+    return sorted((min(r.i, r.j), max(r.i, r.j), round(r.d, 9)) for r in t.collect())
+
+
+@pytest.mark.parametrize("lengths", [(0.6, 0.02, 0.1), (0.0, 0.3, 1.3)])
+def test_ways_of_the_join_agree(spark, tables, lengths):
+    """Equal, unequal and no lengths; rods as long as the box; of one table, ordered, of two tables, and with an axis that ends."""
+    some, every, rest = lengths
+    df = keep(registry.part(spark, tables).withColumn("l", F.when(F.col("rod_id") % 50 == 0, some).when(F.col("rod_id") % 3 == 0, every).otherwise(rest)).withColumn("a", F.lit(0.01) + F.col("rod_id") % 3 * 0.005))
+    one = ends(spatial.contacts(df, BOX, 0.02, reach=spatial.reach_of(df, 0.02)))
+    assert one and len(set(one)) == len(one)
     old, young = df.where("rod_id % 2 = 0"), df.where("rod_id % 2 = 1")
-    apart = lambda **k: sorted((r.i, r.j) for r in spatial.contacts(young, BOX, 0.02, other=old, **k).collect())
-    assert apart() == apart(reach=0.8)
+    open_ = dict(periodic=(True, False, True))
+    layered = df.withColumn("y", F.col("y") * 2.5 - 0.7)  # places before and behind the box
+    apart = ends(spatial.contacts(young, BOX, 0.02, other=old, reach=spatial.reach_of(df, 0.02)))
+    loose = ends(spatial.contacts(layered, BOX, 0.02, reach=spatial.reach_of(df, 0.02), **open_))
+    for way in WAYS:
+        assert ends(spatial.contacts(df, BOX, 0.02, way=way)) == one, way
+    for way in ("2", "axis"):
+        assert ends(spatial.contacts(young, BOX, 0.02, other=old, way=way)) == apart, way
+        assert ends(spatial.contacts(layered, BOX, 0.02, way=way, **open_)) == loose, way
+    assert ends(spatial.contacts(df, BOX, 0.02, ordered=True, way="axis")) == sorted(one * 2)
+
+
+def test_ways_follow_the_loads(spark, monkeypatch):
+    """Long thin rods meet along their axes, short ones in a crowd in cells below the reach; a table without rods gives none."""
+    went = []
+    for name in ("axis_pairs", "pairs"):
+        monkeypatch.setattr(spatial, name, lambda *a, f=getattr(spatial, name), n=name, **k: went.append((n, a[7] if n == "pairs" else None)) or f(*a, **k))
+    place = lambda n, wide: [(i, *(0.3 + wide * ((i * m) % 997) / 997 for m in (101, 211, 307))) for i in range(n)]
+    frame = lambda rows, length, radius: spark.createDataFrame([(*r, 0.0, 0.6, 0.8, length, radius) for r in rows], "rod_id long, x double, y double, z double, cx double, cy double, cz double, l double, a double")
+    spatial.contacts(frame(place(900, 0.6), 0.5, 1e-4), BOX, 1e-4)
+    assert went.pop()[0] == "axis_pairs"
+    spatial.contacts(frame(place(900, 0.02), 0.0, 2e-3), BOX, 0.0, way=None)
+    assert went and spatial.contacts(frame([], 1.0, 1.0), BOX, 0.1).count() == 0
+
+
+def test_axis_cells_hold_every_pair_once(spark):
+    """A pair enters the geometry once a common cell, and leaves it once; crossed, parallel, touching end to end, at faces of cells."""
+    rows = [(0, 0.5, 0.5, 0.5, 1.0, 0.0, 0.0), (1, 0.5, 0.5, 0.51, 0.0, 1.0, 0.0), (2, 0.5, 0.505, 0.5, 1.0, 0.0, 0.0), (3, 0.81, 0.5, 0.5, 1.0, 0.0, 0.0), (4, 0.0, 0.5, 0.0, 0.0, 0.0, 1.0), (5, 0.995, 0.5, 0.01, 0.0, 1.0, 0.0)]
+    df = spark.createDataFrame([(*r, 0.3, 0.004) for r in rows], "rod_id long, x double, y double, z double, cx double, cy double, cz double, l double, a double")
+    want = ends(spatial.contacts(df, BOX, 0.01, way="1"))
+    assert ends(spatial.contacts(df, BOX, 0.01, way="axis")) == want and {(i, j) for i, j, _ in want} >= {(0, 1), (0, 2), (4, 5)}
+    e = spatial.extent(df, BOX)
+    grid = spatial.AxisGrid.of(BOX, 0.05, (True, True, True), 0.01, e, e)
+    cells = grid.entered(df)
+    assert cells.count() == cells.select("rod_id", "cell").distinct().count() < 6 * 200
+
+
+def test_strides_are_trimmed():
+    grid = Grid.for_reach(BOX, 0.1, order=2)
+    assert grid.ext == (20, 20, 20) and len(grid.strides(2, 0.1)) == 125 and len(grid.halves(2, 0.1)) == 63
+    fine = Grid.for_reach(BOX, 0.1, order=4)
+    assert len(fine.strides(4, 0.1)) < 729 and (4, 4, 4) not in fine.strides(4, 0.1) and (4, 1, 1) in fine.strides(4, 0.1)
+    assert Grid.for_reach(BOX, 0.4, order=2).halves(2, 0.4) == Grid(BOX, (5, 5, 5)).halves(2, 0.4)
+    assert Grid.for_reach(BOX, 0.9, order=2).halves(2, 0.9) is None
 
 
 def test_vectors(spark):
