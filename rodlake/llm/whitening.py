@@ -56,7 +56,7 @@ def grouped_sums(df: DataFrame, terms: list[str], kind: str = "sum") -> list[tup
 def covariance(df: DataFrame, centred: list[str], n: int) -> np.ndarray:
     """Mean products of the SQL expressions ``centred`` (doubles, each less its mean), over the ``n`` rows of ``df``."""
     dims = len(centred)
-    columns = df.select(*[F.expr(c).alias(f"c{i}") for i, c in enumerate(centred)])
+    columns = df.select(*[F.expr(f"coalesce({c}, 0D)").alias(f"c{i}") for i, c in enumerate(centred)])  # none is null: this halves the code of the sums
     pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
     out = np.zeros((dims, dims))
     for at in range(0, len(pairs), PRODUCTS):
