@@ -13,7 +13,13 @@ from pyspark.sql.window import Window
 from ..plans.tables import discard, scratch
 from ..plans.tables import keep as save
 
-__all__ = ["aside", "crowded", "discard", "floored", "lookup", "matrix", "ranked", "salted", "same_length", "save", "scored", "scratch", "table", "within"]
+__all__ = ["HOT", "aside", "crowded", "discard", "floored", "lookup", "matrix", "ranked", "salted", "same_length", "save", "scored", "scratch", "table", "within"]
+
+
+#: Rows of one key that a task joins; more are dealt over several tasks.
+HOT = 1_000
+#: Parts over which rows without a key are dealt.
+SPREAD = 4_096
 
 
 def within(df: DataFrame, bound: int) -> bool:
@@ -32,14 +38,20 @@ def crowded(df: DataFrame, key: str, per: int) -> DataFrame | None:
     return found if found.limit(1).count() else None
 
 
-def salted(many: DataFrame, few: DataFrame, key: str, crowd: DataFrame | None, by: Column) -> DataFrame:
-    """``many`` joined to ``few`` on ``key``: rows of crowded keys are dealt over parts by a hash of ``by``, the other side is repeated in each."""
-    if crowd is None:
+def salted(many: DataFrame, few: DataFrame, key: str, crowd: DataFrame | None, by: Column, how: str = "inner") -> DataFrame:
+    """``many`` joined to ``few`` on ``key`` ("inner" or "left"): rows of crowded keys are dealt over parts by a hash of ``by``, the other side is repeated in each.
+
+    Null keys match nothing; of a left join they are dealt over SPREAD parts.
+    """
+    if crowd is None and how == "inner":
         return many.join(few, key)
-    crowd, one = lookup(crowd, 200_000), F.coalesce("_parts", F.lit(1))
-    left = many.join(crowd, key, "left").withColumn("_part", F.pmod(F.xxhash64(by, F.lit("part")), one).cast("int")).drop("_parts")
+    if crowd is None:
+        crowd = many.select(key).limit(0).withColumn("_parts", F.lit(1))
+    crowd, one = lookup(crowd.where(F.col(key).isNotNull()), 200_000), F.coalesce("_parts", F.lit(1))
+    parts = F.when(F.col(key).isNull(), F.lit(SPREAD)).otherwise(one)
+    left = many.join(crowd, key, "left").withColumn("_part", F.pmod(F.xxhash64(by, F.lit("part")), parts).cast("int")).drop("_parts")
     right = few.join(crowd, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
-    return left.join(right, [key, "_part"]).drop("_part")
+    return left.join(right, [key, "_part"], how).drop("_part")
 
 
 def ranked(df: DataFrame, key: str, order: list, salt, rows_hint: int, rank: str = "rank") -> DataFrame:

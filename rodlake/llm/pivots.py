@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import merge
-from .common import discard, lookup, save
+from .common import HOT, crowded, discard, lookup, salted, save
 from .components import connected_components
 
 #: Pivots grow with the square root of the distinct vectors, from LEAST_PIVOTS on; their matrix, which is broadcast, has PIVOT_BYTES at most.
@@ -68,7 +68,7 @@ def cosine_components(vectors: DataFrame, key: str = "vec_id", embedding: str =
     rows = vectors.select(F.col(key).alias("key"), _sound(F.col(embedding).cast(f"array<{kind}>"), kind).alias("x"))
     rows = rows.withColumn("node", F.when(F.col("x").isNotNull(), F.xxhash64("x")))
     unique = save(rows.where("x is not null").groupBy("node").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max(F.size("x")).alias("dims")), "pv-unique")
-    rows = rows.select("key", "node")
+    rows = save(rows.select("key", "node").withColumn("row", F.monotonically_increasing_id()), "pv-rows")
     total, dims = unique.agg(F.count(F.lit(1)), F.max("dims")).first()
     if not total:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.coalesce(F.col("key").isNotNull(), F.lit(False)).alias("kept"))
@@ -182,7 +182,8 @@ def cosine_components(vectors: DataFrame, key: str = "vec_id", embedding: str =
     final = save(final.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("smallest", "least").alias("smallest")), "pv-final")
     discard(unique, described, many, found, linked, held, named)
     matrix.unpersist()
-    out = rows.join(final, "node", "left").select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "key").alias("component_id"))
+    # rows without a vector match nothing and a popular one many: both are dealt over several tasks
+    out = salted(rows, final, "node", crowded(rows.where("node is not null"), "node", HOT), F.col("row"), "left").select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "key").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 

@@ -218,17 +218,18 @@ ADDED = ["size", "text_crc32", "shard", "slot"]
 
 
 def line_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """``docs`` without the text, plus size, text_crc32, shard and slot; documents that share a line of LINE characters or more are linked.
+    """``docs``, texts included, plus size, text_crc32, shard and slot; documents that share a line of LINE characters or more are linked.
 
-    The text is left where it is: doc_id and text_crc32 lead back to it. All other columns
-    stay; one named like a column added is replaced. Null texts have no lines, size 1 and
-    a null text_crc32. Null and repeated ids keep their rows; equal rows are
-    interchangeable. Whole texts are read, however long. Empty table: no rows.
+    All columns stay; one named like a column added is replaced. Rows move without their
+    texts, which are written once and joined at the end. Null texts have no lines, size 1 and a null
+    text_crc32. Null and repeated ids keep their rows; equal rows are interchangeable. Whole
+    texts are read, however long. Empty table: no rows.
     """
     plain, _ = aside(docs)
     doc, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
-    kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c not in (*ADDED, "text")]
+    kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c not in ADDED]
+    whole = save(plain.select(*[c for c, _ in kept], F.monotonically_increasing_id().alias("row")), "shard-whole")
     lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) >= LINE), lambda x: F.xxhash64(x))
-    given = plain.select(*[c for c, _ in kept], _size(text).alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"), F.coalesce(F.array_distinct(lines), F.expr("cast(array() as array<bigint>)")).alias("lines"))
+    given = whole.select("row", doc, _size(text).alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"), F.coalesce(F.array_distinct(lines), F.expr("cast(array() as array<bigint>)")).alias("lines"))
     out = balanced_shards(given, F.col("lines"), [F.col(doc), F.col("text_crc32"), F.col("size")], shards)
-    return out.select(*[F.col(c).alias(name) for c, name in kept], *ADDED)
+    return whole.join(out.select("row", *ADDED), "row").select(*[F.col(c).alias(name) for c, name in kept], *ADDED)

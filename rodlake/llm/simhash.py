@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest, merge
-from .common import aside, discard, lookup, save
+from .common import HOT, aside, crowded, discard, lookup, salted, save
 from .components import connected_components, thinned
 
 #: Members of a shard that one tree takes; larger shards are dealt over pairs of blocks.
@@ -178,7 +178,7 @@ def simhash_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     row and never becomes a component_id unless its component has no other id.
     Repeated ids keep all their rows. Empty table: no rows. Further columns are ignored.
     """
-    each = save(fingerprints(docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_in")), "_in", ["_doc"], k, (42,)), "fp")
+    each = save(fingerprints(docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_in")), "_in", ["_doc"], k, (42,)).withColumn("_row", F.monotonically_increasing_id()), "fp")
     unique = save(each.groupBy("fp0").agg(F.min("_doc").alias("least")), "fp-unique")
     linked = save(connected_components(near(unique.select(F.col("fp0").alias("node"), "fp0"), 1, radius, exact_tables(64, radius, unique.count()))), "fp-linked")
     held = save(linked.join(unique.withColumnRenamed("fp0", "node"), "node").select("node", "component", "least"), "fp-held")
@@ -186,7 +186,7 @@ def simhash_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     named = save(held.join(least, "component").select(F.col("node").alias("fp0"), "smallest"), "fp-named")
     final = save(unique.join(named, "fp0", "left").select("fp0", F.coalesce("smallest", "least").alias("component_id")), "fp-final")
     discard(unique, linked, held, least, named)
-    out = each.join(final, "fp0")
+    out = salted(each, final, "fp0", crowded(each, "fp0", HOT), F.col("_row"))
     return out.select(F.col("_doc").alias(doc), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -407,7 +407,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     apart by their texts; further columns are ignored. Empty table: no rows.
     """
     narrow = docs.select(F.col(doc).alias("_doc"), _class(text).alias("_class"), F.col(text).alias("_in"))
-    each = save(fingerprints(narrow, "_in", ["_doc", "_class"], k, (42, 43), distinct=True), "nd-fp")
+    each = save(fingerprints(narrow, "_in", ["_doc", "_class"], k, (42, 43), distinct=True).withColumn("_row", F.monotonically_increasing_id()), "nd-fp")
     unique = save(each.groupBy("_class").agg(F.min("_doc").alias("least"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1"), F.min("n_shingles").alias("n_shingles")), "nd-unique")
     nodes = unique.where("n_shingles > 0").select(F.col("_class").alias("node"), "fp0", "fp1", "n_shingles")
     links = None
@@ -424,7 +424,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     least = save(held.groupBy("component").agg(F.min("least").alias("smallest")), "nd-least")
     named = save(held.join(least, "component").select(F.col("node").alias("_class"), "smallest"), "nd-named")
     stays = save(unique.join(named, "_class", "left").select("_class", F.coalesce("smallest", "least").alias("_stays")), "nd-stays")
-    out = save(each.join(stays, "_class").where("not (_doc <=> _stays)").select(F.col("_doc").alias(doc), "_class"), "nd-drop")
+    out = save(salted(each.select("_doc", "_class", "_row"), stays, "_class", crowded(each, "_class", HOT), F.col("_row")).where("not (_doc <=> _stays)").select(F.col("_doc").alias(doc), "_class"), "nd-drop")
     discard(unique, cluster, link, joined, held, least, named, stays, each)
     return out
 

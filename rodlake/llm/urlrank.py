@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crowded, discard, lookup, salted, save
+from .common import crowded, discard, salted, save, within
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -113,14 +113,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page: str
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     each = pages.select(F.col(page).alias("page"), host.alias("host"), path.alias("path"))
-    each = save(each.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page", "host", "path", "r.rule", "r.verdict"), "url-pages")
+    each = save(each.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page", "host", "path", "r.rule", "r.verdict", F.monotonically_increasing_id().alias("row")), "url-pages")
     ruled = each.where("verdict is not null and host <> ''").groupBy("host").agg(F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("b"))
     ruled = save(ruled, "url-seeds")
     total = ruled.agg(F.sum(F.col("a") + F.col("b"))).first()[0] or 1
     seeds = ruled.select("host", (F.col("a") / F.lit(float(total))).alias("trust"), (F.col("b") / F.lit(float(total))).alias("distrust"))
     edges = save(host_links(pages, host, html), "url-links")
-    standing = lookup(propagate(edges, seeds), 200_000)
+    standing = propagate(edges, seeds)
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    known = each.join(standing, "host", "left")
+    if within(standing, 200_000):
+        known = each.join(F.broadcast(standing), "host", "left")
+    else:  # a host with many pages, or the empty one of all malformed urls, is dealt over several tasks
+        known = salted(each, standing, "host", crowded(each, "host", HUB), F.col("row"), "left")
     method = F.when((distrust > 0) & (distrust > share * (trust + distrust)), F.lit("block")).otherwise(F.lit("allow"))
     return known.select(F.col("page").alias(page), "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

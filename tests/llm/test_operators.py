@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rodlake.llm import bktree, components, decontaminate, langid, mixing, pivots, queries, secrets, sharding, simhash, toxicity, urlrank, warc
+from rodlake.llm import bktree, common, components, decontaminate, langid, mixing, pivots, queries, secrets, sharding, simhash, toxicity, urlrank, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in ("ba", "de", "ki", "lo", "mu", "na", "po", "ru") for b in ("", "ba", "de", "ki", "lo", "mu", "na", "po", "ru")]
@@ -140,8 +140,22 @@ def test_ranks_are_gapless(spark):
 def test_line_shards_keep_columns(spark, odd):
     df = odd.withColumn("shard", F.lit("mine")).withColumn("row", F.lit("r")).withColumn("c1", F.lit("c"))
     out = sharding.line_shards(df)
-    assert out.columns == ["doc_id", "lang", "source", "n_chars", "row", "c1", "size", "text_crc32", "shard", "slot"]
-    assert out.select(*out.columns[:6]).exceptAll(df.drop("shard", "text")).count() == 0 and out.count() == df.count()
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "c1", "size", "text_crc32", "shard", "slot"]
+    assert out.select(*out.columns[:7]).exceptAll(df.drop("shard")).count() == 0 and out.count() == df.count()
+
+
+def test_hot_and_missing_keys_are_dealt_out(spark):
+    """Half of all rows without a key, a third of one key: joined as plainly, with no task far above the others."""
+    many = spark.createDataFrame([(i, None if i % 2 else 7 if i % 3 else i) for i in range(6000)], "row long, k long")
+    few = spark.createDataFrame([(7, "hot"), (6, "six"), (None, "null")], "k long, name string")
+    crowd = common.crowded(many.where("k is not null"), "k", 100)
+    got = common.salted(many, few, "k", crowd, F.col("row"), "left")
+    assert got.count() == 6000 and sorted(map(str, got.collect())) == sorted(map(str, many.join(few, "k", "left").collect()))
+    assert common.salted(many, few, "k", None, F.col("row"), "left").count() == 6000
+    inner = common.salted(many, few, "k", crowd, F.col("row"))
+    assert sorted(map(str, inner.collect())) == sorted(map(str, many.join(few, "k").collect()))
+    parts = many.join(crowd, "k", "left").select(F.pmod(F.xxhash64("row", F.lit("part")), F.when(F.col("k").isNull(), common.SPREAD).otherwise(F.coalesce("_parts", F.lit(1)))).alias("p"), "k").groupBy("k", "p").count()
+    assert parts.agg(F.max("count")).first()[0] < 200
 
 
 def test_shards_of_odd_tables(odd, none):

@@ -26,6 +26,7 @@ def test_stages(spark, tables):
     rows = before.collect()
     sizes = [sum(r.shard == s for r in rows) for s in range(16)]
     assert max(sizes) - min(sizes) <= 1 and seen["sharding"] == seen["mixing"]
+    assert all(r.text == text[r.doc_id] for r in rows)
 
 
 def test_odd_documents(spark, tmp_path, tables):
@@ -47,5 +48,5 @@ def test_clashing_columns_survive(spark, tables):
         assert after.columns == docs.columns and after.count() > 100 and after.exceptAll(docs).count() == 0
     docs = docs.selectExpr("*", "'mine' as slot", "'row' as row")
     out = corpus_pipeline.STAGES[4][1](spark, docs, tables)
-    kept = [c for c in docs.columns if c not in ("slot", "text")]
+    kept = [c for c in docs.columns if c != "slot"]
     assert out.columns == [*kept, "size", "text_crc32", "shard", "slot"] and out.select(*kept).exceptAll(docs.select(*kept)).count() == 0 and out.count() == 200
