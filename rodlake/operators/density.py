@@ -56,6 +56,13 @@ def deposit(points: DataFrame, ext: Ext, box: Box) -> DataFrame:
     return corners(points.select("x", "y", "z"), ext, box).groupBy("i", "j", "k").agg(F.sum("w").alias("rho"))
 
 
+def relative(mesh: DataFrame, ext: Ext) -> DataFrame:
+    """``mesh`` over its largest value, 0 at nodes that it lacks; all nodes are there. A mesh without a value above 0 is 0 throughout."""
+    top = mesh.agg(F.max("rho")).first()[0] or 0.0
+    every = constant(mesh.sparkSession, ext).drop("rho").join(mesh, ["i", "j", "k"], "left")
+    return every.select("i", "j", "k", (F.coalesce("rho", F.lit(0.0)) / F.lit(top if top > 0 else 1.0)).alias("rho"))
+
+
 def cell_integrals(mesh: DataFrame, ext: Ext, box: Box, grid: Grid, samples: int = 10) -> DataFrame:
     """(cell_id, rho): mean density of each cell, over samples^3 places in it."""
     spark = mesh.sparkSession

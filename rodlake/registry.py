@@ -478,19 +478,27 @@ def contact_degrees(spark, d):
 # ---- density ----------------------------------------------------------------------------------------------------
 
 MESH = (5, 4, 3)
-_MESH = "mesh as (select i, j, k, cast((i * 7 + j * 11 + k * 13 + 3) % 17 as double) / 17::double as rho from (select unnest(range(5)) as i), (select unnest(range(4)) as j), (select unnest(range(3)) as k))"
-_CORNERS = f"""co as (select *, floor(x * 5 - 0.5) as nx, floor(y * 4 - 0.5) as ny, floor(z * 3 - 0.5) as nz, x * 5 - 0.5 - floor(x * 5 - 0.5) as fx, y * 4 - 0.5 - floor(y * 4 - 0.5) as fy, z * 3 - 0.5 - floor(z * 3 - 0.5) as fz from pts),
-cw as (select co.*, (cast(nx as bigint) + p + 5) % 5 as i, (cast(ny as bigint) + q + 4) % 4 as j, (cast(nz as bigint) + s + 3) % 3 as k, (case when p = 1 then fx else 1 - fx end) * (case when q = 1 then fy else 1 - fy end) * (case when s = 1 then fz else 1 - fz end) as w from co, (select unnest(range(2)) as p), (select unnest(range(2)) as q), (select unnest(range(2)) as s))"""
 
 
-def _mesh(spark) -> DataFrame:
-    i, j, k = (F.col(c).cast("long") for c in "ijk")
-    return density.constant(spark, MESH).withColumn("rho", ((i * 7 + j * 11 + k * 13 + 3) % 17).cast("double") / 17.0)
+def _corners_sql(points: str, co: str = "co", cw: str = "cw") -> str:
+    """CTEs up to ``cw``: the eight nodes around each of ``points``, with weights w."""
+    return f"""{co} as (select *, floor(x * 5 - 0.5) as nx, floor(y * 4 - 0.5) as ny, floor(z * 3 - 0.5) as nz, x * 5 - 0.5 - floor(x * 5 - 0.5) as fx, y * 4 - 0.5 - floor(y * 4 - 0.5) as fy, z * 3 - 0.5 - floor(z * 3 - 0.5) as fz from {points}),
+{cw} as (select {co}.*, (cast(nx as bigint) + p + 5) % 5 as i, (cast(ny as bigint) + q + 4) % 4 as j, (cast(nz as bigint) + s + 3) % 3 as k, (case when p = 1 then fx else 1 - fx end) * (case when q = 1 then fy else 1 - fy end) * (case when s = 1 then fz else 1 - fz end) as w from {co}, (select unnest(range(2)) as p), (select unnest(range(2)) as q), (select unnest(range(2)) as s))"""
+
+
+_CORNERS = _corners_sql("pts")
+_MESH = f"""{_corners_sql('rods', 'mco', 'mcw')}, msum as (select i, j, k, sum(w) as rho from mcw group by 1, 2, 3),
+mesh as (select n.i, n.j, n.k, coalesce(rho, 0) / (select max(rho) from msum) as rho from (select * from (select unnest(range(5)) as i), (select unnest(range(4)) as j), (select unnest(range(3)) as k)) n left join msum using (i, j, k))"""
+
+
+def _mesh(spark, d) -> DataFrame:
+    """Where the rods of ``part`` are, as a density up to 1."""
+    return density.relative(density.deposit(part(spark, d), MESH, BOX), MESH)
 
 
 @query(f"with {PART}, {_MESH}, pts as (select * from rods), {_CORNERS} select rod_id, round(sum(w * rho), 9) as rho from cw join mesh using (i, j, k) group by 1")
 def density_trilinear_sample(spark, d):
-    return density.sample(part(spark, d), _mesh(spark), MESH, BOX, "rod_id").select("rod_id", r("rho").alias("rho"))
+    return density.sample(part(spark, d), _mesh(spark, d), MESH, BOX, "rod_id").select("rod_id", r("rho").alias("rho"))
 
 
 @query(f"with {PART}, pts as (select * from rods), {_CORNERS} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(sum(w), 7) as rho from cw group by 1, 2, 3")
@@ -498,15 +506,15 @@ def density_deposit(spark, d):
     return density.deposit(part(spark, d), MESH, BOX).select("i", "j", "k", r("rho", 7).alias("rho"))
 
 
-@query(f"""with {_MESH}, pts as (select c as cell_id, ((c % 4) + (s % 10 + 0.5::double) / 10) / 4 as x, ((c // 4) % 4 + ((s // 10) % 10 + 0.5::double) / 10) / 4 as y, ((c // 16) + ((s // 100) % 10 + 0.5::double) / 10) / 4 as z from (select unnest(range(64)) as c), (select unnest(range(1000)) as s)), {_CORNERS}
+@query(f"""with {PART}, {_MESH}, pts as (select c as cell_id, ((c % 4) + (s % 10 + 0.5::double) / 10) / 4 as x, ((c // 4) % 4 + ((s // 10) % 10 + 0.5::double) / 10) / 4 as y, ((c // 16) + ((s // 100) % 10 + 0.5::double) / 10) / 4 as z from (select unnest(range(64)) as c), (select unnest(range(1000)) as s)), {_CORNERS}
 select cell_id, round(sum(w * rho) / 1000, 9) as rho from cw join mesh using (i, j, k) group by 1""")
 def density_cell_integral(spark, d):
-    return density.cell_integrals(_mesh(spark), MESH, BOX, GRID).select("cell_id", r("rho").alias("rho"))
+    return density.cell_integrals(_mesh(spark, d), MESH, BOX, GRID).select("cell_id", r("rho").alias("rho"))
 
 
-@query(f"with {_MESH} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(case when rho < 0.2 then 1e-6::double else 1e-6::double + 10::double * pow((rho - 0.2::double) / (1 - 0.2::double), 1.8::double) end, 9) as sigma from mesh")
+@query(f"with {PART}, {_MESH} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(case when rho < 0.2 then 1e-6::double else 1e-6::double + 10::double * pow((rho - 0.2::double) / (1 - 0.2::double), 1.8::double) end, 9) as sigma from mesh")
 def percolation_conductivity(spark, d):
-    return density.conductivity_map(_mesh(spark), 1e-6, 10.0, 0.2, 1.8).select("i", "j", "k", r("sigma").alias("sigma"))
+    return density.conductivity_map(_mesh(spark, d), 1e-6, 10.0, 0.2, 1.8).select("i", "j", "k", r("sigma").alias("sigma"))
 
 
 _BALLS = "balls as (select rod_id as id, x, y, z, 0.05::double + cast(rod_id % 7 as double) / 50::double as w, 1::double as norm from rods)"
@@ -536,17 +544,20 @@ def agglomerates(spark, d):
 # ---- generation -------------------------------------------------------------------------------------------------
 
 
-@query(f"""with u as (select cast(id as bigint) as id, {', '.join(f'{_uniform_sql(64 + k)} as u{k}' for k in range(5))} from (select unnest(range(3000)) as id))
+@query(f"""with u as (select cast(id as bigint) as id, {', '.join(f'{_uniform_sql(64 + k)} as u{k}' for k in range(5))} from (select unnest(range((select count(*) from part))) as id))
 select id as rod_id, round(u0, 9) as x, round(u1, 9) as y, round(u2, 9) as z, round(sqrt(greatest(0, 1 - (2 * u3 - 1) * (2 * u3 - 1))) * cos(2 * pi() * u4), 9) as cx, round(sqrt(greatest(0, 1 - (2 * u3 - 1) * (2 * u3 - 1))) * sin(2 * pi() * u4), 9) as cy, round(2 * u3 - 1, 9) as cz from u""")
 def generate_candidates(spark, d):
-    return generate.candidates(spark, 0, 3000, BOX, L, A).select("rod_id", *[r(c).alias(c) for c in ("x", "y", "z", "cx", "cy", "cz")])
+    return generate.candidates(spark, 0, part(spark, d).count(), BOX, L, A).select("rod_id", *[r(c).alias(c) for c in ("x", "y", "z", "cx", "cy", "cz")])
+
+
+_LCG = "(1664525::bigint * ({0}) + 1013904223) % 4294967296"
 
 
-@query("with recursive g(n, s) as (select 0, 1::bigint union all select n + 1, (1664525::bigint * s + 1013904223) % 4294967296 from g where n < 63) select n, s from g")
+@query(f"select p_partkey as seed, s1, {_LCG.format('s1')} as s2, {_LCG.format(_LCG.format('s1'))} as s3 from (select p_partkey, {_LCG.format('p_partkey')} as s1 from part)")
 def lcg_sequence(spark, d):
-    # the state after n steps as a function of n: s_n = a^n + c (a^n - 1) / (a - 1) modulo 2^32, by folding over the steps
-    steps = F.aggregate(F.sequence(F.lit(0), F.col("id")), F.lit(None).cast("long"), lambda s, _: F.when(s.isNull(), F.lit(1).cast("long")).otherwise(fields.lcg(s)))
-    return spark.range(64).select(F.col("id").cast("int").alias("n"), steps.alias("s"))
+    """The first three numbers of the sequence that each key of ``part`` starts."""
+    df = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("seed"))
+    return df.withColumn("s1", fields.lcg(F.col("seed"))).withColumn("s2", fields.lcg(F.col("s1"))).withColumn("s3", fields.lcg(F.col("s2")))
 
 
 def _candidates_sql(first: int, count: int, length: float, radius: float, name: str = "cand") -> str:
@@ -563,7 +574,7 @@ rho as (select rod_id, sum(w * rho) as rho from cw join mesh using (i, j, k) gro
 
 @query(f"{_STEP} select rod_id from stay")
 def generate_step(spark, d):
-    return generate.step(generate.candidates(spark, 1_000_000, 1000, BOX, L, A, mesh=_mesh(spark), ext=MESH), part(spark, d), BOX, 0.001).select("rod_id")
+    return generate.step(generate.candidates(spark, 1_000_000, 1000, BOX, L, A, mesh=_mesh(spark, d), ext=MESH), part(spark, d), BOX, 0.001).select("rod_id")
 
 
 _FULL = f"""with recursive {_candidates_sql(0, 1500, 0.2, 0.005)}, {oracle.approach(oracle.near(0.22), left='cand', right='cand', name='own')}, hit as (select greatest(i, j) as later, least(i, j) as first from own where {oracle.hits(0.0)}),
@@ -647,18 +658,18 @@ def io_state_text(spark, d):
     return edge_files.read(spark, path, list(_ROD), header=0)
 
 
-@query(f"with {_MESH} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, rho from mesh")
+@query(f"with {PART}, {_MESH} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(rho, 9) as rho from mesh")
 def io_mesh_text(spark, d):
     path = scratch(spark, "mesh") + ".dat"
-    text.mesh_text(_mesh(spark), path, MESH, BOX)
-    return meshes.read(spark, path, "F")[0]
+    text.mesh_text(_mesh(spark, d), path, MESH, BOX)
+    return meshes.read(spark, path, "F")[0].withColumn("rho", r("rho"))
 
 
-@query(f"with {_MESH} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, rho from mesh")
+@query(f"with {PART}, {_MESH} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(rho, 9) as rho from mesh")
 def io_vtk_mesh(spark, d):
     path = scratch(spark, "mesh") + ".vtk"
-    text.vtk_mesh(_mesh(spark), path, MESH, BOX)
-    return vtk.read_mesh(spark, path)
+    text.vtk_mesh(_mesh(spark, d), path, MESH, BOX)
+    return vtk.read_mesh(spark, path).withColumn("rho", r("rho"))
 
 
 @query(f"with {PART} select cast(row_number() over (order by rod_id) - 1 as integer) as pos, {', '.join(_ROD)}, {_CELL} as cell_id from rods")
@@ -712,9 +723,11 @@ def io_tiff(spark, d):
     return vtk.read_tiff(spark, path)
 
 
-@query("select 0.005::double as fraction, 7::double as length, 0.02::double as radius, round(pi() / 4, 9) as theta, true as reduce, 4 as nx, 1 as unknown")
+@query("select count(*) / 10000::double as fraction, 7::double as length, max(p_size) / 1000::double as radius, round(min(p_size) * pi() / 180, 9) as theta, true as reduce, 4 as nx, 1 as unknown from part")
 def io_parameters(spark, d):
+    """A parameter file of what ``part`` holds, read back."""
+    n, low, high = spark.read.parquet(f"{d}/part.parquet").agg(F.count(F.lit(1)), F.min("p_size"), F.max("p_size")).first()
     path = scratch(spark, "parameters") + ".txt"
-    text.save_lines(path, "VOLUME_PERCENT 0.5", "INC_LEN_MED 7", "INC_RAD_MED 0.02", "DEF_THETA_MED 45", "REDUCE_FLAG 1", "SPAT_DISTR_FILE NONE 10 10 10 4 4 4", "NOT_A_KEYWORD 1")
+    text.save_lines(path, f"VOLUME_PERCENT {n / 100}", "INC_LEN_MED 7", f"INC_RAD_MED {high / 1000}", f"DEF_THETA_MED {low}", "REDUCE_FLAG 1", "SPAT_DISTR_FILE NONE 10 10 10 4 4 4", "NOT_A_KEYWORD 1")
     p = params.read(spark, path)
     return spark.createDataFrame([(p.fraction, p.length, p.radius, round(p.theta, 9), p.reduce, p.mesh[0], len(p.unknown))], "fraction double, length double, radius double, theta double, reduce boolean, nx int, unknown int")
