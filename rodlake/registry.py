@@ -647,7 +647,7 @@ _ROD = ("x", "y", "z", "cx", "cy", "cz", "l", "a")
 @query(f"with {PART}, cel as (select *, {_CELL} as cell_id from rods) select row_number() over (order by cell_id, rod_id) - 1 as rod_id, {_SINGLE}, cell_id from cel")
 def io_state_binary(spark, d):
     path = scratch(spark, "state") + ".bin"
-    text.save_bytes(path, state.encode(part(spark, d), GRID, L, A))
+    state.write(part(spark, d), GRID, path, L, A)
     return state.read(spark, path).drop("path")
 
 

@@ -1,8 +1,8 @@
 """Writers of text and picture formats.
 
-``ordered`` hands rows over in order, a partition at a time; formats that are one file
-are written through one handle on the driver, columns of any size by Spark. A path with a
-scheme is written through the file system that Spark has for it; another is a local file.
+Formats that are one file are written by tasks side by side (``ranges``) where the path is
+one that all of them reach. For other schemes, whose files have no ranges to write,
+``ordered`` hands rows over in order, a partition at a time, to one handle on the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def lines(df: DataFrame, *parts, sep: str = " ") -> DataFrame:
     """(value): one line of text a row."""
@@ -64,6 +66,17 @@ def save_lines(path: str, *groups, chunk: int = 1 << 20) -> None:
         f.write("".join(held).encode())
 
 
+def in_order(df: DataFrame, key: str, path: str, *sections: str | Column) -> None:
+    """``sections`` of one file: texts are lines, a column gives a line for each row of ``df``, in the order of ``key``."""
+    if ranges.reachable(path):
+        return ranges.save_sections(df, key, path, *sections)
+    save_lines(path, *[s if isinstance(s, str) else ordered(df, key, s) for s in sections])
+
+
+def line(*parts: str | Column) -> Column:
+    return F.concat_ws(" ", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+
+
 # ---- rods -------------------------------------------------------------------------------------------------------
 
 
@@ -71,15 +84,15 @@ def vtk_rods(rods: DataFrame, path: str) -> None:
     """Points at the centres, with directions as vectors and l, a, k as scalars."""
     n = rods.count()
     df = rods if "cell_id" in rods.columns else rods.withColumn("cell_id", F.lit(0))
-    groups = ["# vtk DataFile Version 3.0", "rods", "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {n} float", ordered(df, "rod_id", "x", "y", "z"), f"POINT_DATA {n}", "VECTORS direction float", ordered(df, "rod_id", "cx", "cy", "cz")]
+    groups = ["# vtk DataFile Version 3.0", "rods", "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {n} float", line("x", "y", "z"), f"POINT_DATA {n}", "VECTORS direction float", line("cx", "cy", "cz")]
     for name, c in (("length", "l"), ("radius", "a"), ("cell", "cell_id")):
-        groups += [f"SCALARS {name} float 1", "LOOKUP_TABLE default", ordered(df, "rod_id", c)]
-    save_lines(path, *groups)
+        groups += [f"SCALARS {name} float 1", "LOOKUP_TABLE default", line(c)]
+    in_order(df, "rod_id", path, *groups)
 
 
 def vtk_directions(rods: DataFrame, path: str) -> None:
     """Directions as points on the unit sphere."""
-    save_lines(path, "# vtk DataFile Version 3.0", "directions", "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {rods.count()} float", ordered(rods, "rod_id", "cx", "cy", "cz"))
+    in_order(rods, "rod_id", path, "# vtk DataFile Version 3.0", "directions", "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {rods.count()} float", line("cx", "cy", "cz"))
 
 
 def quaternion(cx: Column, cy: Column, cz: Column) -> list[Column]:
@@ -93,7 +106,7 @@ def lammps(rods: DataFrame, path: str, box: tuple[float, float, float]) -> None:
     n = rods.count()
     q = quaternion(F.col("cx"), F.col("cy"), F.col("cz"))
     ends = [f"0 {v} {a}lo {a}hi" for v, a in zip(box, "xyz")]
-    save_lines(path, "rods", "", f"{n} atoms", f"{n} ellipsoids", "1 atom types", "", *ends, "", "Atoms", "", ordered(rods, "rod_id", F.col("rod_id") + 1, F.lit(1), F.lit(1), F.lit(1), "x", "y", "z"), "", "Ellipsoids", "", ordered(rods, "rod_id", F.col("rod_id") + 1, F.col("l") + 2 * F.col("a"), 2 * F.col("a"), 2 * F.col("a"), *q))
+    in_order(rods, "rod_id", path, "rods", "", f"{n} atoms", f"{n} ellipsoids", "1 atom types", "", *ends, "", "Atoms", "", line(F.col("rod_id") + 1, F.lit(1), F.lit(1), F.lit(1), "x", "y", "z"), "", "Ellipsoids", "", line(F.col("rod_id") + 1, F.col("l") + 2 * F.col("a"), 2 * F.col("a"), 2 * F.col("a"), *q))
 
 
 def state_text(rods: DataFrame, path: str) -> None:
@@ -104,7 +117,7 @@ def state_text(rods: DataFrame, path: str) -> None:
 def occupancy(counts: DataFrame, cells: int, path: str) -> int:
     """Lines ``cell count`` of all cells, in order, those without rods too; returns the number of rods. counts: (cell_id, n)."""
     every = counts.sparkSession.range(cells).select(F.col("id").alias("cell_id")).join(counts, "cell_id", "left").select("cell_id", F.coalesce("n", F.lit(0)).alias("n"))
-    save_lines(path, ordered(every, "cell_id", "cell_id", "n"))
+    in_order(every, "cell_id", path, line("cell_id", "n"))
     return total_of(counts, "n") or 0
 
 
@@ -115,21 +128,21 @@ def vtk_mesh(mesh: DataFrame, path: str, ext: tuple[int, int, int], box: tuple[f
     """Structured points; spacing by each axis."""
     nx, ny, nz = ext
     at = F.col("i") + F.col("j") * nx + F.col("k") * (nx * ny)
-    save_lines(path, "# vtk DataFile Version 3.0", "mesh", "ASCII", "DATASET STRUCTURED_POINTS", f"DIMENSIONS {nx} {ny} {nz}", "ORIGIN 0 0 0", "SPACING " + " ".join(str(b / e) for b, e in zip(box, ext)), f"POINT_DATA {nx * ny * nz}", "SCALARS density float 1", "LOOKUP_TABLE default", ordered(mesh.withColumn("_at", at), "_at", value))
+    in_order(mesh.withColumn("_at", at), "_at", path, "# vtk DataFile Version 3.0", "mesh", "ASCII", "DATASET STRUCTURED_POINTS", f"DIMENSIONS {nx} {ny} {nz}", "ORIGIN 0 0 0", "SPACING " + " ".join(str(b / e) for b, e in zip(box, ext)), f"POINT_DATA {nx * ny * nz}", "SCALARS density float 1", "LOOKUP_TABLE default", line(value))
 
 
 def vtk_field(field: DataFrame, path: str, ext: tuple[int, int, int], box: tuple[float, float, float], names: tuple[str, str, str] = ("vx", "vy", "vz")) -> None:
     """A vector at each mesh point."""
     nx, ny, nz = ext
     at = F.col("i") + F.col("j") * nx + F.col("k") * (nx * ny)
-    save_lines(path, "# vtk DataFile Version 3.0", "field", "ASCII", "DATASET STRUCTURED_POINTS", f"DIMENSIONS {nx} {ny} {nz}", "ORIGIN 0 0 0", "SPACING " + " ".join(str(b / e) for b, e in zip(box, ext)), f"POINT_DATA {nx * ny * nz}", "VECTORS field float", ordered(field.withColumn("_at", at), "_at", *names))
+    in_order(field.withColumn("_at", at), "_at", path, "# vtk DataFile Version 3.0", "field", "ASCII", "DATASET STRUCTURED_POINTS", f"DIMENSIONS {nx} {ny} {nz}", "ORIGIN 0 0 0", "SPACING " + " ".join(str(b / e) for b, e in zip(box, ext)), f"POINT_DATA {nx * ny * nz}", "VECTORS field float", line(*names))
 
 
 def mesh_text(mesh: DataFrame, path: str, ext: tuple[int, int, int], box: tuple[float, float, float], order: str = "F", value: str = "rho") -> None:
     """Box, mesh size and values; read back by ``sources.meshes`` with the same ``order``."""
     nx, ny, nz = ext
     at = F.col("i") + F.col("j") * nx + F.col("k") * (nx * ny) if order == "F" else F.col("k") + F.col("j") * nz + F.col("i") * (nz * ny)
-    save_lines(path, " ".join(map(str, box)), " ".join(map(str, ext)), ordered(mesh.withColumn("_at", at), "_at", value))
+    in_order(mesh.withColumn("_at", at), "_at", path, " ".join(map(str, box)), " ".join(map(str, ext)), line(value))
 
 
 def vtk_leaves(leaves: DataFrame, path: str, edge: tuple[float, float, float]) -> None:
@@ -197,13 +210,24 @@ def impedance(df: DataFrame, path: str) -> None:
 
 
 def tiff(image: DataFrame, path: str, size: tuple[int, int], value: str = "v") -> None:
-    """Uncompressed 8-bit grey TIFF of one strip, white is zero."""
+    """Uncompressed 8-bit grey TIFF of one strip, white is zero; pixels without a row are 0."""
     w, h = size
-    grid = np.zeros((h, w), np.uint8)
-    pdf = image.select("px", "py", value).toPandas()  # as many rows as pixels
-    grid[pdf.py, pdf.px] = np.clip(pdf[value], 0, 255).astype(np.uint8)
     # Tags of the format (width, length, bits, compression, photometric, strip offset, samples, rows, bytes)
     tags = [(256, w), (257, h), (258, 8), (259, 1), (262, 0), (273, 8 + 2 + 9 * 12 + 4), (277, 1), (278, h), (279, w * h)]
     body = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHIHH" if v < 65536 and t not in (273, 279) else "<HHII", *((t, 3, 1, v, 0) if v < 65536 and t not in (273, 279) else (t, 4, 1, v))) for t, v in tags) + struct.pack("<I", 0)
-    save_bytes(path, struct.pack("<2sHI", b"II", 42, 8) + body + grid.tobytes())
-
+    head = struct.pack("<2sHI", b"II", 42, 8) + body
+    shade = F.floor(F.greatest(F.lit(0.0), F.least(F.col(value), F.lit(255.0)))).cast("short")
+    pixels = image.select((F.col("py").cast("long") * w + F.col("px")).alias("at"), shade.alias("v"))
+    if not ranges.reachable(path):
+        grid = np.zeros(w * h, np.uint8)
+        pdf = pixels.toPandas()  # as many rows as pixels
+        grid[pdf["at"]] = pdf.v
+        return save_bytes(path, head + grid.tobytes())
+    ranges.allocate(path, len(head) + w * h, (0, head))
+
+    def pieces(b) -> list[tuple[int, bytes]]:
+        at, v = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint8)
+        first = ranges.runs(at, np.ones(len(at), np.int64))
+        return [(len(head) + int(at[x]), v[x:z].tobytes()) for x, z in zip(first, [*first[1:], len(at)])]
+
+    ranges.written(pixels.orderBy("at"), path, pieces)

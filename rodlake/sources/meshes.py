@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import density
+from . import ranges
 
 
 def read(spark: SparkSession, path: str, order: str = "C") -> tuple[DataFrame, tuple, tuple]:
     """(mesh, ext, box). ``order`` F: the first axis runs fastest, as the mesh tool writes; C: the last."""
-    tokens = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")).alias("pos", "v"))
+    tokens = ranges.words(spark, path)
     head = [float(r[0]) for r in tokens.where("pos < 6").orderBy("pos").select("v").collect()]
     box, ext = tuple(head[:3]), tuple(int(v) for v in head[3:])
     values = tokens.where("pos >= 6").select((F.col("pos") - 6).alias("pos"), F.col("v").cast("double").alias("rho"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("pos", "line"))
+from ..plans.tables import keep
+from . import ranges
 
 
 def _count(lines: DataFrame, pattern: str) -> int:
@@ -23,7 +22,7 @@ def _section(lines: DataFrame, first: int, n: int, names: list[str]) -> DataFram
 
 def read_rods(spark: SparkSession, path: str) -> DataFrame:
     """(pos, x, y, z, cx, cy, cz, l, a, cell_id) of ``sinks.text.vtk_rods``."""
-    lines = _lines(spark, path)
+    lines = keep(ranges.lines(spark, path), "lines")
     n = _count(lines, r"^POINTS (\d+)")
     out = _section(lines, 5, n, ["x", "y", "z"]).join(_section(lines, 7 + n, n, ["cx", "cy", "cz"]), "pos")
     for k, c in enumerate(("l", "a", "cell_id")):
@@ -33,7 +32,7 @@ def read_rods(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lammps(spark: SparkSession, path: str) -> DataFrame:
     """(id, x, y, z, length, width, qw, qx, qy, qz) of ``sinks.text.lammps``."""
-    lines = _lines(spark, path)
+    lines = keep(ranges.lines(spark, path), "lines")
     n = _count(lines, r"^(\d+) atoms")
     atoms = _section(lines, 12, n, ["id", "kind", "flag", "density", "x", "y", "z"])
     shapes = _section(lines, 15 + n, n, ["id", "length", "width", "height", "qw", "qx", "qy", "qz"])
@@ -42,7 +41,7 @@ def read_lammps(spark: SparkSession, path: str) -> DataFrame:
 
 def read_mesh(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, k, rho) of ``sinks.text.vtk_mesh``; the first axis runs fastest."""
-    lines = _lines(spark, path)
+    lines = keep(ranges.lines(spark, path), "lines")
     nx, ny, nz = (int(v) for v in lines.where("line like 'DIMENSIONS %'").first()["line"].split()[1:])
     p = F.col("pos")
     return _section(lines, 10, nx * ny * nz, ["rho"]).select((p % nx).cast("int").alias("i"), (F.floor(p / nx) % ny).cast("int").alias("j"), F.floor(p / (nx * ny)).cast("int").alias("k"), "rho")

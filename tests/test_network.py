@@ -12,9 +12,10 @@ from rodlake.functions import fields, vec
 from rodlake.functions.grid import Grid
 from rodlake.operators import density, generate, kirchhoff, network, orient, raster, rods, spatial
 from rodlake.plans.tables import keep
-from rodlake.sinks import text
+from rodlake.sinks import ranges, text
 from rodlake.sources import edges as edge_files
 from rodlake.sources import meshes, params, state
+from rodlake.sources import ranges as read_ranges
 
 BOX = (1.0, 1.0, 1.0)
 
@@ -390,7 +391,7 @@ def test_agglomerate_mesh_takes_every_rod(spark, tables):
 
 def test_rod_files(spark, some, tmp_path):
     grid = Grid(BOX, (3, 3, 3))
-    (tmp_path / "state.bin").write_bytes(state.encode(some, grid, 0.2, 0.01))
+    state.write(some, grid, f"{tmp_path}/state.bin", 0.2, 0.01)
     back = state.read(spark, f"{tmp_path}/state.bin")
     assert back.count() == 200 and state.header(spark, f"{tmp_path}/state.bin")["rods"] == 200
     assert back.select("cell_id").exceptAll(rods.stamped(some, grid).select("cell_id")).count() == 0
@@ -446,3 +447,59 @@ def test_picture(spark, some, tmp_path):
     text.tiff(raster.picture(some, BOX, (16, 16), 0.1), f"{tmp_path}/p.tif", (16, 16))
     data = open(f"{tmp_path}/p.tif", "rb").read()
     assert struct.unpack_from("<2sH", data) == (b"II", 42) and len(data) == 8 + 2 + 9 * 12 + 4 + 256
+
+
+def test_state_in_ranges(spark, some, tmp_path, monkeypatch):
+    """Written and read by several tasks: the layout byte by byte, the same rods from ranges and from the whole file; what 16 bits don't hold raises."""
+    grid, path = Grid(BOX, (4, 4, 4)), f"{tmp_path}/s.bin"
+    monkeypatch.setattr(state, "ROWS", 20)
+    state.write(some.repartition(5), grid, path, 0.2, 0.01)
+    want = sorted((r.cell_id, r.rod_id, *(np.float32(r[f]) for f in state.FIELDS)) for r in rods.stamped(some, grid).collect())
+    data = open(path, "rb").read()
+    occ = np.bincount([w[0] for w in want], minlength=64)
+    at = struct.calcsize(state.HEAD)
+    assert len(data) == at + 64 * 6 + 36 * 200
+    assert (np.frombuffer(data, "<i2", 64, at) == occ).all() and (np.frombuffer(data, "<i4", 64, at + 128) == np.cumsum(occ)).all()
+    body = np.frombuffer(data, "<f4", 9 * 200, at + 384).reshape(9, 200)
+    assert (body == np.array([[*w[2:], w[0]] for w in want], np.float32).T).all()
+    key = lambda df: sorted((r.rod_id, r.cell_id, *(r[f] for f in state.FIELDS)) for r in df.collect())
+    back = state.read(spark, path)
+    assert back.rdd.getNumPartitions() > 1 and key(back) == [(k, w[0], *map(float, w[2:])) for k, w in enumerate(want)]
+    with monkeypatch.context() as m:
+        m.setattr(state.ranges, "reachable", lambda p: False)
+        assert key(state.read(spark, path)) == key(back)
+        with pytest.raises(ValueError):
+            state.write(some, grid, path, 0.2, 0.01)
+    monkeypatch.setattr(state, "MOST", int(occ.max()) - 1)
+    with pytest.raises(ValueError):
+        state.write(some, grid, path, 0.2, 0.01)
+    state.write(some.limit(0), grid, path, 0.2, 0.01)
+    assert state.read(spark, path).count() == 0
+
+
+def test_text_in_ranges(spark, some, tmp_path, monkeypatch):
+    """Side by side and through one handle: the same bytes, whatever the partitions, with texts of several bytes a character; lines and words keep their numbers."""
+    df = some.repartition(7)
+    writers = {
+        "rods.vtk": lambda p: text.vtk_rods(df, p), "ort.vtk": lambda p: text.vtk_directions(df, p), "rods.lmp": lambda p: text.lammps(df, p, BOX),
+        "mesh.dat": lambda p: text.mesh_text(density.constant(spark, (3, 4, 5)), p, (3, 4, 5), BOX), "none.vtk": lambda p: text.vtk_directions(df.limit(0), p),
+        "grey.tif": lambda p: text.tiff(spark.range(30).selectExpr("cast(id % 6 as int) as px", "cast(id div 6 as int) as py", "id * 11.7d as v"), p, (6, 7)),
+    }
+    for name, write in writers.items():
+        write(f"{tmp_path}/{name}")
+        with monkeypatch.context() as m:
+            m.setattr(ranges, "reachable", lambda p: False)
+            write(f"{tmp_path}/one-{name}")
+        assert open(f"{tmp_path}/{name}", "rb").read() == open(f"{tmp_path}/one-{name}", "rb").read(), name
+    odd = spark.createDataFrame([(i, "é漢 " * (i % 4) + str(i)) for i in range(500)], "k long, t string").repartition(6)
+    ranges.save_sections(odd, "k", f"{tmp_path}/odd.txt", "first line", F.col("t"), "between", F.concat(F.lit("k "), F.col("k").cast("string")))
+    want = ["first line", *("é漢 " * (i % 4) + str(i) for i in range(500)), "between", *(f"k {i}" for i in range(500))]
+    assert open(f"{tmp_path}/odd.txt").read() == "\n".join(want) + "\n"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = sorted((r.pos, r.line) for r in read_ranges.lines(spark, f"{tmp_path}/odd.txt").collect())
+        assert got == list(enumerate(want))
+        assert [r.v for r in read_ranges.words(spark, f"{tmp_path}/odd.txt").orderBy("pos").collect()] == " ".join(want).split()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
