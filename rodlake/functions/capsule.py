@@ -69,7 +69,8 @@ def contact_area(pairs: DataFrame, reach: float) -> DataFrame:
     """Add s: the area through which two rods with closest approach (t1, t2, d, cc) may exchange charge within ``reach``.
 
     The largest of a disc, half an ellipse if the approach is between the bodies, and a
-    strip if the axes are nearly parallel. Takes the bounded approach.
+    strip if the axes are nearly parallel and lie beside each other: without an overlap there is no strip.
+    Takes the bounded approach.
     """
     a1, a2, l1, l2, d, t1, t2 = (F.col(c) for c in ("a1", "a2", "l1", "l2", "d", "t1", "t2"))
     h1, h2 = F.greatest(d - a2 - reach, F.lit(0.0)), F.greatest(d - a1 - reach, F.lit(0.0))
@@ -87,7 +88,7 @@ def contact_area(pairs: DataFrame, reach: float) -> DataFrame:
     # ends on axis 1, measured from centre 1: rod 2 covers [c1b - g l2/2, c1b + g l2/2]
     overlap = F.least(l1 / 2.0, c1b + g * l2 / 2.0) - F.greatest(-l1 / 2.0, c1b - g * l2 / 2.0)
     flat = (F.col("sine") <= F.greatest(a1, a2) / F.least(l1, l2)) & ((F.abs(t1) <= l1 / 2.0 + a1) | (F.abs(t2) <= l2 / 2.0 + a2))
-    strip = F.when(flat, F.abs(overlap) * 2.0 * r).otherwise(0.0)
+    strip = F.when(flat, F.greatest(overlap, F.lit(0.0)) * 2.0 * r).otherwise(0.0)
     return df.withColumn("s", F.greatest(F.pi() * r * r, F.col("ellipse"), strip)).drop("r2", "r", "g", "sg", "sine", "half", "along", "ellipse")
 
 

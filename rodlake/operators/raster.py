@@ -47,17 +47,25 @@ def shaded(image: DataFrame, size: tuple[int, int], value: str = "n") -> DataFra
     return frame.join(image, ["px", "py"], "left").select("px", "py", fields.shade(n, F.lit(float(most))).alias("v"))
 
 
+def _rows_blurred(image: DataFrame, along: str, across: str, n: int, taps: list[float]) -> DataFrame:
+    """One pass along ``along``: each line of pixels is an array of n values, which the taps go over; missing pixels are 0."""
+    reach = len(taps) - 1
+    line = image.groupBy(across).agg(F.map_from_entries(F.collect_list(F.struct(along, "v"))).alias("m"))  # at most n pixels
+    line = line.select(across, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.coalesce(F.element_at("m", x), F.lit(0.0))).alias("line"), F.lit(taps).alias("taps"))
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    at = lambda x: F.aggregate(steps, F.lit(0.0), lambda s, k: s + F.element_at("line", F.pmod(x - k, F.lit(n)) + 1) * F.element_at("taps", F.abs(k) + 1))
+    done = line.select(across, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)).alias(along, "v"))
+    return done.select("px", "py", "v")
+
+
 def blurred(image: DataFrame, size: tuple[int, int], pixel: float, sigma: float = SIGMA, value: str = "v") -> DataFrame:
-    """(px, py, v): Gaussian blur along x, then along y; the picture wraps. Taps reach ceil(3 sigma / pixel), at most 32."""
-    reach = min(32, math.ceil(3 * sigma / pixel))
+    """(px, py, v): Gaussian blur along x, then along y; the picture wraps. Taps reach ceil(3 sigma / pixel)."""
+    reach = math.ceil(3 * sigma / pixel)
     taps = [math.exp(-((k * pixel) ** 2) / 2 / sigma**2) for k in range(reach + 1)]
     total = taps[0] + 2 * sum(taps[1:])
-    table = F.array(*[F.struct(F.lit(k).alias("by"), F.lit(taps[abs(k)] / total).alias("w")) for k in range(-reach, reach + 1)])
-    out = image.select("px", "py", F.col(value).alias("v"))
-    for axis, n in zip(("px", "py"), size):
-        spread = out.select("px", "py", "v", F.explode(table).alias("t")).withColumn(axis, F.pmod(F.col(axis) + F.col("t.by"), F.lit(n)).cast("int"))
-        out = spread.groupBy("px", "py").agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
-    return out
+    taps = [t / total for t in taps]
+    out = image.select("px", "py", F.col(value).cast("double").alias("v"))
+    return _rows_blurred(_rows_blurred(out, "px", "py", size[0], taps), "py", "px", size[1], taps)
 
 
 def picture(rods: DataFrame, box: tuple[float, float, float], size: tuple[int, int] = (1280, 1280), sigma: float = SIGMA, low: float = -math.inf, high: float = math.inf) -> DataFrame:

@@ -348,7 +348,7 @@ c2 as (select *, case when k2 <= a2 then a2 * sqrt(greatest(0, 1 - (k2 / a2) * (
  sqrt(greatest(0, 1 - g * g)) as sine, sqrt(greatest(0, (1 - g) / 2)) as half, sqrt((1 + g) / 2) as along from c1),
 c3 as (select *, case when half > 1e-6 then r2 / half else l1 / 2 end as span, c1x * gx + c1y * gy + c1z * gz as pb from c2),
 c4 as (select *, case when abs(t1) < l1 / 2 - a1 and abs(t2) < l2 / 2 - a2 then 0.5 * pi() * rr * (greatest(rr, least(span, least((l1 / 2 - t1) * along, (l2 / 2 - sg * t2) * along))) + greatest(rr, least(span, least(abs((l1 / 2 + t1) * along), abs((l2 / 2 + sg * t2) * along))))) else 0 end as ell,
- case when sine <= greatest(a1, a2) / least(l1, l2) and (abs(t1) <= l1 / 2 + a1 or abs(t2) <= l2 / 2 + a2) then abs(least(l1 / 2, pb + g * l2 / 2) - greatest(-l1 / 2, pb - g * l2 / 2)) * 2 * rr else 0 end as strip from c3),
+ case when sine <= greatest(a1, a2) / least(l1, l2) and (abs(t1) <= l1 / 2 + a1 or abs(t2) <= l2 / 2 + a2) then greatest(0, least(l1 / 2, pb + g * l2 / 2) - greatest(-l1 / 2, pb - g * l2 / 2)) * 2 * rr else 0 end as strip from c3),
 c5 as (select *, greatest(pi() * rr * rr, ell, strip) as s, role2 <> 'internal' as swap from c4),
 net as (select case when swap then j else i end as i, case when swap then i else j end as j, case when swap then t2 else t1 end as ti, case when swap then t1 else t2 end as tj, d, s, case when role1 <> 'internal' then role1 else role2 end as role,
  case when swap then x1 + gx else x1 end as x, case when swap then y1 + gy else y1 end as y, case when swap then z1 + gz else z1 end as z, case when swap then -gx else gx end as hx, case when swap then -gy else gy end as hy, case when swap then -gz else gz end as hz,
@@ -614,7 +614,7 @@ def _shade_sql(source: str, value: str, n: int) -> str:
 
 def _blur_sql(source: str, n: int, sigma: float, name: str) -> str:
     """CTEs up to ``name``: the Gaussian blur of (px, py, v), along px, then py."""
-    reach = min(32, math.ceil(3 * sigma * n))
+    reach = math.ceil(3 * sigma * n)
     taps = f"{name}t as (select k, exp(-pow(k / {float(n)}::double, 2) / 2 / {sigma}::double / {sigma}::double) as g from (select unnest(range({-reach}, {reach + 1})) as k)), {name}w as (select k, g / (select sum(g) from {name}t) as g from {name}t)"
     return f"{taps}, {name}x as (select (px + k + {n}) % {n} as px, py, sum(v * g) as v from {source}, {name}w group by 1, 2), {name} as (select px, (py + k + {n}) % {n} as py, sum(v * g) as v from {name}x, {name}w group by 1, 2)"
 

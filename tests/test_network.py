@@ -503,3 +503,31 @@ def test_text_in_ranges(spark, some, tmp_path, monkeypatch):
         assert [r.v for r in read_ranges.words(spark, f"{tmp_path}/odd.txt").orderBy("pos").collect()] == " ".join(want).split()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_blur_reaches_all_taps(spark):
+    """Narrow and wide pictures, more taps than pixels, a missing pixel: against a dense wrapped sum."""
+    rng = np.random.default_rng(9)
+    for size, sigma in (((1280, 3), 0.03), ((5, 4), 0.9)):
+        w, h = size
+        grid = rng.random((h, w))
+        grid[0, 1] = 0.0
+        rows = [(x, y, float(grid[y, x])) for y in range(h) for x in range(w) if (x, y) != (1, 0)]
+        reach = math.ceil(3 * sigma * w)
+        taps = np.exp(-((np.arange(-reach, reach + 1) / w) ** 2) / 2 / sigma**2)
+        taps /= taps.sum()
+        want = sum(t * np.roll(grid, k, axis=1) for k, t in zip(range(-reach, reach + 1), taps))
+        want = sum(t * np.roll(want, k, axis=0) for k, t in zip(range(-reach, reach + 1), taps))
+        got = np.zeros((h, w))
+        for r in raster.blurred(spark.createDataFrame(rows, "px int, py int, v double"), size, 1 / w, sigma).collect():
+            got[r.py, r.px] = r.v
+        assert np.abs(got - want).max() < 1e-12
+
+
+def test_parallel_rods_apart_have_no_strip(spark):
+    row = lambda x: (0.0, 0.0, 0.0, x, 0.021, 0.0)
+    df = spark.createDataFrame([(x, *row(x)[3:], *(1.0, 0.0, 0.0) * 2, 1.0, 1.0, 0.01, 0.01) for x in (0.4, 1.005)], "k double, bx double, by double, bz double, c1x double, c1y double, c1z double, c2x double, c2y double, c2z double, l1 double, l2 double, a1 double, a2 double")
+    from rodlake.functions import capsule
+
+    got = {r.k: r for r in capsule.contact_area(capsule.closest_approach(df), 0.01).collect()}
+    assert got[0.4].s > 0.6 * 2 * 0.001 and got[1.005].s < 0.6 * 2 * 0.001
