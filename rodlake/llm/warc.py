@@ -206,7 +206,9 @@ def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES,
     Returns path, offset, length, record_type, page_id, url, payload_bytes,
     payload_digest (hex SHA-1: of the payload as read for responses, as stated for
     revisits), intact (that the two agree), refers_to and, if asked for, payload.
-    Bytes that belong to no valid record are passed over. No file: no rows.
+    Bytes that belong to no valid record are passed over. A range that starts inside a stored
+    payload which holds a whole gzip member of a record would report that one too. Equal files are read
+    as often as they are named; files without bytes have no rows; further columns are ignored. No file: no rows.
     """
     cut = F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {int(range_bytes)}L)"))
     ranges = save(files.where("bytes > 0").select("path", "bytes", cut.alias("start")), "warc-ranges")
@@ -235,7 +237,11 @@ def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES,
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives, read them back: a row for each page."""
+    """Write ``pages`` to archives, read them back: a row for each page.
+
+    Null and empty html have an empty payload; of equal payloads of 1000 bytes or more the largest page_id is
+    the response, as are rows that repeat it. Repeated ids keep their rows; further columns are ignored. Empty table: no rows.
+    """
     back = read(pages.sparkSession, write(pages))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
