@@ -161,29 +161,27 @@ def rank3(m, eps: float = 1e-9) -> Column:
     return F.when(F.abs(det3(m)) > eps, 3).when(F.greatest(*[F.abs(x) for x in minors]) > eps, 2).when(F.greatest(*[F.abs(x) for r in m for x in r]) > eps, 1).otherwise(0)
 
 
-def eliminated(m: tuple[Vec, Vec, Vec]) -> tuple[Vec, Vec, Vec]:
-    """Upper triangle of a 3x3 matrix by forward elimination; the row with the largest entry leads. A column of zeros is passed over."""
-    rows = F.array(*[F.array(*r) for r in m])
-    at = lambda r, k: F.element_at(r, k + 1)
-    zero = F.lit(0.0)
+def _led(rs: Column, k: int) -> Column:
+    """Rows, the one with the largest entry in column k first."""
+    at = lambda r: F.abs(F.element_at(r, k + 1))
+    spot = F.array_position(F.transform(rs, at), F.array_max(F.transform(rs, at))).cast("int")
+    return F.concat(F.slice(rs, spot, F.lit(1)), F.slice(rs, F.lit(1), spot - 1), F.slice(rs, spot + 1, F.size(rs) - spot))
+
+
+def _cleared(rs: Column, k: int) -> Column:
+    """What is left of the rows behind the first without column k."""
+    top, at = F.element_at(rs, 1), lambda r, j: F.element_at(r, j + 1)
+    f = lambda r: F.when(at(top, k) == 0, F.lit(0.0)).otherwise(at(r, k) / at(top, k))
+    return F.transform(F.slice(rs, F.lit(2), F.size(rs) - 1), lambda r: F.array(*[F.lit(0.0) if j == k else at(r, j) - f(r) * at(top, j) for j in range(3)]))
 
-    def led(rs: Column, k: int) -> Column:
-        """Rows from k on, the one with the largest entry in column k first."""
-        best = F.array_max(F.transform(rs, lambda r: F.abs(at(r, k))))
-        first = F.element_at(F.filter(rs, lambda r: F.abs(at(r, k)) == best), 1)
-        spot = F.array_position(F.transform(rs, lambda r: F.abs(at(r, k)) == best), True).cast("int")
-        return F.concat(F.array(first), F.slice(rs, 1, spot - 1), F.slice(rs, spot + 1, F.size(rs) - spot))
-
-    def cleared(rs: Column, k: int) -> Column:
-        """What is left of the rows behind the first without column k."""
-        top = F.element_at(rs, 1)
-        f = lambda r: F.when(at(top, k) == 0, zero).otherwise(at(r, k) / at(top, k))
-        return F.transform(F.slice(rs, 2, F.size(rs) - 1), lambda r: F.array(*[zero if j == k else at(r, j) - f(r) * at(top, j) for j in range(3)]))
-
-    one = led(rows, 0)
-    two = led(cleared(one, 0), 1)
-    last = F.element_at(cleared(two, 1), 1)
-    return tuple(tuple(at(r, j) for j in range(3)) for r in (F.element_at(one, 1), F.element_at(two, 1), last))
+
+def eliminated(df: DataFrame, m: tuple[Vec, Vec, Vec], name: str = "triangle") -> DataFrame:
+    """Add ``name``: the upper triangle, as three arrays, of a 3x3 matrix by forward elimination; the row with the largest entry leads. A column of zeros is passed over."""
+    kept = df.columns
+    df = let(df, _one=_led(F.array(*[F.array(*r) for r in m]), 0))
+    df = let(df, _two=_led(_cleared(F.col("_one"), 0), 1))
+    df = let(df, _last=_cleared(F.col("_two"), 1))
+    return df.select(*[f"`{c}`" for c in kept], F.array(F.col("_one")[0], F.col("_two")[0], F.col("_last")[0]).alias(name))
 
 
 def symmetric_axes(df: DataFrame, entries: tuple[str, str, str, str, str, str], name: str = "axes") -> DataFrame:

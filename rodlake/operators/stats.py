@@ -95,6 +95,14 @@ def phi_theta_histogram(rods: DataFrame, bins: int = 32) -> DataFrame:
     return dense(got, phi_bin=bins, theta_bin=bins)
 
 
+def belt_density(rods: DataFrame, bins: int = 32) -> DataFrame:
+    """(bin, n, density): rods by the polar angle of their directions, and their number over the area of each belt of the unit sphere."""
+    width = math.pi / bins
+    theta = F.acos(vec.clamp(F.col("cz"), F.lit(-1.0), F.lit(1.0)))
+    got = rods.select(bin_of(theta, 0.0, width, bins).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return dense(got, bin=bins).withColumn("density", F.col("n") / fields.belt_area(F.col("bin") * width, (F.col("bin") + 1) * width))
+
+
 # ---- pairs ------------------------------------------------------------------------------------------------------
 
 

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import capsule, fields, vec
-from .functions.grid import Grid
+from .functions.grid import Grid, electrode
 from .operators import density, generate, kirchhoff, network, orient, raster, rods, spatial, stats
 from .plans import oracle
 from .plans.tables import keep, scratch
 from .sinks import text
 from .sources import edges as edge_files
 from .sources import meshes, params, state, vtk
+from .sources import ranges as text_ranges
 
 BOX = (1.0, 1.0, 1.0)
 #: Rods of ``part``: length, radius, and the reach of contacts beyond the surfaces.
@@ -199,6 +200,89 @@ def vector_rotations(spark, d):
     return part(spark, d).select("rod_id", *[r(e).alias(n) for n, e in named.items()])
 
 
+@query(f"""with {PART} select rod_id, round(sqrt({' + '.join(f"pow({oracle.image(f'0.5::double - {v}')}, 2)" for v in 'xyz')}), 9) as wrapped, round(sqrt(pow(1 + x, 2) + pow(1 + y, 2) + pow(1 + z, 2)), 9) as plain, round(sqrt(x * x + y * y), 9) as off_axis, round(((1 + x) * cx + (1 + y) * cy + (1 + z) * cz) / sqrt(pow(1 + x, 2) + pow(1 + y, 2) + pow(1 + z, 2)), 9) as cosine,
+round(cos(0.3::double) * (cos(0.7::double) * cx - sin(0.7::double) * cz) + sin(0.3::double) * cy, 9) as turned_x, round(cos(0.3::double) * cy - sin(0.3::double) * (cos(0.7::double) * cx - sin(0.7::double) * cz), 9) as turned_y, round(sin(0.7::double) * cx + cos(0.7::double) * cz, 9) as turned_z, round(sqrt(x * x + y * y) * atan2(x, y), 9) as arc from rods""")
+def vector_distances(spark, d):
+    p, c, zero = vec.cols("x", "y", "z"), vec.cols("cx", "cy", "cz"), (F.lit(0.0),) * 3
+    q = tuple(1.0 + v for v in p)  # no place is the origin
+    turned = vec.to_frame(c, F.lit(0.3), F.lit(0.7))
+    named = {"wrapped": vec.periodic_distance(p, (F.lit(0.5),) * 3, BOX), "plain": vec.distance(zero, q), "off_axis": vec.point_line_distance(p, zero, (F.lit(0.0), F.lit(0.0), F.lit(1.0))), "cosine": vec.cos_between(q, c), "arc": vec.unwrap(p)[0]}
+    named |= {f"turned_{v}": e for v, e in zip("xyz", turned)}
+    return part(spark, d).select("rod_id", *[r(e).alias(n) for n, e in named.items()])
+
+
+_MOMENTS = f"with {PART}, cel as (select *, {_CELL} as cell_id from rods), mom as (select cell_id, avg(cx * cx) as xx, avg(cy * cy) as yy, avg(cz * cz) as zz, avg(cx * cy) as xy, avg(cx * cz) as xz, avg(cy * cz) as yz from cel group by 1)"
+_DET = "xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)"
+
+
+@query(f"""{_MOMENTS}, m as (select *, {_DET} as det, greatest(abs(xx * yy - xy * xy), abs(xx * zz - xz * xz), abs(yy * zz - yz * yz), abs(xx * yz - xy * xz), abs(xy * yz - yy * xz), abs(xy * zz - yz * xz)) as minor from mom)
+select cell_id, round(xx + yy + zz, 9) as trace, round(det, 12) as det, round(xx * yy - xy * xy, 9) as det2, case when abs(det) > 1e-9 then 3 when minor > 1e-9 then 2 else 1 end as rank, round(xx + 2 * xy + 3 * xz, 9) as times_x, round(xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz), 9) as squared, round(abs(det), 12) as led, 0::double as below from m""")
+def matrix_kit(spark, d):
+    """Of each cell's moments: trace, determinants, rank, products, and the triangle of a forward elimination."""
+    xx, yy, zz, xy, xz, yz = (F.col(c) for c in orient.MOMENTS)
+    m = ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))
+    df = vec.eliminated(orient.moments(part(spark, d), GRID), m)
+    u = F.col("triangle")
+    named = {"trace": r(vec.trace(m)), "det": r(vec.det3(m), 12), "det2": r(vec.det2(m)), "rank": vec.rank3(m), "times_x": r(vec.mat_vec(m, (F.lit(1.0), F.lit(2.0), F.lit(3.0)))[0]), "squared": r(vec.trace(vec.mat_mat(m, m))), "led": r(F.abs(u[0][0] * u[1][1] * u[2][2]), 12), "below": F.abs(u[1][0]) + F.abs(u[2][0]) + F.abs(u[2][1])}
+    return df.select("cell_id", *[e.alias(n) for n, e in named.items()])
+
+
+@query(f"with {PART} select rod_id, {_CELL} as cell_id, {_CELL} + 16 as behind, cast(floor(x * 4) % 4 + 1 + 6 * (floor(y * 4) % 4) + 24 * (floor(z * 4) % 4) as bigint) as beside from rods")
+def padded_cells(spark, d):
+    df = rods.stamped(part(spark, d), GRID)
+    return df.select("rod_id", "cell_id", GRID.padded_id(F.col("cell_id"), 2, 1).alias("behind"), GRID.padded_id(F.col("cell_id"), 0, 1).alias("beside"))
+
+
+@query(f"with {PART} select rod_id from rods where rod_id % 7 <> 3 and rod_id % 11 <> 4")
+def live_rods(spark, d):
+    """Without tombstones (no length) and nulls."""
+    length = F.when(F.col("rod_id") % 7 == 3, 0.0).when(F.col("rod_id") % 11 != 4, F.col("l"))
+    return rods.live(part(spark, d).withColumn("l", length)).select("rod_id")
+
+
+@query(f"with {PART} select rod_id, case when 1.4::double * z - 0.2 < 0 then 'source' when 1.4::double * z - 0.2 >= 1 then 'sink' else 'internal' end as role from rods")
+def electrode_roles(spark, d):
+    return part(spark, d).select("rod_id", electrode(1.4 * F.col("z") - 0.2, 1.0).alias("role"))
+
+
+@query(f"""with {PART}, e as (select rod_id, pow(x - 0.5, 2) + pow(y - 0.5, 2) + pow(z - 0.5, 2) as q, x, y, z from rods)
+select rod_id, {', '.join(f"round(exp(-q / 0.08::double) / pow(sqrt(2 * pi()) * 0.2::double, {n}), 9) as pdf{n}" for n in (1, 2, 3))}, round(exp(-q / 0.08::double), 9) as bell, round(1 / (1 + exp(-8 * (x - 0.5::double))), 9) as step, round(case when z >= 0.001 then exp(-pow(ln(z / 0.3::double), 2) / 0.5::double) / z / sqrt(2 * pi()) / 0.5::double else 0 end, 9) as logn from e""")
+def densities(spark, d):
+    """Gaussian, sigmoid and log-normal laws at the places of the rods."""
+    q = sum(((F.col(v) - 0.5) * (F.col(v) - 0.5) for v in "xyz"), F.lit(0.0))
+    named = {f"pdf{n}": fields.gauss_pdf(q, 0.2, n) for n in (1, 2, 3)} | {"bell": fields.gauss_3d(vec.cols("x", "y", "z"), (0.5, 0.5, 0.5), 0.2), "step": fields.sigmoid(F.col("x"), 0.5, 8.0), "logn": fields.log_normal(F.col("z"), 0.3, 0.5)}
+    return part(spark, d).select("rod_id", *[r(e).alias(n) for n, e in named.items()])
+
+
+@query(f"""with {PART}, g as (select least(31, floor(acos(greatest(-1::double, least(1::double, cz))) / (pi() / 32))) as b, count(*) as n from rods group by 1)
+select cast(bin as integer) as bin, cast(coalesce(n, 0) as bigint) as n, round(coalesce(n, 0) / (2 * pi() * (cos(bin * (pi() / 32)) - cos((bin + 1) * (pi() / 32)))), 7) as density from {_BINS.format('bin')} left join g on b = bin""")
+def belt_density(spark, d):
+    return stats.belt_density(part(spark, d)).withColumn("density", r("density", 7))
+
+
+_KIT = "with {0}, e as (select rod_id, 2 + x as a, y - 0.5::double as b, 2 + z as c, 0.5 + x as s, 0.2 + z as t, 3 * y as phi from rods), k as (select *, 1 / sqrt(0.5 * (a + c - sqrt((a - c) * (a - c) + b * b))) as u, 1 / sqrt(0.5 * (a + c + sqrt((a - c) * (a - c) + b * b))) as v from e)".format(PART)
+
+
+@query(f"""{_KIT} select rod_id, round(u, 9) as long, round(v, 9) as short, round(0.5 * atan2(b, a - c), 9) as tilt, round(u * v / sqrt(pow(v * cos(phi), 2) + pow(u * sin(phi), 2)), 9) as polar, round(pi() * u * v, 9) as area, round(2 * pi() / sqrt(4 * a * c - b * b), 9) as conic, round(0.5 * s * t * sin(phi), 9) as triangle, round(0.5 * s * s * (phi - sin(phi)), 9) as segment,
+round(0.5 * u * v * atan2(u * sin(phi), v * cos(phi)), 9) as sector, round(pi() * u * v / 2 + v / u * (0.4 * u * sqrt(u * u - 0.16 * u * u) + u * u * asin(0.4::double)), 9) as cut, round(((1 + a + c) + sqrt((1 + a + c) * (1 + a + c) - 4 * a)) / 2, 9) as root, round(a, 8) as fit_a, round(b, 8) as fit_b, round(c, 8) as fit_c from k""")
+def ellipse_kit(spark, d):
+    """Ellipses a x^2 + b x y + c y^2 = 1 drawn from the places of the rods: axes, tilt, areas, and the conic found again through three of its points."""
+    df = part(spark, d).select("rod_id", (2.0 + F.col("x")).alias("a"), (F.col("y") - 0.5).alias("b"), (2.0 + F.col("z")).alias("c"), (0.5 + F.col("x")).alias("s"), (0.2 + F.col("z")).alias("t"), (3.0 * F.col("y")).alias("phi"))
+    a, b, c, s, t, phi = (F.col(n) for n in ("a", "b", "c", "s", "t", "phi"))
+    u, v = capsule.ellipse_axes(a, b, c)
+    df = vec.let(df, u=u, v=v)
+    u, v = F.col("u"), F.col("v")
+    points = []
+    for angle in (0.1, 1.0, 2.2):
+        x, y = F.lit(math.cos(angle)), F.lit(math.sin(angle))
+        size = F.sqrt(a * x * x + b * x * y + c * y * y)
+        points.append((x / size, y / size))
+    fit = capsule.ellipse_through(points)
+    named = {"long": u, "short": v, "tilt": capsule.ellipse_tilt(a, b, c), "polar": capsule.ellipse_polar(u, v, phi), "area": capsule.ellipse_area(u, v), "conic": capsule.conic_area(a, b, c), "triangle": capsule.triangle_area(s, t, phi), "segment": capsule.circle_segment(s, phi)}
+    named |= {"sector": capsule.ellipse_sector(u, v, phi), "cut": capsule.ellipse_half_cut(u, v, 0.4 * u), "root": capsule.quadratic_roots(F.lit(1.0), -(1.0 + a + c), a)[0]}
+    return df.select("rod_id", *[r(e).alias(n) for n, e in named.items()], *[r(e, 8).alias("fit_" + n) for n, e in zip("abc", fit)])
+
+
 # ---- pairs ------------------------------------------------------------------------------------------------------
 
 
@@ -279,6 +363,28 @@ def mean_of_ratios(spark, d):
     return out.select("n", r("mean").alias("mean"))
 
 
+@query(f"{CONTACT} select i, j, round(d, 9) as d from con union all select j, i, round(d, 9) from con")
+def contacts_ordered(spark, d):
+    """Every contact from both of its rods."""
+    return spatial.contacts(part(spark, d), BOX, LIMIT, ordered=True).select("i", "j", r("d").alias("d"))
+
+
+_SIGNED = "round(sign({0}) * ln(1 + 1e9::double * abs({0})), 8)"
+_LINES = f"""pot as (select i, j, du * 1e4::double as y, gam, l1 * 1e4::double as l from tou where sn > 1e-3), wid as (select *, l * sin(gam) / sqrt(y * y + l * l * sin(gam) * sin(gam)) as w from pot),
+law as (select i, j, -15.2::double * pi() / (2 * pow(y, 4) * sqrt(sin(gam))) + 24100::double * pi() / (5 * pow(y, 10) * sqrt(sin(gam))) as v1,
+(-15.2::double * 3 * pi() / 8 * (w - pow(w, 3) / 3) / pow(y, 4) + 24100::double * 63 * pi() / 256 * (w - 4 * pow(w, 3) / 3 + 6 * pow(w, 5) / 5 - 4 * pow(w, 7) / 7 + pow(w, 9) / 9) / pow(y, 10)) / sin(gam) as v2,
+(select sum(-15.2::double * pi() / (2 * pow(abs(y - 10 * cos(2 * pi() * (k + 0.5) / 96)), 4)) + 24100::double * pi() / (5 * pow(abs(y - 10 * cos(2 * pi() * (k + 0.5) / 96)), 10))) from range(96) t(k)) * (2 * pi() * 10 / 96) / sin(gam) as v3 from wid)
+select least(i, j) as i, greatest(i, j) as j, {_SIGNED.format('v1')} as lines, {_SIGNED.format('v2')} as piece, {_SIGNED.format('v3')} as tube from law"""
+
+
+@query(f"{TOUCH}, {_LINES}")
+def line_potentials(spark, d):
+    """Van der Waals potentials of two lines, of a line and a segment, and of a line and a thin tube, for touching pairs that cross; signed logarithms, as they span many orders."""
+    y, gamma = F.col("du") * 1e4, F.col("gam")
+    df = vec.let(stats.touching(part(spark, d), BOX, LIMIT), gam=vec.acos_abs(F.col("cc"))).where("sqrt(greatest(0d, 1 - least(1d, abs(cc)) * least(1d, abs(cc)))) > 1e-3")
+    return df.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), *[r(F.signum(e) * F.log(1.0 + 1e9 * F.abs(e)), 8).alias(n) for n, e in (("lines", capsule.line_line(y, gamma)), ("piece", capsule.line_segment(y, gamma, F.col("l1") * 1e4)), ("tube", capsule.line_tube(y, gamma, 10.0)))])
+
+
 # ---- elimination ------------------------------------------------------------------------------------------------
 
 _OLD = "old as (select * from rods where rod_id % 2 = 0), young as (select * from rods where rod_id % 2 = 1)"
@@ -517,6 +623,17 @@ def percolation_conductivity(spark, d):
     return density.conductivity_map(_mesh(spark, d), 1e-6, 10.0, 0.2, 1.8).select("i", "j", "k", r("sigma").alias("sigma"))
 
 
+@query(f"with {PART}, {_MESH} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(rho - 0.5::double, 9) as rho from mesh")
+def mesh_difference(spark, d):
+    """The density of the rods less the constant mesh."""
+    return density.difference(_mesh(spark, d), density.constant(spark, MESH)).withColumn("rho", r("rho"))
+
+
+@query(f"with {PART}, {_MESH} select cast(a as integer) as i, cast(b as integer) as j, cast(c as integer) as k, round(rho, 9) as rho from (select unnest(range(6)) as a), (select unnest(range(5)) as b), (select unnest(range(4)) as c), mesh where i = a % 5 and j = b % 4 and k = c % 3")
+def mesh_appended(spark, d):
+    return density.appended(_mesh(spark, d), MESH).withColumn("rho", r("rho"))
+
+
 _BALLS = "balls as (select rod_id as id, x, y, z, 0.05::double + cast(rod_id % 7 as double) / 50::double as w, 1::double as norm from rods)"
 _SIG = "1 / (1 + exp(-40::double * (dist - ({0}))))"
 
@@ -702,6 +819,36 @@ def io_contacts(spark, d):
     return spark.read.text(path).select("role", *typed).select("role", "i", "j", r("d").alias("d"), r("s").alias("s"))
 
 
+@query(f"with {PART} select cast(row_number() over (order by rod_id) - 1 as bigint) as pos, cx, cy, cz from rods")
+def io_vtk_directions(spark, d):
+    path = scratch(spark, "directions") + ".vtk"
+    text.vtk_directions(part(spark, d), path)
+    return vtk.read_directions(spark, path).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"with {PART}, g as (select {_CELL} as cell_id, count(*) as n from rods group by 1) select cell_id::double as cell, n::double as n, (select count(*) from rods) as total from g")
+def io_columns(spark, d):
+    """Two columns and their reported sum."""
+    path, counts = scratch(spark, "columns"), stats.occupancy(part(spark, d), GRID)
+    text.columns(counts, path, "cell_id", "n", header="cell n")
+    back = spark.read.text(path).where("value not like '#%'").select(F.split("value", " ").alias("v"))
+    return back.select(F.col("v")[0].cast("double").alias("cell"), F.col("v")[1].cast("double").alias("n"), F.lit(text.total_of(counts, "n")).cast("long").alias("total"))
+
+
+@query(f"{CONTACT} select least(i, j) as i, greatest(i, j) as j, round(d, 9) as d from con")
+def io_sparse(spark, d):
+    path = scratch(spark, "sparse")
+    text.sparse(spatial.contacts(part(spark, d), BOX, LIMIT).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), r("d").alias("d")), path, "i", "j", "d")
+    return spark.read.csv(path, sep=" ", schema="i long, j long, d double")
+
+
+@query(f"with h as ({ORACLES['phi_theta_hist']}) select cast(phi_bin as bigint) as pos, string_agg(n, chr(9) order by theta_bin) as line from h group by 1")
+def io_gnuplot_matrix(spark, d):
+    path = scratch(spark, "matrix") + ".txt"
+    text.gnuplot_matrix(stats.phi_theta_histogram(part(spark, d)), "phi_bin", "theta_bin", "n", path)
+    return text_ranges.lines(spark, path).select(F.col("pos").cast("long").alias("pos"), "line")
+
+
 @query(ORACLES["phi_theta_hist"])
 def io_function(spark, d):
     path = scratch(spark, "function")

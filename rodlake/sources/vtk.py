@@ -30,6 +30,12 @@ def read_rods(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("cell_id", F.col("cell_id").cast("long"))
 
 
+def read_directions(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, cx, cy, cz) of ``sinks.text.vtk_directions``."""
+    lines = keep(ranges.lines(spark, path), "lines")
+    return _section(lines, 5, _count(lines, r"^POINTS (\d+)"), ["cx", "cy", "cz"])
+
+
 def read_lammps(spark: SparkSession, path: str) -> DataFrame:
     """(id, x, y, z, length, width, qw, qx, qy, qz) of ``sinks.text.lammps``."""
     lines = keep(ranges.lines(spark, path), "lines")
