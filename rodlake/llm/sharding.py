@@ -221,15 +221,25 @@ def line_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``docs``, texts included, plus size, text_crc32, shard and slot; documents that share a line of LINE characters or more are linked.
 
     All columns stay; one named like a column added is replaced. Rows move without their
-    texts, which are written once and joined at the end. Null texts have no lines, size 1 and a null
+    texts, which join at the end by id and two hashes of the text; where rows repeat these, texts are
+    written once, with a number for each row, and join by that. Null texts have no lines, size 1 and a null
     text_crc32. Null and repeated ids keep their rows; equal rows are interchangeable. Whole
     texts are read, however long. Empty table: no rows.
     """
     plain, _ = aside(docs)
     doc, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
     kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c not in ADDED]
-    whole = save(plain.select(*[c for c, _ in kept], F.monotonically_increasing_id().alias("row")), "shard-whole")
     lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) >= LINE), lambda x: F.xxhash64(x))
-    given = whole.select("row", doc, _size(text).alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"), F.coalesce(F.array_distinct(lines), F.expr("cast(array() as array<bigint>)")).alias("lines"))
-    out = balanced_shards(given, F.col("lines"), [F.col(doc), F.col("text_crc32"), F.col("size")], shards)
-    return whole.join(out.select("row", *ADDED), "row").select(*[F.col(c).alias(name) for c, name in kept], *ADDED)
+    narrow = [_size(text).alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"), F.coalesce(F.array_distinct(lines), F.expr("cast(array() as array<bigint>)")).alias("lines")]
+    keyed = plain.select(*[c for c, _ in kept], F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    if keyed.groupBy(doc, "t1", "t2").count().where("count > 1").limit(1).count():
+        ids = ["row"]
+        keyed = save(plain.select(*[c for c, _ in kept], F.monotonically_increasing_id().alias("row")), "shard-whole")
+        given = keyed.select("row", F.col(doc).alias("k0"), *narrow)
+    else:
+        ids = ["k0", "t1", "t2"]
+        keyed = keyed.withColumn("k0", F.col(doc))
+        given = keyed.select("k0", "t1", "t2", *narrow)
+    out = balanced_shards(given, F.col("lines"), [F.col("k0"), F.col("text_crc32"), F.col("size")], shards).select(*[F.col(k).alias(f"_{k}") for k in ids], *ADDED)
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ids]
+    return keyed.join(out, on).select(*[F.col(c).alias(name) for c, name in kept], *ADDED)
