@@ -68,8 +68,8 @@ def extent(rods: DataFrame, box: tuple[float, float, float], periodic: tuple[boo
     return Extent(n, float(length), s / max(1, n), float(radius), met / max(1, n) / math.prod(box) * LOADS**3, tuple(ends[::2]), tuple(ends[1::2]))
 
 
-#: What writing, sorting and reading an entry of a rod in a cell costs, in tests of a pair.
-ENTRY = 4.0
+#: What an entry of a rod in a cell costs, in tests of a pair (measured): one of a centre, and one along an axis, which is computed cell by cell and may repeat a pair's geometry.
+ENTRY, AXIS_ENTRY = 10.0, 30.0
 #: Largest order of a grid: cells of a quarter of the reach.
 ORDERS = 4
 
@@ -84,7 +84,7 @@ def axis_cost(one: Extent, two: Extent, most: float, width: float, halved: bool)
     """Work of a join of axes on cells of ``width``; a rod's entries are its widened axis, swept by a cell, over the cell."""
     wide = width + most
     first, second = ((wide**3 + 1.5 * (e.mean + 2 * e.radius) * wide**2) / width**3 for e in (one, two))
-    return ENTRY * (one.rods * first + two.rods * second) + one.rods * first * second * two.density * width**3 / (2 if halved else 1)
+    return AXIS_ENTRY * (one.rods * first + two.rods * second) + one.rods * first * second * two.density * width**3 / (2 if halved else 1)
 
 
 @dataclass(frozen=True)
