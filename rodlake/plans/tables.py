@@ -27,10 +27,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/rodlake/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether shuffle files go when the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` and read it back: computed once, short lineage, safe against lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write ``df`` and read it back: computed once, short lineage, safe against lost executors.
+
+    The files of its shuffles go as soon as the table stands, as nothing reads them again;
+    else loops would fill the executors' disks until the driver's next collection of garbage.
+    """
+    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._rodlake_path = path
     return out
