@@ -71,7 +71,9 @@ def ranked(df: DataFrame, key: str, order: list, salt, rows_hint: int, rank: str
     over_runs = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = lookup(save(runs.select(key, "_run", F.coalesce(F.sum("_n").over(over_runs), F.lit(0)).alias("_start")), "rank-runs"), 500_000)
     shift = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within_run), F.lit(0))).join(runs, [key, "_run"])
-    shift = lookup(save(shift.select(key, "_b", (F.col("_start") + F.col("_before")).alias("_shift")), "rank"), 500_000)
+    shift = save(shift.select(key, "_b", (F.col("_start") + F.col("_before")).alias("_shift")), "rank")
+    discard(counts)
+    shift = lookup(shift, 500_000)
     out = df.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1)
     out = out.join(shift, [key, "_b"])
     return out.withColumn(rank, (F.col("_r") + F.col("_shift")).cast("long")).drop("_b", "_r", "_shift")

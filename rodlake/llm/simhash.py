@@ -305,6 +305,7 @@ def _verified(docs: DataFrame, doc: str, text: str, member: DataFrame, similarit
     found = compared(one.join(dealt.select("node", F.xxhash64("component", part_of(0)).alias("unit")), "node").withColumn("given", F.col("node")))
     large = dealt.where("blocks > 1").select("node", "component")
     if not large.limit(1).count():
+        discard(member, one, sizes, dealt)
         return found
 
     def parts(links: DataFrame) -> DataFrame:
@@ -312,7 +313,10 @@ def _verified(docs: DataFrame, doc: str, text: str, member: DataFrame, similarit
         label = connected_components(links).withColumnRenamed("component", "given")
         now = save(large.join(label, "node", "left").withColumn("given", F.coalesce("given", "node")), "nd-parts")
         several = now.groupBy("component").agg(F.min("given").alias("a"), F.max("given").alias("b")).where("a <> b").select("component")
-        return save(now.join(lookup(save(several, "nd-several"), 200_000), "component", "left_semi"), "nd-parts")
+        several = save(several, "nd-several")
+        apart = save(now.join(lookup(several, 200_000), "component", "left_semi"), "nd-parts")
+        discard(now, several)
+        return apart
 
     before = None
     for turn in range(1, DEALS + 1):
@@ -328,7 +332,10 @@ def _verified(docs: DataFrame, doc: str, text: str, member: DataFrame, similarit
     rest = blocks(rest, PAIRED).withColumn("mine", part_of(0))
     pairs = F.expr("if(blocks = 1, array(array(0, 0)), transform(filter(sequence(0, blocks - 1), x -> x <> mine), x -> array(least(x, mine), greatest(x, mine))))")
     rest = save(rest.withColumn("pair", F.explode(pairs)).select("node", "given", F.xxhash64("component", "pair").alias("unit")), "nd-rest")
-    return found.union(compared(one.join(rest, "node"))) if rest.limit(1).count() else found
+    if rest.limit(1).count():
+        found = found.union(compared(one.join(rest, "node")))
+    discard(member, one, sizes, dealt, rest)
+    return found
 
 
 #: Bits of a fingerprint.
