@@ -6,7 +6,7 @@ lies at the middle of its voxel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields
@@ -33,27 +33,88 @@ def from_values(values: DataFrame, ext: Ext, order: str = "C") -> DataFrame:
     return values.select(i.cast("int").alias("i"), j.cast("int").alias("j"), k.cast("int").alias("k"), "rho")
 
 
-def corners(points: DataFrame, ext: Ext, box: Box) -> DataFrame:
-    """``points`` (x, y, z) with the 8 nodes around each and their trilinear weights: i, j, k, w."""
-    df = points
-    for v, n, length in zip("xyz", ext, box):
+def _placed(points: DataFrame, ext: Ext, box: Box) -> DataFrame:
+    """``points`` with the lowest of the 8 nodes around each (_ni, _nj, _nk) and the place between the nodes (_fi, _fj, _fk in [0, 1))."""
+    out = points
+    for v, m, n, length in zip("xyz", "ijk", ext, box):
         at = F.col(v) / length * n - 0.5
-        df = df.withColumn(f"_n{v}", F.floor(at)).withColumn(f"_f{v}", at - F.floor(at))
-    each = F.array(*[F.struct(*[F.lit(b).alias(n) for b, n in zip((c & 1, c >> 1 & 1, c >> 2), "xyz")]) for c in range(8)])
-    df = df.select(*points.columns, *[f"_{k}{v}" for v in "xyz" for k in "nf"], F.explode(each).alias("_c"))
-    part = lambda v: F.when(F.col(f"_c.{v}") == 1, F.col(f"_f{v}")).otherwise(1.0 - F.col(f"_f{v}"))
-    return df.select(*points.columns, *[F.pmod(F.col(f"_n{v}") + F.col(f"_c.{v}"), F.lit(n)).cast("int").alias(m) for v, n, m in zip("xyz", ext, "ijk")], (part("x") * part("y") * part("z")).alias("w"))
+        out = out.withColumn(f"_n{m}", F.pmod(F.floor(at), F.lit(n)).cast("int")).withColumn(f"_f{m}", at - F.floor(at))
+    return out
+
+
+#: The corners of a voxel, as steps along the axes.
+CORNERS = [(c & 1, c >> 1 & 1, c >> 2) for c in range(8)]
+
+
+def _weight(corner: tuple[int, int, int]) -> Column:
+    """Trilinear weight of a corner at the place of ``_placed``."""
+    x, y, z = (F.col(f"_f{m}") if up else 1.0 - F.col(f"_f{m}") for m, up in zip("ijk", corner))
+    return x * y * z
+
+
+#: Nodes along an edge of a tile.
+TILE = 8
 
 
-def sample(points: DataFrame, mesh: DataFrame, ext: Ext, box: Box, key: str) -> DataFrame:
-    """``points`` with rho at their place, by trilinear interpolation; ``key`` tells the points apart."""
-    rho = corners(points.select(key, "x", "y", "z"), ext, box).join(mesh, ["i", "j", "k"]).groupBy(key).agg(F.sum(F.col("w") * F.col("rho")).alias("rho"))
-    return points.join(rho, key)
+def tiles(mesh: DataFrame, ext: Ext) -> DataFrame:
+    """(_ti, _tj, _tk, _values): the mesh as blocks of TILE^3 nodes, each with the next layer of nodes along each axis.
+
+    _values: rho of the block's nodes, k runs fastest; a tile at the end of an axis is smaller. Nodes that are missing or null are 0,
+    repeated nodes add up. A tile whose nodes are all missing is missing.
+    """
+    axis = []
+    for m, n in zip("ijk", ext):
+        count, own = -(-n // TILE), F.floor(F.col(m) / TILE).cast("int")
+        # a tile's first layer closes the tile before it; the mesh wraps
+        before = F.pmod(own - 1, F.lit(count))
+        place = lambda t, p: F.struct(t.cast("int").alias("t"), p.cast("int").alias("p"))
+        last = F.least(F.lit(TILE), n - before * TILE)
+        axis.append(F.when(F.col(m) % TILE == 0, F.array(place(own, F.col(m) % TILE), place(before, last))).otherwise(F.array(place(own, F.col(m) % TILE))))
+    each = mesh.select(F.coalesce(F.col("rho").cast("double"), F.lit(0.0)).alias("rho"), *[a.alias(f"_a{m}") for a, m in zip(axis, "ijk")])
+    for m in "ijk":
+        each = each.withColumn(f"_a{m}", F.explode(f"_a{m}"))
+    di, dj, dk = _dims(ext, *[F.col(f"_a{m}.t") for m in "ijk"])
+    slot = (F.col("_ai.p") * dj + F.col("_aj.p")) * dk + F.col("_ak.p")
+    each = each.select(*[F.col(f"_a{m}.t").alias(f"_t{m}") for m in "ijk"], F.struct(slot.cast("int").alias("slot"), "rho").alias("node"))
+    held = each.groupBy("_ti", "_tj", "_tk").agg(F.collect_list("node").alias("nodes"))
+    di, dj, dk = _dims(ext, *[F.col(f"_t{m}") for m in "ijk"])
+    full = di * dj * dk
+    whole = (F.size("nodes") == full) & (F.size(F.array_distinct("nodes.slot")) == full)
+    sparse = F.transform(F.sequence(F.lit(0), full - 1), lambda s: F.aggregate(F.filter("nodes", lambda x: x["slot"] == s), F.lit(0.0), lambda a, x: a + x["rho"]))
+    return held.select("_ti", "_tj", "_tk", F.when(whole, F.transform(F.array_sort("nodes"), lambda x: x["rho"])).otherwise(sparse).alias("_values"))
+
+
+def _dims(ext: Ext, *tile: Column) -> list[Column]:
+    """Nodes of a tile along each axis, with the layer that closes it."""
+    return [F.least(F.lit(TILE), n - t * TILE) + 1 for n, t in zip(ext, tile)]
+
+
+def sample(points: DataFrame, mesh: DataFrame, ext: Ext, box: Box) -> DataFrame:
+    """``points`` (x, y, z) with rho at their place, by trilinear interpolation.
+
+    A point meets its tile alone, so it is shuffled once and once only, whatever tells
+    points apart; repeated points keep their rows. Nodes that the mesh lacks count as 0; a point without a place
+    has 0. A column rho of ``points`` is replaced.
+    """
+    at = _placed(points.drop("rho"), ext, box).select("*", *[F.floor(F.col(f"_n{m}") / TILE).cast("int").alias(f"_t{m}") for m in "ijk"])
+    joined = at.join(tiles(mesh, ext), ["_ti", "_tj", "_tk"], "left")
+    _, dj, dk = _dims(ext, *[F.col(f"_t{m}") for m in "ijk"])
+    i, j, k = (F.col(f"_n{m}") % TILE for m in "ijk")
+    value = lambda c: F.get("_values", (((i + c[0]) * dj + j + c[1]) * dk + k + c[2]).cast("int"))
+    rho = sum((_weight(c) * value(c) for c in CORNERS[1:]), _weight(CORNERS[0]) * value(CORNERS[0]))
+    return joined.select(*[F.col(c) for c in points.columns if c != "rho"], F.coalesce(rho, F.lit(0.0)).alias("rho"))
 
 
 def deposit(points: DataFrame, ext: Ext, box: Box) -> DataFrame:
-    """(i, j, k, rho): each point spread over the 8 nodes around it."""
-    return corners(points.select("x", "y", "z"), ext, box).groupBy("i", "j", "k").agg(F.sum("w").alias("rho"))
+    """(i, j, k, rho): each point spread over the 8 nodes around it.
+
+    The 8 weights are summed by voxel before they go to nodes: a point is one row of
+    one aggregation, and only sums of voxels are exploded. Points without a place are left out.
+    """
+    at = _placed(points.select("x", "y", "z").dropna(), ext, box)
+    sums = at.groupBy("_ni", "_nj", "_nk").agg(*[F.sum(_weight(c)).alias(f"_w{n}") for n, c in enumerate(CORNERS)])
+    node = lambda n, c: F.struct(*[F.pmod(F.col(f"_n{m}") + step, F.lit(size)).cast("int").alias(m) for m, step, size in zip("ijk", c, ext)], F.col(f"_w{n}").alias("w"))
+    return sums.select(F.explode(F.array(*[node(n, c) for n, c in enumerate(CORNERS)])).alias("n")).select("n.*").groupBy("i", "j", "k").agg(F.sum("w").alias("rho"))
 
 
 def relative(mesh: DataFrame, ext: Ext) -> DataFrame:
@@ -64,15 +125,21 @@ def relative(mesh: DataFrame, ext: Ext) -> DataFrame:
 
 
 def cell_integrals(mesh: DataFrame, ext: Ext, box: Box, grid: Grid, samples: int = 10) -> DataFrame:
-    """(cell_id, rho): mean density of each cell, over samples^3 places in it."""
-    spark = mesh.sparkSession
+    """(cell_id, rho): mean density of each cell, over samples^3 places in it.
+
+    The weights of a node are products of one weight for each axis, so the sum over
+    places is taken axis by axis: a node meets the few cells beside it, three times, and no place has a row.
+    """
     n = F.col("id")
-    at, cell = [], F.floor(n / samples**3)
-    for c, v, e, length, s in zip(grid.split(cell), "xyz", grid.ext, grid.box, (1, samples, samples**2)):
-        at.append(((c + (F.floor(n / s) % samples + 0.5) / samples) * (length / e)).alias(v))
-    points = spark.range(grid.cells * samples**3).select(cell.cast("long").alias("cell_id"), *at)
-    each = corners(points, ext, box).groupBy("cell_id", "i", "j", "k").agg(F.sum("w").alias("w"))
-    return each.join(mesh, ["i", "j", "k"]).groupBy("cell_id").agg((F.sum(F.col("w") * F.col("rho")) / samples**3).alias("rho"))
+    now, left = mesh.select("i", "j", "k", "rho"), ["i", "j", "k"]
+    for m, nodes, cells, gl, bl in zip("ijk", ext, grid.ext, grid.box, box):
+        at = (F.floor(n / samples) + (n % samples + 0.5) / samples) * (gl / cells) / bl * nodes - 0.5
+        ends = F.array(*[F.struct(F.pmod(F.floor(at) + up, F.lit(nodes)).cast("int").alias("m"), (at - F.floor(at) if up else 1.0 - (at - F.floor(at))).alias("w")) for up in (0, 1)])
+        each = mesh.sparkSession.range(cells * samples).select(F.floor(n / samples).cast("int").alias(f"_c{m}"), F.explode(ends).alias("_e"))
+        weights = each.groupBy(f"_c{m}", F.col("_e.m").alias(m)).agg((F.sum("_e.w") / samples).alias("_w"))
+        left = [f"_c{m}", *[c for c in left if c != m]]
+        now = now.join(weights, m).groupBy(*left).agg(F.sum(F.col("_w") * F.col("rho")).alias("rho"))
+    return now.select(grid.compose(*[F.col(f"_c{m}") for m in "ijk"]).alias("cell_id"), "rho")
 
 
 def quotas(integrals: DataFrame, rods: int, margin: float = 0.0) -> DataFrame:

@@ -71,7 +71,7 @@ def candidates(spark: SparkSession, first: int, count: int, box: Box, length: fl
     u = lambda k: fields.uniform(s, seed * 64 + k)
     df = spark.range(first, first + count).select(s.alias("rod_id"), *[(u(k) * n).alias(v) for k, (v, n) in enumerate(zip("xyz", box))], u(3).alias("_u"), u(4).alias("_v"), u(5).alias("_w"))
     if mesh is not None:
-        df = density.sample(df, mesh, ext, box, "rod_id").where(F.col("_w") < F.col("rho"))
+        df = density.sample(df, mesh, ext, box).where(F.col("_w") < F.col("rho"))
     c = directions(F.col("_u"), F.col("_v"), model)
     return df.select("rod_id", "x", "y", "z", *[e.alias(n) for e, n in zip(c, ("cx", "cy", "cz"))], F.lit(length).alias("l"), F.lit(radius).alias("a"))
 

@@ -604,7 +604,7 @@ def _mesh(spark, d) -> DataFrame:
 
 @query(f"with {PART}, {_MESH}, pts as (select * from rods), {_CORNERS} select rod_id, round(sum(w * rho), 9) as rho from cw join mesh using (i, j, k) group by 1")
 def density_trilinear_sample(spark, d):
-    return density.sample(part(spark, d), _mesh(spark, d), MESH, BOX, "rod_id").select("rod_id", r("rho").alias("rho"))
+    return density.sample(part(spark, d), _mesh(spark, d), MESH, BOX).select("rod_id", r("rho").alias("rho"))
 
 
 @query(f"with {PART}, pts as (select * from rods), {_CORNERS} select cast(i as integer) as i, cast(j as integer) as j, cast(k as integer) as k, round(sum(w), 7) as rho from cw group by 1, 2, 3")

@@ -1,6 +1,8 @@
 """Networks, impedance, generation, meshes, pictures and files."""
 
+import itertools
 import math
+import random
 import struct
 
 import numpy as np
@@ -367,6 +369,47 @@ def test_mesh_files(spark, some, tmp_path):
     assert balls.count() > 3
 
 
+def _trilinear(place, ext, box):
+    """Nodes around a place, with their weights."""
+    at = [v / b * n - 0.5 for v, b, n in zip(place, box, ext)]
+    for up in itertools.product((0, 1), repeat=3):
+        node = tuple((math.floor(a) + u) % n for a, u, n in zip(at, up, ext))
+        yield node, math.prod((a - math.floor(a)) if u else 1 - (a - math.floor(a)) for a, u in zip(at, up))
+
+
+def test_meshes_by_tiles_and_axes_against_brute_force(spark):
+    """Several tiles along an axis, one that is cut off, an axis of one node, missing and null nodes, repeated points."""
+    ext, box = (19, 8, 1), (1.0, 2.0, 0.5)
+    draw = random.Random(5)
+    places = [(n % 90, draw.random(), draw.random() * 2, draw.random() / 2) for n in range(100)] + [(100, 0.0, 0.0, 0.0), (101, 0.999, 1.999, 0.499)]
+    places += places[:1]
+    points = spark.createDataFrame(places, "rod_id long, x double, y double, z double")
+    none = spark.createDataFrame([(102, None, 0.1, 0.1)], "rod_id long, x double, y double, z double")
+    held = {(i, j, 0): draw.random() for i in range(19) for j in range(8) if (i, j) != (3, 3)}
+    want = {}
+    for p in places:
+        for node, w in _trilinear(p[1:], ext, box):
+            want[node] = want.get(node, 0.0) + w
+    got = {(r.i, r.j, r.k): r.rho for r in density.deposit(points.union(none), ext, box).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[n], want[n], abs_tol=1e-12) for n in want)
+    rows = [(*n, v) for n, v in held.items()] + [(3, 3, 0, None)]
+    for mesh in (rows, rows[:60], []):
+        known = {r[:3]: r[3] or 0.0 for r in mesh}
+        table = spark.createDataFrame(mesh, "i int, j int, k int, rho double")
+        got = density.sample(points.union(none).withColumn("rho", F.lit("x")), table, ext, box)
+        assert got.columns == ["rod_id", "x", "y", "z", "rho"]
+        found = sorted((r.rod_id, r.x or 0.0, r.rho) for r in got.collect())
+        wish = sorted((p[0], p[1], sum(w * known.get(n, 0.0) for n, w in _trilinear(p[1:], ext, box))) for p in places) + [(102, 0.0, 0.0)]
+        assert len(found) == len(wish) and all(a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=1e-12) for a, b in zip(found, wish))
+    grid, whole = Grid(box, (3, 5, 2)), {**held, (3, 3, 0): 0.0}
+    got = {r.cell_id: r.rho for r in density.cell_integrals(spark.createDataFrame([(*n, v) for n, v in whole.items()], "i int, j int, k int, rho double"), ext, box, grid, 4).collect()}
+    assert len(got) == 30
+    for cell, rho in got.items():
+        c = (cell % 3, cell // 3 % 5, cell // 15)
+        spots = [tuple((a + (s + 0.5) / 4) * (b / e) for a, s, b, e in zip(c, at, box, grid.ext)) for at in itertools.product(range(4), repeat=3)]
+        assert math.isclose(rho, sum(w * whole[n] for p in spots for n, w in _trilinear(p, ext, box)) / 64, abs_tol=1e-12)
+
+
 def test_agglomerates_reach_the_volume(spark):
     """64 draws hold about 0.005 of the volume asked for here."""
     few = density.agglomerates(spark, 0.02, 0.03, 0.3, candidates=64).orderBy("id").collect()
