@@ -106,15 +106,13 @@ def sample(points: DataFrame, mesh: DataFrame, ext: Ext, box: Box) -> DataFrame:
 
 
 def deposit(points: DataFrame, ext: Ext, box: Box) -> DataFrame:
-    """(i, j, k, rho): each point spread over the 8 nodes around it.
+    """(i, j, k, rho): each point spread over the 8 nodes around it. Points without a place are left out.
 
-    The 8 weights are summed by voxel before they go to nodes: a point is one row of
-    one aggregation, and only sums of voxels are exploded. Points without a place are left out.
+    Tasks sum by node before anything is shuffled, so a task sends a node at most once.
     """
     at = _placed(points.select("x", "y", "z").dropna(), ext, box)
-    sums = at.groupBy("_ni", "_nj", "_nk").agg(*[F.sum(_weight(c)).alias(f"_w{n}") for n, c in enumerate(CORNERS)])
-    node = lambda n, c: F.struct(*[F.pmod(F.col(f"_n{m}") + step, F.lit(size)).cast("int").alias(m) for m, step, size in zip("ijk", c, ext)], F.col(f"_w{n}").alias("w"))
-    return sums.select(F.explode(F.array(*[node(n, c) for n, c in enumerate(CORNERS)])).alias("n")).select("n.*").groupBy("i", "j", "k").agg(F.sum("w").alias("rho"))
+    node = lambda c: F.struct(*[F.pmod(F.col(f"_n{m}") + step, F.lit(size)).cast("int").alias(m) for m, step, size in zip("ijk", c, ext)], _weight(c).alias("w"))
+    return at.select(F.explode(F.array(*[node(c) for c in CORNERS])).alias("n")).select("n.*").groupBy("i", "j", "k").agg(F.sum("w").alias("rho"))
 
 
 def relative(mesh: DataFrame, ext: Ext) -> DataFrame:
