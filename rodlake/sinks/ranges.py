@@ -3,8 +3,8 @@
 The rows are sorted and written once as a table; bytes are counted per sorted
 partition, added up over the partitions, and summed along each partition. Tasks then
 write runs of rows at their offsets. A task that runs twice writes the same bytes to
-the same place. The path must be a folder that all machines mount (``file:``), or a
-local file of a session in one process; ``reachable`` tells.
+the same place. The path must be a folder that all machines mount: ``file:``, or no
+scheme where that is Spark's default, as in a ``spark.checkpoint.dir`` of a cluster; ``reachable`` tells.
 """
 
 from __future__ import annotations
@@ -25,8 +25,14 @@ CHUNK = 1 << 20
 
 
 def reachable(path: str) -> bool:
-    """Whether tasks can write at offsets of ``path``."""
-    return path.startswith("file:") or "://" not in path and SparkSession.getActiveSession().sparkContext.master.startswith("local")
+    """Whether tasks can write at offsets of ``path``: one of ``file:``, or one without a scheme where Spark's own file system is that."""
+    if path.startswith("file:"):
+        return True
+    if "://" in path:
+        return False
+    spark = SparkSession.getActiveSession()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
 
 
 def local(path: str) -> str:

@@ -547,6 +547,26 @@ def test_text_in_ranges(spark, some, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_paths_without_a_scheme_on_a_cluster(spark, some, tmp_path, monkeypatch):
+    """``spark.checkpoint.dir`` may be a plain path: where Spark takes it for ``file:``, tasks write ranges of it under any master."""
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://one:7077", raising=False)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://one:7077", raising=False)
+    assert ranges.reachable(f"{tmp_path}/s.bin") and ranges.reachable(f"file://{tmp_path}/s.bin") and not ranges.reachable("viewfs://store/s.bin")
+    state.write(some, Grid(BOX, (4, 4, 4)), f"{tmp_path}/s.bin", 0.2, 0.01)
+    assert state.read(spark, f"{tmp_path}/s.bin").count() == 200
+
+
+def test_sequence_of_64_steps(spark, tables):
+    """Every key starts a sequence of 64 states; that of the key 1 is the generator's own."""
+    got = registry.QUERIES["lcg_sequence"](spark, tables)
+    want, s = [], 1
+    for n in range(64):
+        want.append((n, s))
+        s = (1664525 * s + 1013904223) % 2**32
+    assert [(r.n, r.s) for r in got.where("seed = 1").orderBy("n").collect()] == want
+    assert got.count() == 64 * spark.read.parquet(f"{tables}/part.parquet").count()
+
+
 def test_blur_reaches_all_taps(spark):
     """Narrow and wide pictures, more taps than pixels, a missing pixel: against a dense wrapped sum."""
     rng = np.random.default_rng(9)
