@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rodlake import registry
 from rodlake.functions import capsule
-from rodlake.operators import cells, rods, spatial, stats
+from rodlake.operators import cells, network, rods, spatial, stats
 from rodlake.plans.tables import keep, shared_dir
 
 BOX = (1.0, 1.0, 1.0)
@@ -62,3 +62,18 @@ def test_contacts_are_not_written(spark, tables, name):
     before = set(os.listdir(at)) if os.path.isdir(at) else set()
     assert registry.QUERIES[name](spark, tables).count()
     assert not [f for f in (set(os.listdir(at)) if os.path.isdir(at) else set()) - before if f.startswith("net-")]
+
+
+@pytest.mark.parametrize("most", [50, 32_768])
+def test_screened_in_the_cell(spark, mixed, monkeypatch, most):
+    """The contacts that a join with all virtual rods finds, also where a cell is dealt; and no table of all contacts is written."""
+    monkeypatch.setattr(cells, "MOST", most)
+    wide = keep(network.with_electrodes(mixed.withColumn("a", F.col("a") / 2), BOX, 2, 0.03))
+    found = keep(network.contacts(wide, BOX, 2, 0.03))
+    want = {(r.i, r.j) for r in network.screened(found, wide, BOX, 2).collect()}
+    got = network.with_hidden(wide, BOX, 2, 0.03)
+    assert len(want) > 100 and {(r.i, r.j) for r in got.where("hidden").collect()} == want and got.count() == found.count()
+    at = shared_dir(spark).removeprefix("file://") + "/rodlake"
+    before = set(os.listdir(at))
+    network.open_contacts(wide, BOX, 2, 0.03)
+    assert [f.rsplit("-", 1)[0] for f in set(os.listdir(at)) - before] == ["net-open"]
