@@ -87,3 +87,25 @@ def test_nothing_hangs_loose(spark, tables):
     got = network.pruned(dense, BOX, 2, 0.03)
     assert got.where("role = 'internal'").count() == dense.count()
     assert [f.rsplit("-", 1)[0] for f in set(os.listdir(at)) - before] == ["prune-rods"]
+
+
+@pytest.mark.parametrize("most", [50, 32_768])
+def test_nodes_are_numbered_in_their_cells(spark, mixed, monkeypatch, most):
+    """The nodes that sorting all contacts gives, also where a cell is dealt; what is written are runs of nodes, not contacts."""
+    monkeypatch.setattr(cells, "MOST", most)
+    wide = keep(network.with_electrodes(mixed.withColumn("a", F.col("a") / 2), BOX, 2, 0.03))
+    found = network.open_contacts(wide, BOX, 2, 0.03)
+    old = keep(network.renumbered(network.nodes(found)))
+    at = shared_dir(spark).removeprefix("file://") + "/rodlake"
+    before = set(os.listdir(at))
+    here = network.places(wide, BOX, 2, 0.03)
+    new = keep(here.nodes(), "mine")
+    assert {f.rsplit("-", 1)[0] for f in set(os.listdir(at)) - before} == {"net-places", "mine"}
+    columns = ["node_id", "rod", "t", "ci", "cj", "side", "new_id"]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert old.count() > 500 and rows(new.select(*columns)) == rows(old.select(*columns))
+    assert rows(network.segments(new)) == rows(network.segments(old)) and rows(network.redundant(new)) == rows(network.redundant(old))
+    near = lambda df: sorted((r.node_id, r.rod, round(r.t, 9), r.merged) for r in df.collect())
+    assert near(here.merged()) == near(network.merged(old))
+    tied = lambda df: sorted((r.role, r.ni or -1, r.nj, r.d, r.s) for r in df.collect())
+    assert tied(here.node_contacts()) == tied(network.node_contacts(found, old))
