@@ -109,3 +109,18 @@ def test_nodes_are_numbered_in_their_cells(spark, mixed, monkeypatch, most):
     assert near(here.merged()) == near(network.merged(old))
     tied = lambda df: sorted((r.role, r.ni or -1, r.nj, r.d, r.s) for r in df.collect())
     assert tied(here.node_contacts()) == tied(network.node_contacts(found, old))
+
+
+@pytest.mark.parametrize("most", [40, 131_072])
+def test_distances_are_summed_in_the_tasks(spark, mixed, monkeypatch, most):
+    """Pairs of centres by distance as the join gives them, copies and places at the edge of a bin included, also where a cell is dealt; no pair is a row."""
+    monkeypatch.setattr(cells, "CENTRES", most)
+    monkeypatch.setattr(cells, "TILE", (16, 32))
+    ends = spark.range(30).select((F.col("id") + 50_000).alias("rod_id"), (F.col("id") / 32.0).alias("x"), F.lit(0.5).alias("y"), F.lit(0.25).alias("z"), *[F.col("id").cast("double").alias(c) for c in ("cx", "cy", "cz", "l", "a")])
+    some = keep(mixed.select("rod_id", "x", "y", "z", "cx", "cy", "cz", "l", "a").union(ends))
+    r, width = F.col("r"), 0.25 / 8
+    want = spatial.centre_pairs(some, BOX, 0.25).groupBy(stats.bin_of(r, 0.0, width, 8).alias("bin")).agg(F.count(F.lit(1)), F.round(F.sum("r"), 8), F.round(F.sum(r * r), 8))
+    got = stats.radial_distribution(some, BOX, 0.25, 8)
+    assert sorted(map(tuple, got.select("bin", "n", F.round("total", 8), F.round("squares", 8)).collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "cell1" not in plan
