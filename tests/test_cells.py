@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rodlake import registry
 from rodlake.functions import capsule
+from rodlake.functions.grid import Grid
 from rodlake.operators import cells, network, rods, spatial, stats
 from rodlake.plans.tables import keep, shared_dir
 
@@ -124,3 +125,18 @@ def test_distances_are_summed_in_the_tasks(spark, mixed, monkeypatch, most):
     assert sorted(map(tuple, got.select("bin", "n", F.round("total", 8), F.round("squares", 8)).collect())) == sorted(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "cell1" not in plan
+
+
+@pytest.mark.parametrize("most", [cells.MOST, 40])
+def test_elimination_in_the_cell_meets_no_pairs(spark, mixed, monkeypatch, most):
+    """Rods go without a join of the pairs, also in crowded cells and by another order than that of ids."""
+    grid = Grid(BOX, (2, 2, 2))
+    some = keep(mixed.withColumn("turn", -F.col("rod_id") % 1000 * 100_000 - F.col("rod_id")))
+    seat = {r.rod_id: (r.turn, r.cell) for r in some.select("rod_id", "turn", grid.join_id(F.col("x"), F.col("y"), F.col("z")).alias("cell")).collect()}
+    hits = _close(spatial.spatial_join(some, BOX, 0.002, where=capsule.intersects(0.002), way="1"), [])
+    monkeypatch.setattr(cells, "MOST", most)
+    monkeypatch.setattr(capsule, "closest_approach", None)
+    for seq, at in (("rod_id", lambda k: k), ("turn", lambda k: seat[k][0])):
+        gone = {min(p, key=at) for p in hits if seat[p[0]][1] == seat[p[1]][1]}
+        assert len(gone) > 50
+        assert {r.rod_id for r in spatial.eliminate_same_cell(some, BOX, grid, seq, 0.002).collect()} == set(seat) - gone
