@@ -140,3 +140,30 @@ def test_elimination_in_the_cell_meets_no_pairs(spark, mixed, monkeypatch, most)
         gone = {min(p, key=at) for p in hits if seat[p[0]][1] == seat[p[1]][1]}
         assert len(gone) > 50
         assert {r.rod_id for r in spatial.eliminate_same_cell(some, BOX, grid, seq, 0.002).collect()} == set(seat) - gone
+
+
+@pytest.mark.parametrize("seq", ["rod_id", "turn"])
+def test_insertion_writes_few_pairs(spark, mixed, monkeypatch, seq):
+    """Rods inserted part by part: the same as one by one, and of most refused rods no pair is written."""
+    some = keep(mixed.withColumn("turn", F.col("rod_id") * 7919 % 100_003))
+    turn = {r.rod_id: r[1] for r in some.select("rod_id", F.col(seq).alias("at")).collect()}
+    near = {}
+    for p in _close(spatial.spatial_join(some, BOX, 0.03, where=capsule.intersects(0.03), way="1"), []):
+        first, later = sorted(p, key=turn.get)
+        near.setdefault(later, []).append(first)
+    want = set()
+    for k in sorted(turn, key=turn.get):
+        if not want.intersection(near.get(k, ())):
+            want.add(k)
+    wrote = []
+
+    def held(df):
+        out = keep(df)
+        if "first" in df.columns:
+            wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "PART", 100, raising=False)
+    got = spatial.greedy_insert(some, BOX, held, 0.03, seq=seq).collect()
+    assert {r.rod_id for r in got} == want and len(got) == len(want) and set(got[0].asDict()) == set(some.columns)
+    assert sum(wrote) < sum(map(len, near.values()))
