@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,27 @@ def test_insertion_writes_few_pairs(spark, mixed, monkeypatch, seq):
     got = spatial.greedy_insert(some, BOX, held, 0.03, seq=seq).collect()
     assert {r.rod_id for r in got} == want and len(got) == len(want) and set(got[0].asDict()) == set(some.columns)
     assert sum(wrote) < sum(map(len, near.values()))
+
+
+@pytest.mark.parametrize("theta", [("contact", 0.01, 1.0), ("touch", 0.01)])
+def test_counted_pairs_skip_double_precision(spark, mixed, monkeypatch, theta):
+    """Pairs that are only counted: the same as with their columns, and many of them without double precision."""
+    most, one = spatial.cell_grid(mixed, BOX, theta, [])[1], spatial.extent(mixed, BOX)
+    grid = spatial.AxisGrid.of(BOX, 0.1, (True, True, True), most / 2, one, one)
+    entries = grid.entered(mixed).toPandas().assign(p=0, q=0, own=0)
+    exact, found, met = cells.closest, {True: [], False: []}, {True: 0, False: 0}
+
+    def closest(value, one, *rest):
+        met[plain] += len(one)
+        return exact(value, one, *rest)
+
+    monkeypatch.setattr(cells, "closest", closest)
+    monkeypatch.setattr(cells, "SURE", 20, raising=False)
+    for _, some in entries.groupby("cell"):
+        group = pa.Table.from_pandas(some[["cell", "p", "q", "own", "rod_id", *spatial.FIELDS]], preserve_index=False)
+        ids = group.column("rod_id").to_numpy()
+        for plain in (True, False):
+            for out in cells._pairs(group, grid, BOX, most, theta, [] if plain else ["d"], ()):
+                found[plain] += [tuple(sorted(x)) for x in zip(ids[out[""][1]].tolist(), ids[out[""][2]].tolist())]
+    assert len(found[False]) > 300 and sorted(found[True]) == sorted(found[False])
+    assert met[True] < 0.8 * met[False]
