@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,31 @@ def test_counted_pairs_skip_double_precision(spark, mixed, monkeypatch, theta):
                 found[plain] += [tuple(sorted(x)) for x in zip(ids[out[""][1]].tolist(), ids[out[""][2]].tolist())]
     assert len(found[False]) > 300 and sorted(found[True]) == sorted(found[False])
     assert met[True] < 0.8 * met[False]
+
+
+def test_third_rods_are_told_by_products(monkeypatch):
+    """In a dense cell the third rods that brute force finds, with fewer closest approaches in double precision than pairs."""
+    rng = np.random.default_rng(5)
+    n, grid = 400, spatial.AxisGrid((1.0, 1.0, 1.0), (5, 5, 5), (0, 0, 0), (True, True, True), 0.04)
+    c = rng.normal(size=(n, 3))
+    c /= np.linalg.norm(c, axis=1)[:, None]
+    c[1::20] = c[::20]  # parallel ones
+    value = {v: x for v, x in zip("xyz", rng.uniform(-0.05, 0.25, (3, n)) % 1.0)} | {"c" + v: x for v, x in zip("xyz", c.T)} | {"l": rng.choice([0.1, 0.16], n), "a": rng.choice([0.004, 0.006], n)}
+    group = pa.table({"cell": np.zeros(n, np.int64), **{k: np.zeros(n, np.int32) for k in ("p", "q", "own")}, "rod_id": np.arange(n), **value})
+    tried, closest = [], cells.closest
+    monkeypatch.setattr(cells, "closest", lambda v, one, *rest: tried.append(len(one)) or closest(v, one, *rest))
+    monkeypatch.setattr(cells, "CHUNK", 10**9)  # the pairs' own approaches at once, and first
+    found = list(cells._pairs(group, grid, BOX, 0.024 + 2e-6, ("contact", 0.012, 1.0), ["i", "j", "hidden"], ()))
+    pairs = sum(len(f["i"]) for f in found)
+    assert pairs > 300 and sum(tried[1:]) < pairs
+    for f in found:
+        for i, j, hidden in zip(f["i"], f["j"], f["hidden"]):
+            v = {k: x[0] for k, x in closest(value, np.array([i]), np.array([j]), BOX, grid.periodic).items()}
+            a = min(v["a1"], v["a2"])
+            w = np.array([v["b" + x] + v["t2"] * v["c2" + x] - v["t1"] * v["c1" + x] for x in "xyz"])
+            mid = np.array([v[x + "1"] + v["t1"] * v["c1" + x] for x in "xyz"]) + w / 2
+            both = {k: np.append(x, y) for (k, x), y in zip(value.items(), [*mid, *(w / v["d"]), v["d"], a])}
+            third = np.setdiff1d(np.arange(n), [i, j])
+            u = closest(both, third, np.full(n - 2, n), BOX, grid.periodic)
+            want = v["d"] / 2 > a + capsule.EPS and ((u["d"] < u["a1"] + u["a2"] + capsule.EPS) & (u["l2"] / 2 - abs(u["u2"]) > u["a2"] + capsule.EPS)).any()
+            assert hidden == want
