@@ -221,3 +221,19 @@ def test_third_rods_are_told_by_products(monkeypatch):
             u = closest(both, third, np.full(n - 2, n), BOX, grid.periodic)
             want = v["d"] / 2 > a + capsule.EPS and ((u["d"] < u["a1"] + u["a2"] + capsule.EPS) & (u["l2"] / 2 - abs(u["u2"]) > u["a2"] + capsule.EPS)).any()
             assert hidden == want
+
+
+def test_areas_and_energies_are_summed_in_the_cells(spark, mixed):
+    """The sums of the pairs' columns; pairs do not leave the tasks."""
+    pairs = spatial.spatial_join(mixed, BOX, 0.02, where=F.col("unclamped") & (F.col("du") - F.col("a1") - F.col("a2") < 0.02), way="axis")
+    sums = [F.sum(e).alias(n) for n, e in (("parallel", capsule.excluded_parallel()), ("skew", capsule.excluded_skew()), ("naive", capsule.excluded_naive(0.02)))]
+    e, close = F.col("e"), F.col("du") - F.col("a1") - F.col("a2") <= stats.LEAST_GAP
+    law = pairs.select(capsule.pair_energy(0.02).alias("e"), close.alias("close"))
+    bad = e.isNull() | F.isnan("e")
+    want = {**pairs.agg(F.count(F.lit(1)).alias("pairs"), *sums).first().asDict(), **law.agg(F.count_if("close").alias("close"), F.count_if(~F.col("close") & bad).alias("undefined"), F.sum(F.when(~F.col("close") & ~bad, e)).alias("energy")).first().asDict()}
+    assert want["pairs"] > 300 and want["close"] and want["parallel"] > 0
+    for found in (stats.excluded_areas(mixed, BOX, 0.02), stats.vdw_energy(mixed, BOX, 0.02)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "cc#" not in plan
+        row = found.first().asDict()
+        assert all(abs(row[c] - want[c]) <= 1e-9 * abs(want[c]) for c in row if c in want)
