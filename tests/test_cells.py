@@ -237,3 +237,14 @@ def test_areas_and_energies_are_summed_in_the_cells(spark, mixed):
         assert "MapInArrow" in plan and "cc#" not in plan
         row = found.first().asDict()
         assert all(abs(row[c] - want[c]) <= 1e-9 * abs(want[c]) for c in row if c in want)
+
+
+def test_contacts_are_listed_from_both_rods(spark, mixed):
+    """As by Spark's rounding and a join; neither follows the tasks."""
+    found = spatial.listed(mixed, BOX, 0.01, both=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
+    want = [(r.i, r.j, r.d) for r in spatial.contacts(mixed, BOX, 0.01, columns=["i", "j", "d"]).select("i", "j", F.round("d", 9).alias("d")).collect()]
+    assert sorted((r.i, r.j, r.d) for r in found.collect()) == sorted([*want, *((j, i, d) for i, j, d in want)])
+    x = [0.0149999995, 0.0000000005, 0.0100000015, 0.0123456789, 0.0, 1.0000000005, 12345.6789012345, 0.01234567849999999, 3.5e9 + 0.25, -0.0000000005, -1.25]
+    assert cells.rounded(np.array(x), 9).tolist() == [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9)).collect()]
