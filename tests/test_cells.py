@@ -248,3 +248,11 @@ def test_contacts_are_listed_from_both_rods(spark, mixed):
     assert sorted((r.i, r.j, r.d) for r in found.collect()) == sorted([*want, *((j, i, d) for i, j, d in want)])
     x = [0.0149999995, 0.0000000005, 0.0100000015, 0.0123456789, 0.0, 1.0000000005, 12345.6789012345, 0.01234567849999999, 3.5e9 + 0.25, -0.0000000005, -1.25]
     assert cells.rounded(np.array(x), 9).tolist() == [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9)).collect()]
+
+
+def test_sparse_file_is_packed(spark, tables):
+    at = shared_dir(spark).removeprefix("file://") + "/rodlake"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    assert registry.QUERIES["io_sparse"](spark, tables.replace("sf0.001", "sf0.01")).count() == 1986  # the SQL's rows
+    (folder,) = [f for f in set(os.listdir(at)) - before if f.startswith("sparse-")]
+    assert all(f.endswith(".csv.gz") for f in os.listdir(f"{at}/{folder}") if f.startswith("part-"))
