@@ -32,6 +32,8 @@ from .components import connected_components, thinned
 SHARD = 4096
 #: Rows that a tree task reads, as a mean.
 TASK_ROWS = 250_000
+#: Tables whose shards are searched at once.
+WAVE = 16
 
 
 def shingles(data: bytes, k: int) -> list[bytes]:
@@ -108,19 +110,29 @@ def sampled_tables(bits: int, width: int, count: int, seed: int = 7) -> list[np.
 def near(nodes: DataFrame, words: int, radius: int, tables: list[np.ndarray], tree: type = Forest) -> DataFrame:
     """Stars (src, dst) that span the groups of ``nodes`` (node long, fp0, fp1, ...) linked within the radius.
 
-    Nodes must be distinct. Rows with a null node are ignored.
+    Nodes must be distinct. Rows with a null node are ignored. WAVE tables are searched at once; if there are more, the stars of
+    each wave are written, so that the shuffled rows of one wave alone lie on disk.
     """
     fps = [f"fp{i}" for i in range(words)]
     nodes = nodes.where("node is not null").select("node", *fps)
     n = nodes.count()
+    waves = [_searched(nodes, n, fps, radius, tables[i : i + WAVE], tree) for i in range(0, len(tables), WAVE)]
+    links = None
+    for wave in waves:
+        found = wave() if len(waves) == 1 else save(thinned(wave()), "near-wave")
+        links = found if links is None else links.union(found)
+    return links
 
-    def keys(batches):
-        for b in batches:
-            fp = np.stack([b.column(1 + w).to_numpy(zero_copy_only=False) for w in range(words)], axis=1).view(np.uint64)
-            bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-            for t, at in enumerate(tables):
-                key = (bits[:, at].astype(np.int64) << np.arange(len(at))).sum(axis=1) + (t << 44)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", *fps])
+
+def _searched(nodes: DataFrame, n: int, fps: list[str], radius: int, tables: list[np.ndarray], tree: type) -> Callable[[], DataFrame]:
+    """What finds the stars of some tables. A row is shipped to a shard as its node and fingerprint; the key is hashed from these on either side."""
+    words = len(fps)
+    masks = np.zeros((len(tables), words * 64), np.uint8)
+    for t, at in enumerate(tables):
+        masks[t, at] = 1
+    masks = np.packbits(masks, axis=1, bitorder="little").view(np.uint64).reshape(len(tables), words)
+    held = [F.element_at(F.array(*[F.lit(int(m)) for m in masks[:, w].view(np.int64)]), F.col("t") + 1) for w in range(words)]
+    key = F.xxhash64("t", *[F.col(c).bitwiseAND(m) for c, m in zip(fps, held)])
 
     def search(batches):
         got = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
@@ -128,18 +140,23 @@ def near(nodes: DataFrame, words: int, radius: int, tables: list[np.ndarray], tr
             return
         cols = [np.concatenate(x) for x in zip(*got)]
         del got
-        unit, node = cols[0], cols[1]
+        table, pair, node = cols[:3]
+        fp = np.stack(cols[3:], axis=1).view(np.uint64)
+        unit = pair.view(np.uint64) * np.uint64(len(tables)) + table.astype(np.uint64)
+        for w in range(words):
+            unit = (unit ^ (fp[:, w] & masks[table, w])) * np.uint64(0x9E3779B97F4A7C15)
+            unit ^= unit >> np.uint64(29)
         order = np.argsort(unit, kind="stable")
         unit = unit[order]
         alone = np.ones(len(unit), bool)
         alone[1:] &= unit[1:] != unit[:-1]
         alone[:-1] &= unit[1:] != unit[:-1]
-        order = order[~alone]
+        order, unit = order[~alone], unit[~alone]
         if not len(order):
             return
-        fp = np.stack([c[order] for c in cols[2:]], axis=1).view(np.uint64)
+        fp = fp[order]
         node = node[order]
-        forest = tree(fp, cols[0][order])
+        forest = tree(fp, unit)
         label = np.arange(len(node))
         for a, b in forest.neighbours(radius):
             merge(label, a, b)
@@ -150,22 +167,22 @@ def near(nodes: DataFrame, words: int, radius: int, tables: list[np.ndarray], tr
         linked = np.flatnonzero(hub != node)
         yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(hub[linked])], names=["src", "dst"])
 
-    banded = nodes.mapInArrow(keys, "key long, node long, " + ", ".join(f"{c} long" for c in fps))
-    # Shards that need dealing out are told from an eighth of the nodes; which shards these are changes the cost alone, never the result.
-    seen = nodes.where("pmod(xxhash64(node), 8) = 0").mapInArrow(keys, banded.schema)
-    hot = save(seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD // 8).select("key", F.ceil(F.col("n") * 8 / SHARD).cast("int").alias("blocks")), "hot")
-    unit = F.xxhash64("key")
-    if hot.limit(1).count():
-        mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-        other = F.explode(F.expr("transform(filter(sequence(0, blocks - 1), x -> x <> mine), x -> array(least(x, mine), greatest(x, mine)))"))
-        dealt = banded.join(lookup(hot, 200_000), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        one = dealt.where("blocks = 1").select(unit.alias("unit"), "node", *fps)
-        many = dealt.where("blocks > 1").withColumn("mine", mine).withColumn("pair", other).select(F.xxhash64("key", "pair").alias("unit"), "node", *fps)
-        units = one.union(many)
-    else:
-        units = banded.select(unit.alias("unit"), "node", *fps)
-    parts = max(12, n * len(tables) // TASK_ROWS)
-    return units.repartition(parts, "unit").mapInArrow(search, "src long, dst long")
+    def run() -> DataFrame:
+        banded = nodes.select(F.explode(F.array(*[F.lit(t) for t in range(len(tables))])).alias("t"), F.lit(-1).cast("long").alias("pair"), "node", *fps)
+        # Shards that need dealing out are told from an eighth of the nodes; which shards these are changes the cost alone, never the result.
+        seen = banded.where("pmod(xxhash64(node), 8) = 0").select(key.alias("key"))
+        hot = save(seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD // 8).select("key", F.ceil(F.col("n") * 8 / SHARD).cast("int").alias("blocks")), "hot")
+        units = banded
+        if hot.limit(1).count():
+            mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("long")
+            other = F.explode(F.expr("transform(filter(sequence(0, blocks - 1), x -> x <> mine), x -> least(x, mine) * 4294967296 + greatest(x, mine))"))
+            dealt = banded.withColumn("key", key).join(lookup(hot, 200_000), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            many = dealt.where("blocks > 1").withColumn("mine", mine).withColumn("pair", other)
+            units = dealt.where("blocks = 1").select("t", "pair", "node", *fps).union(many.select("t", "pair", "node", *fps))
+        parts = max(12, n * len(tables) // TASK_ROWS)
+        return units.repartition(parts, key, "pair").mapInArrow(search, "src long, dst long")
+
+    return run
 
 
 def simhash_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
@@ -340,8 +357,8 @@ def _verified(docs: DataFrame, doc: str, text: str, member: DataFrame, similarit
 
 #: Bits of a fingerprint.
 BITS = 128
-#: Cost of shipping a row to a shard, in distances computed there.
-SHIP = 30.0
+#: Cost of shipping a row to a shard, in distances computed there; twice its time, as disk is scarcer.
+SHIP = 60.0
 
 
 def _differing(a: int, b: int, both: int) -> float:

@@ -440,6 +440,27 @@ def test_hot_shards_lose_nothing(spark, monkeypatch):
     assert {r.node for r in got} >= set(close) and len({r.component for r in got if r.node in set(close)}) == 1
 
 
+def test_tables_are_searched_in_waves(spark, monkeypatch):
+    """Stars of more than WAVE tables are written wave by wave, so that the shuffled rows of one wave lie on disk; groups are the same, dealt shards too. No key is shipped."""
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 63, (400, 2), dtype=np.int64)
+    fp[200:] = fp[:200] ^ (np.int64(1) << rng.integers(0, 60, (200, 1)))
+    nodes = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(fp)], "node long, fp0 long, fp1 long")
+    tables, names = simhash.sampled_tables(128, 4, 7), []
+    monkeypatch.setattr(simhash, "save", lambda df, name, f=simhash.save: names.append(name) or f(df, name))
+    groups = lambda df: sorted(map(tuple, components.connected_components(df).collect()))
+    want = groups(simhash.near(nodes, 2, 6, tables))
+    assert len(want) == 400 and "near-wave" not in names
+    plan = simhash.near(nodes, 2, 6, tables[:2])._jdf.queryExecution().optimizedPlan().toString()
+    assert "key#" not in plan
+    for shard in (simhash.SHARD, 16):
+        monkeypatch.setattr(simhash, "WAVE", 3)
+        monkeypatch.setattr(simhash, "SHARD", shard)
+        names.clear()
+        assert groups(simhash.near(nodes, 2, 6, tables)) == want
+        assert names.count("near-wave") == names.count("hot") == 3
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_near_duplicates_by_exact_similarity(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
