@@ -256,3 +256,37 @@ def test_sparse_file_is_packed(spark, tables):
     assert registry.QUERIES["io_sparse"](spark, tables.replace("sf0.001", "sf0.01")).count() == 1986  # the SQL's rows
     (folder,) = [f for f in set(os.listdir(at)) - before if f.startswith("sparse-")]
     assert all(f.endswith(".csv.gz") for f in os.listdir(f"{at}/{folder}") if f.startswith("part-"))
+
+
+def test_third_rods_in_single_precision():
+    """Which virtual rods others cross, as the closest approach of each pair tells it: parallel and perpendicular axes, ends, a pair's own rods; few pairs are left to double precision."""
+    rng = np.random.default_rng(3)
+    n, k = 300, 1200
+    way = rng.normal(size=(n + k, 3))
+    way[:40] = way[n : n + 40] + 1e-4 * rng.normal(size=(40, 3))
+    way[40:60] = way[n]
+    way /= np.linalg.norm(way, axis=1)[:, None]
+    at = 0.03 * rng.random((n + k, 3)) + [0.98, 0.5, 0.5]
+    at[:, 0] %= 1.0
+    a = np.where(np.arange(n) % 3 == 0, 0.002, 0.004)
+    make = lambda s, **more: {**{x: at[s, i] for i, x in enumerate("xyz")}, **{"c" + x: way[s, i] for i, x in enumerate("xyz")}, **more}
+    value = make(slice(0, n), l=np.where(np.arange(n) % 2, 0.1, 0.01), a=a)
+    one, two = rng.integers(0, n, (2, k))
+    radius = np.minimum(a[one], a[two])
+    virtual = make(slice(n, n + k), l=2 * radius + rng.choice([2e-5, 1e-4, 1e-3, 5e-3], k), a=radius, one=one, two=two)
+    both = {c: np.concatenate([value[c], virtual[c]]) for c in value}
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(k), indexing="ij"))
+    u = cells.closest(both, i, n + j, BOX, (True,) * 3, False)
+    hit = (u["d"] < u["a1"] + u["a2"] + capsule.EPS) & (u["l2"] / 2 - np.abs(u["u2"]) > u["a2"] + capsule.EPS) & (i != one[j]) & (i != two[j])
+    want = np.zeros(k, bool)
+    want[j[hit]] = True
+    seen, f = [], cells.closest
+    cells.closest = lambda *args: seen.append(len(args[1])) or f(*args)
+    try:
+        got = cells._hidden(value, virtual, BOX, (True,) * 3)
+    finally:
+        cells.closest = f
+    assert 100 < want.sum() < k - 100 and (got == want).all() and sum(seen) < 0.01 * n * k
+    rods_ = np.arange(n)
+    sure, open_ = cells._crossed(at[n:], way[n:], virtual["l"] / 2 - radius - capsule.EPS, radius, (radius + 0.004 + capsule.EPS) ** 2 + (virtual["l"] / 2 - radius) ** 2, at[rods_], way[rods_], value["l"] / 2 + a + capsule.EPS, a)
+    assert sure.sum() > 1000 and open_.mean() < 0.2
