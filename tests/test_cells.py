@@ -1,5 +1,6 @@
 """Pairs met cell by cell in tasks: the same pairs as by joins, and nothing but entries and counts is shuffled."""
 
+import math
 import os
 
 import numpy as np
@@ -265,6 +266,7 @@ def test_third_rods_in_single_precision():
     way = rng.normal(size=(n + k, 3))
     way[:40] = way[n : n + 40] + 1e-4 * rng.normal(size=(40, 3))
     way[40:60] = way[n]
+    way[60:200] = way[n + 60 : n + 200] + 0.15 * rng.normal(size=(140, 3)) * np.linalg.norm(way[n + 60 : n + 200], axis=1)[:, None]
     way /= np.linalg.norm(way, axis=1)[:, None]
     at = 0.03 * rng.random((n + k, 3)) + [0.98, 0.5, 0.5]
     at[:, 0] %= 1.0
@@ -273,7 +275,7 @@ def test_third_rods_in_single_precision():
     value = make(slice(0, n), l=np.where(np.arange(n) % 2, 0.1, 0.01), a=a)
     one, two = rng.integers(0, n, (2, k))
     radius = np.minimum(a[one], a[two])
-    virtual = make(slice(n, n + k), l=2 * radius + rng.choice([2e-5, 1e-4, 1e-3, 5e-3], k), a=radius, one=one, two=two)
+    virtual = make(slice(n, n + k), l=2 * radius + rng.choice([2e-5, 1e-4, 1e-3, 5e-3, 1e-2], k), a=radius, one=one, two=two)
     both = {c: np.concatenate([value[c], virtual[c]]) for c in value}
     i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(k), indexing="ij"))
     u = cells.closest(both, i, n + j, BOX, (True,) * 3, False)
@@ -290,3 +292,7 @@ def test_third_rods_in_single_precision():
     rods_ = np.arange(n)
     sure, open_ = cells._crossed(at[n:], way[n:], virtual["l"] / 2 - radius - capsule.EPS, radius, (radius + 0.004 + capsule.EPS) ** 2 + (virtual["l"] / 2 - radius) ** 2, at[rods_], way[rods_], value["l"] / 2 + a + capsule.EPS, a)
     assert sure.sum() > 1000 and open_.mean() < 0.2
+    # beyond a rod's end, nearly in line with it, where the end of the virtual rod is the nearest
+    value = {c: np.array(v) for c, v in {"x": [0.5, 0.1, 0.1], "y": [0.5] * 3, "z": [0.5] * 3, "cx": [1.0] * 3, "cy": [0.0] * 3, "cz": [0.0] * 3, "l": [0.16] * 3, "a": [0.006] * 3}.items()}
+    virtual = {c: np.array([v]) for c, v in {"x": 0.6027, "y": 0.5, "z": 0.5, "cx": 0.988, "cy": math.sqrt(1 - 0.988**2), "cz": 0.0, "l": 0.0224, "a": 0.006, "one": 1, "two": 2}.items()}
+    assert cells._hidden(value, virtual, BOX, (True,) * 3).tolist() == [True]
