@@ -296,3 +296,20 @@ def test_third_rods_in_single_precision():
     value = {c: np.array(v) for c, v in {"x": [0.5, 0.1, 0.1], "y": [0.5] * 3, "z": [0.5] * 3, "cx": [1.0] * 3, "cy": [0.0] * 3, "cz": [0.0] * 3, "l": [0.16] * 3, "a": [0.006] * 3}.items()}
     virtual = {c: np.array([v]) for c, v in {"x": 0.6027, "y": 0.5, "z": 0.5, "cx": 0.988, "cy": math.sqrt(1 - 0.988**2), "cz": 0.0, "l": 0.0224, "a": 0.006, "one": 1, "two": 2}.items()}
     assert cells._hidden(value, virtual, BOX, (True,) * 3).tolist() == [True]
+
+
+@pytest.mark.parametrize("rows", [20, 4_096])
+def test_snapping_meets_the_last_rods_first(spark, mixed, monkeypatch, rows):
+    """The old rod that a join of all pairs names, also where a cell is dealt; no pair is a row."""
+    monkeypatch.setattr(cells, "SNAP_ROWS", rows)
+    young, old = mixed.where("rod_id % 2 = 1"), mixed.where("rod_id % 2 = 0")
+    r = F.sqrt(F.col("bx") * F.col("bx") + F.col("by") * F.col("by") + F.col("bz") * F.col("bz"))
+    near = (r < F.greatest("l1", "l2") / 2.0) & (F.abs(F.col("cc")) >= math.cos(0.7)) & (F.col("d") <= 0.03)
+    pairs = spatial.spatial_join(young, BOX, 0.03, other=old, where=near)
+    columns = ["bx", "by", "bz", "c2x", "a2", "u1", "u2", "cc"]
+    want = {}
+    for p in pairs.select("i", "j", *columns).collect():
+        want[p.i] = max(want.get(p.i, (-1,)), (p.j, *p[2:]))
+    found = cells.snaps(young, old, BOX, 0.03, math.cos(0.7), 0.1)
+    assert len(want) > 30 and {p.i: tuple(p)[1:] for p in found.select("i", "j", *columns).collect()} == want
+    assert "Join" not in spatial.clusterise(young, old, BOX, 0.03, 0.7)._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "", 1)
