@@ -313,3 +313,23 @@ def test_snapping_meets_the_last_rods_first(spark, mixed, monkeypatch, rows):
     found = cells.snaps(young, old, BOX, 0.03, math.cos(0.7), 0.1)
     assert len(want) > 30 and {p.i: tuple(p)[1:] for p in found.select("i", "j", *columns).collect()} == want
     assert "Join" not in spatial.clusterise(young, old, BOX, 0.03, 0.7)._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "", 1)
+
+
+@pytest.mark.parametrize("most", [60, 32_768])
+def test_two_contacts_are_enough(spark, mixed, tables, monkeypatch, most):
+    """Of rods with two contacts those are told that have them in sight, and no other; pruning then counts no degrees, and is the same where rods hang loose."""
+    monkeypatch.setattr(cells, "MOST", most)
+    monkeypatch.setattr(cells, "FIRST", 16)
+    wraps = (True, True, False)
+    want = {r.rod_id for r in spatial.degrees(mixed, BOX, 0.01, wraps).where("n >= 2").collect()}
+    got = {r.rod_id for r in spatial.with_two(mixed, BOX, 0.01, wraps, F.lit(True)).collect()}
+    assert 10 < len(got) <= len(want) < mixed.count() and got <= want and (got == want or most < 100)
+    some = spatial.with_two(mixed, BOX, 0.01, wraps, F.col("rod_id") % 2 == 0)
+    assert {r.rod_id for r in some.collect()} <= {i for i in want if i % 2 == 0}
+    if most > 100:
+        loose = sorted(map(tuple, network.pruned(mixed, BOX, 2, 0.01).select("rod_id", "role").collect()))
+        monkeypatch.setattr(network, "MANY", 0)
+        assert sorted(map(tuple, network.pruned(mixed, BOX, 2, 0.01).select("rod_id", "role").collect())) == loose
+        monkeypatch.setattr(spatial, "degrees", None)
+        dense = keep(rods.derived(spark.read.parquet(f"{tables}/part.parquet"), "p_partkey", 0.2, 0.04))
+        assert network.pruned(dense, BOX, 2, 0.03).where("role = 'internal'").count() == dense.count()
