@@ -13,6 +13,7 @@ from rodlake.functions import capsule
 from rodlake.functions.grid import Grid
 from rodlake.operators import cells, network, rods, spatial, stats
 from rodlake.plans.tables import keep, shared_dir
+from rodlake.sinks import text
 
 BOX = (1.0, 1.0, 1.0)
 
@@ -333,3 +334,19 @@ def test_two_contacts_are_enough(spark, mixed, tables, monkeypatch, most):
         monkeypatch.setattr(spatial, "degrees", None)
         dense = keep(rods.derived(spark.read.parquet(f"{tables}/part.parquet"), "p_partkey", 0.2, 0.04))
         assert network.pruned(dense, BOX, 2, 0.03).where("role = 'internal'").count() == dense.count()
+
+
+def test_contacts_are_written_packed(spark, tables, tmp_path):
+    """The lines of each role, packed, in little over half the bytes of random digits; the session's setting is as it was."""
+    df = spark.range(2000).select(F.col("id").alias("i"), (F.col("id") * 7).alias("j"), F.when(F.col("id") % 3 == 0, "sink").otherwise("internal").alias("role"), F.sqrt("id").alias("d"), F.log1p("id").alias("s")).repartition(2)
+    for kind in ("none", "gzip"):
+        text.coo(df, f"{tmp_path}/{kind}", compression=kind)
+    size = lambda kind: sum(f.stat().st_size for f in (tmp_path / kind).rglob("part-*"))
+    assert 1.8 * size("gzip") < size("none") and len(list((tmp_path / "gzip").rglob("part-*.txt.gz"))) == 4
+    rows = lambda kind: sorted(map(tuple, spark.read.text(f"{tmp_path}/{kind}").select("role", "value").collect()))
+    assert rows("gzip") == rows("none") and len(rows("gzip")) == 2000 and spark.conf.get(text.WRITERS, "0") == "0"
+    at = shared_dir(spark).removeprefix("file://") + "/rodlake"
+    before = set(os.listdir(at))
+    assert registry.QUERIES["io_contacts"](spark, tables).count()
+    made = [f for f in set(os.listdir(at)) - before if f.startswith("coo-")]
+    assert len(made) == 1 and not [f for _, _, names in os.walk(f"{at}/{made[0]}") for f in names if f.endswith(".txt")]
